@@ -1,11 +1,14 @@
 """The numbered queries and their DuckDB SQL, for the driver's entry file."""
 
-from lodestack.llm import decontaminate
+from lodestack.llm import chat, decontaminate, syncmers
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_chat_format": chat.op2_chat_format,
+    "op5_fingerprints": syncmers.op5_fingerprints,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op2_chat_format": chat.OP2_SQL,
 }
