@@ -1,11 +1,13 @@
 """The numbered queries and their DuckDB SQL, for the driver's entry file."""
 
-from lodestack.llm import chat, decontaminate, syncmers
+from lodestack.llm import bpe, chat, decontaminate, syncmers, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_chat_format": chat.op2_chat_format,
+    "op4_token_store": token_store.op4_token_store,
     "op5_fingerprints": syncmers.op5_fingerprints,
+    "op6_bpe": bpe.op6_bpe,
 }
 
 ORACLE_SQL = {
