@@ -203,8 +203,12 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, ids binary, decoded string")
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    """What encode_decode gives -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    got = encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import read
 
 #: Documented bound of the sample that the model is fitted on.
-FIT_DOCS = 6000
+FIT_DOCS = 10_000
 DIM = 1 << 18
 GRADES = 3
 #: Buckets in fewer sample documents, or that differ by fewer standard errors, get no weight.
-LEAST_DOCS, LEAST_Z = 4, 5.0
+LEAST_DOCS, LEAST_Z = 4, 4.5
 #: Pull of weights to zero; gradient steps and their size.
 RIDGE, STEPS, RATE = 1e-4, 200, 0.1
 #: Documents whose tail probability is below are rejected.

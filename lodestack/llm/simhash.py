@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, written
+from lodestack.llm.common import read, small, written
 from lodestack.llm.components import connected_components
 
 BITS = 64
@@ -291,3 +291,31 @@ def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, verify=None,
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_verifier(docs: DataFrame, words: int, least: float):
+    """A ``verify`` for near_duplicates: keep links whose first documents share ``least`` of their distinct shingles (Jaccard).
+
+    The shingle sets of linked documents only are made; a link without a doc_id on both sides is dropped.
+    """
+    schema = pa.schema([("fp", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+    def sets(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            out = [np.unique(np.array([xxh64_intdigest(x) for x in shingles(t, words)], "u8")).view("i8") for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["fp"], pa.array(out, schema[1].type)], schema=schema)
+
+    def verify(links: DataFrame, fps: DataFrame) -> DataFrame:
+        links = written(links, "candidates")
+        ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        need = small(written(ends.join(fps.groupBy("fp").agg(F.min("doc_id").alias("_id")), "fp"), "linked"))
+        texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("_id")).select("fp", "text")
+        one = texts.groupBy("fp").agg(F.max("text").alias("text"))  # rows may repeat a doc_id
+        s = written(one.mapInArrow(sets, "fp long, s array<long>"), "shingles")
+        pairs = links.join(s.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+    return verify
