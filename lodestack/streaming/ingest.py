@@ -20,9 +20,12 @@ def ingest_available(spark: SparkSession, source: str, schema: str, target: str,
         first = docs.groupBy("content").agg(F.min("document_id").alias("document_id"))
         docs = docs.join(first, ["content", "document_id"], "left_semi").dropDuplicates(["content"])
         if spark.catalog.tableExists(target):
+            spark.catalog.refreshTable(target)
             docs = docs.join(spark.table(target).select("content").distinct(), "content", "left_anti")
         out = chunk_documents(docs).join(docs.select("document_id", F.col("content").alias("c")), "document_id")
         out.select("chunk_id", "document_id", "chunk_index", F.col("content").alias("chunk"), F.col("c").alias("content")).write.mode("append").saveAsTable(target)
 
     q = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    if spark.catalog.tableExists(target):
+        spark.catalog.refreshTable(target)  # batches wrote from a session of their own
