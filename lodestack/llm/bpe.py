@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import read
 
 #: Words that a worker remembers, and as many from before.
-CACHE = 500_000
+CACHE = 150_000
 #: The last character of a word stands this much higher in the automaton's alphabet: the sign of the word's end.
 LAST = 0x1000
 
@@ -62,7 +62,7 @@ class PrefixBpe:
         """Whether BPE of the two tokens' string is just (a, b): no merge across the border comes before those that made them."""
         key = (a, b)
         if key not in self.fits:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             self.fits[key] = self._compatible(a, b)
         return self.fits[key]

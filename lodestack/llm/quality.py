@@ -36,7 +36,7 @@ RIDGE, STEPS, RATE = 1e-4, 200, 0.1
 #: Documents whose tail probability is below are rejected.
 KEEP = 0.5
 #: Words whose weight a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 SHAPES = ("capitals", "doubled", "signs", "again")
 LEVELS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4)
 
