@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 
 def tumbling(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
-    e = events.withWatermark("ts", late) if late else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     g = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
-    e = events.withWatermark("ts", late) if late else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     g = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def distinct_events(events: DataFrame, key: str, late: str) -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
