@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read
+from lodestack.llm.common import read, slices
 
 #: Words that a worker remembers, and as many from before.
 CACHE = 150_000
@@ -196,7 +196,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             got = [t.encode_decode(x or "") for x in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], schema=schema)
 

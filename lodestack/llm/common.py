@@ -47,6 +47,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices of a few rows: texts and what is made of them are in Python's memory for one slice at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def ascii_lower(col):
     """A-Z to a-z; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, written
+from lodestack.llm.common import read, slices, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bits of each array: about 16 a line, between these bounds (the upper one is 64 MB, the most that is broadcast).
@@ -65,7 +65,7 @@ def seen_twice(docs: DataFrame, log_bits: int) -> bytes:
                 np.bitwise_or(once, new, out=once)
 
         n = 0
-        for b in batches:
+        for b in slices(batches):
             for t in b["text"].to_pylist():
                 h = _hash({k for k in keys_of(t) if k})
                 held.append(h)
@@ -108,7 +108,7 @@ def _suspects(docs: DataFrame, log_bits: int, twice: bytes) -> DataFrame:
 
     def run(batches):
         bits = np.frombuffer(shared.value, "u1")
-        for b in batches:
+        for b in slices(batches):
             ids, lines, keys = [], [], []
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 first: dict[bytes, int] = {}
@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
         rows = docs.join(own.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
 
     def rewrite(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, totals, lost = [], [], []
             drops = [shared.value] * b.num_rows if shared else [{x["key"]: (x["d"], x["line"]) for x in r or []} for r in b["_drop"].to_pylist()]
             for d, t, drop in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), drops, strict=True):

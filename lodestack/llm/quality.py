@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read
+from lodestack.llm.common import read, slices
 
 #: Documented bound of the sample that the model is fitted on.
 FIT_DOCS = 10_000
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, skip_sha
     schema = pa.schema([("at", pa.list_(pa.int32())), ("grade", pa.int32())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [features(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, schema[0].type), b["grade"].cast(pa.int32())], schema=schema)
 
@@ -195,7 +195,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             _SCORERS.clear()
             _SCORERS[key] = _Scorer(shared.value)
         scorer = _SCORERS[key]
-        for b in batches:
+        for b in slices(batches):
             s = np.array([scorer.score(t) for t in b["text"].to_pylist()], float)
             p = scorer.model.tails(s)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, -1])], names=[*cols, "expected_grade", "p_not_toxic", "p_good"])

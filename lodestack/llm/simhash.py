@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, small, written
+from lodestack.llm.common import read, slices, small, written
 from lodestack.llm.components import connected_components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 4, distinct: bool = False) -> Dat
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("fp", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [simhash(set(s) if distinct else s) for s in (shingles(t, words) for t in b["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.array(fps, "u8").view("i8"))], schema=schema)
 
@@ -303,7 +303,7 @@ def shingle_verifier(docs: DataFrame, words: int, least: float):
     def sets(batches):
         from xxhash import xxh64_intdigest
 
-        for b in batches:
+        for b in slices(batches):
             out = [np.unique(np.array([xxh64_intdigest(x) for x in shingles(t, words)], "u8")).view("i8") for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["fp"], pa.array(out, schema[1].type)], schema=schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestack.llm.common import new_path, read, written
+from lodestack.llm.common import new_path, read, slices, written
 
 MAGIC = b"TIDB"
 HEAD = struct.Struct("<4sBBI32s")
@@ -186,7 +186,7 @@ def _train(docs: DataFrame, path: str, width: int, end_id: int) -> bytes:
 
     def run(batches):
         enc = encoder(path, width)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"ids": [enc.encode(t)[: SAMPLE_IDS * width] + end_id.to_bytes(width, "little") for t in b["text"].to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
 
     samples = [bytes(r.ids) for r in texts.mapInArrow(run, "ids binary").toLocalIterator()]
@@ -219,7 +219,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         enc = encoder(tokenizer, width)
         d = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         z = zstandard.ZstdCompressor(level=3, dict_data=d)
-        for b in batches:
+        for b in slices(batches):
             ids = [enc.encode(t) + end for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // width for x in ids], pa.int32()), pa.array([z.compress(x) for x in ids], pa.binary())], schema=frame_schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import new_path, read, small, written
+from lodestack.llm.common import new_path, read, slices, small, written
 
 #: Captures of an index block; bytes after which a task starts a new file; span of a file read at once.
 BLOCK, FILE_BYTES, SPAN = 2000, 256 << 20, 8 << 20
@@ -105,7 +105,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         fs.create_dir(root, recursive=True)
         out, name, at = None, "", 0
         try:
-            for b in batches:
+            for b in slices(batches):
                 got = []
                 for p, u, h, d, r in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                     if out is None or at >= FILE_BYTES:
