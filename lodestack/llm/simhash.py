@@ -214,17 +214,31 @@ def _flips(group: list[int], radius: int) -> np.ndarray:
 # ---------------------------------------------------------------- links
 
 
-def partitions_for(n: int, tau: int) -> int:
-    """As many partitions as leave each at least log2(n) bits, so that a value is shared by few; 2 to tau + 1."""
-    return max(2, min(tau + 1, int(BITS / max(1.0, math.log2(max(2, n))))))
+def layout(n: int, tau: int) -> tuple[int, int]:
+    """(number of partitions, radius that the index holds) of least cost for ``n`` fingerprints.
+
+    For a fingerprint the cost is its index rows, its probes, and the candidates that it would meet
+    if bits were even, with thresholds as equal as they can be. All choices find the same links;
+    more fingerprints want fewer and wider partitions.
+    """
+    best = (math.inf, 2, 0)
+    for m in range(2, tau + 2):
+        for held in (0, 1):
+            goal, w = tau - m + 1, BITS // m
+            ts = [goal // m + (i < goal % m) for i in range(m)]
+            if max(ts) > REACH + held:
+                continue
+            ball = lambda r: sum(math.comb(w, k) for k in range(r + 1))
+            index, probes = m * ball(held), sum(ball(max(0, t - held)) for t in ts if t >= 0)
+            met = sum(n * ball(t) / 2.0**w for t in ts if t >= 0)
+            best = min(best, (index + probes + met, m, held))
+    return best[1:]
 
 
 def fingerprint_links(fps: DataFrame, tau: int) -> DataFrame:
     """``fps`` (written; column fp, distinct) -> a, b (a < b): all pairs within ``tau`` bits, each once."""
     n = fps.count()
-    m = partitions_for(n, tau)
-    # With a wide radius the index holds each fingerprint's values within 1 too: far fewer rows in all.
-    held = 1 if tau - m + 1 > m else 0
+    m, held = layout(n, tau)
 
     def together(a):
         x = np.unpackbits(a.byteswap().view("u1").reshape(-1, 8), axis=1)[:, ::-1].astype("f8")
