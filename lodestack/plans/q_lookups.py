@@ -180,3 +180,69 @@ def folder_fingerprints(s, d):
 def drafting_sample(s, d):
     c = chunks(s, d)
     return lookups.drafting_sample(c, c.where("chunk_index = 0"), 20, 7)
+
+
+@query("""WITH h AS (SELECT a.vec_id AS q, b.vec_id AS c, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, c) AS rank FROM h QUALIFY rank <= 5)
+SELECT q AS query_id, string_agg(CAST(rank AS VARCHAR) || ':' || CAST(c AS VARCHAR) || ':' || CAST(c % 100 AS VARCHAR), ',' ORDER BY rank) AS citations FROM r GROUP BY q""")
+def citations_projection(s, d):
+    from lodestack.operators.retrieval import dense_topk
+
+    e = table(s, d, "embeddings")
+    h = dense_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+    c = lookups.citations(lookups.scored(h.withColumn("document_id", F.col("chunk_id") % 100)))
+    return c.select("query_id", F.array_join(F.transform("citations", lambda x: F.concat_ws(":", x["rank"], x["chunk_id"], x["document_id"])), ",").alias("citations"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN row_number() OVER (PARTITION BY size % 40 ORDER BY CAST(contains(path, 'src1') AS INTEGER), regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\([0-9]+\\)|copy|~'), len(string_split(path, '/')), length(path), path) = 1 THEN 'KEEP' ELSE 'REDUNDANT' END AS action FROM files""")
+def folder_plan(s, d):
+    from lodestack.operators.manifest import ranked_folders
+
+    return ranked_folders(files(s, d).select(F.col("path").alias("dir"), (F.col("size") % 40).alias("sig")), ["src1"]).select(F.col("dir").alias("path"), "action")
+
+
+_COPIES = FILES_SQL + ", a AS (SELECT path, size % 90 AS group_id, doc_id % 3 = 0 AS processed, doc_id % 9 = 0 AND doc_id % 90 < 45 AS there, doc_id % 12 = 0 AS error FROM files)"
+
+
+@query(f"WITH {_COPIES} SELECT path FROM a WHERE group_id IN (SELECT group_id FROM a GROUP BY 1 HAVING bool_or(processed) AND NOT coalesce(bool_or(there OR error) FILTER (WHERE processed), false))")
+def copies_plan(s, d):
+    from lodestack.operators.manifest import copies_plan as plan
+
+    i = F.col("doc_id")
+    a = files(s, d).select("path", (F.col("size") % 90).alias("group_id"), (i % 3 == 0).alias("processed"), ((i % 9 == 0) & (i % 90 < 45)).alias("exists"), (i % 12 == 0).alias("error"))
+    return plan(a).select("path")
+
+
+@query("SELECT s_suppkey AS plan_id, s_suppkey % 3 = 0 AND s_suppkey % 4 = 1 AS actionable FROM supplier")
+def actionable_plans(s, d):
+    from lodestack.operators.audit import actionable
+
+    k = F.col("s_suppkey")
+    sup = table(s, d, "supplier")
+    auth = sup.select(k.alias("plan_id"), F.when(k % 3 == 0, "AUTHORIZED").otherwise("REVOKED").alias("status"))
+    return actionable(auth, sup.where(k % 4 < 3).select(k.alias("plan_id"), (k % 4 == 1).alias("valid"))).select("plan_id", "actionable")
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'm' || CAST(doc_id AS VARCHAR) WHEN doc_id % 4 = 1 THEN regexp_extract(path, '[^/]*$') ELSE 'untitled' END AS label FROM files")
+def source_labels(s, d):
+    from lodestack.operators.conversations import source_label
+
+    i = F.col("doc_id")
+    member = F.when(i % 4 == 0, F.concat(F.lit("in\\x/m"), i.cast("string")))
+    return files(s, d).select("doc_id", source_label(member, F.when(i % 4 < 2, F.replace("path", F.lit("/"), F.lit("\\"))), F.lit("untitled")).alias("label"))
+
+
+@query("SELECT doc_id, sha256(substring(text, 1, 4000)) AS head_sha, length(text) > 4000 AS truncated FROM documents")
+def truncated_texts(s, d):
+    from lodestack.functions.text import truncated
+
+    t = table(s, d, "documents").select("doc_id", truncated(F.col("text"), 4000).alias("t"))
+    return t.select("doc_id", F.sha2("t.text", 256).alias("head_sha"), F.col("t.truncated").alias("truncated"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(x, '!\[\[[^\]]*\]\]', '', 'g'), '\[\[(?:[^\]|]*\|)?\s*([^\]|]*?)\s*\]\]', '\1', 'g') AS cleaned FROM (SELECT conv_id, turn, '[[p|' || substring(text, 1, 8) || ']] ![[img]] [[ ' || substring(text, 9, 5) || ' ]]' AS x FROM conversations)""")
+def wikilink_cleanup(s, d):
+    from lodestack.functions.text import clean_wikilinks
+
+    x = F.concat(F.lit("[[p|"), F.substring("text", 1, 8), F.lit("]] ![[img]] [[ "), F.substring("text", 9, 5), F.lit(" ]]"))
+    return table(s, d, "conversations").select("conv_id", "turn", clean_wikilinks(x).alias("cleaned"))
