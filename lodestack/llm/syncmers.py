@@ -19,6 +19,8 @@ K, S = 5, 2
 SKETCH = 64
 #: A bucket of neighbours holds 2 ** BITS consecutive ids.
 BITS = 9
+#: A level of at most so many rows is the top one.
+TOP = 4096
 
 
 def _word_hashes(text: Column) -> Column:
@@ -71,7 +73,7 @@ def _followers(keys: DataFrame) -> DataFrame:
     """
     levels, cur = [], keys.select("k", F.col("k").alias("hi"), F.col("k").alias("lo"))
     while True:
-        top = cur.count() <= 4096
+        top = cur.count() <= TOP
         w = (Window.partitionBy(F.lit(0)) if top else Window.partitionBy(F.shiftright("k", BITS))).orderBy(F.desc("k"))
         got = cur.select(F.col("lo").alias("from"), F.lead("hi").over(w).alias("to"), "hi")
         levels.append(got.where("to is not null").select("from", "to"))

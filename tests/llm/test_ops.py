@@ -178,13 +178,9 @@ def test_piece_encoder_equals_library(docs):
 # ---------------------------------------------------------------- 5
 
 
-def sketch_brute(spark, text):
-    from pyspark.sql import functions as F  # noqa: F401
-
-    return text
-
-
-def test_syncmers(spark, docs):
+@pytest.mark.parametrize("top", [4096, 2])
+def test_next_document(spark, docs, monkeypatch, top):
+    monkeypatch.setattr(syncmers, "TOP", top)
     rows = ODD + [(1000 + 700 * d, t) for d, t in docs[:120]] + [(10**15, "far away id"), (-5, "negative")]
     df = syncmers.with_next(table(spark, rows), ["text"])
     order = sorted(((-(1 << 63) if d is None else d, t) for d, t in rows), key=lambda x: (-x[0], (x[1] is not None, (x[1] or "").encode())))
