@@ -67,7 +67,7 @@ def policy_filter(classified: DataFrame, sources: list[str], workloads: list[str
     return classified.where(keep)
 
 
-def stop_never_skip(candidates: DataFrame, most_bytes: int, most_files: int, width: int = 1) -> DataFrame:
+def stop_never_skip(candidates: DataFrame, most_bytes: int, most_files: int) -> DataFrame:
     """Path order; take rows up to the first one that would break a limit, none after it.
 
     Sizes are not negative, so running sums only grow. They are taken in two steps: within ranges
