@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
