@@ -27,6 +27,8 @@ BITS = 64
 SEED = 42
 #: Cost of sending one probe, in verified candidates.
 PROBE = 0.5
+#: Candidates met for each that even bits would give.
+UNEVEN = 2.0
 #: The largest radius that a fingerprint probes in a partition.
 REACH = 3
 
@@ -59,19 +61,37 @@ def simhash(parts) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, distinct: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, fp (long; the 64 bits). ``distinct``: each shingle counts once. Null text is empty."""
+def wide_simhash(parts) -> tuple[int, int]:
+    """A SimHash of 128 bits, as two numbers of 64."""
+    from xxhash import xxh128_digest
+
+    if not parts:
+        return 0, 0
+    raw = np.frombuffer(b"".join([xxh128_digest(p, SEED) for p in parts]), "u1").reshape(-1, 16)
+    ones = np.unpackbits(raw, axis=1).sum(0, dtype="i8")
+    out = np.packbits(2 * ones > len(raw)).tobytes()
+    return int.from_bytes(out[:8], "big"), int.from_bytes(out[8:], "big")
+
+
+def fingerprints(docs: DataFrame, words: int = 4, distinct: bool = False, wide_words: int = 0) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, fp (long; the 64 bits), s0, s1. ``distinct``: each shingle counts once. Null text is empty.
+
+    s0 and s1 are the wide fingerprint over distinct runs of ``wide_words`` words (0 where that is 0).
+    """
     id_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("fp", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches):
         for b in slices(batches):
-            fps = [simhash(set(s) if distinct else s) for s in (shingles(t, words) for t in b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.array(fps, "u8").view("i8"))], schema=schema)
+            texts = b["text"].to_pylist()
+            fps = [simhash(set(s) if distinct else s) for s in (shingles(t, words) for t in texts)]
+            wide = [wide_simhash(set(shingles(t, wide_words))) for t in texts] if wide_words else [(0, 0)] * len(texts)
+            signed = lambda x: pa.array(np.array(x, "u8").view("i8"))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], signed(fps), signed([x for x, _ in wide]), signed([x for _, x in wide])], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long, s0 long, s1 long")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -217,8 +237,8 @@ def _flips(group: list[int], radius: int) -> np.ndarray:
 def layout(n: int, tau: int) -> tuple[int, int]:
     """(number of partitions, radius that the index holds) of least cost for ``n`` fingerprints.
 
-    For a fingerprint the cost is its index rows, its probes, and the candidates that it would meet
-    if bits were even, with thresholds as equal as they can be. All choices find the same links;
+    For a fingerprint the cost is its index rows, its probes, and UNEVEN times the candidates that
+    it would meet if bits were even, with thresholds as equal as they can be. All choices find the same links;
     more fingerprints want fewer and wider partitions.
     """
     best = (math.inf, 2, 0)
@@ -231,12 +251,16 @@ def layout(n: int, tau: int) -> tuple[int, int]:
             ball = lambda r: sum(math.comb(w, k) for k in range(r + 1))
             index, probes = m * ball(held), sum(ball(max(0, t - held)) for t in ts if t >= 0)
             met = sum(n * ball(t) / 2.0**w for t in ts if t >= 0)
-            best = min(best, (index + probes + met, m, held))
+            best = min(best, (index + probes + UNEVEN * met, m, held))
     return best[1:]
 
 
-def fingerprint_links(fps: DataFrame, tau: int) -> DataFrame:
-    """``fps`` (written; column fp, distinct) -> a, b (a < b): all pairs within ``tau`` bits, each once."""
+def fingerprint_links(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
+    """``fps`` (written; column fp, distinct) -> a, b (a < b): all pairs within ``tau`` bits, each once.
+
+    With ``wide``, pairs must also lie within so many bits of their wide fingerprints (columns s0
+    and s1, of 128 bits), which is decided where pairs meet, before they are rows.
+    """
     n = fps.count()
     m, held = layout(n, tau)
 
@@ -252,49 +276,57 @@ def fingerprint_links(fps: DataFrame, tau: int) -> DataFrame:
     sizes = [len(g) for g in groups]
     masks = [np.uint64(sum(1 << b for b in g)) for g in groups]
     flips = [{r: _flips(g, r) for r in range(REACH + 1)} for g in groups]
-    schema = pa.schema([("part", pa.int8()), ("value", pa.int64()), ("fp", pa.int64()), ("far", pa.int8())])
-    ddl = "part tinyint, value long, fp long, far tinyint"
+    more = ["s0", "s1"] if wide is not None else []
+    schema = pa.schema([("part", pa.int8()), ("value", pa.int64()), ("fp", pa.int64()), ("far", pa.int8()), *((c, pa.int64()) for c in more)])
+    ddl = "part tinyint, value long, fp long, far tinyint" + "".join(f", {c} long" for c in more)
+    columns = lambda b: [b[c].to_numpy(zero_copy_only=False).view("u8") for c in ("fp", *more)]
 
-    def rows(part, fp, flip, far):
-        values = ((fp & masks[part])[:, None] ^ flip[None, :]).ravel()
-        reps = np.repeat(fp, len(flip))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), part, "i1")), pa.array(values.view("i8")), pa.array(reps.view("i8")), pa.array(np.full(len(reps), far, "i1"))], schema=schema)
+    def rows(part, cols, flip, far):
+        values = ((cols[0] & masks[part])[:, None] ^ flip[None, :]).ravel()
+        fp, *rest = (pa.array(np.repeat(c, len(flip)).view("i8")) for c in cols)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), part, "i1")), pa.array(values.view("i8")), fp, pa.array(np.full(len(values), far, "i1")), *rest], schema=schema)
 
     def probes(batches):
         for b in batches:
-            every = b["fp"].to_numpy(zero_copy_only=False).view("u8")
-            for fp in np.array_split(every, max(1, len(every) // 2000)):
-                t = allocate(estimate.within(fp), sizes, tau, held)
+            every = columns(b)
+            for at in np.array_split(np.arange(b.num_rows), max(1, b.num_rows // 2000)):
+                cols = [c[at] for c in every]
+                t = allocate(estimate.within(cols[0]), sizes, tau, held)
                 for i in range(m):
                     for v in np.unique(t[:, i]):
                         if v >= 0:
                             # far: how far from its own value an index row may be.
-                            yield rows(i, fp[t[:, i] == v], flips[i][max(0, int(v) - held)], min(held, int(v)))
+                            yield rows(i, [c[t[:, i] == v] for c in cols], flips[i][max(0, int(v) - held)], min(held, int(v)))
 
     def index(batches):
         for b in batches:
-            fp = b["fp"].to_numpy(zero_copy_only=False).view("u8")
+            cols = columns(b)
             for i in range(m):
-                yield rows(i, fp, np.zeros(1, "u8"), 0)
+                yield rows(i, cols, np.zeros(1, "u8"), 0)
                 if held:
-                    yield rows(i, fp, flips[i][1][1:], 1)
+                    yield rows(i, cols, flips[i][1][1:], 1)
 
-    q = fps.select("fp").mapInArrow(probes, ddl).withColumnsRenamed({"fp": "a", "far": "may"})
-    x = fps.select("fp").mapInArrow(index, ddl).withColumnsRenamed({"fp": "b", "far": "is"})
+    q = fps.select("fp", *more).mapInArrow(probes, ddl).withColumnsRenamed({"fp": "a", "far": "may"})
+    x = fps.select("fp", *more).mapInArrow(index, ddl).withColumnsRenamed({"fp": "b", "far": "is", "s0": "t0", "s1": "t1"})
     near = (F.col("a") < F.col("b")) & (F.col("is") <= F.col("may")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
+    if wide is not None:
+        near = near & (F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= wide)
     return q.join(x, (q["part"] == x["part"]) & (q["value"] == x["value"]) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, verify=None, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, verify=None, distinct: bool = False, wide_words: int = 0, wide: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, fp, component_id (the least doc_id reachable, itself included).
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Rows that repeat a
     doc_id count each; a null doc_id is never a component_id. Extra columns are ignored. ``verify``
     takes (links, fps) and may drop links (a, b) between fingerprints before components are made.
+    ``wide_words`` and ``wide``: links must also lie within so many bits of the 128-bit fingerprints
+    over runs of so many words.
     """
-    fps = written(fingerprints(docs, words, distinct), "fps")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    links = fingerprint_links(reps, tau)
+    fps = written(fingerprints(docs, words, distinct, wide_words), "fps")
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "s0", "s1")).alias("s"))
+    reps = written(reps.select("fp", "rep", F.col("s.s0").alias("s0"), F.col("s.s1").alias("s1")), "reps")
+    links = fingerprint_links(reps, tau, wide)
     parts = written(connected_components(verify(links, fps) if verify else links, "a", "b"), "parts")
     whole = reps.join(parts, reps["fp"] == parts["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
