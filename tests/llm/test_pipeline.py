@@ -36,6 +36,28 @@ def test_near_dup_stage(spark, sf_dir):
     assert kept == set(range(40)) | set(range(200, 220))
 
 
+def shingles5(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    a, b = shingles5(a), shingles5(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dup_stage_beyond_the_bit_bound(spark, sf_dir):
+    """Appended passages and replaced blocks at Jaccard 0.8 to 0.85, of which most lie beyond 7 bits of word pairs."""
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randint(0, 4000)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        base = words(200)
+        rows += [(i, " ".join(base)), (100 + i, " ".join(base + words(46))), (200 + i, " ".join(base[:80] + words(14) + base[94:]))]
+        assert 0.8 <= jaccard(rows[-3][1], rows[-2][1]) <= 0.85 and 0.8 <= jaccard(rows[-3][1], rows[-1][1]) <= 0.85
+    assert {r.doc_id for r in cp.near_dup_stage(spark, docs(spark, rows), sf_dir).collect()} == set(range(40))
+
+
 def test_line_stage(spark, sf_dir):
     rows = [(i, f"own {i}\nA passage that repeats\nend {i}") for i in range(12)]
     out = cp.line_stage(spark, docs(spark, rows), sf_dir).collect()
