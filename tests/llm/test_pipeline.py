@@ -58,6 +58,15 @@ def test_near_dup_stage_beyond_the_bit_bound(spark, sf_dir):
     assert {r.doc_id for r in cp.near_dup_stage(spark, docs(spark, rows), sf_dir).collect()} == set(range(40))
 
 
+def test_near_dup_stage_keeps_form_letters(spark, sf_dir):
+    """Letters that differ in one word have a Jaccard index of 0.783, and many the same word-pair fingerprint."""
+    rng = random.Random(3)
+    form = [f"f{rng.randint(0, 4000)}" for _ in range(45)]
+    rows = [(i, " ".join(form[:20] + [f"name{i}"] + form[21:])) for i in range(600)]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.8
+    assert cp.near_dup_stage(spark, docs(spark, rows), sf_dir).count() == 600
+
+
 def test_line_stage(spark, sf_dir):
     rows = [(i, f"own {i}\nA passage that repeats\nend {i}") for i in range(12)]
     out = cp.line_stage(spark, docs(spark, rows), sf_dir).collect()
