@@ -420,3 +420,23 @@ def test_template_without_article(spark, monkeypatch):
 )
 def test_extraction(body, want):
     assert html_extract.extract(page(body), html_extract.Template(())) == want
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ('<div><p>The story itself.</p></div><ol class="comments"><li><article>me too</article></ol>', "The story itself."),
+        ("<div><p>A story that is a good deal longer than the teaser is.</p></div><div><article>Teaser</article></div>", "A story that is a good deal longer than the teaser is.\nTeaser"),
+        ("<article hidden>old</article><div>a</div><div>b</div>", "a\nb"),
+    ],
+)
+def test_articles_that_are_not_the_main_text(body, want):
+    assert html_extract.extract(page(body), html_extract.Template(())) == want
+
+
+def test_boilerplate_inside_articles_and_split_bodies(spark):
+    body = "<article><div class=c1><p>First {0} part {0}</p></div><div class=b><p>Read more of us</p><p>Rate this story</p></div><div class=c2><p>Second {0} of {0}</p></div></article>"
+    split = '<div class="k1"><p>Start {0} with more {0} words</p></div><div class="k2"><p>End {0}</p></div><div class="k3">Follow us</div><div class="k4">All rights</div>'
+    rows = [(100 * j + i, f"http://h{j}.org/{i}", page(b.format(i))) for j, b in enumerate((body, split)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"First {i} part {i}\nSecond {i} of {i}" for i in range(12)} | {100 + i: f"Start {i} with more {i} words\nEnd {i}" for i in range(12)}
