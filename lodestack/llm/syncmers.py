@@ -1,6 +1,6 @@
 """Operator 5: document fingerprints from closed syncmers, in DataFrame operations only.
 
-The letters are words (runs of anything but white space). Of every ``K`` consecutive words the
+The letters are words (runs of anything but white space; very long ones count as their characters). Of every ``K`` consecutive words the
 ``K - S + 1`` inner runs of ``S`` words are hashed; the k-mer is an anchor if the least of these
 hashes is its first or its last. Whether a k-mer is an anchor depends on its own words alone, so
 equal passages have equal anchors wherever they stand: ``anchors`` gives their positions and
@@ -17,6 +17,8 @@ from lodestack.llm.common import read, small, written
 
 K, S = 5, 2
 SKETCH = 64
+#: Words of more characters than this are read as their characters (scripts without white space).
+LONG = 64
 #: A bucket of neighbours holds 2 ** BITS consecutive ids.
 BITS = 9
 #: A level of at most so many rows is the top one.
@@ -25,16 +27,18 @@ TOP = 4096
 
 def _word_hashes(text: Column) -> Column:
     words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    letters = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+    words = F.when(F.exists(words, lambda w: F.length(w) > LONG), letters).otherwise(words)
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array of struct(pos, hash), the closed syncmers of column ``text`` in order.
 
-    A text of fewer than K words, but not none, has one anchor over all its words; an empty, blank
-    or null text has none.
+    A text without a closed syncmer (as of fewer than K words), but not without words, has one anchor
+    over all its words; an empty, blank or null text has none.
     """
-    h, s = f"_{out}_h", f"_{out}_s"
+    h, s, k = f"_{out}_h", f"_{out}_s", f"_{out}_k"
     df = df.withColumn(h, _word_hashes(F.col(text)))
     n = F.size(h)
     df = df.withColumn(s, F.when(n >= K, F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))))
@@ -43,7 +47,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     at = F.filter(F.sequence(F.lit(0), n - K), lambda i: F.least(F.get(s, i), F.get(s, i + last)) <= inner(i))
     kmer = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(h, i + j) for j in range(K)]).alias("hash")))
     short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
-    return df.withColumn(out, F.when(n >= K, kmer).when(n > 0, short).otherwise(F.slice(short, 1, 0))).drop(h, s)
+    df = df.withColumn(k, F.when(n >= K, kmer))
+    return df.withColumn(out, F.when(F.size(k) > 0, F.col(k)).when(n > 0, short).otherwise(F.slice(short, 1, 0))).drop(h, s, k)
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality, simhash, syncmers, token_store, warc
 from lodestack.llm.components import connected_components
@@ -199,6 +200,18 @@ def test_syncmer_anchors(spark, docs):
     assert 0.3 * n < len(a[1]) < 0.75 * n
 
 
+def test_syncmers_of_short_and_unspaced_texts(spark):
+    short = [(i, " ".join(f"s{i}x{j}" for j in range(5 + i % 2))) for i in range(60)]
+    rng = random.Random(4)
+    prose = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300))
+    df = spark.createDataFrame([*short, (100, prose), (101, prose[:150] + "X" + prose[150:]), (102, " ")], "doc_id long, text string")
+    df = syncmers.with_sketch(df, "text", "fp")
+    fp = {r.doc_id: r.fp for r in df.collect()}
+    assert all(fp[i] for i, _ in short) and len({tuple(fp[i]) for i, _ in short}) == 60 and fp[102] == []
+    a, b = (df.where(f"doc_id = {i}").select(F.col("fp").alias(n)) for i, n in ((100, "a"), (101, "b")))
+    assert 0.7 < a.crossJoin(b).select(syncmers.likeness("a", "b")).first()[0] < 1
+
+
 def test_fingerprint_query(spark, sf_dir, docs):
     rows = {r.doc_id: r for r in QUERIES["op5_fingerprints"](spark, sf_dir).collect()}
     order = sorted(docs, reverse=True)
