@@ -47,11 +47,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def slices(batches, rows: int = 500):
-    """Arrow batches in slices of a few rows: texts and what is made of them are in Python's memory for one slice at a time."""
+def slices(batches, rows: int = 500, most: int = 8 << 20):
+    """Arrow batches in slices of a few rows and of about ``most`` bytes: texts and what is made of them are in Python's memory for one slice at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, int(most * b.num_rows / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def ascii_lower(col):

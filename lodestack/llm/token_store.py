@@ -14,12 +14,15 @@ index and one frame. Blocks are in ascending doc_id order within and across part
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -34,18 +37,27 @@ BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on at most this many documents (and ids a document) and has at most so many bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 64 << 10
 #: Words that a worker remembers, and as many from before.
-CACHE = 600_000
+CACHE = 500_000
+#: Bytes of frames for each range of ids that one task writes.
+RANGE_BYTES = 64 << 20
 #: Fixed value: the splitting pattern of byte-level BPE (its pieces are encoded one by one).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _byte_table() -> str:
+    """The printable character of each byte in byte-level vocabularies, as a decoding table."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return "".join(chr(b) if b in plain else chr(0x100 + rest.index(b)) for b in range(256))
+
+
 class PieceEncoder:
-    """The tokenizers library's encoding of a text, from parts it was met with before.
+    """The tokenizers library's encoding of texts, from words that were met before.
 
-    The library cuts a text into pieces and encodes each on its own, so a text is the sum of its
-    pieces; a blank before a piece belongs to it, so a text is also the sum of its words (split at
-    blanks) unless a word is empty or begins with white space. Words and pieces are remembered;
-    the library encodes new pieces, many in one call. encode gives the ids as bytes, ``width`` an id.
+    The library cuts a text into pieces and encodes each on its own. A blank before a word belongs to
+    the word's first piece, so a text is the sum of its words, split at blanks, unless a word is empty
+    or begins with white space; such a text is cut into pieces as a whole. Arrow splits a slice of
+    texts and finds its distinct words; only words not remembered go to the library's model.
     """
 
     def __init__(self, path: str, width: int):
@@ -54,74 +66,84 @@ class PieceEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.lib, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        self.kind, self.table = {2: "H", 4: "I"}[width], _byte_table()
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
         self.pieces = regex.compile(PIECES).findall
-        (self.newline,) = self._ids("\n")
         with open(path, encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.added = {k: v.to_bytes(width, "little") for k, v in added.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(k) for k in sorted(added, key=len, reverse=True)) + ")").split if added else None
 
-    def _ids(self, text: str) -> list[int]:
-        return self.lib.encode(text, add_special_tokens=False).ids
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """New pieces go to the library in lines of one text: a newline between two pieces stays a token of its own."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        lines = [p for p in new if not p.isspace() and "\n" not in p]
-        ids = np.array(self._ids("\n".join(lines)), self.dtype) if lines else np.array([], self.dtype)
-        width, data, at = ids.itemsize, ids.tobytes(), 0
-        ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-        for p, end in zip(lines, ends, strict=True) if lines else ():
-            self.known[p] = data[at * width : end * width]
-            at = end + 1
-        for p in new:
-            if p not in self.known:
-                self.known[p] = np.array(self._ids(p), self.dtype).tobytes()
-
-    def _by_pieces(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        try:
-            return b"".join([self.known[p] for p in pieces])
-        except KeyError:
-            self._learn_pieces(pieces)
-            return b"".join([self.known[p] for p in pieces])
-
-    def _learn_words(self, words: list[str]) -> bool:
-        """False if a word is empty or begins with white space: its blank may not be its own."""
-        if len(self.words) > CACHE:  # what is still in use comes back from the old words
-            self.old, self.words, self.known = self.words, {}, {}
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if self.old:
-            self.words.update((w, self.old[w]) for w in new if w in self.old)
-            new = [w for w in new if w not in self.old]
-        if any(not w or w[0].isspace() for w in new):
-            return False
-        parts = [self.pieces(" " + w) for w in new]
-        self._learn_pieces([p for x in parts for p in x])
-        known = self.known
-        for w, x in zip(new, parts, strict=True):
-            self.words[w] = b"".join([known[p] for p in x])
-        return True
+    def _ids(self, pieces: list[str]) -> bytes:
+        ids = [t.id for p in pieces for t in self.tokenize(codecs.charmap_decode(p.encode(), "strict", self.table)[0])]
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens, piece by piece."""
+        return self._ids(self.pieces(text))
 
     def encode(self, text: str) -> bytes:
+        """Ids of one text, ``width`` bytes each; nothing is remembered."""
         if self.cut and any(k in text for k in self.added):
             return b"".join(self.added.get(x) or self._plain(x) for x in self.cut(text) if x)
         return self._plain(text)
 
-    def _plain(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        words = self.words
-        try:
-            return self._by_pieces(first) + b"".join([words[w] for w in rest])
-        except KeyError:
-            if not self._learn_words(rest):
-                return self._by_pieces(text)
-            words = self.words
-            return self._by_pieces(first) + b"".join([words[w] for w in rest])
+    def _learn(self, word: str) -> bytes:
+        """Ids of a new word with a blank before it: its first piece is a word too, the others (signs, a next line) are known by themselves."""
+        first, *rest = self.pieces(" " + word)
+        stem = first[1:]
+        ids = self.words.get(stem) or self.old.get(stem) or self._ids([first])
+        self.words[stem] = ids
+        for p in rest:
+            if p not in self.inner:
+                self.inner[p] = self._ids([p])
+            ids += self.inner[p]
+        return ids
+
+    def _known(self, words: list[str], used: list[bool]) -> list[bytes]:
+        """Ids of each used word with a blank before it."""
+        if len(self.words) > CACHE:  # what is still in use comes back from the old words
+            self.old, self.words = self.words, {}
+        if len(self.inner) > CACHE // 4:
+            self.inner = {}
+        known, old = self.words, self.old
+        out = [known.get(w) if u else b"" for w, u in zip(words, used, strict=True)]
+        for i, x in enumerate(out):
+            if x is None:
+                w = words[i]
+                out[i] = known[w] = old.get(w) or self._learn(w)
+        return out
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (no nulls)."""
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        at = split.flatten().dictionary_encode()
+        words, where = at.dictionary.to_numpy(zero_copy_only=False).tolist(), at.indices.to_numpy().copy()
+        # A text's first word has no blank before it.
+        firsts, starts = [words[i] for i in where[ends[:-1]]], ends[:-1]
+        plain = np.array([bool(w) and not w[0].isspace() for w in words])
+        whole = plain[where]
+        whole[starts] = True
+        good = np.minimum.reduceat(whole, starts)
+        for k in self.added:
+            good &= ~pc.match_substring(texts, k).to_numpy(zero_copy_only=False)
+        used = np.zeros(len(words), bool)
+        inner = np.repeat(good, np.diff(ends))
+        inner[starts] = False
+        used[where[inner]] = True
+        where[starts] = np.arange(len(words), len(words) + len(texts))
+        data = self._known(words, used.tolist()) + [self._plain(w) if g else b"" for w, g in zip(firsts, good.tolist(), strict=True)]
+        ids = pa.array(data, pa.binary()).take(pa.array(where))
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.scalar(b"", pa.binary())).to_numpy(zero_copy_only=False).tolist()
+        for i in np.flatnonzero(~good).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        return out
 
 
 _ENCODERS: dict = {}
@@ -175,18 +197,22 @@ class Block:
 
 
 def _train(docs: DataFrame, path: str, width: int, end_id: int) -> bytes:
-    """A dictionary from a bounded sample: SAMPLE_DOCS documents by hash, SAMPLE_IDS ids of each. Empty if there is too little."""
+    """A dictionary from a bounded sample: SAMPLE_DOCS documents by hash, about SAMPLE_IDS ids of each. Empty if there is too little.
+
+    Of a longer text the sample is a span that begins anywhere, by the same hash.
+    """
     import zstandard
 
     n = docs.count()
-    share = min(1.0, 1.2 * SAMPLE_DOCS / max(1, n))
-    cut = int(-(1 << 63) + share * ((1 << 64) - 1))
-    texts = docs.where(F.xxhash64("doc_id") <= F.lit(min(cut, (1 << 63) - 1))).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(SAMPLE_DOCS)
+    h, span, long = F.xxhash64("doc_id"), 4 * SAMPLE_IDS, F.length("text")
+    some = docs.where(F.pmod(h, F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, 1.5 * SAMPLE_DOCS / max(1, n))))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), long - span)).cast("int") + 1
+    texts = some.select(h.alias("h"), F.substring("text", start, F.lit(span)).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
 
     def run(batches):
         enc = encoder(path, width)
         for b in slices(batches):
-            yield pa.RecordBatch.from_pydict({"ids": [enc.encode(t)[: SAMPLE_IDS * width] + end_id.to_bytes(width, "little") for t in b["text"].to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"ids": [x[: SAMPLE_IDS * width] + end_id.to_bytes(width, "little") for x in enc.encode_all(b["text"])]}, schema=pa.schema([("ids", pa.binary())]))
 
     samples = [bytes(r.ids) for r in texts.mapInArrow(run, "ids binary").toLocalIterator()]
     try:
@@ -210,7 +236,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     spark.createDataFrame([(dict_hash.hex(), bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
     end = end_id.to_bytes(width, "little")
-    frame_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("frame", pa.binary())])
+    frame_schema = pa.schema([("doc_id", pa.int64()), ("salt", pa.int64()), ("n", pa.int32()), ("frame", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -218,9 +244,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         enc = encoder(tokenizer, width)
         d = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         z = zstandard.ZstdCompressor(level=3, dict_data=d)
-        for b in slices(batches):
-            ids = [enc.encode(t) + end for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // width for x in ids], pa.int32()), pa.array([z.compress(x) for x in ids], pa.binary())], schema=frame_schema)
+        for b in slices(batches, 4000):
+            ids = [x + end for x in enc.encode_all(b["text"])]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["salt"], pa.array([len(x) // width for x in ids], pa.int32()), pa.array([z.compress(x) for x in ids], pa.binary())], schema=frame_schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -241,15 +267,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
             yield close()
 
     block_schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-    frames = docs.mapInArrow(encode, "doc_id long, n int, frame binary")
-    frames = written(frames, "frames").repartitionByRange(_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # The salt parts rows that repeat a doc_id, however many there are.
+    frames = docs.withColumn("salt", F.monotonically_increasing_id()).mapInArrow(encode, "doc_id long, salt long, n int, frame binary")
+    frames = written(frames, "frames")
+    size = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    frames = frames.repartitionByRange(n, "doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
     frames.mapInArrow(pack, "part int, block int, first_doc long, last_doc long, n_docs int, n_tokens long, data binary").write.parquet(f"{path}/blocks")
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().bytes)  # at most DICT_BYTES

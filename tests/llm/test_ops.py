@@ -171,9 +171,15 @@ ODD_TEXTS = ["it's we'll", "a\x1cb \x1d c\x85d ​ e", " lead", "tail ", "a \nb"
 
 def test_piece_encoder_equals_library(docs):
     path, lib = tokenizer("byte_bpe_50k.json")
+    import pyarrow as pa
+
     e = token_store.PieceEncoder(path, 4)
-    for t in ODD_TEXTS + [t for _, t in docs] + ODD_TEXTS:
-        assert e.encode(t) == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
+    texts = ODD_TEXTS + [t for _, t in docs] + ODD_TEXTS + [f"a{chr(c)}b {chr(c)}1 {chr(c)}" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [e.encode(t) for t in texts] == want
+    for n in (1, 7, len(texts)):
+        got = [x for at in range(0, len(texts), n) for x in e.encode_all(pa.array(texts).slice(at, n))]
+        assert got == want
 
 
 # ---------------------------------------------------------------- 5
