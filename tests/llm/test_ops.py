@@ -249,6 +249,31 @@ def test_bpe_equals_library(spark, docs):
     assert bpe.encode_decode(table(spark, []), path).count() == 0
 
 
+def test_bpe_of_every_character():
+    path, lib = tokenizer("word_bpe_49k.json")
+    t = bpe.tokenizer(path)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for n in range(0, len(chars), 20_000):
+        texts = [f"a{c}b x{c} {c}1" for c in chars[n : n + 20_000]]
+        ids, decoded = t.encode_decode_all(texts)
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
+        assert decoded[:50] == [lib.decode(x, skip_special_tokens=False) for x in want[:50]]
+
+
+def test_bpe_of_mixed_texts():
+    """Random mixtures of scripts, signs, white space, combining characters, added and unassigned ones, also in slices of one text."""
+    path, lib = tokenizer("word_bpe_49k.json")
+    rng, t = random.Random(8), bpe.tokenizer(path)
+    pool = [*"abzE'.,!12 \n\t \x1c\x85\u3000éßΣσİǅ日本🙂\u0301\u0307\u1100\u1161\ua7dc\u0378\U000105d2", "<|endoftext|>", "  ", "'s", "the "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    for got in (t.encode_decode_all(texts), tuple(zip(*(t.encode_decode(x) for x in texts), strict=True))):
+        assert [np.frombuffer(x, "<u4").tolist() for x in got[0]] == want
+        assert list(got[1]) == [lib.decode(x, skip_special_tokens=False) for x in want]
+    assert t.encode_decode_all([]) == ([], [])
+
+
 def test_bpe_random_words():
     path, lib = tokenizer("word_bpe_49k.json")
     t, rng = bpe.tokenizer(path), random.Random(3)
@@ -377,17 +402,29 @@ def lines_brute(rows, least, keep_first=False):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
+@pytest.mark.parametrize("broadcast,most_bits", [(10**6, 29), (0, 29), (10**6, 0)])
 @pytest.mark.parametrize("first", [False, True])
-def test_line_dedup_brute(spark, broadcast, first):
+def test_line_dedup_brute(spark, broadcast, most_bits, first):
     rng = random.Random(4)
     pool = ["Menu ", " menu", "É", "é", "x\t", "", "long " * 20]
     rows = ODD[:4] + ODD[5:8] + [(20 + i, "\n".join(rng.choice([*pool, f"own {i} {j}"]) for j in range(8))) for i in range(40)]
-    got = line_dedup.dedup_lines(table(spark, rows), 5, first, broadcast).collect()
+    got = line_dedup.dedup_lines(table(spark, rows), 5, first, broadcast, most_bits).collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=repr) == lines_brute(rows, 5, first)
     assert got[0].key == "clash"
 
 
+def test_line_filters_grow_by_ranges():
+    """The arrays of a range have the same size for any number of lines; their load, and so the share of false suspects, stays as it is."""
+    a, b = line_dedup.Ranges(1 << 28), line_dedup.Ranges(1 << 40)
+    assert a.log_bits == b.log_bits == 26 and b.n == a.n << 12
+    r = line_dedup.Ranges(200_000)
+    h = np.random.default_rng(1).integers(0, 1 << 64, 200_000, dtype="u8")
+    h = h[r.of(h) == 3]
+    array = np.zeros((1 << r.log_bits) // 8, "u1")
+    r.add(array, h[::2])
+    assert r.has(array, h[::2]).all() and r.has(array, h[1::2]).mean() < 0.03
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
     got = line_dedup.dedup_lines(table(spark, [(None, "same")] * 3 + [(1, None)]), 2, False, 0).collect()
@@ -397,19 +434,52 @@ def test_line_dedup_edges(spark):
 # ---------------------------------------------------------------- 10
 
 
-def test_main_text_of_the_table(spark, sf_dir):
+def article_texts(rows):
     import html
 
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     want = {}
     for r in rows:
         body = re.search("<article>(.*?)(</article>|$)", r.html, re.S)[1]
         parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", body))
         want[r.page_id] = "\n".join(x for x in parts if x)
+    return want
+
+
+def test_main_text_of_the_table(spark, sf_dir):
+    want = article_texts(spark.read.parquet(f"{sf_dir}/pages.parquet").collect())
     got = {r.page_id: r for r in QUERIES["op10_main_text"](spark, sf_dir).collect()}
     assert {k: v.text for k, v in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize("names", [True, False])
+def test_main_text_by_the_template_alone(spark, monkeypatch, names):
+    """No article or main elements, and classes and ids without meaning: the template gives the contract's text, and without it the adverts stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = pages.collect()
+    want = article_texts(rows)
+    if not names:
+        monkeypatch.setattr(html_extract, "NOISE", frozenset())  # the template is deduced from tokens; words are not asked
+    plain, host = {}, html_extract.host_of("url")
+    hosts = {r.page_id: r.h for r in pages.select("page_id", host.alias("h")).collect()}
+    for r in rows:
+        mean = lambda m, h=hosts[r.page_id]: f'{m[1]}="k{zlib.crc32((h + m[2]).encode()) % 997}"'
+        x = re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html)
+        # What was an article is a div of a class of its own, of no meaning either.
+        plain[r.page_id] = re.sub(r'\b(class|id)="([^"]*)"', mean, x)
+    df = spark.createDataFrame([(r.page_id, r.url, plain[r.page_id] if names else r.html) for r in rows], "page_id long, url string, html string").repartition(8)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()} if names else None
+    if names:
+        assert got == want
+        assert all(html_extract.extract(x, html_extract.Template(())) != want[i] for i, x in plain.items())
+    else:
+        found = html_extract.occurrence_classes(df).collect()
+        held = {}
+        for r in found:
+            held.setdefault(r.host, []).append((r.token, r["class"], r.support, r.pages, r.place, r.chars))
+        templates = {h: html_extract.Template(x) for h, x in held.items()}
+        assert {r.page_id: html_extract.extract(r.html, templates[hosts[r.page_id]]) for r in rows} == want
+
+
 def page(body):
     return f"<html><head><title>T</title></head><body>{body}</body></html>"
 
@@ -447,12 +517,23 @@ def test_extraction(body, want):
         ('<div><p>The story itself.</p></div><ol class="comments"><li><article>me too</article></ol>', "The story itself."),
         ("<div><p>A story that is a good deal longer than the teaser is.</p></div><div><article>Teaser</article></div>", "A story that is a good deal longer than the teaser is.\nTeaser"),
         ("<article hidden>old</article><div>a</div><div>b</div>", "a\nb"),
+        ("<div>" + "long " * 50_000 + "</div>", ("long " * 50_000).strip()),
     ],
 )
 def test_articles_that_are_not_the_main_text(body, want):
     assert html_extract.extract(page(body), html_extract.Template(())) == want
 
 
+def test_names_do_not_overrule_the_template(spark):
+    """A host whose whole text lies in a 'widget' keeps it; reader comments longer than the story go by their name."""
+    words = lambda k, i: " ".join(f"{k}{i}x{j}" for j in range(30 if k == "s" else 60))
+    a = '<div class="widget-box"><div class="title"><h1>Title {0}</h1></div><div class="x1"><p>{1}</p></div></div><div class="x2">Buy {0} now</div>'
+    b = '<div class="x1"><p>{1}</p></div><div class="comments"><p>{2}</p></div>'
+    rows = [(100 * j + i, f"http://h{j}.org/{i}", page(x.format(i, words("s", i), words("c", i)))) for j, x in enumerate((a, b)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n{words('s', i)}" for i in range(12)} | {100 + i: words("s", i) for i in range(12)}
+
+
 def test_boilerplate_inside_articles_and_split_bodies(spark):
     body = "<article><div class=c1><p>First {0} part {0}</p></div><div class=b><p>Read more of us</p><p>Rate this story</p></div><div class=c2><p>Second {0} of {0}</p></div></article>"
     split = '<div class="k1"><p>Start {0} with more {0} words</p></div><div class="k2"><p>End {0}</p></div><div class="k3">Follow us</div><div class="k4">All rights</div>'
