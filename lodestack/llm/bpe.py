@@ -7,8 +7,10 @@ compatible with, that is, if BPE applied to the two tokens' string gives just th
 back-pointers from the whole word then give its ids, exactly those that merging by rank gives.
 
 Texts are normalised and cut into words as the tokenizers library does for the given file (NFC,
-white space runs to one blank, lower case; its word pattern; added tokens cut out first). Every
-distinct word is encoded once by a worker while it remembers it.
+white space runs to one blank, lower case; its word pattern; added tokens cut out first). A slice
+of texts is split at blanks by Arrow, so that each distinct string between blanks is looked at once,
+and a worker encodes each of its words once while it remembers it. Characters that Python's tables
+do not know yet (unassigned there) may be letters to the library: texts with them are encoded by it.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import read, slices
 
 #: Words that a worker remembers, and as many from before.
-CACHE = 150_000
+CACHE = 250_000
 #: The last character of a word stands this much higher in the automaton's alphabet: the sign of the word's end.
 LAST = 0x1000
 
@@ -127,6 +130,7 @@ class WordTokenizer:
         pre = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in pre] != ["Split", "ByteLevel"] or spec["decoder"]:
             raise ValueError("a tokenizer of another kind")
+        self.path, self.lib = path, None
         self.bpe = PrefixBpe(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
         self.words = regex.compile(pre[0]["pattern"]["Regex"]).findall
         self.chars = _byte_chars()
@@ -140,34 +144,69 @@ class WordTokenizer:
     def _entry(self, ids: list[int]) -> tuple[bytes, str]:
         return np.array(ids, "<u4").tobytes(), " ".join([self.name[i] for i in ids])
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.old, self.known = self.known, {}
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self.old.get(w) or self._entry(self.bpe.encode("".join([self.chars[b] for b in w.encode()])))
-
-    def _found(self, text: str) -> list[tuple[bytes, str]]:
+    def _by_library(self, text: str) -> tuple[bytes, str]:
+        if self.lib is None:
+            from tokenizers import Tokenizer
+
+            self.lib = Tokenizer.from_file(self.path)
+        return self._entry(self.lib.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, w: str) -> tuple[bytes, str] | None:
+        """A new word's ids and tokens; None if a character is unassigned."""
+        got = self.old.get(w)
+        if got is None:
+            if not w.isascii() and any(unicodedata.category(c) == "Cn" for c in w):
+                return None
+            got = self._entry(self.bpe.encode("".join([self.chars[b] for b in w.encode()])))
+        self.known[w] = got
+        return got
+
+    def _string(self, s: str) -> tuple[bytes, str] | None:
+        """Ids and tokens of a normalised string; None if the library has to be asked."""
+        known = self.known
+        parts = [known.get(w) or self._word(w) for w in self.words(s)]
+        if len(parts) == 1:
+            return parts[0]
+        return None if None in parts else (b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts]))
+
+    @staticmethod
+    def normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases one character at a time
-        words = self.words(text.lower())
-        try:
-            known = self.known
-            return [known[w] for w in words]
-        except KeyError:
-            self._learn(words)
-            known = self.known
-            return [known[w] for w in words]
-
-    def entries(self, text: str) -> list[tuple[bytes, str]]:
-        if any(k in text for k in self.added):
-            return [y for x in self.cut(text) if x for y in ([self._entry([self.added[x]])] if x in self.added else self._found(x))]
-        return self._found(text)
+        return text.lower()
 
     def encode_decode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and what decoding them gives."""
-        got = self.entries(text)
-        return b"".join([x[0] for x in got]), " ".join([x[1] for x in got])
+        parts = []
+        for x in self.cut(text) if any(k in text for k in self.added) else [text]:
+            got = self._entry([self.added[x]]) if x in self.added else self._string(self.normal(x))
+            if got is None:
+                return self._by_library(text)
+            if got[0]:
+                parts.append(got)
+        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
+
+    def encode_decode_all(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """encode_decode of each text."""
+        if len(self.known) > CACHE:  # what is still in use comes back from the old words
+            self.old, self.known = self.known, {}
+        split = pc.split_pattern(pa.array([self.normal(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        at = split.flatten().dictionary_encode()
+        found = [self._string(w) for w in at.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        where, ends = at.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        # Strings without a word (empty, or other white space) are no part of what decoding gives.
+        filled = np.array([x is None or len(x[0]) > 0 for x in found], bool)[where]
+        odd = np.array([x is None for x in found], bool)[where]
+        sums = lambda x: np.concatenate([[0], np.cumsum(x)])[ends]
+        offsets, take = pa.array(sums(filled), pa.int32()), pa.array(where[filled])
+        out = []
+        for i, (kind, sep) in enumerate(((pa.binary(), b""), (pa.string(), " "))):
+            parts = pa.array([x[i] if x else sep[:0] for x in found], kind).take(take)
+            out.append(pc.binary_join(pa.ListArray.from_arrays(offsets, parts), pa.scalar(sep, kind)).to_numpy(zero_copy_only=False).tolist())
+        special = np.array([any(k in t for k in self.added) for t in texts], bool)
+        for i in np.flatnonzero(special | (np.diff(sums(odd)) > 0)).tolist():
+            out[0][i], out[1][i] = self.encode_decode(texts[i])
+        return out[0], out[1]
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, the library joins the tokens' names with blanks."""
@@ -196,9 +235,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(path)
-        for b in slices(batches):
-            got = [t.encode_decode(x or "") for x in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.string())], schema=schema)
+        for b in slices(batches, 2000, 4 << 20):
+            ids, decoded = t.encode_decode_all([x or "" for x in b["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, ids binary, decoded string")
 

@@ -1,11 +1,13 @@
 """Operator 9: line dedup with two Bloom filters.
 
-Every task hashes the distinct line keys of each document and notes them in two bit arrays, seen
-once and seen twice; arrays of tasks are merged piece by piece (seen twice: in either's second
-array, or in both first ones), on the executors and with one piece in memory at a time. A key in
-the merged second array is a suspect. Only suspects are shuffled, to be counted exactly and, where
-one copy is to stay, to find the first place. The filter errs on one side only: a line that is
-found in two documents is always a suspect, so results are exact at any load of the filter.
+Every task hashes the distinct line keys of each document; the hashes (8 bytes each, repeats within
+a task noted by a flag) are dealt by range. The task of a range holds its own pair of bit arrays,
+seen once and seen twice, so each pair has a fixed size at any size of the input. A key in a second
+array is a suspect. Second arrays that together have up to 2 ** MOST_BITS bits are broadcast for the
+search; beyond, each range gives its suspected hashes and lines meet them by a join. Only suspected
+lines go on to be counted exactly and, where one copy is to stay, to find the first place. The
+filters err on one side only: a line that is found in two documents is always a suspect, so results
+are exact at any load.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, written
+from lodestack.llm.common import read, slices, small, written
 
 WHITE = b" \t\n\x0b\x0c\r"
-#: Bits of each array: about 16 a line, between these bounds (the upper one is 64 MB, the most that is broadcast).
-LEAST_BITS, MOST_BITS = 20, 29
-PIECES = 256
+#: Lines of a range, and bits of its arrays for each line; there are LEAST_RANGES ranges at least.
+RANGE_LINES, LINE_BITS, LEAST_RANGES = 1 << 22, 16, 64
+#: Second arrays of all ranges are broadcast up to so many bits together (64 MB).
+MOST_BITS = 29
 #: Line keys to drop are broadcast up to this many rows and bytes; more are joined by a shuffle.
 KEYS, KEY_BYTES = 300_000, 32 << 20
 FLUSH = 2_000_000
@@ -39,95 +42,142 @@ def _hash(keys) -> np.ndarray:
     return np.array([xxh3_64_intdigest(k) for k in keys], "<u8")
 
 
-def _bits(h: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << log_bits) - 1)
-    return (h & mask).astype("i8"), ((h >> np.uint64(64 - log_bits)) & mask).astype("i8")
+class Ranges:
+    """How 64-bit hashes are dealt to ranges, and to the bits of a range's arrays."""
 
+    def __init__(self, lines: int):
+        self.log_n = (max(LEAST_RANGES, -(-lines // RANGE_LINES)) - 1).bit_length()
+        self.n = 1 << self.log_n
+        self.log_bits = max(10, (max(1, LINE_BITS * lines // self.n) - 1).bit_length())
 
-def seen_twice(docs: DataFrame, log_bits: int) -> bytes:
-    """The second filter's bits: every key found in two documents or more is in it. At most 2 ** MOST_BITS bits."""
-    schema = pa.schema([("piece", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-    size = (1 << log_bits) // 8
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.log_n)).astype("i8")
+
+    def bits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (h & np.uint64((1 << self.log_bits) - 1)).astype("i8"), (mixed >> np.uint64(64 - self.log_bits)).astype("i8")
+
+    def has(self, array: np.ndarray, h: np.ndarray, first: np.ndarray | int = 0) -> np.ndarray:
+        """Whether both bits of each hash are set; ``first``: where its range begins in the array, in bits."""
+        p, q = (x + first for x in self.bits(h))
+        return ((array[p >> 3] >> (p & 7)) & (array[q >> 3] >> (q & 7)) & 1).astype(bool)
+
+    def add(self, array: np.ndarray, h: np.ndarray) -> None:
+        for b in self.bits(h):
+            np.bitwise_or.at(array, b >> 3, (1 << (b & 7)).astype("u1"))
+
+
+def _filtered(docs: DataFrame, ranges: Ranges, give) -> DataFrame:
+    """Each range's rows as ``give`` makes them of (range, second array, hashes seen): one range in memory at a time."""
+    schema = pa.schema([("range", pa.int32()), ("h", pa.binary()), ("again", pa.binary())])
 
     def note(batches):
-        once, twice, held = np.zeros(size, "u1"), np.zeros(size, "u1"), []
+        held, n = [], 0
 
         def flush():
-            if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                new, again = np.zeros(size, "u1"), np.zeros(size, "u1")
-                for bits, hs in ((new, h), (again, h[n > 1])):
-                    for b in _bits(hs, log_bits):
-                        np.bitwise_or.at(bits, b >> 3, (1 << (b & 7)).astype("u1"))
-                np.bitwise_or(twice, again, out=twice)
-                np.bitwise_or(twice, once & new, out=twice)
-                np.bitwise_or(once, new, out=once)
-
-        n = 0
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(ranges.of(h), np.arange(ranges.n + 1))
+            at = np.flatnonzero(np.diff(cuts))
+            parts = [(h[cuts[i] : cuts[i + 1]].tobytes(), np.packbits(times[cuts[i] : cuts[i + 1]] > 1).tobytes()) for i in at]
+            return pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], schema=schema)
+
         for b in slices(batches):
             for t in b["text"].to_pylist():
-                h = _hash({k for k in keys_of(t) if k})
-                held.append(h)
-                n += len(h)
+                held.append(_hash({k for k in keys_of(t) if k}))
+                n += len(held[-1])
                 if n > FLUSH:
-                    flush()
-                    n = 0
-        flush()
-        step = size // PIECES
-        for i in range(PIECES):
-            a, c = once[i * step : (i + 1) * step], twice[i * step : (i + 1) * step]
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"piece": [i], "once": [zlib.compress(a.tobytes(), 1)], "twice": [zlib.compress(c.tobytes(), 1)]}, schema=schema)
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
 
     def merge(batches):
-        got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now, seen = -1, np.zeros(0, "<u8")
+        once = twice = seen
+
         for b in batches:
-            for i, a, c in zip(b["piece"].to_pylist(), b["once"].to_pylist(), b["twice"].to_pylist(), strict=True):
-                a, c = (np.frombuffer(zlib.decompress(x), "u1") for x in (a, c))
-                if i in got:
-                    o, t = got[i]
-                    got[i] = (o | a, t | c | (o & a))
-                else:
-                    got[i] = (a, c)
-        for i, (_, t) in got.items():
-            yield pa.RecordBatch.from_pydict({"piece": [i], "once": [b""], "twice": [zlib.compress(t.tobytes(), 1)]}, schema=schema)
-
-    ddl = "piece int, once binary, twice binary"
-    pieces = docs.select("text").mapInArrow(note, ddl).repartition("piece").mapInArrow(merge, ddl)
-    out, step = bytearray(size), size // PIECES
-    for r in pieces.select("piece", "twice").collect():  # PIECES rows, 2 ** MOST_BITS bits at most
-        out[r.piece * step : (r.piece + 1) * step] = zlib.decompress(r.twice)
+            for r, h, again in zip(b["range"].to_pylist(), b["h"].to_pylist(), b["again"].to_pylist(), strict=True):
+                if r != now:
+                    if now >= 0:
+                        yield give(now, twice, seen)
+                    now, seen = r, np.zeros(0, "<u8")
+                    once, twice = (np.zeros((1 << ranges.log_bits) // 8, "u1") for _ in range(2))
+                h = np.frombuffer(h, "<u8")
+                repeated = np.unpackbits(np.frombuffer(again, "u1"), count=len(h)).astype(bool) | ranges.has(once, h)
+                ranges.add(twice, h[repeated])
+                ranges.add(once, h)
+                seen = np.union1d(seen, h[repeated])
+        if now >= 0:
+            yield give(now, twice, seen)
+
+    dealt = docs.select("text").mapInArrow(note, "range int, h binary, again binary").repartition(ranges.n, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(merge, "range int, data binary")
+
+
+_RANGE_ROW = pa.schema([("range", pa.int32()), ("data", pa.binary())])
+
+
+def seen_twice(docs: DataFrame, ranges: Ranges) -> bytes:
+    """The second arrays of all ranges in a row: every key found in two documents or more is in them. At most 2 ** MOST_BITS bits."""
+    rows = _filtered(docs, ranges, lambda r, twice, _: pa.RecordBatch.from_pydict({"range": [r], "data": [zlib.compress(twice.tobytes(), 1)]}, schema=_RANGE_ROW))
+    size = (1 << ranges.log_bits) // 8
+    out = bytearray(size * ranges.n)
+    for r in rows.collect():  # 2 ** MOST_BITS bits at most
+        out[r.range * size : (r.range + 1) * size] = zlib.decompress(r.data)
     return bytes(out)
 
 
-def _suspects(docs: DataFrame, log_bits: int, twice: bytes) -> DataFrame:
-    """doc_id, line, key: the first line of each suspected key in each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice)
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.binary())])
+def suspected_hashes(docs: DataFrame, ranges: Ranges) -> DataFrame:
+    """h: the hashes of all keys in second arrays (some once-seen ones among them)."""
+    rows = _filtered(docs, ranges, lambda r, _, seen: pa.RecordBatch.from_pydict({"range": [r], "data": [seen.tobytes()]}, schema=_RANGE_ROW))
+    schema = pa.schema([("h", pa.int64())])
+
+    def flat(batches):
+        for b in batches:
+            for data in b["data"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<i8"))], schema=schema)
+
+    return rows.mapInArrow(flat, "h long")
+
+
+def _lines(docs: DataFrame, hit) -> DataFrame:
+    """doc_id, line, key, h: the first line of each key in each document, where ``hit`` is true of its hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.binary()), ("h", pa.int64())])
 
     def run(batches):
-        bits = np.frombuffer(shared.value, "u1")
         for b in slices(batches):
-            ids, lines, keys = [], [], []
+            ids, lines, keys, hashes = [], [], [], []
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 first: dict[bytes, int] = {}
                 for i, k in enumerate(keys_of(t)):
                     if k:
                         first.setdefault(k, i)
                 if first:
-                    p, q = _bits(_hash(first), log_bits)
-                    for (k, i), hit in zip(first.items(), (bits[p >> 3] >> (p & 7)) & (bits[q >> 3] >> (q & 7)) & 1, strict=True):
-                        if hit:
+                    h = _hash(first)
+                    for k, i, x, wanted in zip(first, first.values(), h.view("<i8").tolist(), hit(h).tolist(), strict=True):
+                        if wanted:
                             ids.append(d)
                             lines.append(i)
                             keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary())], schema=schema)
+                            hashes.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, key binary, h long")
+
+
+def _suspects(docs: DataFrame, ranges: Ranges, most_bits: int) -> DataFrame:
+    if ranges.n << ranges.log_bits <= 1 << most_bits:
+        shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, ranges))
+
+        def hit(h):
+            return ranges.has(np.frombuffer(shared.value, "u1"), h, ranges.of(h) << ranges.log_bits)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, key binary")
+        return _lines(docs, hit)
+    some = small(written(suspected_hashes(docs, ranges), "suspects"))
+    return _lines(docs, lambda h: np.ones(len(h), bool)).join(some, "h", "left_semi")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, broadcast_keys: int = KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, broadcast_keys: int = KEYS, most_bits: int = MOST_BITS) -> DataFrame:
     """``docs`` (with doc_id and text) -> the same columns with text rewritten, and n_lines, n_dropped.
 
     A line whose key (see keys_of) is found in at least ``min_docs`` documents is dropped everywhere;
@@ -141,9 +191,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    log_bits = min(MOST_BITS, max(LEAST_BITS, int(16 * lines).bit_length()))
-    twice = seen_twice(docs, log_bits)
-    found = _suspects(docs, log_bits, twice)
+    found = _suspects(docs, Ranges(int(lines)), most_bits)
     first = F.min(F.struct("doc_id", "line")).alias("first")
     dropped = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where(F.col("n") >= min_docs).drop("n"), "lines")
     n, size = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()

@@ -37,7 +37,7 @@ BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on at most this many documents (and ids a document) and has at most so many bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 64 << 10
 #: Words that a worker remembers, and as many from before.
-CACHE = 500_000
+CACHE = 400_000
 #: Bytes of frames for each range of ids that one task writes.
 RANGE_BYTES = 64 << 20
 #: Fixed value: the splitting pattern of byte-level BPE (its pieces are encoded one by one).
