@@ -1,10 +1,12 @@
 """Operator 5: document fingerprints from closed syncmers, in DataFrame operations only.
 
-The letters are words (runs of anything but white space; very long ones count as their characters). Of every ``K`` consecutive words the
-``K - S + 1`` inner runs of ``S`` words are hashed; the k-mer is an anchor if the least of these
-hashes is its first or its last. Whether a k-mer is an anchor depends on its own words alone, so
-equal passages have equal anchors wherever they stand: ``anchors`` gives their positions and
-hashes for positional matching, and the fingerprint keeps the ``SKETCH`` least anchor hashes.
+The letters are words (runs of anything but white space); characters of scripts that are written
+without blanks, and those of very long words, are letters of their own. Of every ``K`` consecutive
+letters the ``K - S + 1`` inner runs of ``S`` are hashed; the k-mer is an anchor if the least of
+these hashes is its first or its last. Whether a k-mer is an anchor depends on its own letters
+alone, so equal passages have equal anchors wherever they stand. The fingerprint holds the
+``SKETCH`` least anchor hashes in the order of their places in the text, and likeness matches two
+fingerprints by place: only anchors that come in the same order in both count.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from lodestack.llm.common import read, small, written
 
 K, S = 5, 2
 SKETCH = 64
-#: Words of more characters than this are read as their characters (scripts without white space).
+#: Words of more characters than this are read as their characters.
 LONG = 64
+#: Scripts that are written without blanks.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: A bucket of neighbours holds 2 ** BITS consecutive ids.
 BITS = 9
 #: A level of at most so many rows is the top one.
@@ -26,7 +30,9 @@ TOP = 4096
 
 
 def _word_hashes(text: Column) -> Column:
-    words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.rlike(text, F.lit(UNSPACED)), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    words = F.split(text, r"[\x20\x09-\x0D]+")
     letters = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
     words = F.when(F.exists(words, lambda w: F.length(w) > LONG), letters).otherwise(words)
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -52,10 +58,12 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the sorted SKETCH least distinct 32-bit anchor hashes of column ``text``."""
-    df = with_anchors(df, text, f"_{out}_a")
-    low = F.transform(f"_{out}_a", lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    return df.withColumn(out, F.slice(F.array_sort(F.array_distinct(low)), 1, SKETCH)).drop(f"_{out}_a")
+    """Add ``out``: the SKETCH least distinct 32-bit anchor hashes of column ``text``, in the order of their first places."""
+    a, d, m = f"_{out}_a", f"_{out}_d", f"_{out}_m"
+    df = with_anchors(df, text, a)
+    df = df.withColumn(d, F.array_distinct(F.transform(a, lambda x: x["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))))
+    df = df.withColumn(m, F.when(F.size(d) > SKETCH, F.get(F.array_sort(d), F.lit(SKETCH - 1))))
+    return df.withColumn(out, F.when(F.col(m).isNull(), F.col(d)).otherwise(F.filter(d, lambda x: x <= F.col(m)))).drop(a, d, m)
 
 
 def as_string(sketch: str) -> Column:
@@ -63,11 +71,21 @@ def as_string(sketch: str) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda x: F.substring(F.hex(x + F.lit(1 << 32)), 2, 8)), ""))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of the least hashes of both sketches together that both have: estimates the Jaccard index. 1 if both are empty."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(least, F.array_intersect(a, b)))
-    return F.when(F.size(F.array_union(a, b)) == 0, F.lit(1.0)).otherwise(both / F.size(least))
+def _longest_rise(places: Column) -> Column:
+    """Length of the longest rising subsequence of distinct numbers. A rising array is measured as it is."""
+    rising = F.forall(F.zip_with(places, F.slice(places, 2, SKETCH), lambda x, y: y.isNull() | (x < y)), lambda ok: ok)
+    # The fold keeps, for each length, the least number that such a subsequence ends with.
+    step = lambda ends, x: F.concat(F.filter(ends, lambda y: y < x), F.array(x), F.slice(F.filter(ends, lambda y: y > x), 2, SKETCH))
+    return F.when(rising, F.size(places)).otherwise(F.aggregate(places, F.array().cast("array<int>"), step, F.size))
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add ``out``, 0 to 1: of the least hashes of both sketches together, the share that both have in one order. 1 if both are empty."""
+    u, p = f"_{out}_u", f"_{out}_p"
+    df = df.withColumn(u, F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH))
+    both = F.filter(F.array_intersect(a, b), lambda x: F.array_contains(u, x))  # in the order of a
+    df = df.withColumn(p, F.transform(both, lambda x: F.array_position(b, x).cast("int")))
+    return df.withColumn(out, F.when(F.size(u) == 0, F.lit(1.0)).otherwise(_longest_rise(F.col(p)) / F.size(u))).drop(u, p)
 
 
 def _followers(keys: DataFrame) -> DataFrame:
@@ -93,10 +111,11 @@ def _followers(keys: DataFrame) -> DataFrame:
     return out
 
 
-def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, carry: list[str], add=lambda rows: rows) -> DataFrame:
     """Add next_<c> for each column c of ``carry``: its value in the next row by descending doc_id (after the last: the first).
 
     Rows of equal doc_id go by text; rows without a doc_id come last. A single row is its own next.
+    ``add`` makes columns to carry (row by row) once it is known which rows are needed twice.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     docs = docs.withColumn("_k", key)
@@ -109,15 +128,29 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     own = docs.select("*", F.shiftright("_k", BITS).alias("_b"), F.lit(0).alias("_g"))
     extra = docs.join(ghosts, "_k").select(*docs.columns, "_b", F.lit(1).alias("_g"))
     w = Window.partitionBy("_b").orderBy("_g", F.desc("_k"), "text")
-    rows = own.unionByName(extra).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+    rows = add(own.unionByName(extra))
+    rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
     return rows.where("_g = 0").drop("_k", "_b", "_g")
 
 
-def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_sketch(docs, "text", "fp"), ["text", "fp"])
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, n, fp, next_fp, edited, efp, near_edited, near_next: one row per row.
+
+    ``edited`` is the text with its last half (rounded down) replaced by as many characters of the
+    next document's beginning, by descending doc_id. A null text is empty and has an empty
+    fingerprint, as has a blank one. Rows without a doc_id come last; rows that repeat a doc_id go by
+    text and have each other as next. Texts may have any length. Extra columns are ignored; an empty
+    table gives none.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = with_next(docs, ["text", "fp"], lambda rows: with_sketch(rows, "text", "fp"))
     docs = docs.withColumn("n", F.length("text"))
     half = (F.col("n") / 2).cast("int")
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next_text", F.lit(1), half)))
     docs = with_sketch(docs.select("doc_id", "n", "fp", "next_fp", "edited"), "edited", "efp")
-    return docs.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_string("fp").alias("fingerprint"), as_string("efp").alias("edited_fingerprint"), likeness("fp", "efp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    return with_likeness(with_likeness(docs, "fp", "efp", "near_edited"), "fp", "next_fp", "near_next")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fingerprint_documents(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_string("fp").alias("fingerprint"), as_string("efp").alias("edited_fingerprint"), "near_edited", "near_next")

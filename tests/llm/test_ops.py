@@ -215,7 +215,79 @@ def test_syncmers_of_short_and_unspaced_texts(spark):
     fp = {r.doc_id: r.fp for r in df.collect()}
     assert all(fp[i] for i, _ in short) and len({tuple(fp[i]) for i, _ in short}) == 60 and fp[102] == []
     a, b = (df.where(f"doc_id = {i}").select(F.col("fp").alias(n)) for i, n in ((100, "a"), (101, "b")))
-    assert 0.7 < a.crossJoin(b).select(syncmers.likeness("a", "b")).first()[0] < 1
+    assert 0.7 < syncmers.with_likeness(a.crossJoin(b), "a", "b", "x").first().x < 1
+    # Sentences of Han characters between blanks: half of the text is kept, and so is about half of the likeness to itself.
+    rows = [(1, " ".join(prose[i : i + 20] for i in range(0, 300, 20)), ""), (2, None, ""), (3, "w " * 50_000, "")]
+    rows = [*rows, (4, " ".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300)), "")]
+    got = {r.doc_id: r for r in syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()}
+    assert 0.2 < got[1].near_edited < 0.6 and got[2].fp == [] and got[2].n == 0 and got[3].n == 100_000
+    assert syncmers.fingerprint_documents(df.limit(0)).count() == 0
+    assert syncmers.fingerprint_documents(table(spark)).count() == len(ODD)
+
+
+def letters_brute(t):
+    import regex
+
+    scripts = "[" + "".join(rf"\p{{{x}}}" for x in "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()) + "]"
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", regex.sub(f"({scripts})", r" \1 ", t)) if w]
+    return [x for w in words for x in (w if len(w) > syncmers.LONG else [w])]
+
+
+def sketch_brute(t):
+    import struct
+
+    import xxhash
+
+    def h(*parts):
+        x = 42
+        for p in parts:
+            x = xxhash.xxh64_intdigest(struct.pack("<Q", p) if isinstance(p, int) else p.encode(), x)
+        return x
+
+    k, s = syncmers.K, syncmers.S
+    w = [h(x) for x in letters_brute(t)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    anchors = []
+    for i in range(len(w) - k + 1):
+        inner = [signed(h(*w[i + j : i + j + s])) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            anchors.append(h(*w[i : i + k]))
+    if w and not anchors:
+        anchors = [h(*w)]
+    distinct = list(dict.fromkeys(a & 0xFFFFFFFF for a in anchors))
+    least = set(sorted(distinct)[: syncmers.SKETCH])
+    return [a for a in distinct if a in least]
+
+
+def likeness_brute(a, b):
+    u = sorted({*a, *b})[: syncmers.SKETCH]
+    if not u:
+        return 1.0
+    x, y = [v for v in a if v in set(b) & set(u)], [v for v in b if v in set(a) & set(u)]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]  # longest common subsequence
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1] / len(u)
+
+
+def test_fingerprints_brute(spark, docs):
+    """Every column against the rule written out, also with passages in another order and scripts without blanks."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    moved = words[60:] + words[:60]
+    mixed = [" ".join(x) for x in (words, moved, words[:40] + moved[20:], rng.sample(words, 120))]
+    rows = [(i, t) for i, t in docs[:60]] + [(1000 + i, t) for i, t in enumerate([*mixed, "日本語の文章です。 これは test です", "x" * 200 + " y", "", "one two three four five six", "a b c d e"])]
+    got = {r.doc_id: r for r in syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for i, (d, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        a, b, c = sketch_brute(t), sketch_brute(nxt), sketch_brute(edited)
+        r = got[d]
+        assert (r.n, r.fp, r.efp, r.edited) == (len(t), a, c, edited), d
+        assert abs(r.near_edited - likeness_brute(a, c)) < 1e-9 and abs(r.near_next - likeness_brute(a, b)) < 1e-9, d
+    assert 0.3 < got[1001].near_next < 0.7  # two halves that changed places
 
 
 def test_fingerprint_query(spark, sf_dir, docs):
@@ -526,7 +598,7 @@ def test_articles_that_are_not_the_main_text(body, want):
 
 def test_names_do_not_overrule_the_template(spark):
     """A host whose whole text lies in a 'widget' keeps it; reader comments longer than the story go by their name."""
-    words = lambda k, i: " ".join(f"{k}{i}x{j}" for j in range(30 if k == "s" else 60))
+    words = lambda k, i: " ".join(f"{k}{i}x{j}" for j in range(100 if k == "s" else 300))
     a = '<div class="widget-box"><div class="title"><h1>Title {0}</h1></div><div class="x1"><p>{1}</p></div></div><div class="x2">Buy {0} now</div>'
     b = '<div class="x1"><p>{1}</p></div><div class="comments"><p>{2}</p></div>'
     rows = [(100 * j + i, f"http://h{j}.org/{i}", page(x.format(i, words("s", i), words("c", i)))) for j, x in enumerate((a, b)) for i in range(12)]
