@@ -38,6 +38,30 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
     return w.select("item_id", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s, window), " "))).alias("wtext")).distinct()
 
 
+def _shingled(rows: DataFrame, lengths: list[int]) -> tuple[DataFrame, Column]:
+    """rows (h, pos: a place in h, 0 for the document itself) -> rows, and the hash of the shingle that begins there (null without one)."""
+    pos, n_words = F.col("pos"), F.size("h") - 1
+    if len(lengths) == 1:
+        return rows, F.when((pos > 0) & (pos + (lengths[0] - 1) <= n_words), _shingle("h", pos, lengths[0]))
+    rows = rows.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where((pos > 0) | (F.col("n") == lengths[0]))
+    return rows, F.coalesce(*[F.when((F.col("n") == n) & (pos > 0) & (pos + (n - 1) <= n_words), _shingle("h", pos, n)) for n in lengths])
+
+
+def _counts(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFrame:
+    """sh, seen: how often each of ``shingles`` (sh) begins in all documents."""
+    # Lower case of the whole text moves no word's border; matches are verified later, letter by letter.
+    h = F.concat(F.array(F.lit(0).cast("long")), F.transform(_words(F.lower("text")), lambda x: F.xxhash64(x)))
+    rows, sh = _shingled(docs.select(h.alias("h")).select("h", F.posexplode_outer("h").alias("pos", "_")), lengths)
+    rows = rows.select(sh.alias("sh"))
+    blocks = max(1, -(-shingles.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        block = F.broadcast(shingles.where(F.pmod("sh", F.lit(blocks)) == b))  # at most about BLOCK rows
+        got = rows.join(block, "sh", "left_semi").groupBy("sh").agg(F.count(F.lit(1)).alias("seen"))
+        out = got if out is None else out.unionByName(got)
+    return written(out, "bench-counts")
+
+
 def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` (doc_id, text), ``items`` (item_id, text) -> doc_id, n_words, n_hit, items (array of item_ids as strings, sorted).
 
@@ -49,25 +73,27 @@ def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) ->
     docs = docs.select("doc_id", "text")
     pairs = written(_windows(items, window), "bench-windows")
     wins = pairs.select("wtext").distinct().withColumn("w", F.split("wtext", " ")).withColumn("h", F.transform("w", lambda x: F.xxhash64(F.lower(x)))).withColumn("wlen", F.size("h"))
-    parts = wins.select("wtext", "wlen", "h", F.posexplode("h").alias("off", "_"))
+    parts = wins.select("wtext", "wlen", "h", F.posexplode_outer("h").alias("off", "_"))
     lengths = list(range(1, SHINGLE + 1))
     sh = F.coalesce(*[F.when((F.least(F.lit(SHINGLE), F.col("wlen")) == n) & (F.col("off") + n <= F.col("wlen")), _shingle("h", F.col("off"), n)) for n in lengths])
     parts = written(parts.select("wtext", "wlen", "off", sh.alias("sh"), F.least(F.lit(SHINGLE), F.col("wlen")).alias("n")).where("sh is not null"), "bench-shingles")
     lengths = [r.n for r in parts.select("n").distinct().collect()] or [SHINGLE]  # at most SHINGLE numbers
 
-    keys = parts.select(F.col("sh").alias("key")).distinct()
+    rarity = _counts(docs, parts.select("sh").distinct(), lengths)
+    prefix = parts.join(rarity, "sh", "left").groupBy("wtext", "wlen").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "sh", "off")).alias("p"))
+    prefix = written(prefix.select(F.col("p.sh").alias("sh"), F.col("p.off").alias("off"), "wtext", "wlen").where("p.seen > 0"), "bench-prefix")
+
+    keys = prefix.select(F.col("sh").alias("key")).distinct()
     blocks = max(1, -(-keys.count() // BLOCK))
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", _words(F.col("text")).alias("w"))
+    docs = docs.withColumn("rid", F.monotonically_increasing_id())
+    if blocks > 1:  # every block must see the same numbers
+        docs = written(docs, "bench-rows")
+    base = docs.select("rid", "doc_id", _words(F.col("text")).alias("w"))
     base = base.withColumn("h", F.concat(F.array(F.lit(0).cast("long")), F.transform("w", lambda x: F.xxhash64(F.lower(x)))))
-    # Index 0 of h stands for the document itself, so that one with no match still gives a row.
-    rows = base.select("rid", "doc_id", "w", "h", F.posexplode("h").alias("pos", "_"))
-    n_words = F.size("h") - 1
-    pos = F.col("pos")
-    if len(lengths) > 1:
-        rows = rows.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where((pos > 0) | (F.col("n") == lengths[0]))
-        sh = F.coalesce(*[F.when((F.col("n") == n) & (pos > 0) & (pos + (n - 1) <= n_words), _shingle("h", pos, n)) for n in lengths])
-    else:
-        sh = F.when((pos > 0) & (pos + (lengths[0] - 1) <= n_words), _shingle("h", pos, lengths[0]))
+    # Index 0 of h stands for the document itself, so that one with no match still gives a row. (Of the
+    # outer explode Spark infers no filter, which would make the array twice.)
+    rows, sh = _shingled(base.select("rid", "doc_id", "w", "h", F.posexplode_outer("h").alias("pos", "_")), lengths)
+    n_words, pos = F.size("h") - 1, F.col("pos")
     reach = max(0, window - min(lengths))
     first = F.greatest(F.lit(1), pos - reach)
     found = None
@@ -79,9 +105,6 @@ def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) ->
     found = written(found, "bench-matches")
     met = found.where("pos > 0").select("rid", "n_words", "pos", "sh", "first", "around")
 
-    rarity = met.groupBy("sh").agg(F.count(F.lit(1)).alias("seen"))
-    prefix = parts.join(rarity, "sh", "left").groupBy("wtext", "wlen").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "sh", "off")).alias("p"))
-    prefix = written(prefix.select(F.col("p.sh").alias("sh"), F.col("p.off").alias("off"), "wtext", "wlen").where("p.seen > 0"), "bench-prefix")
     start = F.col("pos") - F.col("off")
     same = ascii_lower(F.array_join(F.slice("around", start - F.col("first") + 1, F.col("wlen")), " ")) == F.col("wtext")
     inside = (start >= 1) & (start + F.col("wlen") - 1 <= F.col("n_words")) & (start >= F.col("first"))

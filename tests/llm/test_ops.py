@@ -72,6 +72,31 @@ def test_decontamination_brute(spark, monkeypatch):
         assert got == hits_brute(rows, items)
 
 
+def test_decontamination_prefix_thins_the_join(spark, monkeypatch):
+    """A phrase that every document holds, in a window that also has a rare shingle, writes no row a document; the scan stays in generated code."""
+    phrase = "the cat sat on the mat and looked"
+    items = [(1, f"{phrase} rare1 rare2 rare3 rare4 rare5 rare6")]
+    rows = [(i, f"{phrase} {i} and {phrase}") for i in range(200)] + [(500, items[0][1])]
+    sizes = {}
+    keep = decontaminate.written
+
+    def noted(df, name):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        if name == "bench-matches":
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            sizes["generate"] = [line.strip(" :+-") for line in plan.splitlines() if "Generate " in line]
+        return out
+
+    monkeypatch.setattr(decontaminate, "written", noted)
+    got = {r.doc_id: r for r in decontaminate.find_benchmark_hits(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[500].n_hit == 14 and sum(r.n_hit for r in got.values()) == 14
+    assert sizes["bench-matches"] == len(rows) + 1  # a row a document, and the one match
+    assert sizes["generate"] and all(x.startswith("*(") for x in sizes["generate"])
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_benchmark_hits(table(spark), none).where("n_hit > 0").count() == 0
@@ -372,9 +397,29 @@ def test_warc(spark, tmp_path, monkeypatch):
         want.append((p, "revisit" if rev else "response", 1 if rev else None, len(b), hashlib.sha256(b).hexdigest()))
     assert got == sorted(want, key=repr)
     assert sorted(r.page_id for r in warc.look_up(spark, at, ["http://A.B.org/x?q=1", "http://none.org/"]).collect()) == [1, 6]
+    found = warc.find_captures(warc.url_keys(df), at)
+    assert sorted(found.select("file", "offset", "length").collect()) == sorted(warc.index_entries(spark, at).select("file", "offset", "length").collect())
+    heads = [r.record_id for r in warc.read_records(found, at, headers=True).collect()]
+    assert len(set(heads)) == len(rows)
     assert warc.url_key("https://www.Example.com:8080/A?b") == "com,example,www:8080)/a?b"
     warc.write_archive(df.limit(0), f"file://{tmp_path}/e")
     assert warc.index_entries(spark, f"file://{tmp_path}/e").count() == 0
+    assert warc.look_up(spark, f"file://{tmp_path}/e", ["http://c.org/"]).count() == 0
+    big = spark.createDataFrame([(1, "http://big.org/", "é" * 3_000_000), (2, "http://big.org/", "é" * 3_000_000)], "page_id long, url string, html string")
+    warc.write_archive(big, f"file://{tmp_path}/b")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.look_up(spark, f"file://{tmp_path}/b", ["http://big.org/"]).collect()) == [(1, 6_000_000, "response"), (2, 6_000_000, "revisit")]
+
+
+def test_warc_hot_url_is_spread(spark, tmp_path, monkeypatch):
+    """A URL captured many times fills many blocks; each is searched on its own, and only blocks that hold a key are read."""
+    monkeypatch.setattr(warc, "BLOCK", 10)
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", f"{i} " * 60) for i in range(600)]
+    at = f"file://{tmp_path}/h"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), at)
+    got = warc.look_up(spark, at, ["http://hot.org/", "http://h3.org/", "http://h4.org/"])
+    assert sorted(r.page_id for r in got.collect()) == sorted([i for i in range(600) if i % 3] + [3])
+    keys = warc.url_keys(spark.createDataFrame([("http://h3.org/",)], "url string"))
+    assert warc.blocks_of(keys, at).count() == 1 and warc.blocks_of(warc.url_keys(spark.createDataFrame([("http://hot.org/",)], "url string")), at).count() >= 40
 
 
 # ---------------------------------------------------------------- 8
