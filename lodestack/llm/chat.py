@@ -7,8 +7,9 @@ A log holds events (conv_id, seq, kind, message, role, text). Kinds:
 * ``edit``    the message's text is replaced; later deltas go on from it,
 * ``regenerate`` the current version is thrown away; later deltas write the next.
 
-Each message is folded from its own events in order of ``seq``; the messages of a conversation,
-in order of their first event, are rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles
+The log is dealt out by conversation once. A conversation's events, sorted by message and ``seq``,
+fall into segments that begin where a message or a new version begins; the last segment of each
+message is its text. The messages, in order of their first event, are rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles
 and texts a control string cannot occur: ``<`` + any backslashes + ``|`` gets one backslash more
 (undone by taking one away), and in a role ``\\`` and newline are written ``\\\\`` and ``\\n``.
 """
@@ -42,36 +43,51 @@ def _role_back(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\0b"), F.lit("\\")), F.lit("\0z"), F.lit("\0"))
 
 
-def fold_messages(events: DataFrame) -> DataFrame:
-    """events -> conv_id, message, at (first seq), role, text: each message's final version.
+def fold(events: DataFrame) -> DataFrame:
+    """events -> conv_id, messages: array of struct(at: first seq, role, text, message), in order, each message's final version.
 
-    Null texts and roles are empty. A null kind is ``message``. Events with equal seq go by kind,
-    role and text. Extra columns are ignored; an empty log gives no rows.
+    Null texts and roles are empty. A null kind is ``message``. A message's role is the first that an
+    event of it names. Events with equal seq go by kind, role and text; messages with equal first seq
+    by role and text. Texts may have any length. Extra columns are ignored; an empty log gives no rows.
     """
-    kind = F.coalesce(F.lower("kind"), F.lit("message"))
-    e = events.select("conv_id", "message", "seq", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    g = e.groupBy("conv_id", "message").agg(F.min("seq").alias("at"), F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
-    # Only what follows the last whole version counts.
-    whole = F.array_max(F.transform("log", lambda x, i: F.when(x["kind"] != "delta", i).otherwise(F.lit(-1))))
-    g = g.withColumn("from", whole)
-    tail = F.when(F.col("from") < 0, F.col("log")).otherwise(F.slice("log", F.col("from") + 1, F.size("log") - F.col("from")))
-    text = F.array_join(F.transform(tail, lambda x: F.when(x["kind"] == "regenerate", F.lit("")).otherwise(x["text"])), "")
-    role = F.coalesce(F.get(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r != ""), F.lit(0)), F.lit(""))
-    return g.select("conv_id", "message", "at", role.alias("role"), text.alias("text"))
+    e = F.struct("message", "seq", F.coalesce(F.lower("kind"), F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    g = events.groupBy("conv_id").agg(F.sort_array(F.collect_list(e)).alias("log"))
+    # Places where a message begins, then those where a message or a version begins, each list with the log's end.
+    first = lambda i: (i == 0) | ~F.get("log", i - 1)["message"].eqNullSafe(F.get("log", i)["message"])
+    every = F.sequence(F.lit(0), F.size("log") - 1)
+    g = g.withColumn("starts", F.concat(F.filter(every, first), F.array(F.size("log"))))
+    g = g.withColumn("cuts", F.concat(F.filter(every, lambda i: first(i) | (F.get("log", i)["kind"] != "delta")), F.array(F.size("log"))))
+    segment = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c, k: F.struct(c.alias("from"), F.get("cuts", k + 1).alias("to")))
+    g = g.withColumn("last", F.filter(segment, lambda x: F.get("log", x["to"]).isNull() | first(x["to"])))
+    part = lambda a, b: F.slice("log", a + 1, b - a)
+    text = lambda x: F.array_join(F.transform(part(x["from"], x["to"]), lambda y: F.when(y["kind"] == "regenerate", F.lit("")).otherwise(y["text"])), "")
+    role = lambda a, b: F.coalesce(F.get(F.filter(F.transform(part(a, b), lambda y: y["role"]), lambda r: r != ""), F.lit(0)), F.lit(""))
+
+    def message(x, k):
+        begin = F.get("starts", k)
+        head = F.get("log", begin)
+        return F.struct(head["seq"].alias("at"), role(begin, F.get("starts", k + 1)).alias("role"), text(x).alias("text"), head["message"].alias("message"))
+
+    return g.select("conv_id", F.sort_array(F.transform("last", message)).alias("messages"))
+
+
+def fold_messages(events: DataFrame) -> DataFrame:
+    """fold, with a row for each message: conv_id, message, at, role, text."""
+    return fold(events).select("conv_id", F.explode("messages").alias("m")).select("conv_id", "m.message", "m.at", "m.role", "m.text")
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """conv_id, message, at, role, text -> conv_id, formatted, loss (array of turn, start, end).
+def render(folded: DataFrame) -> DataFrame:
+    """conv_id, messages -> conv_id, formatted, loss (array of turn, start, end).
 
     A loss span counts code points within its turn's own part of the text (from its start marker
     on), so that one turn can be read without counting through the whole conversation.
     """
-    head = F.concat(F.lit(START), _role(F.col("role")), F.lit("\n"))
-    m = messages.select("conv_id", "at", "message", "role", head.alias("head"), escape(F.col("text")).alias("body"))
-    m = m.select("conv_id", F.struct("at", "message", F.concat("head", "body", F.lit(END + "\n")).alias("part"), (F.col("role") == "assistant").alias("loss"), F.length("head").alias("s"), (F.length("head") + F.length("body")).alias("e")).alias("turn"))
-    g = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    spans = F.filter(F.transform("turns", lambda t, i: F.when(t["loss"], F.struct(i.alias("turn"), t["s"].alias("start"), t["e"].alias("end")))), lambda x: x.isNotNull())
-    return g.select("conv_id", F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("formatted"), spans.alias("loss"))
+    head = lambda m: F.concat(F.lit(START), _role(m["role"]), F.lit("\n"))
+    turns = F.transform("messages", lambda m: F.struct(head(m).alias("head"), escape(m["text"]).alias("body"), (m["role"] == "assistant").alias("loss")))
+    g = folded.select("conv_id", turns.alias("turns"))
+    spans = F.transform("turns", lambda t, i: F.when(t["loss"], F.struct(i.alias("turn"), F.length(t["head"]).alias("start"), (F.length(t["head"]) + F.length(t["body"])).alias("end"))))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
+    return g.select("conv_id", text.alias("formatted"), F.array_compact(spans).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -84,18 +100,29 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def format_chats(events: DataFrame) -> DataFrame:
     """The whole operator: an event log in, conv_id, formatted and loss out (one row per conversation)."""
-    return render(fold_messages(events))
+    return render(fold(events))
+
+
+#: Characters of the drafts in made-up logs.
+DRAFT = 16
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The table conversations as a log: each row is a whole message; rows of one turn are told apart by role and text.
+    """The table conversations as the log that a chat service would have written, last event first.
 
-    Rows that repeat each other in every column are messages of their own.
+    A reply is streamed: some deltas are thrown away by a regeneration, then the text comes in
+    three deltas. Any other text is a draft, which an edit replaces by the first part, and a delta with
+    the rest. Every row is a message of its own, also where rows repeat each other.
     """
-    c = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    c = c.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    key = F.struct("turn", "role", "text", "copy")
-    return c.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), key.alias("message"), "role", "text")
+    n = F.length("text")
+    a, b = (n / 3).cast("int"), (2 * n / 3).cast("int")
+    cut = lambda lo, hi: F.substring("text", lo + 1, hi - lo)
+    draft = F.substring("text", F.lit(1), F.least(a, F.lit(DRAFT)))
+    event = lambda step, kind, text: F.struct(F.struct("turn", F.lit(step).alias("step")).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    reply = F.array(event(4, "delta", cut(b, n)), event(3, "delta", cut(a, b)), event(2, "delta", cut(F.lit(0), a)), event(1, "regenerate", F.lit(None).cast("string")), event(0, "delta", draft))
+    other = F.array(event(2, "delta", cut(b, n)), event(1, "edit", cut(F.lit(0), b)), event(0, "message", draft))
+    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message"))
+    return c.select("conv_id", "message", "role", F.explode_outer(F.when(F.col("role") == "assistant", reply).otherwise(other)).alias("e")).select("conv_id", "message", "role", "e.*")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

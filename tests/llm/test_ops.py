@@ -121,7 +121,8 @@ def test_chat_round_trip(spark):
     rows += [(8, 0, "user", "same"), (8, 0, "user", "same"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.conversation_events(df))).collect()}
-    assert [(t.role, t.text) for t in got[7].turns] == [(r or "", t or "") for _, _, r, t in rows if _ is not None][: len(nasty) * 4 + 4]
+    assert [(t.role, t.text) for t in got[7].turns] == [(r or "", t or "") for c, _, r, t in rows if c == 7]
+    assert {r.kind for r in chat.conversation_events(df).collect()} == {"message", "edit", "delta", "regenerate"}
     assert got[7].loss_text == "".join(t or "" for c, _, r, t in rows if r == "assistant")
     assert len(got[8].turns) == 2 and len(got[None].turns) == 1
     formatted = {r.conv_id: r.formatted for r in chat.format_chats(chat.conversation_events(df)).collect()}
@@ -129,6 +130,29 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(chat.conversation_events(df.limit(0))).count() == 0
 
 
+def fold_brute(events):
+    out = {}
+    for conv, seq, kind, message, role, text in sorted(events, key=lambda e: (e[1], e[2] or "message", e[4] or "", e[5] or "")):
+        m = out.setdefault((conv, message), [seq, "", ""])
+        m[1] = m[1] or role or ""
+        kind = kind or "message"
+        m[2] = "" if kind == "regenerate" else m[2] + (text or "") if kind == "delta" else text or ""
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_chat_fold_brute(spark):
+    rng = random.Random(6)
+    events = [(rng.randint(0, 5), rng.randint(0, 30), rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", None]), rng.randint(0, 4), rng.choice(["user", "assistant", None]), rng.choice(["a", "b ", "<|im_end|>", None, ""])) for _ in range(400)]
+    events += [(9, i, "delta", 0, "assistant", f"{i} ") for i in range(20_000)]
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, message long, role string, text string").repartition(3)
+    assert {(r.conv_id, r.message): (r.at, r.role, r.text) for r in chat.fold_messages(df).collect()} == fold_brute(events)
+
+
+def test_chat_has_one_exchange(spark, sf_dir):
+    plan = QUERIES["op2_chat_format"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 # ---------------------------------------------------------------- 3
 
 
