@@ -62,15 +62,15 @@ def _counts(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFra
     return written(out, "bench-counts")
 
 
-def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` (doc_id, text), ``items`` (item_id, text) -> doc_id, n_words, n_hit, items (array of item_ids as strings, sorted).
 
-    One row per row of ``docs``; rows that repeat a doc_id are judged each on its own, and extra
-    columns are ignored. A null or wordless text has no words and no hits. Items without words
+    One row per row of ``docs``; rows that repeat a doc_id are judged each on its own. The columns
+    ``carry`` go through, other extra columns are ignored. A null or wordless text has no words and no hits. Items without words
     have no windows; repeated items count once by item_id; a null item_id is not listed. Either
     table may be empty. Words are compared after A-Z are lower-cased and nothing else.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("text", F.struct(*carry).alias("doc"))
     pairs = written(_windows(items, window), "bench-windows")
     wins = pairs.select("wtext").distinct().withColumn("w", F.split("wtext", " ")).withColumn("h", F.transform("w", lambda x: F.xxhash64(F.lower(x)))).withColumn("wlen", F.size("h"))
     parts = wins.select("wtext", "wlen", "h", F.posexplode_outer("h").alias("off", "_"))
@@ -88,11 +88,11 @@ def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) ->
     docs = docs.withColumn("rid", F.monotonically_increasing_id())
     if blocks > 1:  # every block must see the same numbers
         docs = written(docs, "bench-rows")
-    base = docs.select("rid", "doc_id", _words(F.col("text")).alias("w"))
+    base = docs.select("rid", "doc", _words(F.col("text")).alias("w"))
     base = base.withColumn("h", F.concat(F.array(F.lit(0).cast("long")), F.transform("w", lambda x: F.xxhash64(F.lower(x)))))
     # Index 0 of h stands for the document itself, so that one with no match still gives a row. (Of the
     # outer explode Spark infers no filter, which would make the array twice.)
-    rows, sh = _shingled(base.select("rid", "doc_id", "w", "h", F.posexplode_outer("h").alias("pos", "_")), lengths)
+    rows, sh = _shingled(base.select("rid", "doc", "w", "h", F.posexplode_outer("h").alias("pos", "_")), lengths)
     n_words, pos = F.size("h") - 1, F.col("pos")
     reach = max(0, window - min(lengths))
     first = F.greatest(F.lit(1), pos - reach)
@@ -100,7 +100,7 @@ def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) ->
     for b in range(blocks):
         block = F.broadcast(keys.where(F.pmod("key", F.lit(blocks)) == b))  # at most about BLOCK rows
         got = rows.withColumn("sh", sh).join(block, F.col("sh") == F.col("key"), "left").where(F.col("key").isNotNull() | ((pos == 0) & F.lit(b == 0)))
-        got = got.select("rid", "doc_id", n_words.alias("n_words"), "pos", F.col("key").alias("sh"), first.alias("first"), F.when(pos > 0, F.slice("w", first, F.lit(window) + pos - first)).alias("around"))
+        got = got.select("rid", "doc", n_words.alias("n_words"), "pos", F.col("key").alias("sh"), first.alias("first"), F.when(pos > 0, F.slice("w", first, F.lit(window) + pos - first)).alias("around"))
         found = got if found is None else found.unionByName(got)
     found = written(found, "bench-matches")
     met = found.where("pos > 0").select("rid", "n_words", "pos", "sh", "first", "around")
@@ -112,12 +112,12 @@ def find_benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 13) ->
     hits = m.join(p, (m["sh"] == p["sh"]) & F.when(inside, same).otherwise(False)).select("rid", start.alias("s"), (start + F.col("wlen")).alias("e"), "wtext")
     hits = hits.join(small(pairs), "wtext").select("rid", F.struct("s", "e").alias("span"), F.col("item_id").cast("string").alias("item"))
 
-    both = found.where("pos = 0").select("rid", "doc_id", "n_words").unionByName(hits, allowMissingColumns=True)
-    per = both.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    both = found.where("pos = 0").select("rid", "doc", "n_words").unionByName(hits, allowMissingColumns=True)
+    per = both.groupBy("rid").agg(F.max("doc").alias("doc"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     # Length of the union of [s, e): each span adds what lies beyond the end so far.
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end"))
-    return per.select("doc_id", "n_words", F.aggregate("spans", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "items")
+    return per.select("doc.*", "n_words", F.aggregate("spans", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "items")
 
 
 def is_contaminated() -> Column:

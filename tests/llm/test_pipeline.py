@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline as cp
-from tests.llm.test_ops import ODD, hits_brute
+from lodestack.llm import near_copies, quality
+from tests.llm.test_ops import ODD, hits_brute, lines_brute
 
 
 def docs(spark, rows):
@@ -67,6 +68,65 @@ def test_near_dup_stage_keeps_form_letters(spark, sf_dir):
     assert cp.near_dup_stage(spark, docs(spark, rows), sf_dir).count() == 600
 
 
+def test_near_dup_stage_by_rows(spark, sf_dir):
+    """Rows that repeat, rows without a doc_id, and two texts of one doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (None, c), (None, c + " more"), (3, None), (4, ""), (None, " ")]
+    kept = sorted(((r.doc_id, r.text) for r in cp.near_dup_stage(spark, docs(spark, rows), sf_dir).collect()), key=repr)
+    assert kept[:-1] == [(1, a), (1, b), (3, None)] and kept[-1][0] is None and kept[-1][1] in (c, c + " more")
+    # Of equal texts the least doc_id stays, and a text like them goes with them.
+    rows = [(i, a) for i in range(300)] + [(1000 + i, a + f" tail {i}") for i in range(200)]
+    assert [r.doc_id for r in cp.near_dup_stage(spark, docs(spark, rows).repartition(7), sf_dir).collect()] == [0]
+
+
+def edited(rng, words, kind, share):
+    n = len(words)
+    new = [f"n{rng.randint(0, 9999)}" for _ in range(max(1, int(share * n)))]
+    if kind == "appended":
+        return words + new
+    if kind == "block":
+        at = rng.randrange(n - len(new))
+        return words[:at] + new + words[at + len(new) :]
+    out = list(words)
+    for w in new[: max(1, len(new) // 5)]:
+        out[rng.randrange(n)] = w
+    return out
+
+
+def test_near_dup_recall_by_band(spark, sf_dir, monkeypatch):
+    """Every planted pair of Jaccard 0.8 or more is found, whatever the kind of edit, also where shared shingles meet by a shuffle; none below is."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for i in range(240):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([12, 40, 120, 400]))]
+        copy = edited(rng, base, ("appended", "block", "scattered")[i % 3], rng.uniform(0.01, 0.3))
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(copy))]
+        planted[i] = jaccard(rows[-2][1], rows[-1][1])
+    bands = [sum(lo <= x < lo + 0.1 for x in planted.values()) for lo in (0.6, 0.7, 0.8, 0.9)]
+    assert min(bands) >= 10
+    want = set(range(240)) | {1000 + i for i, x in planted.items() if x < 0.8}
+    for shared in (near_copies.SHARED, 0):
+        monkeypatch.setattr(near_copies, "SHARED", shared)
+        assert {r.doc_id for r in cp.near_dup_stage(spark, docs(spark, rows), sf_dir).collect()} == want
+
+
+def test_decontaminate_stage_by_rows(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    rows = [(None, item), (None, "clean words"), (7, item), (7, "other clean words"), (8, None)]
+    got = sorted(((r.doc_id, r.text) for r in cp.decontaminate_stage(spark, docs(spark, rows), sf_dir).collect()), key=repr)
+    assert got == sorted([(None, "clean words"), (7, "other clean words"), (8, None)], key=repr)
+
+
+def test_quality_stage(spark):
+    """Toxic and poor documents go and good ones stay, as labelled in a table of some thousand labels."""
+    d = "/root/testdata/sf0.1"
+    every = spark.read.parquet(f"{d}/documents.parquet")
+    kept = {r.doc_id for r in cp.quality_stage(spark, every, d).select("doc_id").collect()}
+    grades = {r.doc_id: r.g for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", quality.grade().alias("g")).collect()}
+    share = [sum(i in kept for i, g in grades.items() if g == k) / max(1, sum(g == k for g in grades.values())) for k in range(3)]
+    assert share[0] < 0.1 and share[1] < 0.2 and share[2] > 0.97
+
+
 def test_line_stage(spark, sf_dir):
     rows = [(i, f"own {i}\nA passage that repeats\nend {i}") for i in range(12)]
     out = cp.line_stage(spark, docs(spark, rows), sf_dir).collect()
@@ -80,9 +140,54 @@ def test_decontaminate_stage(spark, sf_dir):
     assert {r.doc_id for r in cp.decontaminate_stage(spark, docs(spark, rows), sf_dir).collect()} == want and 10**6 + 1 in want
 
 
+def pipeline_brute(spark, sf_dir):
+    """The whole pipeline in plain Python: scores from features, lines by counts, all pairs for near copies, all windows, the tokenizers library."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.train(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    score = lambda t: float(model.weights[quality.features(t)].astype("f8").sum())
+    rows = [(d, t) for d, t in rows if model.tails(np.array([score(t)]))[0, -1] >= quality.KEEP]
+    rows = [(d, t) for d, t, _, _ in lines_brute(rows, 10)]
+    sets = {d: shingles_of(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if (not x and not y) or (x and y and len(x & y) >= 0.8 * len(x | y)):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    rows = [(d, t) for d, t in rows if find(d) == d]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    bad = {d for d, n, hit, _ in hits_brute(rows, items) if hit and 20 * hit >= n}
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = []
+    for d, t in rows:
+        if d not in bad:
+            x = lib.encode(t, add_special_tokens=False).ids
+            out.append((d, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(out)
+
+
+def shingles_of(t):
+    """Distinct runs of five words; all words where there are fewer."""
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_run(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    ids = [r.doc_id for r in out.collect()]
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert len(set(ids)) == len(ids) and n / 3 < len(ids) < n
+    assert sorted(tuple(r) for r in out.collect()) == pipeline_brute(spark, sf_dir)
