@@ -57,3 +57,19 @@ def date_tokens(c: Column, first_year: int = 2000, last_year: int = 2035) -> Col
     eight = F.transform(digits, lambda x: F.coalesce(good(F.to_date(F.try_to_timestamp(x, F.lit("ddMMyyyy")))), good(F.to_date(F.try_to_timestamp(x, F.lit("yyyyMMdd"))))))
     dashed = F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{2}-\d{2}-\d{4})(?!\d)"), F.lit(1)), lambda x: good(F.to_date(F.try_to_timestamp(x, F.lit("dd-MM-yyyy")))))
     return F.transform(F.array_compact(F.concat(eight, dashed)), lambda d: F.date_format(d, "yyyy-MM-dd"))
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string in ASCII: short escapes, and four hex digits for other control characters and all beyond ASCII (in pairs beyond the first plane)."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def one(x: Column) -> Column:
+        n = F.ascii(x)
+        out = F.when(n > 0xFFFF, F.concat(unit(F.shiftright(n - 0x10000, 10) + 0xD800), unit((n - 0x10000) % 0x400 + 0xDC00))).when((n > 0x7E) | (n < 0x20), unit(n)).otherwise(x)
+        for k, v in short.items():
+            out = F.when(x == k, v).otherwise(out)
+        return out
+
+    plain = F.rlike(c, F.lit(r'\A[ !#-\[\]-~]*\z'))
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(F.array_join(F.transform(F.split(c, ""), one), "")), F.lit('"'))

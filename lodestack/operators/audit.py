@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import paths as P
+
 # States and legal transitions.
 TERMINAL = ("INGESTED", "FAILED", "EXCLUDED", "UNSUPPORTED")
 SUCCESS = ("INGESTED",)
 STAGES = ("EXTRACT", "NORMALIZE", "CHUNK", "EMBED")
-STATE_AFTER = {"EXTRACT": "EXTRACTED", "NORMALIZE": "NORMALIZED", "CHUNK": "CHUNKED", "EMBED": "INGESTED"}
+STATES = ("EXTRACTED", "NORMALIZED", "CHUNKED", "EMBEDDED", "INGESTED")
 TRANSITIONS = (("PLANNED", "RUNNING"), ("RUNNING", "PAUSED"), ("RUNNING", "COMPLETED"), ("RUNNING", "ABORTED"), ("PAUSED", "RUNNING"), ("PAUSED", "ABORTED"))
 
 
@@ -70,11 +72,34 @@ def audit_rules() -> dict[str, Column]:
     }
 
 
-def plan_validity(plans: DataFrame, actions: DataFrame, scan: DataFrame) -> DataFrame:
-    """plan_id, valid, bad: whether every file of a plan is there with the size and hash that were observed."""
-    j = actions.join(scan.select("path", F.col("size").alias("_size"), F.col("sha").alias("_sha")), "path", "left")
-    good = F.col("_size").isNotNull() & F.coalesce((F.col("_size") == F.col("size")) & (F.col("_sha") == F.col("sha")), F.lit(False))
-    g = j.groupBy("plan_id").agg(F.bool_and(good).alias("valid"), F.count_if(~good).alias("bad"))
+def file_checks(files: DataFrame, scan: DataFrame, documents: DataFrame) -> DataFrame:
+    """files (document_id, path, size, sha as observed; null where nothing was there) against a fresh scan and the documents now.
+
+    Adds document_exists, path_changed, exists_now, type_matches, hash_matches, size_matches and
+    valid. scan: path, size, sha; documents: document_id, source, source_type.
+    """
+    now = scan.select("path", F.col("size").alias("_size"), F.col("sha").alias("_sha"), F.lit(True).alias("_here"))
+    docs = documents.select("document_id", F.col("source").alias("_source"), F.col("source_type").alias("_type"), F.lit(True).alias("_doc"))
+    j = files.join(now, "path", "left").join(docs, "document_id", "left")
+    no = F.lit(False)
+    both = F.coalesce(F.col("_here"), no) & F.col("sha").isNotNull()
+    checks = {
+        "document_exists": F.coalesce("_doc", no),
+        "path_changed": ~F.coalesce(F.col("_source") == F.col("path"), no),
+        "exists_now": F.coalesce("_here", no),
+        "type_matches": F.coalesce(F.ltrim(P.suffix(F.col("path")), F.lit(".")) == F.lower("_type"), no),
+        "hash_matches": both & F.coalesce(F.col("_sha") == F.col("sha"), no),
+        "size_matches": both & F.coalesce(F.col("_size") == F.col("size"), no),
+    }
+    j = j.withColumns(checks)
+    valid = ~F.col("path_changed") & F.col("document_exists") & F.col("exists_now") & F.col("type_matches") & F.col("hash_matches") & F.col("size_matches")
+    return j.withColumn("valid", valid).drop("_size", "_sha", "_here", "_source", "_type", "_doc")
+
+
+def plan_validity(plans: DataFrame, files: DataFrame, scan: DataFrame, documents: DataFrame) -> DataFrame:
+    """plan_id, valid, bad: whether a plan's canonical file (files.canonical) and all its others pass every check; without a canonical file it is not valid."""
+    j = file_checks(files, scan, documents)
+    g = j.groupBy("plan_id").agg((F.bool_and("valid") & F.bool_or("canonical")).alias("valid"), F.count_if(~F.col("valid")).alias("bad"))
     return plans.join(g, "plan_id", "left").select("plan_id", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("bad", F.lit(0)).alias("bad"))
 
 
@@ -83,12 +108,25 @@ def actionable(authorizations: DataFrame, validity: DataFrame) -> DataFrame:
     return j.withColumn("actionable", (F.col("status") == "AUTHORIZED") & F.coalesce("valid", F.lit(False)))
 
 
+def authorization_problem(plans: DataFrame, reviews: DataFrame, authorizations: DataFrame, validity: DataFrame) -> DataFrame:
+    """plans (plan_id, review_id) -> plan_id, problem: the first precondition of an authorization that does not hold; null if all do."""
+    active = authorizations.where("status = 'AUTHORIZED'").select("plan_id").distinct().withColumn("_active", F.lit(True))
+    j = plans.join(reviews.select("review_id", F.col("status").alias("_review")), "review_id", "left").join(active, "plan_id", "left").join(validity.select("plan_id", "valid"), "plan_id", "left")
+    problem = F.when(F.col("_review").isNull(), "review not found").when(F.col("_review") != "APPROVED", "review not approved").when(F.col("_active"), "already authorized").when(~F.coalesce("valid", F.lit(False)), "no longer valid")
+    return j.select("plan_id", problem.alias("problem"))
+
+
 def state_from_attempts(attempts: DataFrame) -> DataFrame:
-    """group_id, stage, outcome -> state: FAILED after any failure, else that of the last stage that succeeded."""
+    """group_id, stage, outcome, chunks_left -> state: FAILED after any failure, else that of the last stage that succeeded.
+
+    A group is EXTRACTED before its first attempt. An embedding attempt leaves it EMBEDDED, or
+    INGESTED once one leaves no chunk without a vector.
+    """
     at = F.element_at(F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))]), F.col("stage"))
+    at = at + F.when((F.col("stage") == "EMBED") & (F.coalesce("chunks_left", F.lit(0)) == 0), 1).otherwise(0)
     g = attempts.groupBy("group_id").agg(F.bool_or(F.col("outcome") == "FAILURE").alias("failed"), F.max(F.when(F.col("outcome") == "SUCCESS", at)).alias("last"))
-    names = F.array(*[F.lit(STATE_AFTER[s]) for s in STAGES])
-    return g.select("group_id", F.when(F.col("failed"), "FAILED").otherwise(F.coalesce(F.get(names, F.col("last")), F.lit("NEW"))).alias("state"))
+    names = F.array(*[F.lit(x) for x in STATES])
+    return g.select("group_id", F.when(F.col("failed"), "FAILED").otherwise(F.get(names, F.coalesce("last", F.lit(0)))).alias("state"))
 
 
 def ledger(entries: DataFrame) -> DataFrame:
@@ -97,6 +135,21 @@ def ledger(entries: DataFrame) -> DataFrame:
     return entries.groupBy("batch_id").agg(F.sum(signed).alias("reserved"), F.sum(F.when(F.col("kind") == "consume", F.col("amount")).otherwise(0)).alias("consumed"))
 
 
+def ledger_breaks(ledgers: DataFrame, most: Column) -> DataFrame:
+    """Ledgers that leave 0 <= reserved <= most."""
+    return ledgers.where((F.col("reserved") < 0) | (F.col("reserved") > most))
+
+
+def corrected_bytes(members: DataFrame) -> DataFrame:
+    """archive, estimate, actual (null while not extracted) -> archive, charged: the actual bytes where known, else the estimate."""
+    return members.groupBy("archive").agg(F.sum(F.coalesce("actual", "estimate")).alias("charged"))
+
+
+def worse_tier(a: Column, b: Column) -> Column:
+    """The worse of two guard tiers."""
+    return F.when((a == "HARD_STOP") | (b == "HARD_STOP"), "HARD_STOP").when((a == "SOFT_STOP") | (b == "SOFT_STOP"), "SOFT_STOP").otherwise("NORMAL")
+
+
 def illegal_transitions(changes: DataFrame) -> DataFrame:
     """Changes (old, new, reason) that no rule allows; MANUAL_ABORT is legal from PAUSED only."""
     legal = F.concat_ws(">", "old", "new").isin(*[f"{a}>{b}" for a, b in TRANSITIONS])

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
+from lodestack.functions.text import json_string
 
 # Suffix families and size bounds (decimal bytes) of the policy.
 ARCHIVE = (".zip", ".7z", ".gz", ".rar")
 EXTRACTABLE = (".zip", ".7z")
 ENCRYPTED = (".c9r",)
 TEXT = (".txt", ".md", ".pdf", ".docx", ".pptx")
-STRUCTURED = (".csv", ".json", ".xlsx", ".xml")
-MEDIA = (".jpg", ".jpeg", ".png", ".mp3", ".mp4", ".wav")
-SOFTWARE = (".exe", ".msi", ".dll")
-UNSUPPORTED = (".exe", ".msi", ".dll", ".mp3", ".mp4", ".wav", ".jpg", ".jpeg", ".png", ".iso")
+STRUCTURED = (".json", ".csv")
+MEDIA = (".mp4", ".jpg", ".jpeg", ".png", ".gif", ".mp3", ".mov", ".wav", ".m4a")
+SOFTWARE = (".exe", ".dll", ".msi", ".apk", ".bin")
+UNSUPPORTED = (".bin", ".exe", ".dll", ".jpg", ".jpeg", ".png", ".gif", ".mp3", ".mp4", ".mov")
+# Document types of the master selection, names that may hold a secret, folders of programs.
+SELECTED_TEXT = (".md", ".txt", ".html", ".htm", ".pdf", ".docx", ".doc", ".rtf", ".pptx", ".xlsx", ".mbox", ".epub")
+SELECTED_STRUCTURED = (".json", ".csv", ".xml", ".ipynb")
+HEAVY = (".txt", ".md", ".json", ".csv")
+SENSITIVE = ("recovery key", "recovery-key", "recovery_key", "recovery kit", "recovery-kit", "recovery_kit", "password", "passwd", "credential", "secret", "private key", "private_key", "seed phrase", "backup code")
+VENDOR = r"(?i)/(node_modules|site-packages|\.venv|venv|\.git|__pycache__|\.cache|Cache|Code Cache|\.stversions|\.stfolder|dist-info|egg-info)/"
 MB, GB = 1_000_000, 1_000_000_000
 
 
@@ -106,8 +115,36 @@ def first_exclusion(files: DataFrame, rules: list[tuple[str, Column]]) -> DataFr
     return files.withColumn("reason", F.coalesce(*[F.when(cond, name) for name, cond in rules]))
 
 
-def size_class(size: Column, chunk_bytes: Column) -> Column:
-    return F.when(size > 50 * MB, "large").when(chunk_bytes > MB, "chunk_heavy").otherwise("normal")
+def selected_workload(suffix: Column) -> Column:
+    """text_document or structured_data; null for what is no document."""
+    return F.when(suffix.isin(*SELECTED_TEXT), "text_document").when(suffix.isin(*SELECTED_STRUCTURED), "structured_data")
+
+
+def selection_rules(root: str, only_types=(), folders=(), name_parts=(), sensitive: bool = True, policy: bool = True) -> list[tuple[str, Column]]:
+    """Rules for first_exclusion over path, size, sha (null where none is recorded): why a document is not selected."""
+    path = F.col("path")
+    ext, name, top = P.suffix(path), P.basename(path), F.split_part(F.substring(path, len(root) + 2, 2147483647), F.lit("/"), F.lit(1))
+    holds = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(name), w)) if words else F.lit(False)
+    s = P.source_suffix(path)
+    category = source_category(s)
+    admitted = workload_category(category, s).isin("TEXT_DOCUMENT", "STRUCTURED_DATA")
+    return [
+        ("type not in this tier", ~ext.isin(*only_types) if only_types else F.lit(False)),
+        ("outside the master root", ~F.startswith(path, F.lit(f"{root}/"))),
+        ("top-level folder excluded", top.isin(*folders) if folders else F.lit(False)),
+        ("office lock file", F.startswith(name, F.lit("~$"))),
+        ("sensitive-looking name", holds(SENSITIVE) if sensitive else F.lit(False)),
+        ("name excluded", holds(name_parts)),
+        ("vendor or cache folder", path.rlike(VENDOR)),
+        ("no recorded checksum", F.col("sha").isNull()),
+        ("type not admitted by the policy", ~admitted if policy else F.lit(False)),
+        ("risk tier too high for the policy", ~risk_tier(category, F.col("size")).isin("LOW", "MEDIUM") if policy else F.lit(False)),
+    ]
+
+
+def size_class(suffix: Column, size: Column, large: int = 50 * MB, heavy: int = MB) -> Column:
+    """Plain texts above ``heavy`` bytes give many chunks; anything above ``large`` is a class of its own."""
+    return F.when(size > large, "large").when(suffix.isin(*HEAVY) & (size > heavy), "chunk_heavy").otherwise("normal")
 
 
 def not_yet_materialised(candidates: DataFrame, instances: DataFrame, run: str) -> DataFrame:
@@ -116,7 +153,17 @@ def not_yet_materialised(candidates: DataFrame, instances: DataFrame, run: str)
     return candidates.join(here, (F.col("root") == F.col("_root")) & F.col("member").eqNullSafe(F.col("_member")), "left_anti")
 
 
-def fingerprint(selection: DataFrame, by: list[str]) -> DataFrame:
-    """SHA-256 over each batch's sorted paths as a JSON array (a batch is bounded by its policy)."""
-    g = selection.groupBy(*by).agg(F.array_sort(F.collect_list("path")).alias("_p"))
-    return g.select(*by, F.size("_p").cast("long").alias("n"), F.sha2(F.to_json("_p"), 256).alias("fingerprint"))
+def fingerprint(selection: DataFrame, by: list[str], report: str, policy: str, ordering: str, envelope: dict[str, int | None]) -> DataFrame:
+    """SHA-256 of what each batch selects (root, member) and under which report, policy, ordering and envelope.
+
+    The canonical form is JSON with sorted keys, no blanks and ASCII only, paths sorted by root and
+    member (null as empty). A batch's paths, which its envelope bounds, are gathered in one row.
+    """
+    names = ("max_embeddings", "max_extracted_bytes", "max_runtime_seconds", "max_source_bytes", "max_source_instances")
+    text = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    head = f'{{"d0_report_sha256":{text(report)},"envelope":{text({k: envelope.get(k) for k in names})},"ordering_version":{text(ordering)},"selected_paths":['
+    member = F.when(F.col("member").isNull(), "null").otherwise(json_string(F.col("member")))
+    entry = F.concat(F.lit('{"member_path":'), member, F.lit(',"root_t7_path":'), json_string(F.col("root")), F.lit("}"))
+    g = selection.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("root", F.coalesce("member", F.lit("")).alias("m"), entry.alias("e")))).alias("_p"))
+    whole = F.concat(F.lit(head), F.array_join(F.transform("_p", lambda x: x["e"]), ","), F.lit(f'],"selection_policy_version":{text(policy)}}}'))
+    return g.select(*by, F.size("_p").cast("long").alias("n"), F.sha2(whole, 256).alias("fingerprint"))

@@ -56,6 +56,20 @@ def cosine_distance(a: str, b: str) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def unit(vector: str) -> Column:
+    """The vector divided by its length, in doubles; null for a zero vector."""
+    norm = F.sqrt(dot(vector, vector))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+
+
+def near_duplicate_documents(chunks: DataFrame, similarity: float = 0.95, limit: int = 50) -> DataFrame:
+    """chunks (document_id, chunk_index, embedding) -> a, b, distance: the nearest ``limit`` pairs of documents by their first chunks (the limit is the feature)."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    first = chunks.where("chunk_index = 0").select("document_id", "embedding")
+    return near_pairs(first, "document_id", "embedding", 1 - similarity).orderBy("distance", "a", "b").limit(limit)
+
+
 def near_pairs(vectors: DataFrame, ident: str, vector: str, below: float, axes: int = 2) -> DataFrame:
     """All pairs a < b with cosine distance below ``below`` (strict), exactly.
 
@@ -64,8 +78,7 @@ def near_pairs(vectors: DataFrame, ident: str, vector: str, below: float, axes:
     the same or neighbouring cells: an equi-join on cells, whose condition then decides. The smaller
     the distance asked for, the more cells there are.
     """
-    norm = F.sqrt(dot(vector, vector))
-    v = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).alias("u")).where("u is not null")
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), unit(vector).alias("u")).where("u is not null")
     size = dimension(vectors.where(F.col(vector).isNotNull()), vector)
     theta = math.acos(max(-1.0, 1 - below)) + 1e-9
     cell = [F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get("u", F.lit(i))))) / theta) for i in range(axes)]

@@ -33,20 +33,20 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[int])
     return df.groupBy(*by).agg(*aggs)
 
 
-def bootstrap(df: DataFrame, by: list[str], value: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """Mean and percentile interval (95 %) of each group by resampling with a seeded generator.
+def bootstrap(df: DataFrame, by: list[str], value: str, order: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Mean and percentile interval of each group by resampling its values, in the order of ``order``, with a seeded generator.
 
-    A group is the score of each query of an arm: as many values as queries were drafted.
+    A group is the scores of an arm's labelled queries, one value a query that people drafted.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import random
 
-        values, rng = pdf.sort_values(list(pdf.columns))[value].tolist(), random.Random(seed)
+        values, rng = pdf.sort_values(order)[value].tolist(), random.Random(seed)
         n = len(values)
-        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-        at = lambda q: means[min(resamples - 1, max(0, int(q * resamples)))]
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "mean": sum(values) / n, "low": at(0.025), "high": at(0.975)}])
+        means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(resamples))
+        low, high = means[int(alpha / 2 * resamples)], means[max(0, int((1 - alpha / 2) * resamples) - 1)]
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "mean": sum(values) / n, "low": low, "high": high}])
 
     kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in by)
     return df.groupBy(*by).applyInPandas(run, f"{kinds}, mean double, low double, high double")
@@ -59,6 +59,12 @@ def paired_difference(metrics: DataFrame, arm: str, base: str, measure: str) ->
     return a.join(b, "query_id").select("query_id", "type", (F.col("a") - F.col("b")).alias("difference"))
 
 
-def decision(intervals: DataFrame, margin: float = 0.02) -> DataFrame:
-    """Adopt where the gain is at least ``margin`` and its interval lies above zero."""
-    return intervals.withColumn("adopt", (F.col("mean") >= margin) & (F.col("low") > 0))
+def decision(intervals: DataFrame, margin: float) -> DataFrame:
+    """type (lexical, semantic), mean, low, high -> one row: lexical_gain, no_semantic_loss, adopt.
+
+    Adopt if the lexical interval lies above ``margin`` (chosen before, so without a default) and the
+    semantic one reaches zero.
+    """
+    of = lambda kind, c: F.max(F.when(F.col("type") == kind, F.col(c)))
+    d = intervals.agg(F.coalesce(of("lexical", "low") > margin, F.lit(False)).alias("lexical_gain"), F.coalesce(of("semantic", "high") >= 0, F.lit(False)).alias("no_semantic_loss"))
+    return d.withColumn("adopt", F.col("lexical_gain") & F.col("no_semantic_loss"))

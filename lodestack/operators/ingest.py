@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 
 
+#: Chunk ids for each document: texts of up to some 800 million characters.
+WIDE = 1_000_000
+
+
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """document_id, text -> chunk_id, document_id, chunk_index, content. A chunk's id follows from its document's."""
+    """document_id, text -> chunk_id, document_id, chunk_index, content.
+
+    A chunk's id follows from its document's: WIDE ids are set aside for each document. A text with
+    more chunks, or a document_id too large for this, is refused, so that no two chunks share an id.
+    """
     c = docs.select("document_id", F.posexplode(T.chunks(F.col("text"), size, overlap)).alias("chunk_index", "content"))
-    return c.select((F.col("document_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")
+    fits = (F.col("chunk_index") < WIDE) & F.col("document_id").between(-(2**63) // WIDE + 1, 2**63 // WIDE - 1)
+    ident = F.when(fits, F.col("document_id") * WIDE + F.col("chunk_index")).otherwise(F.raise_error(F.lit("too many chunks, or too large a document_id, for a chunk_id")))
+    return c.select(ident.alias("chunk_id"), "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Existing rows, and of the new ones the first of each key that is not there yet."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Existing rows, and of the new ones the first of each key that is not there yet (least by ``order``, then by all columns)."""
+    rest = [c for c in existing.columns if c not in keys and c not in order]
+    first = new.groupBy(*keys).agg(F.min(F.struct(*[c for c in order if c not in keys], *rest)).alias("_r")).select(*keys, "_r.*")
     return existing.unionByName(first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*existing.columns))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of the greatest version of each key; a new row wins a tie."""
+    """The row of the greatest version of each key; a new row wins a tie. An aggregate, so that a hot key combines before the shuffle."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+    rest = [c for c in existing.columns if c not in keys and c != version]
+    top = both.groupBy(*keys).agg(F.max(F.struct(version, "_new", *rest)).alias("_r"))
+    return top.select(*keys, "_r.*").select(*existing.columns)
 
 
 def replace_groups(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

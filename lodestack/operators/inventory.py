@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
 
-#: Suffix families of the inventory.
-ARCHIVES = (".zip", ".7z", ".rar", ".tar", ".gz", ".tgz", ".tar.gz", ".tar.bz2", ".tar.xz")
-KNOWN = (".txt", ".md", ".pdf", ".docx", ".pptx", ".xlsx", *ARCHIVES)
+# Archive suffixes that can be opened, and all others of the inventory.
+KNOWN = (".zip", ".7z")
+OTHER = (".rar", ".tar", ".gz", ".tgz", ".tar.gz", ".bz2", ".tbz2", ".tar.bz2", ".xz", ".txz", ".tar.xz", ".iso", ".cab", ".arj", ".lz", ".lzma", ".z", ".zst", ".tzst")
+ARCHIVES = (*KNOWN, *OTHER)
 
 
 def by_extension(files: DataFrame) -> DataFrame:
-    """ext, files, bytes, is_archive, is_known"""
+    """ext, files, bytes, is_archive, is_known (an archive that can be opened)"""
     e = files.withColumn("ext", P.extension(F.col("path")))
     g = e.groupBy("ext").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     return g.withColumn("is_archive", F.col("ext").isin(*ARCHIVES)).withColumn("is_known", F.col("ext").isin(*KNOWN))
@@ -37,7 +38,7 @@ def size_candidates(files: DataFrame) -> DataFrame:
 def exact_file_groups(files: DataFrame) -> DataFrame:
     """size, sha, n, first path, category, reclaimable bytes of non-empty files with equal size and hash."""
     g = files.where("size > 0 and sha is not null").groupBy("size", "sha").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.bool_and(F.endswith(F.lower("path"), F.lit(".c9r"))).alias("c9r"))
-    return g.where("n > 1").select("size", "sha", "n", "first_path", F.when(F.col("c9r"), "encrypted_chunk").otherwise("file").alias("category"), (F.col("size") * (F.col("n") - 1)).alias("reclaimable"))
+    return g.where("n > 1").select("size", "sha", "n", "first_path", F.when(F.col("c9r"), "cryptomator_chunk_duplicate").otherwise("exact_duplicate").alias("category"), (F.col("size") * (F.col("n") - 1)).alias("reclaimable"))
 
 
 def counters(files: DataFrame) -> DataFrame:
@@ -90,3 +91,15 @@ def nearest_duplicate_ancestor(files: DataFrame, dup_dirs: DataFrame) -> DataFra
     a = P.with_ancestors(files.select("group_id", "path")).join(dup_dirs.select("dir", "sig"), "dir").groupBy("group_id", "path").agg(F.max_by("sig", "dir_depth").alias("sig"))
     j = files.select("group_id", "path").join(a, ["group_id", "path"], "left").groupBy("group_id").agg(F.count_distinct("sig").alias("sigs"), F.bool_or(F.col("sig").isNull()).alias("miss"), F.min("sig").alias("sig"))
     return j.select("group_id", F.when((F.col("sigs") == 1) & ~F.col("miss"), F.col("sig")).alias("sig"))
+
+
+def report_sections(groups: DataFrame, directories: DataFrame, top: int) -> DataFrame:
+    """Exact groups (category, reclaimable, n, first_path) and directory groups (sig, n, first_dir, bytes) -> section, rank, path, n, reclaimable.
+
+    The ``top`` of each section by reclaimable bytes, most first: files of each category, and
+    directories, where a group of n equal trees of ``bytes`` gives (n - 1) * bytes back.
+    """
+    f = groups.select(F.col("category").alias("section"), F.col("first_path").alias("path"), "n", "reclaimable")
+    d = directories.select(F.lit("directory_duplicate").alias("section"), F.col("first_dir").alias("path"), "n", ((F.col("n") - 1) * F.col("bytes")).alias("reclaimable"))
+    w = Window.partitionBy("section").orderBy(F.desc("reclaimable"), "path")
+    return f.unionByName(d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, top))

@@ -169,14 +169,29 @@ def canonical_rules() -> dict[str, Column]:
 def drafting_sample(chunks: DataFrame, used: DataFrame, n: int, seed: int, least: int = 300) -> DataFrame:
     """n chunks of ``least`` characters or more that were not used yet, by a seeded hash (the feature is a sample)."""
     c = chunks.where(F.length("content") >= least).join(used.select("chunk_id"), "chunk_id", "left_anti")
-    s = c.orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id").limit(n)
+    s = c.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("chunk_id").cast("string")), 256), "chunk_id").limit(n)
     return s.select("chunk_id", F.concat(F.lit("c"), F.col("chunk_id").cast("string"), F.lit("-lex")).alias("lexical_id"), F.concat(F.lit("c"), F.col("chunk_id").cast("string"), F.lit("-sem")).alias("semantic_id"))
 
 
-def folder_fingerprints(files: DataFrame) -> DataFrame:
-    """dir, fingerprint: SHA-1 over the sorted names and contents directly in each folder, NUL-separated; empty files are skipped."""
-    own = files.where("size > 0").select(P.parent(F.col("path")).alias("dir"), F.concat(P.basename(F.col("path")), F.lit("\0"), "sha").alias("e"))
-    return own.groupBy("dir").agg(F.sha1(F.array_join(F.sort_array(F.collect_list("e")), "\0")).alias("fingerprint"), F.count(F.lit(1)).alias("files"))
+def folder_fingerprints(files: DataFrame, checkpoint=lambda df: df) -> DataFrame:
+    """files (path, sha, size) -> dir, fingerprint, files, bytes of everything below each folder, deepest folders first.
+
+    SHA-1 over a folder's sorted entries, each ended by NUL: ``f`` NUL name NUL sha for its files and
+    ``d`` NUL name NUL fingerprint for its folders. One aggregate for each level (a folder's own entries
+    are what it gathers). Pass a ``checkpoint`` that writes a DataFrame for deep trees.
+    """
+    entry = lambda kind, name, value: F.concat(F.lit(f"{kind}\0"), name, F.lit("\0"), value)
+    own = files.select(P.parent(F.col("path")).alias("dir"), entry("f", P.basename(F.col("path")), F.col("sha")).alias("e"), F.lit(1).alias("files"), F.col("size").alias("bytes"))
+    own = checkpoint(own.withColumn("d", F.when(F.col("dir") == "", 0).otherwise(P.depth(F.col("dir")))))
+    out, below = None, None
+    for d in range(own.agg(F.max("d")).first()[0] or 0, 0, -1):
+        rows = own.where(F.col("d") == d).select("dir", "e", "files", "bytes")
+        if below is not None:
+            rows = rows.unionByName(below.select(P.parent(F.col("dir")).alias("dir"), entry("d", P.basename(F.col("dir")), F.col("fingerprint")).alias("e"), "files", "bytes"))
+        g = rows.groupBy("dir").agg(F.sort_array(F.collect_list("e")).alias("l"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        below = checkpoint(g.select("dir", F.sha1(F.concat(F.array_join("l", "\0"), F.lit("\0"))).alias("fingerprint"), "files", "bytes"))
+        out = below if out is None else out.unionByName(below)
+    return out if out is not None else own.select("dir", F.lit("").alias("fingerprint"), "files", "bytes").limit(0)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from lodestack.functions import paths as P
 from lodestack.functions.text import date_tokens
 
-#: Names that are never kept, and words that mark a path as a copy.
+# Names that are never kept, words that mark a path as historical or as current, and the
+# pattern of names that copying programs make.
 JUNK = ("thumbs.db", "desktop.ini", ".ds_store")
-KEYWORDS = ("archive", "backup", "copy", "old", "temp")
+HISTORICAL = ("archive", "backup", "as a copy of", "copy of", "old", "_duplicates_quarantine", ".trash", "sync-conflict", "takeout-")
+CURRENT = ("current", "latest", "working")
+DIRTY = r"(?i)(_\d{10}(\.[^./]+)?$)|(\.duplicate-\d+)|( \(\d+\)(\.[^./]+)?$)|( - copy)| copy(\.[^./]+)?$"
+#: Evidence patterns of a group with their confidence and whether a human has to look.
+INFERENCES = {
+    "STALE_REFERENCE_UNVERIFIABLE": ("low", True),
+    "DIVERGENT_DATE_SIGNAL": ("medium", False),
+    "PARTIAL_DATE_OR_KEYWORD_SIGNAL": ("low", True),
+    "UNIFORM_KEYWORD_NO_FURTHER_SIGNAL": ("low", True),
+    "NO_PROVENANCE_SIGNAL": ("low", True),
+}
 
 
 def is_junk(path: Column) -> Column:
     return F.lower(P.basename(path)).isin(*JUNK)
 
 
-def keywords(path: Column, words=KEYWORDS) -> Column:
+def keywords(path: Column, words=HISTORICAL) -> Column:
     """Sorted words found in a path, whatever the case."""
     return F.array_sort(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(path), w)))
 
@@ -26,30 +37,52 @@ def rank(path: Column, in_archive: Column, avoid: list[str]) -> Column:
     """Struct to take the least of: not in an archive, fewest words to avoid, clean name, shallow, short, then the path."""
     low = F.lower(path)
     hits = sum((F.contains(low, F.lit(a)).cast("int") for a in avoid), F.lit(0))
-    dirty = F.lower(P.basename(path)).rlike(r"\(\d+\)|copy|~")
+    dirty = P.basename(path).rlike(DIRTY)
     return F.struct(in_archive.alias("in_archive"), hits.alias("hits"), dirty.alias("dirty"), P.depth(path).alias("depth"), F.length(path).alias("chars"), path.alias("path"))
 
 
 def group_facts(members: DataFrame) -> DataFrame:
-    """group_id, path, present -> counts, sorted distinct dates and keywords, and depth bounds over present paths."""
-    m = members.select("group_id", "path", "present", date_tokens(F.col("path")).alias("d"), keywords(F.col("path")).alias("k"), P.depth(F.col("path")).alias("depth"))
-    here = lambda c: F.when(F.col("present"), F.col(c))
-    return m.groupBy("group_id").agg(
-        F.count_if("present").alias("existing"),
-        F.count_if(~F.col("present")).alias("missing"),
+    """group_id, path, present -> facts of each group; all but ``missing`` are of paths that are present.
+
+    existing, missing, dates (sorted, distinct), with_dates, without_dates, with_historical,
+    with_current, min_depth, max_depth, shallowest (its path; the least of equally deep ones) and
+    shallowest_historical.
+    """
+    p, here = F.col("path"), F.col("present")
+    d, old, new = date_tokens(p), F.size(keywords(p)) > 0, F.size(keywords(p, CURRENT)) > 0
+    m = members.select("group_id", "path", "present", F.when(here, d).alias("d"), old.alias("old"), new.alias("new"), P.depth(p).alias("depth"))
+    dated = F.size("d") > 0
+    g = m.groupBy("group_id").agg(
+        F.count_if(here).alias("existing"),
+        F.count_if(~here).alias("missing"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("d")))).alias("dates"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("k")))).alias("words"),
-        F.min(here("depth")).alias("min_depth"),
-        F.max(here("depth")).alias("max_depth"),
-        F.min(F.when(F.col("present"), F.struct("depth", "path"))).alias("_s"),
-    ).withColumn("shallowest", F.col("_s.path")).drop("_s")
+        F.count_if(here & dated).alias("with_dates"),
+        F.count_if(here & ~dated).alias("without_dates"),
+        F.count_if(here & F.col("old")).alias("with_historical"),
+        F.count_if(here & F.col("new")).alias("with_current"),
+        F.min(F.when(here, F.col("depth"))).alias("min_depth"),
+        F.max(F.when(here, F.col("depth"))).alias("max_depth"),
+        F.min(F.when(here, F.struct("depth", "path", "old"))).alias("_s"),
+    )
+    return g.withColumn("shallowest", F.col("_s.path")).withColumn("shallowest_historical", F.col("_s.old")).drop("_s")
 
 
 def infer(facts: DataFrame) -> DataFrame:
-    """Adds inference and confidence by the first rule that holds."""
-    code = F.when(F.col("existing") == 0, "STALE_GROUP").when(F.col("missing") > 0, "PARTLY_MISSING").when(F.size("words") > 0, "LIKELY_BACKUP").when(F.size("dates") > 1, "DATED_VERSIONS").when(F.col("min_depth") < F.col("max_depth"), "DEEPER_COPY").otherwise("UNDETERMINED")
-    low = F.col("inference").isin("STALE_GROUP", "PARTLY_MISSING", "UNDETERMINED")
-    return facts.withColumn("inference", code).withColumn("confidence", F.when(low, "LOW").when(F.col("inference") == "LIKELY_BACKUP", "HIGH").otherwise("MEDIUM"))
+    """Adds inference, evidence, confidence and review (whether a human has to look) by the first pattern that holds."""
+    dates, old = F.size("dates"), F.col("with_historical") > 0
+    asymmetric = old & (F.col("max_depth") > F.col("min_depth")) & ~F.col("shallowest_historical")
+    patterns = [
+        (F.col("existing") < 2, "STALE_REFERENCE_UNVERIFIABLE", ["PATHS_MISSING_IN_D2"]),
+        (dates >= 2, "DIVERGENT_DATE_SIGNAL", ["MULTIPLE_DISTINCT_DATE_TOKENS"]),
+        ((dates == 1) & (F.col("without_dates") > 0), "PARTIAL_DATE_OR_KEYWORD_SIGNAL", ["SINGLE_DATE_TOKEN_PARTIAL_COVERAGE"]),
+        (asymmetric, "PARTIAL_DATE_OR_KEYWORD_SIGNAL", ["HISTORICAL_KEYWORD_PRESENT", "DEPTH_ASYMMETRY_WITH_KEYWORD"]),
+        (old, "UNIFORM_KEYWORD_NO_FURTHER_SIGNAL", ["HISTORICAL_KEYWORD_PRESENT"]),
+        (F.lit(True), "NO_PROVENANCE_SIGNAL", ["NO_DATE_OR_KEYWORD_SIGNAL"]),
+    ]
+    row = lambda code, evidence: F.struct(F.lit(code).alias("code"), F.array(*[F.lit(e) for e in evidence]).alias("evidence"), F.lit(INFERENCES[code][0]).alias("confidence"), F.lit(INFERENCES[code][1]).alias("review"))
+    got = F.coalesce(*[F.when(cond, row(code, evidence)) for cond, code, evidence in patterns])
+    f = facts.withColumn("_i", got)
+    return f.select("*", F.col("_i.code").alias("inference"), F.col("_i.evidence").alias("evidence"), F.col("_i.confidence").alias("confidence"), F.col("_i.review").alias("review")).drop("_i")
 
 
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -62,23 +95,31 @@ def identify(scan: DataFrame, hashes: DataFrame, report: DataFrame, analyzed_at:
     return j.withColumn("sha", sha).drop("_own", "_size", "_old")
 
 
-def contents(locations: DataFrame) -> DataFrame:
-    """sha, path, size, in_archive -> a row for each content: size, ext of its first place, loose and archive counts, presence."""
+def contents(locations: DataFrame, containers: DataFrame) -> DataFrame:
+    """sha, path, size, in_archive x containers (sha of archives that were opened) -> a row for each content.
+
+    size, ext of its first place, loose and archive counts, presence, is_container, and known (false
+    where the content was never hashed).
+    """
     g = locations.groupBy("sha").agg(F.min("size").alias("size"), F.min_by(P.extension(F.col("path")), F.struct("in_archive", "path")).alias("ext"), F.count_if(~F.col("in_archive")).alias("n_loose"), F.count_if("in_archive").alias("n_archive"))
-    return g.withColumn("presence", F.when(F.col("n_archive") == 0, "loose_only").when(F.col("n_loose") == 0, "archive_only").otherwise("both"))
+    g = g.withColumn("presence", F.when(F.col("n_archive") == 0, "loose_only").when(F.col("n_loose") == 0, "archive_only").otherwise("both"))
+    g = g.join(containers.select("sha").distinct().withColumn("_c", F.lit(True)), "sha", "left")
+    return g.withColumn("is_container", F.col("_c").isNotNull()).withColumn("known", ~F.startswith("sha", F.lit("unique:"))).drop("_c")
 
 
-def best_location(locations: DataFrame, avoid: list[str]) -> DataFrame:
-    """sha, keep_path, n"""
-    g = locations.groupBy("sha").agg(F.min(rank(F.col("path"), F.col("in_archive"), avoid)).alias("r"), F.count(F.lit(1)).alias("n"))
-    return g.select("sha", F.col("r.path").alias("keep_path"), "n")
+def best_location(locations: DataFrame, containers: DataFrame, avoid: list[str]) -> DataFrame:
+    """sha, keep_path, n, junk: where each content is kept; containers count through their members and are left out."""
+    kept = locations.join(containers.select("sha").distinct(), "sha", "left_anti")
+    g = kept.groupBy("sha").agg(F.min(rank(F.col("path"), F.col("in_archive"), avoid)).alias("r"), F.count(F.lit(1)).alias("n"))
+    return g.select("sha", F.col("r.path").alias("keep_path"), "n", is_junk(F.col("r.path")).alias("junk"))
 
 
-def archive_verdict(locations: DataFrame) -> DataFrame:
-    """archive, files inside, distinct contents that no loose file has."""
+def archive_verdict(locations: DataFrame, containers: DataFrame) -> DataFrame:
+    """archive, files: its members of some size that are no containers; needed, needed_bytes: distinct contents that no loose file has."""
     loose = locations.where("not in_archive").select("sha").distinct().withColumn("loose", F.lit(True))
-    inside = locations.where("in_archive").join(loose, "sha", "left")
-    return inside.groupBy("archive").agg(F.count(F.lit(1)).alias("files"), F.count_distinct(F.when(F.col("loose").isNull(), F.col("sha"))).alias("needed"))
+    inside = locations.where("in_archive and size > 0").join(containers.select("sha").distinct(), "sha", "left_anti").join(loose, "sha", "left")
+    each = inside.groupBy("archive", "sha").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.bool_or(F.col("loose").isNull()).alias("only"))
+    return each.groupBy("archive").agg(F.sum("n").alias("files"), F.count_if("only").alias("needed"), F.coalesce(F.sum(F.when(F.col("only"), F.col("size"))), F.lit(0)).alias("needed_bytes"))
 
 
 def removable_dirs(files: DataFrame) -> DataFrame:

@@ -6,12 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
-from lodestack.operators.dedup import cosine_distance
+from lodestack.operators.dedup import cosine_distance, dimension, flat_dot, unit
 
 #: The parameters of Okapi BM25 and of reciprocal-rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 POOL = 50
+#: Queries (or their terms) are broadcast only up to so many rows; more are taken in blocks of that size.
+QUERIES = 20_000
+
+
+def _blocks(queries: DataFrame, key: str, most: int = QUERIES) -> list[DataFrame]:
+    """The queries as blocks that may be broadcast: their number was counted."""
+    n = -(-queries.count() // most)
+    return [F.broadcast(queries)] if n <= 1 else [F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _ranked(df: DataFrame, k: int, *order) -> DataFrame:
@@ -23,37 +38,53 @@ def _ranked(df: DataFrame, k: int, *order) -> DataFrame:
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """chunks (chunk_id, embedding), queries (query_id, q) -> query_id, chunk_id, distance, rank.
 
-    An exact scan: the queries (a stated, small set) are broadcast to all chunks. Chunks without a
-    vector are left out, k <= 0 gives nothing.
+    An exact scan: the queries, in blocks of a counted size, are broadcast to all chunks. Chunks
+    without a vector are left out, k <= 0 gives nothing; a zero vector's distance is null. The
+    vectors are normalised once, and their product is generated code where all have one size.
     """
-    j = chunks.where("embedding is not null").join(F.broadcast(queries), F.lit(True)).select("query_id", "chunk_id", cosine_distance("embedding", "q").alias("distance"))
-    return _ranked(j, k, "distance", "chunk_id")
+    size = dimension(queries, "q")
+    v = chunks.where("embedding is not null").select("chunk_id", unit("embedding").alias("u"))
+    parts = [v.join(b, F.lit(True)).select("query_id", "chunk_id", (1 - flat_dot("u", "q", size)).alias("distance")) for b in _blocks(queries.select("query_id", unit("q").alias("q")), "query_id")]
+    return _ranked(_union(parts), k, "distance", "chunk_id")
+
 
+def term_stats(chunks: DataFrame) -> DataFrame:
+    """chunk_id, content -> term, df, and in the row of the empty term: df the number of chunks, tokens their number of tokens.
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, content -> chunk_id, term, tf, dl."""
-    t = chunks.select("chunk_id", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
-    return t.select("chunk_id", "dl", F.explode("w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    One pass over the chunks: each gives its distinct terms and a row of its own, which combine
+    before the shuffle.
+    """
+    w = chunks.select(tokens(F.col("content")).alias("w"))
+    rows = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("w").cast("long").alias("n"))), F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("n"))))
+    return w.select(F.explode_outer(rows).alias("r")).groupBy("r.term").agg(F.count(F.lit(1)).alias("df"), F.sum("r.n").alias("tokens"))
 
 
-def term_stats(chunks: DataFrame, posts: DataFrame) -> DataFrame:
-    """term, idf, avgdl. A negative idf becomes EPSILON times the mean idf over all terms."""
-    n = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("content")))).alias("avgdl"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), F.lit(True))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def _weights(stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, idf, avgdl of the terms asked for. A negative idf becomes EPSILON times the mean idf over all terms."""
+    whole = stats.where("term = ''").select(F.col("df").alias("n"), (F.col("tokens") / F.col("df")).alias("avgdl"))  # one row
+    raw = stats.where("term <> ''").join(F.broadcast(whole), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.join(F.broadcast(mean), F.lit(True)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    some = raw.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    return some.join(F.broadcast(mean), F.lit(True)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) -> query_id, chunk_id, score of every chunk with a query term; a repeated term counts again."""
-    posts = postings(chunks)
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    stats = term_stats(chunks, posts)
-    j = posts.join(F.broadcast(asked), "term").join(stats, "term")
-    tf = F.col("tf")
-    s = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return j.groupBy("query_id", "chunk_id").agg(F.sum(s).alias("score"))
+    """queries (query_id, query) -> query_id, chunk_id, score of every chunk with a query term; a repeated term counts again.
+
+    Two passes over the chunks: document frequencies of all terms, then the terms asked for, met
+    before anything is aggregated. Queries go in blocks of a counted size.
+    """
+    stats = term_stats(chunks)
+    words = chunks.select("chunk_id", tokens(F.col("content")).alias("w"))
+    posts = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    tf, parts = F.col("tf"), []
+    for block in _blocks(queries.select("query_id", "query"), "query_id", QUERIES // 20):
+        asked = block.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+        hits = posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        weighed = asked.join(F.broadcast(_weights(stats, asked)), "term")
+        s = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        parts.append(hits.join(F.broadcast(weighed), "term").groupBy("query_id", "chunk_id").agg(F.sum(s).alias("score")))
+    return _union(parts)
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, positive: bool = False) -> DataFrame:
@@ -77,10 +108,15 @@ def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """queries (query_id, query, q): each arm gives max(POOL, k) candidates, fused; every hit has its real distance."""
     pool = max(POOL, k)
     fused = rrf([dense_topk(chunks, queries.select("query_id", "q"), pool), bm25_topk(chunks, queries.select("query_id", "query"), pool)], k)
-    back = fused.join(F.broadcast(queries.select("query_id", "q")), "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id")
+    back = fused.join(queries.select("query_id", "q"), "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id")
     return back.select("query_id", "chunk_id", "rank", "score", cosine_distance("embedding", "q").alias("distance"))
 
 
+def or_match(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """terms (term, ...) x asked (query_id, term): rows of every query that asks for their term."""
+    return _union([terms.join(b, "term") for b in _blocks(asked, "term")])
+
+
 def rank_documents(ranked: DataFrame, chunk_docs: DataFrame) -> DataFrame:
     """Collapse a chunk ranking to documents: each document's best chunk, ranked anew."""
     d = ranked.join(chunk_docs, "chunk_id").groupBy("query_id", "document_id").agg(F.min("rank").alias("best"))

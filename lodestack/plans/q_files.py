@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
 from lodestack.functions.text import date_tokens
-from lodestack.operators import inventory, manifest
+from lodestack.operators import inventory, lookups, manifest
 from lodestack.plans.testdata import FILES_SQL, TREES_SQL, files, trees
 
 Q: dict = {}
@@ -23,11 +23,12 @@ def query(sql: str | None = None):
     return add
 
 
+DIRTY_SQL = manifest.DIRTY
 _EXT = "CASE WHEN lower(path) LIKE '%.tar.gz' THEN '.tar.gz' WHEN regexp_extract(path, '[^/]+(\\.[^./]+)$', 1) = '' THEN '(no extension)' ELSE lower(regexp_extract(path, '[^/]+(\\.[^./]+)$', 1)) END"
 _ANC = "unnest([array_to_string(string_split(path, '/')[1:n], '/') for n in range(1, len(string_split(path, '/')))]) AS dir"
 
 
-@query(f"WITH {FILES_SQL}, e AS (SELECT {_EXT} AS ext, size FROM files) SELECT ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, ext IN ('.zip', '.tar.gz') AS is_archive, ext IN ('.txt', '.md', '.pdf', '.docx', '.zip', '.tar.gz') AS is_known FROM e GROUP BY ext")
+@query(f"WITH {FILES_SQL}, e AS (SELECT {_EXT} AS ext, size FROM files) SELECT ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, ext IN ('.zip', '.7z', '.rar', '.tar', '.gz', '.tgz', '.tar.gz', '.bz2', '.tbz2', '.tar.bz2', '.xz', '.txz', '.tar.xz', '.iso', '.cab', '.arj', '.lz', '.lzma', '.z', '.zst', '.tzst') AS is_archive, ext IN ('.zip', '.7z') AS is_known FROM e GROUP BY ext")
 def ext_inventory(s, d):
     return inventory.by_extension(files(s, d))
 
@@ -47,7 +48,7 @@ def d1_size_candidates(s, d):
     return inventory.size_candidates(files(s, d)).select("path", "size")
 
 
-@query(f"WITH {FILES_SQL} SELECT size, sha, count(*) AS n, min(path) AS first_path, CASE WHEN bool_and(lower(path) LIKE '%.c9r') THEN 'encrypted_chunk' ELSE 'file' END AS category, size * (count(*) - 1) AS reclaimable FROM files WHERE size > 0 GROUP BY size, sha HAVING count(*) > 1")
+@query(f"WITH {FILES_SQL} SELECT size, sha, count(*) AS n, min(path) AS first_path, CASE WHEN bool_and(lower(path) LIKE '%.c9r') THEN 'cryptomator_chunk_duplicate' ELSE 'exact_duplicate' END AS category, size * (count(*) - 1) AS reclaimable FROM files WHERE size > 0 GROUP BY size, sha HAVING count(*) > 1")
 def d1_exact_groups(s, d):
     return inventory.exact_file_groups(files(s, d))
 
@@ -77,10 +78,35 @@ def dir_merkle_groups(s, d):
     return inventory.duplicate_directories(inventory.merkle_signatures(trees(s, d)))
 
 
-@query(f"""WITH {_MERKLE} SELECT a.sig, count(*) AS n, count(DISTINCT b.sig) <> 1 OR bool_or(b.sig IS NULL) AS maximal
-FROM sigs a LEFT JOIN sigs b ON b.dir = regexp_replace(a.dir, '/[^/]*$', '') AND a.dir LIKE '%/%' GROUP BY a.sig HAVING count(*) > 1""")
+_FOLDERS = TREES_SQL + """,
+f3 AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha1(string_agg('f' || chr(0) || regexp_extract(path, '[^/]*$') || chr(0) || sha || chr(0), '' ORDER BY regexp_extract(path, '[^/]*$'))) AS sig, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM trees GROUP BY 1),
+f2 AS (SELECT regexp_replace(dir, '/[^/]*$', '') AS dir, sha1(string_agg('d' || chr(0) || regexp_extract(dir, '[^/]*$') || chr(0) || sig || chr(0), '' ORDER BY dir)) AS sig, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM f3 GROUP BY 1),
+f1 AS (SELECT 'root' AS dir, sha1(string_agg('d' || chr(0) || regexp_extract(dir, '[^/]*$') || chr(0) || sig || chr(0), '' ORDER BY 'd' || chr(0) || regexp_extract(dir, '[^/]*$') || chr(0) || sig)) AS sig, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM f2),
+folders AS (SELECT * FROM f3 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f1)"""
+
+
+@query(f"WITH {_FOLDERS} SELECT dir, sig AS fingerprint, files, bytes FROM folders")
+def folder_fingerprints(s, d):
+    return lookups.folder_fingerprints(trees(s, d))
+
+
+@query(f"""WITH {_FOLDERS} SELECT a.sig, count(*) AS n, count(DISTINCT b.sig) <> 1 OR bool_or(b.sig IS NULL) AS maximal
+FROM folders a LEFT JOIN folders b ON b.dir = regexp_replace(a.dir, '/[^/]*$', '') AND a.dir LIKE '%/%' GROUP BY a.sig HAVING count(*) > 1""")
 def folder_groups(s, d):
-    return inventory.folder_groups(inventory.merkle_signatures(trees(s, d)).select("dir", "sig"))
+    return inventory.folder_groups(lookups.folder_fingerprints(trees(s, d)).select("dir", F.col("fingerprint").alias("sig")))
+
+
+@query(f"""WITH {_MERKLE}, m AS (SELECT *, count(*) OVER (PARTITION BY sig) AS n FROM sigs), r AS (SELECT dir FROM m WHERE n > 1),
+w AS (SELECT regexp_replace(path, '/[^/]*$', '') AS d3, size FROM trees),
+b AS (SELECT s.dir, CAST(sum(size) AS BIGINT) AS bytes FROM sigs s JOIN w ON d3 = s.dir OR starts_with(d3, s.dir || '/') GROUP BY 1),
+dg AS (SELECT sig, n, min(m.dir) AS first_dir FROM m WHERE n > 1 GROUP BY sig, n HAVING NOT bool_and(regexp_replace(m.dir, '/[^/]*$', '') IN (SELECT dir FROM r))),
+fg AS (SELECT size, sha, count(*) AS n, min(path) AS first_path FROM trees WHERE size > 0 GROUP BY size, sha HAVING count(*) > 1),
+x AS (SELECT 'exact_duplicate' AS section, first_path AS path, n, size * (n - 1) AS reclaimable FROM fg UNION ALL SELECT 'directory_duplicate', first_dir, n, (n - 1) * bytes FROM dg JOIN b ON b.dir = first_dir)
+SELECT section, path, n, reclaimable, row_number() OVER (PARTITION BY section ORDER BY reclaimable DESC, path) AS rank FROM x QUALIFY rank <= 10""")
+def d1_report(s, d):
+    t = trees(s, d)
+    groups = inventory.duplicate_directories(inventory.merkle_signatures(t)).join(inventory.subtree_sizes(t).select(F.col("dir").alias("first_dir"), "bytes"), "first_dir")
+    return inventory.report_sections(inventory.exact_file_groups(t), groups, 10).select("section", "path", "n", "reclaimable", "rank")
 
 
 @query(f"""WITH {_MERKLE}, m AS (SELECT *, count(*) OVER (PARTITION BY sig) AS n FROM sigs),
@@ -109,18 +135,29 @@ def path_keywords(s, d):
     return files(s, d).select("path", F.transform(manifest.keywords(F.col("path"), ["d1", "en", "src1", ".pdf", "f9"]), lambda w: F.when(w == ".pdf", ".PDF").otherwise(w)).alias("words"))
 
 
-_FACTS = FILES_SQL + f""", mem AS (SELECT sha AS group_id, path, doc_id % 7 <> 3 AS present, len(string_split(path, '/')) AS depth, {_DATES} AS d,
-  list_filter(['archive', 'backup', 'copy', 'old', 'temp'], lambda k: contains(lower(path), k)) AS k FROM files),
+# Groups of equal texts, under folders that do or do not sound historical; some paths are gone, some carry no date.
+_FACTS = FILES_SQL + f""", named AS (SELECT sha AS group_id, doc_id % 7 <> 3 AS present,
+  (['', 'Archive/', 'work/', 'Current/x/', '', 'Takeout-1/', 'work/', ''])[CAST(doc_id % 8 AS INTEGER) + 1] || CASE WHEN doc_id % 3 = 0 THEN path ELSE regexp_replace(path, '_[0-9]+', '_n', 'g') END AS path FROM files),
+mem AS (SELECT *, len(string_split(path, '/')) AS depth, {_DATES} AS d,
+  len(list_filter(['archive', 'backup', 'as a copy of', 'copy of', 'old', '_duplicates_quarantine', '.trash', 'sync-conflict', 'takeout-'], lambda k: contains(lower(path), k))) > 0 AS h,
+  len(list_filter(['current', 'latest', 'working'], lambda k: contains(lower(path), k))) > 0 AS c FROM named),
 grp AS (SELECT group_id FROM mem GROUP BY 1 HAVING count(*) > 1),
 facts AS (SELECT group_id, count(*) FILTER (WHERE present) AS existing, count(*) FILTER (WHERE NOT present) AS missing,
-  list_sort(list_distinct(flatten(list(d)))) AS dates, list_sort(list_distinct(flatten(list(k)))) AS words,
+  coalesce(list_sort(list_distinct(flatten(list(d) FILTER (WHERE present)))), []) AS dates,
+  count(*) FILTER (WHERE present AND len(d) > 0) AS with_dates, count(*) FILTER (WHERE present AND len(d) = 0) AS without_dates,
+  count(*) FILTER (WHERE present AND h) AS with_historical, count(*) FILTER (WHERE present AND c) AS with_current,
   CAST(min(depth) FILTER (WHERE present) AS INTEGER) AS min_depth, CAST(max(depth) FILTER (WHERE present) AS INTEGER) AS max_depth,
-  min(path) FILTER (WHERE present) AS shallowest FROM mem SEMI JOIN grp USING (group_id) GROUP BY group_id),
-inf AS (SELECT *, CASE WHEN existing = 0 THEN 'STALE_GROUP' WHEN missing > 0 THEN 'PARTLY_MISSING' WHEN len(words) > 0 THEN 'LIKELY_BACKUP' WHEN len(dates) > 1 THEN 'DATED_VERSIONS' WHEN min_depth < max_depth THEN 'DEEPER_COPY' ELSE 'UNDETERMINED' END AS inference FROM facts)"""
+  first(path ORDER BY depth, path) FILTER (WHERE present) AS shallowest, first(h ORDER BY depth, path) FILTER (WHERE present) AS shallowest_historical
+  FROM mem SEMI JOIN grp USING (group_id) GROUP BY group_id),
+inf AS (SELECT *, CASE WHEN existing < 2 THEN 'STALE_REFERENCE_UNVERIFIABLE' WHEN len(dates) >= 2 THEN 'DIVERGENT_DATE_SIGNAL' WHEN len(dates) = 1 AND without_dates > 0 THEN 'PARTIAL_DATE_OR_KEYWORD_SIGNAL'
+  WHEN with_historical > 0 AND max_depth > min_depth AND NOT shallowest_historical THEN 'PARTIAL_DATE_OR_KEYWORD_SIGNAL' WHEN with_historical > 0 THEN 'UNIFORM_KEYWORD_NO_FURTHER_SIGNAL' ELSE 'NO_PROVENANCE_SIGNAL' END AS inference FROM facts)"""
 
 
 def _facts(s, d):
-    m = files(s, d).select(F.col("sha").alias("group_id"), "path", (F.col("doc_id") % 7 != 3).alias("present"))
+    i = F.col("doc_id")
+    top = F.element_at(F.array(*[F.lit(x) for x in ("", "Archive/", "work/", "Current/x/", "", "Takeout-1/", "work/", "")]), (i % 8 + 1).cast("int"))
+    path = F.concat(top, F.when(i % 3 == 0, F.col("path")).otherwise(F.regexp_replace("path", "_[0-9]+", "_n")))
+    m = files(s, d).select(F.col("sha").alias("group_id"), path.alias("path"), (i % 7 != 3).alias("present"))
     g = m.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return manifest.group_facts(m.join(g, "group_id", "left_semi"))
 
@@ -130,9 +167,10 @@ def d2_facts(s, d):
     return _facts(s, d)
 
 
-@query(f"WITH {_FACTS} SELECT group_id, inference, CASE WHEN inference IN ('STALE_GROUP', 'PARTLY_MISSING', 'UNDETERMINED') THEN 'LOW' WHEN inference = 'LIKELY_BACKUP' THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, shallowest FROM inf")
+@query(f"""WITH {_FACTS} SELECT group_id, inference, CASE WHEN inference = 'DIVERGENT_DATE_SIGNAL' THEN 'medium' ELSE 'low' END AS confidence, inference <> 'DIVERGENT_DATE_SIGNAL' AS review,
+CASE WHEN existing < 2 THEN 'PATHS_MISSING_IN_D2' WHEN len(dates) >= 2 THEN 'MULTIPLE_DISTINCT_DATE_TOKENS' WHEN len(dates) = 1 AND without_dates > 0 THEN 'SINGLE_DATE_TOKEN_PARTIAL_COVERAGE' WHEN inference = 'PARTIAL_DATE_OR_KEYWORD_SIGNAL' THEN 'HISTORICAL_KEYWORD_PRESENT,DEPTH_ASYMMETRY_WITH_KEYWORD' WHEN with_historical > 0 THEN 'HISTORICAL_KEYWORD_PRESENT' ELSE 'NO_DATE_OR_KEYWORD_SIGNAL' END AS evidence, shallowest FROM inf""")
 def d2_inference(s, d):
-    return manifest.infer(_facts(s, d)).select("group_id", "inference", "confidence", "shallowest")
+    return manifest.infer(_facts(s, d)).select("group_id", "inference", "confidence", "review", F.array_join("evidence", ",").alias("evidence"), "shallowest")
 
 
 @query(f"WITH {_FACTS} SELECT inference, count(*) AS n FROM inf GROUP BY inference")
@@ -141,7 +179,12 @@ def d2_inference_counts(s, d):
 
 
 _IDENT = FILES_SQL + """, ident AS (SELECT path, size, mtime, CASE WHEN size = 0 THEN 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'
-  WHEN doc_id % 3 = 0 THEN sha WHEN doc_id % 3 = 1 AND doc_id % 4 <> 0 AND mtime <= 30000 THEN sha ELSE 'unique:' || path END AS sha, doc_id % 5 = 0 AS in_archive, 'z' || CAST(doc_id % 15 AS VARCHAR) || '.zip' AS archive FROM files)"""
+  WHEN doc_id % 3 = 0 THEN sha WHEN doc_id % 3 = 1 AND doc_id % 4 <> 0 AND mtime <= 30000 THEN sha ELSE 'unique:' || path END AS sha, doc_id % 5 = 0 AS in_archive, 'z' || CAST(doc_id % 15 AS VARCHAR) || '.zip' AS archive FROM files), boxes AS (SELECT DISTINCT sha FROM files WHERE doc_id % 10 = 2)"""
+
+
+def _boxes(s, d):
+    """Archives that were opened."""
+    return files(s, d).where("doc_id % 10 = 2")
 
 
 def _ident(s, d):
@@ -152,26 +195,27 @@ def _ident(s, d):
 
 
 @query(f"""WITH {_IDENT}, c AS (SELECT sha, min(size) AS size, arg_min({_EXT}, [CAST(in_archive AS VARCHAR), path]) AS ext, count(*) FILTER (WHERE NOT in_archive) AS n_loose, count(*) FILTER (WHERE in_archive) AS n_archive FROM ident GROUP BY sha)
-SELECT *, CASE WHEN n_archive = 0 THEN 'loose_only' WHEN n_loose = 0 THEN 'archive_only' ELSE 'both' END AS presence FROM c""")
+SELECT *, CASE WHEN n_archive = 0 THEN 'loose_only' WHEN n_loose = 0 THEN 'archive_only' ELSE 'both' END AS presence, sha IN (SELECT sha FROM boxes) AS is_container, NOT starts_with(sha, 'unique:') AS known FROM c""")
 def content_manifest(s, d):
-    return manifest.contents(_ident(s, d))
+    return manifest.contents(_ident(s, d), _boxes(s, d))
 
 
 @query(f"WITH {_IDENT}, c AS (SELECT sha, min(size) AS size, arg_min({_EXT}, [CAST(in_archive AS VARCHAR), path]) AS ext FROM ident GROUP BY sha) SELECT ext, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM c GROUP BY ext ORDER BY bytes DESC, ext LIMIT 15")
 def bytes_by_type(s, d):
-    g = manifest.contents(_ident(s, d)).groupBy("ext").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    g = manifest.contents(_ident(s, d), _boxes(s, d)).groupBy("ext").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     return g.orderBy(F.desc("bytes"), "ext").limit(15)
 
 
 @query(f"""WITH {_IDENT}, r AS (SELECT sha, path, row_number() OVER (PARTITION BY sha ORDER BY in_archive, CAST(contains(lower(path), 'src1') AS INTEGER) + CAST(contains(lower(path), 'fr/') AS INTEGER),
-  regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\([0-9]+\\)|copy|~'), len(string_split(path, '/')), length(path), path) AS k, count(*) OVER (PARTITION BY sha) AS n FROM ident) SELECT sha, path AS keep_path, n FROM r WHERE k = 1""")
+  regexp_matches(regexp_extract(path, '[^/]*$'), '{DIRTY_SQL}'), len(string_split(path, '/')), length(path), path) AS k, count(*) OVER (PARTITION BY sha) AS n FROM ident WHERE sha NOT IN (SELECT sha FROM boxes)) SELECT sha, path AS keep_path, n, false AS junk FROM r WHERE k = 1""")
 def keep_location(s, d):
-    return manifest.best_location(_ident(s, d), ["src1", "fr/"])
+    return manifest.best_location(_ident(s, d), _boxes(s, d), ["src1", "fr/"])
 
 
-@query(f"""WITH {_IDENT}, l AS (SELECT DISTINCT sha FROM ident WHERE NOT in_archive) SELECT archive, count(*) AS files, count(DISTINCT CASE WHEN l.sha IS NULL THEN i.sha END) AS needed FROM ident i LEFT JOIN l USING (sha) WHERE in_archive GROUP BY archive""")
+@query(f"""WITH {_IDENT}, l AS (SELECT DISTINCT sha FROM ident WHERE NOT in_archive), e AS (SELECT archive, i.sha, count(*) AS n, min(size) AS size, bool_or(l.sha IS NULL) AS need FROM ident i LEFT JOIN l ON l.sha = i.sha WHERE in_archive AND size > 0 AND i.sha NOT IN (SELECT sha FROM boxes) GROUP BY ALL)
+SELECT archive, CAST(sum(n) AS BIGINT) AS files, count(*) FILTER (WHERE need) AS needed, CAST(coalesce(sum(size) FILTER (WHERE need), 0) AS BIGINT) AS needed_bytes FROM e GROUP BY archive""")
 def archive_verdict(s, d):
-    return manifest.archive_verdict(_ident(s, d))
+    return manifest.archive_verdict(_ident(s, d), _boxes(s, d))
 
 
 _KEPT = FILES_SQL + f""", kept AS (SELECT path, size, (doc_id * 7919) % 97 < 12 AND source <> 'src3' AS kept FROM files JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.operators import inventory, lookups
+from lodestack.operators.manifest import DIRTY
 from lodestack.plans.testdata import CHUNKS_SQL, FILES_SQL, chunks, files, table
 
 Q: dict = {}
@@ -27,13 +28,13 @@ def name_exclusions(s, d):
     return lookups.without_names(g, ["f1", ".mp4"]).select("sha")
 
 
-@query("""WITH h AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 5)
+@query("""WITH h AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
 SELECT query_id, chunk_id, round(1 - distance, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM h) WHERE rank <= 30 AND distance <= 0.8""")
 def relevance_cutoff(s, d):
     from lodestack.operators.retrieval import dense_topk
 
     e = table(s, d, "embeddings")
-    h = dense_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 30)
+    h = dense_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 30)
     return lookups.scored(lookups.within(h, 0.8)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -171,30 +172,26 @@ def reconciliation(s, d):
     return table(s, d, "events").select("event_id", lookups.reconciliation_problem(res, F.when(e % 2 == 0, "SUCCESS").otherwise("FAILED"), e % 5 == 0, there, unchanged).alias("problem"), lookups.recovery_outcome(there, unchanged)["result"].alias("recovered"))
 
 
-@query(f"WITH {FILES_SQL} SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha1(string_agg(regexp_extract(path, '[^/]*$') || chr(0) || sha, chr(0) ORDER BY regexp_extract(path, '[^/]*$'))) AS fingerprint, count(*) AS files FROM files WHERE size > 0 GROUP BY 1")
-def folder_fingerprints(s, d):
-    return lookups.folder_fingerprints(files(s, d))
-
-
-@query()
+@query(f"""WITH {CHUNKS_SQL} SELECT chunk_id, 'c' || CAST(chunk_id AS VARCHAR) || '-lex' AS lexical_id, 'c' || CAST(chunk_id AS VARCHAR) || '-sem' AS semantic_id FROM chunks
+WHERE length(content) >= 300 AND chunk_index > 0 ORDER BY sha256('7:' || CAST(chunk_id AS VARCHAR)), chunk_id LIMIT 20""")
 def drafting_sample(s, d):
     c = chunks(s, d)
     return lookups.drafting_sample(c, c.where("chunk_index = 0"), 20, 7)
 
 
-@query("""WITH h AS (SELECT a.vec_id AS q, b.vec_id AS c, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 5),
+@query("""WITH h AS (SELECT a.vec_id AS q, b.vec_id AS c, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, c) AS rank FROM h QUALIFY rank <= 5)
 SELECT q AS query_id, string_agg(CAST(rank AS VARCHAR) || ':' || CAST(c AS VARCHAR) || ':' || CAST(c % 100 AS VARCHAR), ',' ORDER BY rank) AS citations FROM r GROUP BY q""")
 def citations_projection(s, d):
     from lodestack.operators.retrieval import dense_topk
 
     e = table(s, d, "embeddings")
-    h = dense_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+    h = dense_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
     c = lookups.citations(lookups.scored(h.withColumn("document_id", F.col("chunk_id") % 100)))
     return c.select("query_id", F.array_join(F.transform("citations", lambda x: F.concat_ws(":", x["rank"], x["chunk_id"], x["document_id"])), ",").alias("citations"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN row_number() OVER (PARTITION BY size % 40 ORDER BY CAST(contains(path, 'src1') AS INTEGER), regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\([0-9]+\\)|copy|~'), len(string_split(path, '/')), length(path), path) = 1 THEN 'KEEP' ELSE 'REDUNDANT' END AS action FROM files""")
+@query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN row_number() OVER (PARTITION BY size % 40 ORDER BY CAST(contains(path, 'src1') AS INTEGER), regexp_matches(regexp_extract(path, '[^/]*$'), '{DIRTY}'), len(string_split(path, '/')), length(path), path) = 1 THEN 'KEEP' ELSE 'REDUNDANT' END AS action FROM files""")
 def folder_plan(s, d):
     from lodestack.operators.manifest import ranked_folders
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestack.functions import paths as P
 from lodestack.operators import audit, classify, conversations, ingest
 from lodestack.plans.testdata import FILES_SQL, files, table
 
@@ -26,12 +27,12 @@ def query(sql: str | None = None):
 _SRC = FILES_SQL + r""", src AS (SELECT doc_id, path, path AS root, CASE WHEN doc_id % 6 = 0 THEN 'in/m' || CAST(doc_id AS VARCHAR) || '.csv' END AS member, size * (1 + (doc_id % 13) * 40000) AS size, sha FROM files),
 sfx AS (SELECT *, regexp_replace(lower(regexp_extract(coalesce(member, root), '[^/]+(\.[^./]+)$', 1)), '^(\.[a-z0-9]+)_[0-9]+$', '\1') AS s, lower(regexp_extract(coalesce(member, root), '[^/]+(\.[^./]+)$', 1)) AS s0 FROM src),
 cat AS (SELECT *, CASE WHEN s IN ('.zip', '.7z', '.gz', '.rar') THEN 'ARCHIVE' ELSE 'LOOSE_FILE' END AS source_category FROM sfx),
-cls AS (SELECT *, CASE WHEN source_category = 'ARCHIVE' THEN 'CONTAINER' WHEN s = '.c9r' THEN 'ENCRYPTED' WHEN s IN ('.txt', '.md', '.pdf', '.docx', '.pptx') THEN 'TEXT_DOCUMENT' WHEN s IN ('.csv', '.json', '.xlsx', '.xml') THEN 'STRUCTURED_DATA'
-    WHEN s IN ('.jpg', '.jpeg', '.png', '.mp3', '.mp4', '.wav') THEN 'MEDIA' WHEN s IN ('.exe', '.msi', '.dll') THEN 'SOFTWARE' ELSE 'UNKNOWN' END AS workload_category,
+cls AS (SELECT *, CASE WHEN source_category = 'ARCHIVE' THEN 'CONTAINER' WHEN s = '.c9r' THEN 'ENCRYPTED' WHEN s IN ('.txt', '.md', '.pdf', '.docx', '.pptx') THEN 'TEXT_DOCUMENT' WHEN s IN ('.csv', '.json') THEN 'STRUCTURED_DATA'
+    WHEN s IN ('.mp4', '.jpg', '.jpeg', '.png', '.gif', '.mp3', '.mov', '.wav', '.m4a') THEN 'MEDIA' WHEN s IN ('.exe', '.dll', '.msi', '.apk', '.bin') THEN 'SOFTWARE' ELSE 'UNKNOWN' END AS workload_category,
   CASE WHEN source_category = 'ARCHIVE' THEN CASE WHEN size < 10000000 THEN 'LOW' WHEN size < 1000000000 THEN 'MEDIUM' WHEN size < 5000000000 THEN 'HIGH' ELSE 'EXTREME' END
     ELSE CASE WHEN size >= 500000000 THEN 'EXTREME' WHEN size >= 50000000 THEN 'HIGH' WHEN size >= 1000000 THEN 'MEDIUM' ELSE 'LOW' END END AS risk_tier,
   s IN ('.zip', '.7z') AS extractable,
-  CASE WHEN s0 = '.c9r' THEN 'EXCLUDED' WHEN s0 IN ('.exe', '.msi', '.dll', '.mp3', '.mp4', '.wav', '.jpg', '.jpeg', '.png', '.iso') THEN 'UNSUPPORTED' ELSE 'ELIGIBLE' END AS eligibility FROM cat)"""
+  CASE WHEN s0 = '.c9r' THEN 'EXCLUDED' WHEN s0 IN ('.bin', '.exe', '.dll', '.jpg', '.jpeg', '.png', '.gif', '.mp3', '.mp4', '.mov') THEN 'UNSUPPORTED' ELSE 'ELIGIBLE' END AS eligibility FROM cat)"""
 
 
 def _classified(s, d):
@@ -93,15 +94,39 @@ def first_match_exclusions(s, d):
     return _excluded(s, d).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_EXCL} SELECT top, CASE WHEN size > 5000 THEN 'large' WHEN size > 2000 THEN 'chunk_heavy' ELSE 'normal' END AS class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM x WHERE reason IS NULL GROUP BY ALL")
+@query(f"WITH {_EXCL} SELECT top, CASE WHEN size > 5000 THEN 'large' WHEN size > 2000 AND regexp_matches(path, '\\.(txt|md)$') THEN 'chunk_heavy' ELSE 'normal' END AS class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM x WHERE reason IS NULL GROUP BY ALL")
 def selection_groups(s, d):
-    f = _excluded(s, d).where("reason is null").withColumn("class", classify.size_class(F.col("size") * 10_000, F.col("size") * 500))
+    f = _excluded(s, d).where("reason is null").withColumn("class", classify.size_class(P.suffix(F.col("path")), F.col("size"), 5000, 2000))
     return f.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("top"), "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT doc_id % 7 AS batch_id, count(*) AS n, sha256('[' || string_agg('"' || path || '"', ',' ORDER BY path) || ']') AS fingerprint FROM files GROUP BY 1""")
+_ENVELOPE = '"envelope":{"max_embeddings":9,"max_extracted_bytes":null,"max_runtime_seconds":60,"max_source_bytes":1000,"max_source_instances":5},'
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT doc_id % 7 AS batch_id, path, CASE WHEN doc_id % 3 = 0 THEN 'm' || CAST(doc_id AS VARCHAR) END AS m FROM files)
+SELECT batch_id, count(*) AS n, sha256('{{"d0_report_sha256":"r",{_ENVELOPE}"ordering_version":"o1","selected_paths":[' ||
+  string_agg('{{"member_path":' || coalesce('"' || m || '"', 'null') || ',"root_t7_path":"' || path || '"}}', ',' ORDER BY path, coalesce(m, '')) || '],"selection_policy_version":"p1"}}') AS fingerprint FROM f GROUP BY 1""")
 def selection_fingerprint(s, d):
-    return classify.fingerprint(files(s, d).withColumn("batch_id", F.col("doc_id") % 7), ["batch_id"])
+    i = F.col("doc_id")
+    f = files(s, d).select((i % 7).alias("batch_id"), F.col("path").alias("root"), F.when(i % 3 == 0, F.concat(F.lit("m"), i.cast("string"))).alias("member"))
+    envelope = {"max_source_instances": 5, "max_source_bytes": 1000, "max_embeddings": 9, "max_runtime_seconds": 60}
+    return classify.fingerprint(f, ["batch_id"], "r", "p1", "o1", envelope)
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT doc_id, size * 20000 AS size, CASE doc_id % 11 WHEN 0 THEN 'other/' WHEN 1 THEN 'master/node_modules/' WHEN 2 THEN 'master/My Passwords/' ELSE 'master/' END || CASE doc_id % 13 WHEN 0 THEN replace(path, '/f', '/~$f') WHEN 1 THEN replace(path, '/f', '/Secret f') ELSE path END AS path, sha FROM files),
+e AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '[^/]+(\\.[^./]+)$', 1)) AS ext FROM f),
+x AS (SELECT *, CASE WHEN NOT starts_with(path, 'master/') THEN 'outside the master root' WHEN starts_with(path, 'master/src4/') THEN 'top-level folder excluded' WHEN starts_with(name, '~$') THEN 'office lock file'
+  WHEN contains(lower(name), 'secret') THEN 'sensitive-looking name' WHEN contains(path, '/node_modules/') THEN 'vendor or cache folder' WHEN doc_id % 23 = 0 THEN 'no recorded checksum'
+  WHEN size >= 50000000 THEN 'risk tier too high for the policy' END AS reason FROM e WHERE ext IN ('.txt', '.pdf', '.md', '.docx'))
+SELECT reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM x GROUP BY reason""")
+def master_selection(s, d):
+    i, p = F.col("doc_id"), F.col("path")
+    top = F.when(i % 11 == 0, "other/").when(i % 11 == 1, "master/node_modules/").when(i % 11 == 2, "master/My Passwords/").otherwise("master/")
+    name = F.when(i % 13 == 0, F.replace(p, F.lit("/f"), F.lit("/~$f"))).when(i % 13 == 1, F.replace(p, F.lit("/f"), F.lit("/Secret f"))).otherwise(p)
+    f = files(s, d).select(F.concat(top, name).alias("path"), (F.col("size") * 20000).alias("size"), F.when(i % 23 != 0, F.col("sha")).alias("sha"))
+    f = f.where(classify.selected_workload(P.suffix(p)).isNotNull())
+    x = classify.first_exclusion(f, classify.selection_rules("master", folders=("src4",)))
+    return x.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
 @query(f"""WITH {FILES_SQL}, c AS (SELECT doc_id, path AS root, CASE WHEN doc_id % 3 = 0 THEN 'm' END AS member FROM files) SELECT root, member FROM c WHERE NOT (doc_id % 4 = 0 AND doc_id % 5 <> 0 AND (doc_id % 2 = 0))""")
@@ -174,19 +199,35 @@ def audit_violations(s, d):
     return audit.violations(x, audit.audit_rules()).select("audit_id", "violations")
 
 
-@query(f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT doc_id % 40 AS plan_id FROM files), g AS (SELECT doc_id % 40 AS plan_id, bool_and(doc_id % 101 <> 0 AND doc_id % 103 <> 0) AS valid, count(*) FILTER (WHERE doc_id % 101 = 0 OR doc_id % 103 = 0) AS bad FROM files GROUP BY 1)
+@query(f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT doc_id % 40 AS plan_id FROM files), c AS (SELECT doc_id % 40 AS plan_id, doc_id < 36 AS canonical, doc_id % 101 <> 0 AND doc_id % 103 <> 0 AND doc_id % 107 <> 0 AND doc_id % 109 <> 0 AND doc_id % 113 <> 0 AND doc_id % 127 <> 0 AND regexp_matches(path, '[^/.]\\.[^./]+$') AS ok FROM files),
+g AS (SELECT plan_id, bool_and(ok) AND bool_or(canonical) AS valid, count(*) FILTER (WHERE NOT ok) AS bad FROM c GROUP BY 1)
 SELECT plan_id, valid, bad FROM p JOIN g USING (plan_id)""")
 def plan_validity(s, d):
-    f = files(s, d).withColumn("plan_id", F.col("doc_id") % 40)
-    scan = f.where("doc_id % 101 <> 0").select("path", "size", F.when(F.col("doc_id") % 103 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha"))
-    return audit.plan_validity(f.select("plan_id").distinct(), f.select("plan_id", "path", "size", "sha"), scan)
+    i = F.col("doc_id")
+    f = files(s, d).withColumn("plan_id", i % 40)
+    scan = f.where("doc_id % 101 <> 0").select("path", F.when(i % 127 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(i % 103 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha"))
+    now = f.where("doc_id % 107 <> 0").select(i.alias("document_id"), F.when(i % 109 == 0, F.lit("moved")).otherwise(F.col("path")).alias("source"), F.when(i % 113 == 0, F.lit("odd")).otherwise(F.upper(F.element_at(F.split("path", r"\."), -1))).alias("source_type"))
+    seen = f.select("plan_id", i.alias("document_id"), (i < 36).alias("canonical"), "path", "size", "sha")
+    return audit.plan_validity(f.select("plan_id").distinct(), seen, scan, now)
 
 
-@query("""WITH e AS (SELECT user_id AS group_id, ['EXTRACT', 'NORMALIZE', 'CHUNK', 'EMBED'][CAST(event_id % 4 AS INTEGER) + 1] AS stage, CASE WHEN event_id % 29 = 0 THEN 'FAILURE' WHEN event_id % 3 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS outcome FROM events WHERE event_id % 20 < user_id % 10)
-SELECT group_id, CASE WHEN bool_or(outcome = 'FAILURE') THEN 'FAILED' ELSE coalesce(['EXTRACTED', 'NORMALIZED', 'CHUNKED', 'INGESTED'][max(CASE WHEN outcome = 'SUCCESS' THEN list_position(['EXTRACT', 'NORMALIZE', 'CHUNK', 'EMBED'], stage) END)], 'NEW') END AS state FROM e GROUP BY group_id""")
+@query("""SELECT s_suppkey AS plan_id, CASE WHEN s_suppkey % 11 = 0 THEN 'review not found' WHEN s_suppkey % 3 = 1 THEN 'review not approved' WHEN s_suppkey % 5 = 2 THEN 'already authorized' WHEN s_suppkey % 4 <> 1 THEN 'no longer valid' END AS problem FROM supplier""")
+def authorization_problems(s, d):
+    k = F.col("s_suppkey")
+    sup = table(s, d, "supplier")
+    reviews = sup.where(k % 11 != 0).select(k.alias("review_id"), F.when(k % 3 == 1, "PENDING").otherwise("APPROVED").alias("status"))
+    auth = sup.where(k % 5 >= 2).select(k.alias("plan_id"), F.when(k % 5 == 2, "AUTHORIZED").otherwise("REVOKED").alias("status"))
+    valid = sup.where(k % 4 < 3).select(k.alias("plan_id"), (k % 4 == 1).alias("valid"))
+    return audit.authorization_problem(sup.select(k.alias("plan_id"), k.alias("review_id")), reviews, auth, valid)
+
+
+@query("""WITH e AS (SELECT event_id // 4 AS group_id, CAST(event_id % (1 + (event_id // 4) % 4) AS INTEGER) + 1 AS no, CASE WHEN event_id % 29 = 0 THEN 'FAILURE' WHEN event_id % 3 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS outcome, event_id % 5 < 3 AS done FROM events)
+SELECT group_id, CASE WHEN bool_or(outcome = 'FAILURE') THEN 'FAILED' ELSE ['EXTRACTED', 'NORMALIZED', 'CHUNKED', 'EMBEDDED', 'INGESTED'][coalesce(max(CASE WHEN outcome = 'SUCCESS' THEN no + CAST(no = 4 AND done AS INTEGER) END), 1)] END AS state FROM e GROUP BY group_id""")
 def state_from_attempts(s, d):
     e = F.col("event_id")
-    a = table(s, d, "events").where(e % 20 < F.col("user_id") % 10).select(F.col("user_id").alias("group_id"), F.get(F.array(*[F.lit(x) for x in audit.STAGES]), (e % 4).cast("int")).alias("stage"), F.when(e % 29 == 0, "FAILURE").when(e % 3 == 0, "SKIPPED").otherwise("SUCCESS").alias("outcome"))
+    g = F.floor(e / 4)
+    at = (e % (1 + g % 4)).cast("int")
+    a = table(s, d, "events").select(g.alias("group_id"), F.get(F.array(*[F.lit(x) for x in audit.STAGES]), at).alias("stage"), F.when(e % 29 == 0, "FAILURE").when(e % 3 == 0, "SKIPPED").otherwise("SUCCESS").alias("outcome"), F.when(e % 5 < 3, 0).otherwise(7).alias("chunks_left"))
     return audit.state_from_attempts(a)
 
 
@@ -209,9 +250,16 @@ def illegal_transitions(s, d):
     return audit.illegal_transitions(c)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'HARD_STOP' WHEN p_size < 15 THEN 'SOFT_STOP' ELSE 'NORMAL' END AS tier FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_size < 10 OR p_partkey % 100 < 5 THEN 'HARD_STOP' WHEN p_size < 15 OR p_partkey % 100 < 20 THEN 'SOFT_STOP' ELSE 'NORMAL' END AS tier FROM part")
 def resource_tiers(s, d):
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), audit.guard_tier(F.col("p_size"), 15, 10).alias("tier"))
+    disk, memory = audit.guard_tier(F.col("p_size"), 15, 10), audit.guard_tier(F.col("p_partkey") % 100, 20, 5)
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), audit.worse_tier(disk, memory).alias("tier"))
+
+
+@query("SELECT l_orderkey AS archive, CAST(sum(CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey ELSE l_partkey END) AS BIGINT) AS charged FROM lineitem GROUP BY 1")
+def extracted_bytes(s, d):
+    m = table(s, d, "lineitem").select(F.col("l_orderkey").alias("archive"), F.col("l_partkey").alias("estimate"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey")).alias("actual"))
+    return audit.corrected_bytes(m)
 
 
 @query("SELECT s_suppkey AS run_id FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey % 40 FROM customer WHERE c_custkey % 3 = 0 UNION SELECT c_custkey % 60 FROM customer WHERE c_custkey % 5 = 0 UNION SELECT 77)")
@@ -251,7 +299,7 @@ def recent_activity(s, d):
     return conversations.newest(table(s, d, "events"), "ts", "event_id", 100).select("event_id", "event_type")
 
 
-@query("""WITH cit AS (SELECT DISTINCT event_id AS message_id, unnest([user_id % 1000, value % 1, event_id % 700]) AS document_id FROM (SELECT event_id, user_id, 5 AS value FROM events WHERE event_id % 10 = 0)),
+@query("""WITH cit AS (SELECT DISTINCT event_id AS message_id, unnest([user_id % 1000, value % 1, event_id % 700]) AS document_id FROM (SELECT event_id, user_id, 5 AS value FROM events)),
 n AS (SELECT document_id, count(*) AS citing FROM cit GROUP BY 1)
 SELECT d.doc_id AS document_id, 'job' || CAST(d.doc_id % 12 AS VARCHAR) AS job, CAST(1 + greatest(ceil((length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) - 1000) / 800.0), 0) AS BIGINT) * CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AS BIGINT) AS chunks, coalesce(citing, 0) AS citing FROM documents d LEFT JOIN n ON n.document_id = d.doc_id""")
 def provenance_trace(s, d):
@@ -259,7 +307,7 @@ def provenance_trace(s, d):
 
     docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 12).alias("job_id"))
     jobs = s.range(12).select(F.col("id").alias("job_id"), F.concat(F.lit("job"), F.col("id").cast("string")).alias("job"))
-    e = table(s, d, "events").where("event_id % 10 = 0")
+    e = table(s, d, "events")
     ref = lambda c: F.struct(c.cast("long").alias("document_id"))
     msgs = e.select(F.col("event_id").alias("message_id"), F.array(ref(F.col("user_id") % 1000), ref(F.lit(0)), ref(F.col("event_id") % 700)).alias("citations"))
     return conversations.provenance_trace(docs, jobs, chunks(s, d), conversations.citing_messages(msgs)).select("document_id", "job", "chunks", "citing")

@@ -41,12 +41,24 @@ def exact_duplicate_plan(s, d):
     return p.select("content_hash", "doc_id", "keep_id", "n", "action", dedup.reason(F.col("n"), F.col("keep_id")).alias("reason"))
 
 
-@query("""
-SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) < 0.65""")
+# Every vector, and a copy of it that is a little off.
+_TWICE = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i = 1 + vec_id % 64 THEN x + 0.25 ELSE x END) FROM embeddings)"
+
+
+def _twice(s, d):
+    e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return e.unionByName(e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i == F.col("vec_id") % 64, x + 0.25).otherwise(x)).alias("embedding")))
+
+
+@query(f"WITH {_TWICE} SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(a.e, b.e) < 0.05")
 def near_duplicate_pairs(s, d):
-    p = dedup.near_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 0.65)
-    return p.select("a", "b", F.round("distance", 6).alias("distance"))
+    return dedup.near_pairs(_twice(s, d), "vec_id", "embedding", 0.05).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_TWICE} SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(a.e, b.e) < 0.05 ORDER BY 1 - list_cosine_similarity(a.e, b.e), a, b LIMIT 50")
+def near_duplicate_documents(s, d):
+    c = _twice(s, d).select(F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    return dedup.near_duplicate_documents(c).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, document_id, chunk_index, sha256(content) AS content_sha, length(content) AS chars FROM chunks")
@@ -87,14 +99,14 @@ tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 post AS (SELECT chunk_id, term, count(*) AS tf FROM toks GROUP BY ALL),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, tot GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark WHERE item_id < 8) GROUP BY ALL),
+asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL),
 score AS (SELECT query_id, p.chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM asked JOIN post p USING (term) JOIN idf USING (term) JOIN dl USING (chunk_id), tot GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM score)"""
 
 
 def _asked(s, d):
-    return table(s, d, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return table(s, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 20")
@@ -108,7 +120,7 @@ def bm25_positive_topk(s, d):
 
 
 _DENSE = """vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 8),
+qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
 dense AS (SELECT query_id, chunk_id, 1 - list_cosine_similarity(e, q) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(e, q), chunk_id) AS rank FROM vec, qs)"""
 
 
@@ -117,7 +129,7 @@ def _vectors(s, d):
 
 
 def _asked_vectors(s, d):
-    return table(s, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM dense WHERE rank <= 20")
@@ -125,18 +137,17 @@ def dense_topk(s, d):
     return retrieval.dense_topk(_vectors(s, d), _asked_vectors(s, d), 20).withColumn("distance", F.round("distance", 6))
 
 
-# Chunk i of the corpus takes vector i: the tables pair no text with a vector otherwise.
-_PAIRED = CHUNKS_SQL.replace("chunks AS", "allchunks AS") + ", chunks AS (SELECT vec_id AS chunk_id, document_id, content FROM embeddings JOIN allchunks ON document_id = vec_id AND chunk_index = 0)"
+# A document's chunks take the vector of its number: the tables pair no text with a vector otherwise.
+_PAIRED = CHUNKS_SQL.replace("chunks AS", "allchunks AS") + ", chunks AS (SELECT chunk_id, document_id, content, embedding FROM allchunks JOIN embeddings ON document_id = vec_id)"
 _HYBRID = _PAIRED + "," + _BM25.split(CHUNKS_SQL + ",", 1)[1] + "," + _DENSE + """,
 fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) AS best FROM (
   SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 50) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, CAST(chunk_id AS VARCHAR)) AS rank FROM fused)"""
-_HYBRID = _HYBRID.replace("vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "vec AS (SELECT c.chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN chunks c ON c.chunk_id = vec_id)")
+_HYBRID = _HYBRID.replace("vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "vec AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM chunks)")
 
 
 def _paired(s, d):
-    first = chunks(s, d).where("chunk_index = 0").select("document_id", "content")
-    return table(s, d, "embeddings").join(first, F.col("vec_id") == F.col("document_id")).select(F.col("vec_id").alias("chunk_id"), "document_id", "content", "embedding")
+    return chunks(s, d).join(table(s, d, "embeddings"), F.col("vec_id") == F.col("document_id")).select("chunk_id", "document_id", "content", "embedding")
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, chunk_id, score, best, rank FROM top WHERE rank <= 20")
@@ -145,25 +156,25 @@ def rrf_fusion(s, d):
     return retrieval.rrf([retrieval.dense_topk(c, _asked_vectors(s, d), 50), retrieval.bm25_topk(c, _asked(s, d), 50)], 20)
 
 
-@query(f"WITH {_HYBRID} SELECT t.query_id, t.chunk_id, t.rank, t.score, round(1 - list_cosine_similarity(e, q), 6) AS distance FROM top t JOIN vec USING (chunk_id) JOIN qs USING (query_id) WHERE t.rank <= 10")
+@query(f"WITH {_HYBRID} SELECT t.query_id, t.chunk_id, t.rank, t.score, round(1 - list_cosine_similarity(e, q), 6) AS distance FROM top t JOIN vec USING (chunk_id) JOIN qs USING (query_id) WHERE t.rank <= 10 AND t.query_id IN (SELECT item_id FROM benchmark)")
 def hybrid_topk(s, d):
     asked = _asked(s, d).join(_asked_vectors(s, d), "query_id")
     return retrieval.hybrid_topk(_paired(s, d), asked, 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("""
-WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id < 8),
+WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id % 100 = 0),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents)
 SELECT item_id AS query_id, doc_id, count(*) AS n_terms FROM q JOIN d USING (term) GROUP BY ALL""")
 def fulltext_or_match(s, d):
     terms = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))))
     q = _asked(s, d).select("query_id", terms("query").alias("term"))
     t = table(s, d, "documents").select("doc_id", terms("text").alias("term"))
-    return t.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    return retrieval.or_match(t, q).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 _METRICS = """
-rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+rel AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 200 = item_id),
 q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'semantic' END AS type FROM benchmark),
 arms AS (SELECT unnest(['a', 'b']) AS arm),
 ranked AS (
@@ -178,7 +189,7 @@ m AS (SELECT arm, q.query_id, type, coalesce(hits / n, 0) AS recall, coalesce(mr
 
 def _metrics(s, d):
     b, docs = table(s, d, "benchmark"), table(s, d, "documents")
-    rel = docs.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select(F.col("item_id").alias("query_id"), "doc_id")
+    rel = docs.select((F.col("doc_id") % 200).alias("query_id"), "doc_id").join(b.select(F.col("item_id").alias("query_id")), "query_id")
     q = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "lexical").otherwise("semantic").alias("type"))
     wide = rel.select("query_id", F.explode(F.array(F.lit(-2), F.lit(0), F.lit(3))).alias("k"), "doc_id").select("query_id", (F.col("doc_id") + F.col("k")).alias("document_id"), F.abs("k").alias("gap"))
     out = None
@@ -209,7 +220,7 @@ def paired_difference(s, d):
 @query()
 def bootstrap_decision(s, d):
     diff = evaluate.paired_difference(_metrics(s, d), "a", "b", "ndcg")
-    return evaluate.decision(evaluate.bootstrap(diff, ["type"], "difference"))
+    return evaluate.decision(evaluate.bootstrap(diff, ["type"], "difference", "query_id"), 0.02)
 
 
 @query("SELECT event_type, percentile_disc(0.05) WITHIN GROUP (ORDER BY value) AS p5, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM events GROUP BY event_type")

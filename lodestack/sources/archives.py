@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
 import zipfile
 import zlib
 from hashlib import sha256
@@ -13,14 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources.files import open_file
+
 MEMBERS = "archive string, member string, size long, compressed long, crc32 long, sha string, crc_ok boolean, depth int, status string"
-MAX_DEPTH, MAX_RATIO, MAX_MEMBER = 6, 1000, 1 << 30
+#: Nested archives that are opened, and how far a member may expand.
+MAX_DEPTH, MAX_RATIO = 6, 1000
+#: Bytes of a member in memory at once; nested archives beyond KEPT are spooled by their task.
+PIECE, KEPT = 1 << 20, 64 << 20
 
 
-def _members(archive: str, data: bytes, prefix: str, depth: int, hashes: bool):
+def _members(archive: str, file, prefix: str, depth: int, hashes: bool, most: int):
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-    except (zipfile.BadZipFile, NotImplementedError):
+        z = zipfile.ZipFile(file)
+    except (zipfile.BadZipFile, NotImplementedError, OSError, ValueError):  # Arrow's seek beyond a file's ends is a ValueError
         yield archive, prefix.rstrip("!"), None, None, None, None, None, depth, "error"
         return
     for i in z.infolist():
@@ -31,22 +37,30 @@ def _members(archive: str, data: bytes, prefix: str, depth: int, hashes: bool):
             yield archive, name, *row, None, None, depth, "encrypted"
         elif unsafe(i.filename):
             yield archive, name, *row, None, None, depth, "unsafe_path"
-        elif i.file_size > MAX_MEMBER or (i.file_size and (i.compress_size == 0 or i.file_size / i.compress_size > MAX_RATIO)):
+        elif i.file_size and (i.compress_size == 0 or i.file_size / i.compress_size > MAX_RATIO):
             yield archive, name, *row, None, None, depth, "expansion"
         elif not hashes:
             yield archive, name, *row, None, None, depth, "ok"
         else:
-            try:
-                body = z.read(i)
-            except (zipfile.BadZipFile, zlib.error, NotImplementedError):
-                yield archive, name, *row, None, False, depth, "error"
-                continue
-            yield archive, name, *row, sha256(body).hexdigest(), zlib.crc32(body) == i.CRC, depth, "ok"
-            if i.filename.lower().endswith(".zip"):
-                if depth >= MAX_DEPTH:
+            nested = i.filename.lower().endswith(".zip")
+            with tempfile.SpooledTemporaryFile(KEPT) as body:
+                sha, crc = sha256(), 0
+                try:
+                    with z.open(i) as f:
+                        while piece := f.read(PIECE):
+                            sha.update(piece)
+                            crc = zlib.crc32(piece, crc)
+                            if nested:
+                                body.write(piece)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
+                    yield archive, name, *row, None, False, depth, "error"
+                    continue
+                yield archive, name, *row, sha.hexdigest(), crc == i.CRC, depth, "ok"
+                if nested and depth >= most:
                     yield archive, name + "!", None, None, None, None, None, depth + 1, "max_depth"
-                else:
-                    yield from _members(archive, body, name + "!", depth + 1, hashes)
+                elif nested:
+                    body.seek(0)
+                    yield from _members(archive, body, name + "!", depth + 1, hashes, most)
 
 
 def unsafe(name: str) -> bool:
@@ -55,20 +69,28 @@ def unsafe(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in parts or bool(re.match(r"[A-Za-z]:", name))
 
 
-def archive_members(archives: DataFrame, hashes: bool = True) -> DataFrame:
-    """path, content of zip files -> their members, those of nested ones as ``outer.zip!inner/x``; hashes and CRC checks unless only listed.
+def archive_members(archives: DataFrame, hashes: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """path of zip files -> their members, those of nested ones as ``outer.zip!inner/x``; hashes and CRC checks unless only listed.
 
-    Members that would expand too far or leave the folder are reported and not read.
+    Archives and members may have any size: executors read them in pieces. Members that would expand
+    too far or leave the folder are reported and not read; an archive that cannot be opened is a row
+    of status ``error``.
     """
+    names = [c.split()[0] for c in MEMBERS.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                rows = list(_members(r.path, bytes(r.content), f"{r.path.rsplit('/', 1)[-1]}!", 1, hashes))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")])
-                yield out.astype({c: "Int64" for c in ("size", "compressed", "crc32")})
-
-    return archives.select("path", "content").mapInPandas(run, MEMBERS)
+            for path in pdf["path"]:
+                prefix = f"{path.rsplit('/', 1)[-1]}!"
+                try:
+                    store, at = open_file(path)
+                    with store.open_input_file(at) as f:
+                        rows = list(_members(path, f, prefix, 1, hashes, max_depth))
+                except OSError:
+                    rows = [(path, prefix.rstrip("!"), None, None, None, None, None, 1, "error")]
+                yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("size", "compressed", "crc32")})
+
+    return archives.select("path").mapInPandas(run, MEMBERS)
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import stat
+import zlib
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -61,12 +65,48 @@ class FileTreeReader(DataSourceReader):
                 yield (*row, None, None, None, depth, "error", type(e).__name__)
 
 
+HASHES = "path string, size long, sha string, crc32 long, changed boolean, error string"
+#: Bytes of a file in memory at once.
+PIECE = 8 << 20
+
+
+def open_file(path: str):
+    """A file of any store that Arrow knows, to be read in pieces: (file system, path in it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
 def content_hashes(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame:
-    """path, size, sha, crc32 of every file that is not empty, without those in ``done`` (path); one file is a row, read once."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0")
+    """path, size, sha, crc32, changed, error of every file that is not empty, without those in ``done`` (path).
+
+    Spark lists the files; executors read each in pieces, so files may have any size. ``changed``
+    marks files whose size or time differ before and after reading; a file that cannot be read has
+    an error and no hash, and fails nothing; one that is gone before its turn gives no row.
+    """
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root).where("length > 0").select("path", F.col("length").alias("size"))
     if done is not None:
         df = df.join(done.select("path"), "path", "left_anti")
-    return df.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha"), F.crc32("content").alias("crc32"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, size in zip(b["path"].to_pylist(), b["size"].to_pylist(), strict=True):
+                sha, crc = hashlib.sha256(), 0
+                try:
+                    store, at = open_file(path)
+                    before = store.get_file_info(at)
+                    with store.open_input_stream(at, compression=None) as f:
+                        while piece := f.read(PIECE):
+                            sha.update(piece)
+                            crc = zlib.crc32(piece, crc)
+                    after = store.get_file_info(at)
+                    rows.append((path, after.size, sha.hexdigest(), crc, (before.size, before.mtime_ns) != (after.size, after.mtime_ns) or after.size != size, None))
+                except OSError as e:
+                    rows.append((path, size, None, None, None, type(e).__name__))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())], names=[c.split()[0] for c in HASHES.split(", ")])
+
+    return df.mapInArrow(run, HASHES)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,10 +44,13 @@ def test_metrics_without_relevant(spark):
     assert m[2].ndcg == 0 and m[1].recall == 1 and m[1].mrr == 0.5
 
 
-def test_bootstrap_is_seeded(spark):
-    df = spark.createDataFrame([("a", float(i % 5)) for i in range(50)], "arm string, x double")
-    a, b = (evaluate.bootstrap(df, ["arm"], "x", 200).first() for _ in range(2))
-    assert a == b and a.low <= a.mean <= a.high
+def test_bootstrap_is_that_of_the_random_module(spark):
+    values = [float(i * 7 % 5) for i in range(50)]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(values)], "arm string, q long, x double").repartition(3)
+    got = evaluate.bootstrap(df, ["arm"], "x", "q", 200).first()
+    rng = random.Random(0)
+    means = sorted(sum(rng.choices(values, k=50)) / 50 for _ in range(200))
+    assert (got.mean, got.low, got.high) == (sum(values) / 50, means[5], means[194])
 
 
 def test_cache_reaches_embed_once(spark):
@@ -79,4 +84,4 @@ def test_export_and_restore(spark, tmp_path):
 
 def test_empty_files(spark):
     f = spark.createDataFrame([], "path string, size long, sha string, in_archive boolean, archive string")
-    assert inventory.exact_file_groups(f).count() == 0 and manifest.contents(f).count() == 0 and inventory.largest(f, 0).count() == 0
+    assert inventory.exact_file_groups(f).count() == 0 and manifest.contents(f, f).count() == 0 and inventory.largest(f, 0).count() == 0

@@ -22,7 +22,7 @@ def test_scans_read_what_is_needed(spark, sf_dir):
 
 def test_filters_are_pushed(spark, sf_dir):
     p = plan(QUERIES["dense_topk"](spark, sf_dir))
-    assert "LessThan(vec_id,8)" in p and "WindowGroupLimit" in p
+    assert "PushedFilters: [IsNotNull(embedding)]" in p and "WindowGroupLimit" in p and "CartesianProduct" not in p
 
 
 def test_no_cross_products_of_large_sides(spark, sf_dir):

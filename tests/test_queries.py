@@ -14,9 +14,20 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     same(QUERIES[name](spark, sf_dir), duck, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_bootstrap_decision(spark, sf_dir, duck):
+    """The one query without SQL, against the random module over the differences that SQL gives."""
+    import random
+
+    assert set(QUERIES) - set(ORACLE_SQL) == {"bootstrap_decision"}
+    rows = duck.execute(f"SELECT type, difference FROM ({ORACLE_SQL['paired_difference']}) ORDER BY query_id").fetchall()
+    bounds = {}
+    for kind in ("lexical", "semantic"):
+        values, rng = [x for t, x in rows if t == kind], random.Random(0)
+        means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(2000))
+        bounds[kind] = means[50], means[1949]
+    gain, loss = bounds["lexical"][0] > 0.02, bounds["semantic"][1] >= 0
+    r = QUERIES["bootstrap_decision"](spark, sf_dir).first()
+    assert (r.lexical_gain, r.no_semantic_loss, r.adopt) == (gain, loss, gain and loss)
 
 
 def test_entry(spark):

@@ -1,7 +1,10 @@
+import hashlib
 import io
 import zipfile
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.sources import archives, files
 
@@ -26,7 +29,35 @@ def test_scan_and_tree(spark, tmp_path):
     assert rows["a/x.txt"].kind == "file" and rows["a/x.txt"].depth == 2 and rows["link"].kind == "symlink" and "link/x.txt" not in rows
     (tmp_path / "link").unlink()  # Spark's own reader follows links
     h = files.content_hashes(spark, str(tmp_path)).collect()
-    assert [r["size"] for r in h] == [5]
+    assert [(r["size"], r.changed, r.error) for r in h] == [(5, False, None)] and h[0].sha == hashlib.sha256(b"hello").hexdigest() and h[0].crc32 == zlib.crc32(b"hello")
+    assert files.content_hashes(spark, str(tmp_path), spark.createDataFrame([(h[0].path,)], "path string")).count() == 0
+
+
+def test_hashes_read_in_pieces(spark, tmp_path, monkeypatch):
+    """A file of many pieces, and one that goes between listing and reading."""
+    data = bytes(range(256)) * 4000
+    (tmp_path / "big.bin").write_bytes(data)
+    (tmp_path / "gone.bin").write_bytes(b"x")
+    monkeypatch.setattr(files, "PIECE", 1000)
+    df = files.content_hashes(spark, str(tmp_path))
+    df.explain()  # the listing is made here
+    (tmp_path / "gone.bin").unlink()
+    got = {r.path.rsplit("/", 1)[1]: r for r in df.collect()}
+    assert set(got) == {"big.bin"} and got["big.bin"].sha == hashlib.sha256(data).hexdigest()
+
+
+def test_plan_and_report_files(spark, tmp_path):
+    plan = spark.createDataFrame([("a,b", 1)], "path string, n int")
+    files.write_plan(plan, str(tmp_path / "p"))
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "p"), "path string, n int").collect()] == [("a,b", 1)]
+    with pytest.raises(Exception, match="exist"):
+        files.write_plan(plan, str(tmp_path / "p"))
+    (tmp_path / "r.json").write_text('{"root": "/x", "groups": null}')
+    r = files.read_report(spark, str(tmp_path / "r.json"), "root string, groups array<string>, missing array<int>").first()
+    assert (r.root, r.groups, r.missing) == ("/x", [], [])
+    status = spark.createDataFrame([("ok",), ("max_depth",), ("encrypted",)], "s string")
+    got = [r.c for r in status.select(archives.failure_code(F.col("s")).alias("c")).collect()]
+    assert got[0] is None and (got[1].code, got[1].retryable) == ("MAX_DEPTH", False) and got[2].retryable
 
 
 def test_output_guard(tmp_path):
@@ -52,6 +83,8 @@ def test_archives(spark, tmp_path):
     assert rows["o.zip!i.zip!deep/f.txt"].crc_ok and rows["o.zip!i.zip!deep/f.txt"].depth == 2
     assert rows["o.zip!../evil"].status == "unsafe_path" and rows["o.zip!bomb"].status == "expansion"
     assert rows["bad.zip"].status == "error"
+    shallow = {r.member: r.status for r in archives.archive_members(archives.read_archives(spark, str(tmp_path)), max_depth=1).collect()}
+    assert shallow["o.zip!i.zip!"] == "max_depth"
 
 
 def test_text(spark, tmp_path):
