@@ -681,3 +681,18 @@ def test_boilerplate_inside_articles_and_split_bodies(spark):
     rows = [(100 * j + i, f"http://h{j}.org/{i}", page(b.format(i))) for j, b in enumerate((body, split)) for i in range(12)]
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"First {i} part {i}\nSecond {i} of {i}" for i in range(12)} | {100 + i: f"Start {i} with more {i} words\nEnd {i}" for i in range(12)}
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    """Without spark.checkpoint.dir a cluster is refused; one process gets a temporary folder."""
+    from types import SimpleNamespace
+
+    from lodestack.llm.common import shared_dir
+
+    held = {}
+    conf = SimpleNamespace(get=lambda k, d=None: held.get(k, d), set=held.__setitem__)
+    for master in ("local-cluster[3,2,5000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master)))
+    made = shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None, master="local[4]")))
+    assert made.startswith("file://") and held["spark.checkpoint.dir"] == made
