@@ -57,15 +57,35 @@ def provenance_trace(documents: DataFrame, jobs: DataFrame, chunks: DataFrame, c
     return j.withColumn("chunks", F.coalesce("chunks", F.lit(0))).withColumn("citing", F.coalesce("citing", F.lit(0)))
 
 
-def export_snapshot(messages: DataFrame, path: str) -> None:
-    """One JSON object a conversation; Spark's _SUCCESS mark, written last, plays the manifest's part."""
+#: Version of the snapshot's format.
+SNAPSHOT = 1
+_TURNS = "conv_id long, messages array<struct<turn:long,role:string,text:string>>"
+_MEMORIES = "memory_id long, content string"
+
+
+def export_snapshot(messages: DataFrame, path: str, memories: DataFrame | None = None) -> None:
+    """``path``/conversations (one JSON object a conversation) and ``path``/memories; the manifest, with version and counts, is written last."""
+    spark = messages.sparkSession
     g = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
-    g.write.mode("errorifexists").json(path)
+    g.write.mode("errorifexists").json(f"{path}/conversations")
+    kept = memories.select("memory_id", "content") if memories is not None else spark.createDataFrame([], _MEMORIES)
+    kept.write.mode("errorifexists").json(f"{path}/memories")
+    counts = [spark.read.schema(kind).json(f"{path}/{name}").count() for name, kind in (("conversations", _TURNS), ("memories", _MEMORIES))]
+    spark.createDataFrame([(SNAPSHOT, *counts)], "version int, conversations long, memories long").coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def restore_snapshot(spark, path: str, into: DataFrame) -> DataFrame:
-    """Messages of a snapshot, only where ``into`` is empty."""
+    """Messages of a snapshot, only where ``into`` is empty; a snapshot without a manifest, of another version or not whole is refused."""
     if not into.isEmpty():
         raise ValueError("restore needs empty tables")
-    rows = spark.read.schema("conv_id long, messages array<struct<turn:long,role:string,text:string>>").json(path)
+    m = spark.read.schema("version int, conversations long, memories long").json(f"{path}/manifest").first()
+    if m is None or m.version != SNAPSHOT:
+        raise ValueError("a snapshot of another version")
+    rows = spark.read.schema(_TURNS).json(f"{path}/conversations")
+    if rows.count() != m.conversations or restore_memories(spark, path).count() != m.memories:
+        raise ValueError("the snapshot is not whole")
     return rows.select("conv_id", F.explode("messages").alias("m")).select("conv_id", "m.*")
+
+
+def restore_memories(spark, path: str) -> DataFrame:
+    return spark.read.schema(_MEMORIES).json(f"{path}/memories")

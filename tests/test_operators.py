@@ -76,10 +76,17 @@ def test_lines_and_frames(spark):
 
 def test_export_and_restore(spark, tmp_path):
     m = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
-    conversations.export_snapshot(m, str(tmp_path / "s"))
+    conversations.export_snapshot(m, str(tmp_path / "s"), spark.createDataFrame([(5, "likes tea")], "memory_id long, content string"))
+    assert [tuple(r) for r in conversations.restore_memories(spark, str(tmp_path / "s")).collect()] == [(5, "likes tea")]
     assert conversations.restore_snapshot(spark, str(tmp_path / "s"), m.limit(0)).count() == 2
     with pytest.raises(ValueError):
         conversations.restore_snapshot(spark, str(tmp_path / "s"), m)
+    manifest_file = next((tmp_path / "s/manifest").glob("part-*"))
+    for bad in ('{"version":2,"conversations":1,"memories":1}', '{"version":1,"conversations":3,"memories":1}'):
+        (tmp_path / "s/manifest" / f".{manifest_file.name}.crc").unlink(missing_ok=True)
+        manifest_file.write_text(bad)
+        with pytest.raises(ValueError):
+            conversations.restore_snapshot(spark, str(tmp_path / "s"), m.limit(0))
 
 
 def test_empty_files(spark):

@@ -99,3 +99,20 @@ def test_text(spark, tmp_path):
     df = spark.createDataFrame([("a.txt", bytearray(b"hi"))], "path string, content binary")
     assert archives.extract_text(df).first().text == "hi"
     assert archives.safe_name("../a:b/" + "x" * 300 + ".txt").endswith("x.txt")
+
+
+def test_sqlite_table(spark, tmp_path):
+    import sqlite3
+
+    from lodestack.sources.sqlite import SqliteTable
+
+    c = sqlite3.connect(tmp_path / "x.db")
+    c.execute('CREATE TABLE "odd name" (path TEXT, size INTEGER, extra TEXT)')
+    c.executemany('INSERT INTO "odd name" VALUES (?, ?, ?)', [(f"p{i}", i if i % 7 else None, "z") for i in range(250)])
+    c.execute('CREATE TABLE empty (path TEXT)')
+    c.commit()
+    c.close()
+    spark.dataSource.register(SqliteTable)
+    df = spark.read.format("sqlitetable").schema("path string, size long").option("table", "odd name").option("rows", "100").load(str(tmp_path / "x.db"))
+    assert df.rdd.getNumPartitions() == 3 and sorted((r.path, r["size"]) for r in df.collect()) == sorted((f"p{i}", i if i % 7 else None) for i in range(250))
+    assert spark.read.format("sqlitetable").schema("path string").option("table", "empty").load(str(tmp_path / "x.db")).count() == 0
