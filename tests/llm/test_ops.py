@@ -696,3 +696,45 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
             shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master)))
     made = shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None, master="local[4]")))
     assert made.startswith("file://") and held["spark.checkpoint.dir"] == made
+
+
+def ordinal_loss(model_x, at, row, grades, n, used):
+    """Mean negative log-likelihood of the cumulative-link model with its ridge, written out."""
+    w, theta = model_x[:used], model_x[used:]
+    s = np.zeros(n)
+    np.add.at(s, row, w[at])
+    tail = lambda k: 1 / (1 + np.exp(-(s - theta[k])))
+    above = np.stack([np.ones(n), *(tail(k) for k in range(len(theta))), np.zeros(n)])
+    p = above[grades, np.arange(n)] - above[grades + 1, np.arange(n)]
+    return -np.log(np.maximum(p, 1e-300)).mean() + quality.RIDGE / 2 * (w**2).sum()
+
+
+def test_ordinal_fit_is_near_the_optimum(spark):
+    """By finite differences of a loss written out anew: the gradient at the fit is a small part of that at the start, and steps off it cost."""
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 400)
+    rows = []
+    for g in grades:
+        rows.append(np.unique(np.concatenate([rng.choice(6, 2) + 6 * g, rng.choice(18, 1)])).astype("i4"))
+    m = quality.fit(rows, grades)
+    used = np.flatnonzero(m.weights)
+    place = {b: i for i, b in enumerate(used)}
+    at = np.array([place[b] for r in rows for b in r if b in place])
+    row = np.array([i for i, r in enumerate(rows) for b in r if b in place])
+    loss = lambda x: ordinal_loss(x, at, row, grades, len(rows), len(used))
+
+    def gradient(x):
+        e = np.eye(len(x)) * 1e-5
+        return np.array([(loss(x + d) - loss(x - d)) / 2e-5 for d in e])
+
+    x = np.concatenate([m.weights[used].astype("f8"), m.thresholds])
+    start = np.concatenate([np.zeros(len(used)), [-3.0, -2.0]])
+    assert len(used) > 5 and np.linalg.norm(gradient(x)) < 0.02 * np.linalg.norm(gradient(start))
+    assert all(loss(x + d) > loss(x) for d in rng.normal(0, 0.3, (50, len(x))))
+    # Scores and tail probabilities are sums and sigmoids of what was fitted.
+    texts = [(1, "alpha beta"), (2, None), (3, "GAMMA!! gamma ## gamma gamma")]
+    full = quality.OrdinalModel(rng.normal(0, 1, quality.DIM).astype("f4"), np.array([-1.0, 0.5]))
+    for r in quality.score_quality(spark.createDataFrame(texts, "doc_id long, text string"), full).collect():
+        s = full.weights[quality.features(r.text)].astype("f8").sum()
+        p = [1 / (1 + np.exp(-(s - t))) for t in full.thresholds]
+        assert abs(r.p_not_toxic - p[0]) < 1e-6 and abs(r.p_good - p[1]) < 1e-6 and abs(r.expected_grade - sum(p)) < 1e-6
