@@ -136,6 +136,10 @@ def write_archive(pages: DataFrame, path: str) -> None:
     build_index(captures, path)
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def build_index(captures: DataFrame, path: str) -> None:
     """Sort captures (columns of INDEX; written) into compressed blocks in ``path``/index, and write their directory."""
     schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -173,7 +177,7 @@ def build_index(captures: DataFrame, path: str) -> None:
                 out.close()
 
     order = ["key", "file", "offset"]
-    n = max(1, -(-total // max(lines, TASK_CAPTURES)))
+    n = max(1, min(_partitions(captures.sparkSession), total // lines), -(-total // max(lines, TASK_CAPTURES)))
     blocks = captures.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(pack, "first_key string, last_key string, n long, bytes long, file string, offset long, length long")
     blocks.write.parquet(f"{path}/directory")
 
@@ -272,7 +276,7 @@ def find_captures(keys: DataFrame, path: str) -> DataFrame:
                     i += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate(schema.types)], schema=schema)
 
-    n = max(1, -(-sum(r.n for r in rows) // TASK_CAPTURES))
+    n = max(1, min(_partitions(keys.sparkSession), len(rows)), -(-sum(r.n for r in rows) // TASK_CAPTURES))
     return blocks_of(keys, path).repartition(n, "block").sortWithinPartitions("block", "key").mapInArrow(run, "file string, offset long, length long")
 
 
@@ -303,7 +307,7 @@ def read_records(entries: DataFrame, path: str, headers: bool = False) -> DataFr
 
     spark = entries.sparkSession
     size = spark.read.parquet(f"{path}/directory").agg(F.sum("bytes")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    n = max(_partitions(spark), -(-size // TASK_BYTES))
     piece = (F.col("offset") / SPAN).cast("long")
     got = entries.select("file", "offset", "length").repartition(n, "file", piece).sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
     return got if headers else got.drop("record_id")
