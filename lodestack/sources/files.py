@@ -25,7 +25,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 class FileTree(DataSource):
-    """``spark.read.format("filetree").load(root)``: metadata of a mounted tree, a partition a top-level entry.
+    """``spark.read.format("filetree").load(root)``: metadata of a mounted tree; a large folder is dealt out by its entries.
 
     Symbolic links are listed and not followed; what cannot be read is a row with an error, never a failure.
     """
@@ -42,27 +42,51 @@ class FileTree(DataSource):
 
 
 class FileTreeReader(DataSourceReader):
+    #: The driver opens folders, level by level, until it has so many entries; these make at most PARTS partitions.
+    ENTRIES, PARTS = 256, 1024
+
     def __init__(self, root: str):
         self.root = root
 
     def partitions(self):
-        return [InputPartition(n) for n in sorted(os.listdir(self.root))]
+        """Lists of (entry, whether everything below it belongs to the partition)."""
+        if not os.path.isdir(self.root):
+            raise NotADirectoryError(self.root)
+        found, level = [], sorted(os.listdir(self.root))
+        while level and len(found) + len(level) < self.ENTRIES:
+            below = []
+            for rel in level:
+                full = os.path.join(self.root, rel)
+                names = self._names(full) if os.path.isdir(full) and not os.path.islink(full) else None
+                found.append((rel, names is None))
+                below += [f"{rel}/{n}" for n in names or ()]
+            level = below
+        found += [(rel, True) for rel in level]
+        return [InputPartition(found[i :: self.PARTS]) for i in range(min(self.PARTS, len(found)))] or [InputPartition([])]
+
+    @staticmethod
+    def _names(full: str) -> list[str] | None:
+        try:
+            return sorted(os.listdir(full))
+        except OSError:  # its partition will say so
+            return None
 
     def read(self, partition):
-        todo = [partition.value]
-        while todo:
-            rel = todo.pop()
-            full = os.path.join(self.root, rel)
-            base, depth = os.path.basename(rel), rel.count("/") + 1
-            row = [rel, os.path.dirname(rel), base, os.path.splitext(base)[1].lower()]
-            try:
-                s = os.lstat(full)
-                kind = "symlink" if stat.S_ISLNK(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "file"
-                yield (*row, s.st_size, s.st_mtime, s.st_nlink, depth, kind, None)
-                if kind == "dir":
-                    todo += [f"{rel}/{n}" for n in sorted(os.listdir(full), reverse=True)]
-            except OSError as e:
-                yield (*row, None, None, None, depth, "error", type(e).__name__)
+        for entry, whole in partition.value:
+            todo = [entry]
+            while todo:
+                rel = todo.pop()
+                full = os.path.join(self.root, rel)
+                base, depth = os.path.basename(rel), rel.count("/") + 1
+                row = [rel, os.path.dirname(rel), base, os.path.splitext(base)[1].lower()]
+                try:
+                    s = os.lstat(full)
+                    kind = "symlink" if stat.S_ISLNK(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "file"
+                    yield (*row, s.st_size, s.st_mtime, s.st_nlink, depth, kind, None)
+                    if kind == "dir" and whole:
+                        todo += [f"{rel}/{n}" for n in sorted(os.listdir(full), reverse=True)]
+                except OSError as e:
+                    yield (*row, None, None, None, depth, "error", type(e).__name__)
 
 
 HASHES = "path string, size long, sha string, crc32 long, changed boolean, error string"

@@ -60,6 +60,22 @@ def test_plan_and_report_files(spark, tmp_path):
     assert got[0] is None and (got[1].code, got[1].retryable) == ("MAX_DEPTH", False) and got[2].retryable
 
 
+def test_large_folders_are_dealt_out(spark, tmp_path, monkeypatch):
+    for i in range(6):
+        (tmp_path / f"root/top/d{i}/e").mkdir(parents=True)
+        for j in range(8):
+            (tmp_path / f"root/top/d{i}/e/f{j}").write_text("x")
+    want = {str(p.relative_to(tmp_path / "root")) for p in (tmp_path / "root").rglob("*")}
+    for entries in (1, 4, 20, 10_000):
+        monkeypatch.setattr(files.FileTreeReader, "ENTRIES", entries)
+        r = files.FileTreeReader(str(tmp_path / "root"))
+        parts = r.partitions()
+        got = [row[0] for p in parts for row in r.read(p)]
+        assert sorted(got) == sorted(want) and len(parts) >= min(entries, len(want)) // 4
+    with pytest.raises(NotADirectoryError):
+        files.FileTreeReader(str(tmp_path / "none")).partitions()
+
+
 def test_output_guard(tmp_path):
     with pytest.raises(ValueError):
         files.check_output(str(tmp_path / "x/../y"), str(tmp_path))
