@@ -49,8 +49,8 @@ def _shingled(rows: DataFrame, lengths: list[int]) -> tuple[DataFrame, Column]:
 
 def _counts(docs: DataFrame, shingles: DataFrame, lengths: list[int]) -> DataFrame:
     """sh, seen: how often each of ``shingles`` (sh) begins in all documents."""
-    # Lower case of the whole text moves no word's border; matches are verified later, letter by letter.
-    h = F.concat(F.array(F.lit(0).cast("long")), F.transform(_words(F.lower("text")), lambda x: F.xxhash64(x)))
+    # Words are lower-cased one by one, as in the second pass: in a text, a sigma's form depends on what follows.
+    h = F.concat(F.array(F.lit(0).cast("long")), F.transform(_words(F.col("text")), lambda x: F.xxhash64(F.lower(x))))
     rows, sh = _shingled(docs.select(h.alias("h")).select("h", F.posexplode_outer("h").alias("pos", "_")), lengths)
     rows = rows.select(sh.alias("sh"))
     blocks = max(1, -(-shingles.count() // BLOCK))

@@ -60,7 +60,7 @@ def hits_brute(rows, items):
 
 def test_decontamination_brute(spark, monkeypatch):
     rng = random.Random(5)
-    vocab = "a b c d e f g É σς".split()
+    vocab = "a b c d e f g É σς ΑΣ'Α ΟΣ.".split()
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(1, text(20)), (2, text(13)), (3, text(3)), (4, ""), (5, None), (6, text(14).upper()), (2, text(13)), (7, "one")]
     rows = ODD + [(100 + i, f"{text(40)} {rng.choice(items)[1] or ''}!" if i % 2 else text(60)) for i in range(30)]
