@@ -21,7 +21,8 @@ K, S = 5, 2
 SKETCH = 64
 #: Words of more characters than this are read as their characters.
 LONG = 64
-#: Scripts that are written without blanks.
+# Scripts that are written without blanks, and ranges that hold them all (quick to test for).
+BEYOND = r"[\u0E00-\u109F\u1780-\u17FF\u19E0-\u19FF\u2E80-\x{10FFFF}]"
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: A bucket of neighbours holds 2 ** BITS consecutive ids.
 BITS = 9
@@ -31,7 +32,7 @@ TOP = 4096
 
 def _word_hashes(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    text = F.when(F.rlike(text, F.lit(UNSPACED)), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    text = F.when(F.rlike(text, F.lit(BEYOND)), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
     words = F.split(text, r"[\x20\x09-\x0D]+")
     letters = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
     words = F.when(F.exists(words, lambda w: F.length(w) > LONG), letters).otherwise(words)
