@@ -26,6 +26,8 @@ HEAVY = (".txt", ".md", ".json", ".csv")
 SENSITIVE = ("recovery key", "recovery-key", "recovery_key", "recovery kit", "recovery-kit", "recovery_kit", "password", "passwd", "credential", "secret", "private key", "private_key", "seed phrase", "backup code")
 VENDOR = r"(?i)/(node_modules|site-packages|\.venv|venv|\.git|__pycache__|\.cache|Cache|Code Cache|\.stversions|\.stfolder|dist-info|egg-info)/"
 MB, GB = 1_000_000, 1_000_000_000
+#: Rows of a range of paths that one task sums.
+RANGE = 1_000_000
 
 
 def source_category(suffix: Column) -> Column:
@@ -80,9 +82,9 @@ def stop_never_skip(candidates: DataFrame, most_bytes: int, most_files: int) ->
     """Path order; take rows up to the first one that would break a limit, none after it.
 
     Sizes are not negative, so running sums only grow. They are taken in two steps: within ranges
-    of paths, and over one row a range, so no task sorts everything.
+    of paths, and over one row a range, so no task sorts everything. Ranges hold about RANGE rows.
     """
-    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // RANGE))
     c = candidates.repartitionByRange(n, "path").withColumn("_r", F.spark_partition_id())
     w = Window.partitionBy("_r").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     inner = c.withColumn("_b", F.sum("size").over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
