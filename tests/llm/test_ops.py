@@ -673,6 +673,11 @@ def test_names_do_not_overrule_the_template(spark):
     rows = [(100 * j + i, f"http://h{j}.org/{i}", page(x.format(i, words("s", i), words("c", i)))) for j, x in enumerate((a, b)) for i in range(12)]
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\n{words('s', i)}" for i in range(12)} | {100 + i: words("s", i) for i in range(12)}
+    # A second large box beside an article is not part of it.
+    c = '<article><div class="x1"><p>{1}</p></div><div class="x3"><p>By {0}</p></div></article><div class="x2"><p>{2}</p></div>'
+    rows = [(i, f"http://h.org/{i}", page(c.format(i, words("c", i), words("s", i)))) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{words('c', i)}\nBy {i}" for i in range(12)}
 
 
 def test_boilerplate_inside_articles_and_split_bodies(spark):
