@@ -1,6 +1,6 @@
 """The numbered queries and their DuckDB SQL, for the driver's entry file."""
 
-from lodestack.llm import bpe, chat, decontaminate, html_extract, line_dedup, quality, simhash, syncmers, token_store, warc
+from lodestack.llm import bpe, chat, decontaminate, fim, html_extract, line_dedup, quality, simhash, syncmers, token_store, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_main_text": html_extract.op10_main_text,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_chat_format": chat.OP2_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
