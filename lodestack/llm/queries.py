@@ -1,6 +1,6 @@
 """The numbered queries and their DuckDB SQL, for the driver's entry file."""
 
-from lodestack.llm import bpe, chat, decontaminate, fim, html_extract, line_dedup, quality, simhash, spelling, syncmers, token_store, warc
+from lodestack.llm import bpe, chat, decontaminate, fim, html_extract, line_dedup, quality, simhash, spelling, suffix_dedup, syncmers, token_store, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_main_text": html_extract.op10_main_text,
+    "op11_repeated_strings": suffix_dedup.op11_repeated_strings,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
@@ -22,6 +23,7 @@ ORACLE_SQL = {
     "op2_chat_format": chat.OP2_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_repeated_strings": suffix_dedup.OP11_SQL,
     "op12_spelling_variants": spelling.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
