@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.vectors import near_pairs
+
 
 def exact_groups(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Values of ``key`` found more than once: key, n, first (least by ``order``); nulls are no group.
@@ -35,58 +35,14 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dimension(vectors: DataFrame, vector: str) -> int:
-    """The vectors' common size, or 0 where they have none or one too large to write out as a sum."""
-    least, most = vectors.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
-    return most if most and least == most and most <= 256 else 0
-
-
-def flat_dot(a: str, b: str, size: int) -> Column:
-    """``dot`` of vectors of a known size as one sum, which runs in generated code."""
-    if not size:
-        return dot(a, b)
-    total = F.get(a, F.lit(0)).cast("double") * F.get(b, F.lit(0)).cast("double")
-    for i in range(1, size):
-        total = total + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
-    return total
-
-
 def cosine_distance(a: str, b: str) -> Column:
     """1 - cosine; null where a vector is zero."""
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def unit(vector: str) -> Column:
-    """The vector divided by its length, in doubles; null for a zero vector."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
-
-
 def near_duplicate_documents(chunks: DataFrame, similarity: float = 0.95, limit: int = 50) -> DataFrame:
     """chunks (document_id, chunk_index, embedding) -> a, b, distance: the nearest ``limit`` pairs of documents by their first chunks (the limit is the feature)."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     first = chunks.where("chunk_index = 0").select("document_id", "embedding")
     return near_pairs(first, "document_id", "embedding", 1 - similarity).orderBy("distance", "a", "b").limit(limit)
-
-
-def near_pairs(vectors: DataFrame, ident: str, vector: str, below: float, axes: int = 2) -> DataFrame:
-    """All pairs a < b with cosine distance below ``below`` (strict), exactly.
-
-    Two vectors at an angle under theta differ by less than theta in their angle to any third. So
-    the angles to ``axes`` coordinate axes, in steps of theta, give cells, and near vectors lie in
-    the same or neighbouring cells: an equi-join on cells, whose condition then decides. The smaller
-    the distance asked for, the more cells there are.
-    """
-    v = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), unit(vector).alias("u")).where("u is not null")
-    size = dimension(vectors.where(F.col(vector).isNotNull()), vector)
-    theta = math.acos(max(-1.0, 1 - below)) + 1e-9
-    cell = [F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get("u", F.lit(i))))) / theta) for i in range(axes)]
-    left = v.select(F.col("id").alias("a"), F.col("u").alias("ua"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    right = v.select(F.col("id").alias("b"), F.col("u").alias("ub"), *[c.alias(f"d{i}") for i, c in enumerate(cell)])
-    for i in range(axes):
-        right = right.withColumn(f"d{i}", F.explode(F.array(*[F.col(f"d{i}") + F.lit(k) for k in (-1, 0, 1)])))
-    on = (F.col("a") < F.col("b")) & (1 - flat_dot("ua", "ub", size) < below)
-    for i in range(axes):
-        on = on & (F.col(f"c{i}") == F.col(f"d{i}"))
-    return left.join(right, on).select("a", "b", (1 - flat_dot("ua", "ub", size)).alias("distance"))

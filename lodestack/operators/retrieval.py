@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
-from lodestack.operators.dedup import cosine_distance, dimension, flat_dot, unit
+from lodestack.operators import vectors
+from lodestack.operators.dedup import cosine_distance
 
 #: The parameters of Okapi BM25 and of reciprocal-rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -38,14 +39,12 @@ def _ranked(df: DataFrame, k: int, *order) -> DataFrame:
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """chunks (chunk_id, embedding), queries (query_id, q) -> query_id, chunk_id, distance, rank.
 
-    An exact scan: the queries, in blocks of a counted size, are broadcast to all chunks. Chunks
-    without a vector are left out, k <= 0 gives nothing; a zero vector's distance is null. The
-    vectors are normalised once, and their product is generated code where all have one size.
+    An exact scan by products of blocks (``vectors.nearest``): a task gives k rows a query, which are
+    ranked after. Chunks without a vector, or with one of another size than the query's, are left out;
+    k <= 0 gives nothing; the distance to or of a zero vector is null and comes last.
     """
-    size = dimension(queries, "q")
-    v = chunks.where("embedding is not null").select("chunk_id", unit("embedding").alias("u"))
-    parts = [v.join(b, F.lit(True)).select("query_id", "chunk_id", (1 - flat_dot("u", "q", size)).alias("distance")) for b in _blocks(queries.select("query_id", unit("q").alias("q")), "query_id")]
-    return _ranked(_union(parts), k, "distance", "chunk_id")
+    hits = vectors.nearest(chunks if k > 0 else chunks.limit(0), queries, max(1, k))
+    return _ranked(hits, k, F.asc_nulls_last("distance"), "chunk_id")
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
