@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, written
+from lodestack.llm.common import BROADCAST_ROWS, read, slices, small, written
 
 GROUP_WORDS = 20_000
 #: Counts that a task holds before it passes them on: words, and their characters together.
@@ -129,6 +129,21 @@ def _nodes(vocab: DataFrame, first: int, last: int) -> DataFrame:
     return some.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Nodes:
+    """The trie's nodes of some depths: ``table`` (p, n), written. A depth's nodes are broadcast if there are few."""
+
+    def __init__(self, vocab: DataFrame, first: int, last: int):
+        self.table = written(_nodes(vocab, first, last), "trie-nodes")
+        self.count = {r.depth: r["count"] for r in self.table.groupBy(F.length("p").alias("depth")).count().collect()}
+
+    def some(self, df: DataFrame, *depths: int) -> DataFrame:
+        """``df``, made of the nodes of these depths, with a broadcast hint if they are few."""
+        return F.broadcast(df) if sum(self.count.get(k, 0) for k in depths) <= BROADCAST_ROWS else df
+
+    def at(self, depth: int, name: str) -> DataFrame:
+        return _level(self.table, depth, name)
+
+
 def _level(nodes: DataFrame, depth: int, name: str) -> DataFrame:
     """The nodes of a depth: ``name``, its parent ``up``, grandparent ``top``, last character ``c`` and the one before, ``d``."""
     p = F.col("p")
@@ -136,15 +151,16 @@ def _level(nodes: DataFrame, depth: int, name: str) -> DataFrame:
     return nodes.where(F.length("p") == depth).select(*cols)
 
 
-def _down(pairs: DataFrame | None, nodes: DataFrame, depth: int) -> DataFrame:
+def _down(pairs: DataFrame | None, nodes: Nodes, depth: int) -> DataFrame:
     """Active pairs (u, v) of the nodes at ``depth``, from those of their parents (and all parents that ``nodes`` has). v never begins with u."""
-    u, same, longer = _level(nodes, depth, "u"), _level(nodes, depth, "v"), _level(nodes, depth + 1, "v")
-    sibling = u.join(same.withColumnRenamed("c", "c2").select("v", "up", "c2"), "up").where("c < c2").select("u", "v")
-    inserted = u.select("u", "up", "c").join(longer.where("c <> d").select("v", F.col("top").alias("up"), "c"), ["up", "c"]).select("u", "v")
+    u, same, longer = nodes.at(depth, "u"), nodes.at(depth, "v"), nodes.at(depth + 1, "v")
+    sibling = u.join(nodes.some(same.select("v", "up", F.col("c").alias("c2")), depth), "up").where("c < c2").select("u", "v")
+    inserted = u.select("u", "up", "c").join(nodes.some(longer.where("c <> d").select("v", F.col("top").alias("up"), "c"), depth + 1), ["up", "c"]).select("u", "v")
     out = sibling.unionByName(inserted)
     if pairs is not None:
-        step = pairs.join(u.select("u", F.col("up").alias("pu"), "c"), pairs["u"] == F.col("pu")).select(F.col("pu"), pairs["v"].alias("up"), u["u"], "c")
-        out = out.unionByName(step.join(same.select("v", "up", "c").unionByName(longer.select("v", "up", "c")), ["up", "c"]).select("u", "v"))
+        step = pairs.withColumnsRenamed({"u": "pu", "v": "up"}).join(nodes.some(u.select("u", F.col("up").alias("pu"), "c"), depth), "pu").select("up", "u", "c")
+        partners = same.select("v", "up", "c").unionByName(longer.select("v", "up", "c"))
+        out = out.unionByName(step.join(nodes.some(partners, depth, depth + 1), ["up", "c"]).select("u", "v"))
     return out
 
 
@@ -191,27 +207,28 @@ def near_words(vocab: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     if shortest is None or shortest < 1:
         vocab = vocab.where("word <> ''")
         shortest = vocab.agg(F.min(F.length("word"))).first()[0] or 1
-    nodes, pairs = written(_nodes(vocab, 1, shortest + 1), "trie-nodes"), None
+    nodes, pairs = Nodes(vocab, 1, shortest + 1), None
     for depth in range(1, shortest + 1):
         pairs = written(_down(pairs, nodes, depth), "trie-pairs")
     depth, out, open_ = shortest, None, None
     while True:
-        here = nodes.where(F.length("p") == depth)
+        here = nodes.table.where(F.length("p") == depth)
         own = here.select(F.col("p").alias("u"), "n") if open_ is None else here.select(F.col("p").alias("u"), "n").join(open_, F.expr(f"left(u, {depth - 1})") == F.col("up"), "left_semi")
-        visitors = pairs.join(nodes.withColumnRenamed("p", "v"), "v").groupBy("u").agg(F.sum("n").alias("more"))
-        sizes = written(own.join(visitors, "u", "left").select("u", "n", (F.col("n") + F.coalesce("more", F.lit(0))).alias("total")), "trie-sizes")
+        visitors = pairs.join(nodes.some(nodes.table.withColumnRenamed("p", "v"), *nodes.count), "v").groupBy("u").agg(F.sum("n").alias("more"))
+        sizes = written(own.join(nodes.some(visitors, depth), "u", "left").select("u", "n", (F.col("n") + F.coalesce("more", F.lit(0))).alias("total")), "trie-sizes")
         # A single word without active nodes has no near word.
-        ready = sizes.where((F.col("total") <= group_words) & (F.col("total") > 1)).select("u")
+        ready = nodes.some(sizes.where((F.col("total") <= group_words) & (F.col("total") > 1)).select("u"), depth)
         groups = pairs.join(ready, "u", "left_semi").select("u", "v").unionByName(ready.select("u", F.col("u").alias("v")))
         made = _in_branches(groups, vocab, depth)
         out = made if out is None else out.unionByName(made)
-        large = written(sizes.where(F.col("total") > group_words).select("u"), "trie-large")
+        large = sizes.where(F.col("total") > group_words).select("u")
         if large.isEmpty():
             return out
+        large = small(large)
         # Words that end at a node that goes down meet those that end at its active nodes and children.
-        nodes = written(_nodes(vocab, depth + 1, depth + 2), "trie-nodes")
+        nodes = Nodes(vocab, depth + 1, depth + 2)
         on = pairs.join(large, "u", "left_semi").select("u", "v")
-        child = nodes.where(F.length("p") == depth + 1).select(F.expr(f"left(p, {depth})").alias("u"), F.col("p").alias("v"))
+        child = nodes.table.where(F.length("p") == depth + 1).select(F.expr(f"left(p, {depth})").alias("u"), F.col("p").alias("v"))
         met = on.unionByName(child.join(large, "u", "left_semi"))
         ended = met.join(vocab.select(F.col("word").alias("u"), F.col("n").alias("na")), "u").join(vocab.select(F.col("word").alias("v"), F.col("n").alias("nb")), "v")
         out = out.unionByName(ended.select(F.col("u").alias("a"), "na", F.col("v").alias("b"), "nb"))
@@ -232,12 +249,12 @@ def spelling_forms(vocab: DataFrame, near: DataFrame, times: int = 2) -> DataFra
     rows = written(rows, "forms")
     steps = written(rows.where("form is not null").select("word", F.col("form").alias("root")), "steps")
     while True:
-        on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
+        on = small(steps.select(F.col("word").alias("root"), F.col("root").alias("next")))
         after = written(steps.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "steps")
         steps = after.select("word", "root")
         if after.where("moved").isEmpty():
             break
-    return rows.join(steps, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.join(small(steps), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_variants(docs: DataFrame, min_chars: int = 5, min_count: int = 3, times: int = 2, group_words: int = GROUP_WORDS) -> DataFrame:
