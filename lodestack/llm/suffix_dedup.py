@@ -7,8 +7,9 @@ of a document overlap but share no window. An anchor found once rules all window
 Of the others, anchors whose pieces are all equal are settled by counts; pieces that differ are dealt
 by anchor, one copy of each, and a shard's suffix array (``suffix_array``: classes of suffixes, leftmost
 smaller substrings, induced order) with its permuted common prefixes gives the windows that come again.
-An anchor of more than HOT_PIECES different pieces is not dealt to one task: its windows are dealt by
-their own hashes and counted.
+An anchor of more than HOT_PIECES different pieces is not dealt to one task: one copy of each is cut
+again by longer anchors, of which each piece has several, until anchors are as long as windows; such
+pieces are single windows, and those of an anchor are all equal.
 """
 
 from __future__ import annotations
@@ -88,8 +89,11 @@ def pieces_of(data: np.ndarray, starts: np.ndarray, length: int, anchor: int):
     return which, first - starts[which], last - first + length, h[at[first]]
 
 
-def _pieces(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """doc_id, th, at, size, a (hash of the anchor), c (hash of the whole piece) of all pieces; long texts are taken in parts that overlap by a window."""
+def _pieces(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """``texts`` (doc_id, th, base, data: bytes that begin at ``base`` of a text) -> doc_id, th, at, size, a (hash of the anchor), c (hash of the whole piece) of all pieces.
+
+    Long texts are taken in parts that overlap by a window.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("a", pa.int64()), ("c", pa.int64())])
     most = SLICE_BYTES
 
@@ -108,11 +112,11 @@ def _pieces(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def run(batches):
         for b in slices(batches, rows=2000, most=most):
             held, total = [], 0
-            for d, h, t in zip(b["doc_id"].to_pylist(), b["th"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                n = len(t or b"")
+            for d, h, base, t in zip(*(b[x].to_pylist() for x in ("doc_id", "th", "base", "data")), strict=True):
+                n = len(t)
                 for off in range(0, max(0, n - length + 1), most):
                     part = t[off : off + most + length - 1]
-                    held.append((d, h, off, part))
+                    held.append((d, h, base + off, part))
                     total += len(part)
                     if total >= most:
                         yield made(*zip(*held, strict=True))
@@ -120,26 +124,30 @@ def _pieces(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             if held:
                 yield made(*zip(*held, strict=True))
 
-    return docs.select(*_KEY, "text").mapInArrow(run, "doc_id long, th long, at long, size int, a long, c long")
+    return texts.select(*_KEY, "base", "data").mapInArrow(run, "doc_id long, th long, at long, size int, a long, c long")
 
 
 def _same(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-def _with_bytes(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``reps`` (a, c, doc_id, th, at, size) with their bytes."""
+def _with_bytes(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """``reps`` (a, c, doc_id, th, at, size) with their bytes out of ``texts`` (doc_id, th, base, data)."""
     schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
     need = reps.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "size", "a", "c")).alias("need"))
-    rows = docs.select(*_KEY, "text").alias("x").join(small(written(need, "wanted"), 20_000).alias("y"), _same("x", "y")).select("x.*", "y.need")
+    rows = texts.alias("x").join(need.alias("y"), _same("x", "y")).select("x.*", "y.need")
 
     def run(batches):
         for b in slices(batches, rows=2000, most=4 << 20):
-            for d, h, t, need in zip(b["doc_id"].to_pylist(), b["th"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["need"], strict=True):
+            for d, h, base, t, need in zip(*(b[x].to_pylist() for x in ("doc_id", "th", "base", "data")), b["need"], strict=True):
                 x = need.values.flatten()
-                at, size = x[0].to_numpy(), x[1].to_numpy()
-                data = pa.array([t[i:j] for i, j in zip(at.tolist(), (at + size).tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([x[2], x[3], pa.array([d] * len(at), pa.int64()), pa.array([h] * len(at), pa.int64()), x[0], data], schema=schema)
+                first = x[0].to_numpy() - base
+                last = first + x[1].to_numpy()
+                # Texts in parts: a piece lies in one of them.
+                i = pa.array(np.flatnonzero((first >= 0) & (last <= len(t))))
+                first, last = first[i], last[i]
+                data = pa.array([t[p:q] for p, q in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([x[2].take(i), x[3].take(i), pa.array([d] * len(i), pa.int64()), pa.array([h] * len(i), pa.int64()), x[0].take(i), data], schema=schema)
 
     return rows.mapInArrow(run, "a long, c long, doc_id long, th long, at long, data binary")
 
@@ -184,45 +192,34 @@ def _shard_spans(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("a").sortWithinPartitions("a", "c").mapInArrow(run, _SPAN_DDL)
 
 
-def _hot_spans(pieces: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows of anchors with many different pieces: windows are counted by (anchor, own hash), 128 bits together."""
-    schema = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64())])
+def longer_anchor(length: int, anchor: int) -> int:
+    """The next anchor's size: a quarter of the places are left, and at last one."""
+    return length if length - anchor <= 8 else length - (length - anchor) // 4
 
-    def run(batches):
-        from xxhash import xxh3_64_intdigest
 
-        for b in slices(batches, rows=1000):
-            i, at, h = [], [], []
-            for k, (first, data) in enumerate(zip(b["at"].to_pylist(), b["data"].to_pylist(), strict=True)):
-                n = len(data) - length + 1
-                i += [k] * n
-                at += range(first, first + n)
-                h += [xxh3_64_intdigest(data[j : j + length]) for j in range(n)]
-            pick = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["a"].take(pick), pa.array(np.array(h, "u8").view("i8")), b["c"].take(pick), b["doc_id"].take(pick), b["th"].take(pick), pa.array(at, pa.int64())], schema=schema)
-
-    one = pieces.groupBy("a", "c").agg(F.first(F.struct("doc_id", "th", "at", "data")).alias("x")).select("a", "c", "x.*")
-    windows = written(one.select("a", "c", "doc_id", "th", "at", "data").mapInArrow(run, "a long, h long, c long, doc_id long, th long, start long"), "windows")
-    again = small(written(windows.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "h"), "again"))
-    return windows.join(again, ["a", "h"], "left_semi").select(*_KEY, "start", (F.col("start") + length).alias("end"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_pieces: int = HOT_PIECES) -> DataFrame:
-    """``docs`` (doc_id, th, text) -> doc_id, th, start, end in bytes: spans that together cover every ``length`` bytes that also start elsewhere. Spans may overlap."""
-    found = written(_pieces(docs, length, anchor), "pieces")
+def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_pieces: int = HOT_PIECES) -> DataFrame:
+    """``texts`` (doc_id, th, base, data: bytes that begin at ``base`` of a text) -> doc_id, th, start, end: spans that together cover every ``length`` bytes that also start elsewhere. Spans may overlap.
+
+    Rows of one (doc_id, th, base) are copies of each other. Joins are by shuffle at any size: all sides grow with the texts.
+    """
+    found = written(_pieces(texts, length, anchor), "pieces")
     counts = found.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
-    counts = small(written(counts.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors"))
-    hits = written(found.join(counts, "a"), "hits")
+    hits = written(found.join(counts.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "a"), "hits")
     whole = [*_KEY, F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end")]
-    mixed = hits.where("mixed")
+    out, mixed = hits.where("not mixed").select(*whole), hits.where("mixed")
+    if anchor == length:  # pieces are windows: equal anchors, equal pieces
+        return out.unionByName(mixed.select(*whole))
     reps = mixed.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at", "size")).alias("r"))
     reps = written(reps.select("a", "c", "n", "r.*"), "different-pieces")
-    several = small(written(reps.where("n > 1").select("a", "c"), "several"))
-    hot = small(written(reps.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_pieces).select("a"), "hot-anchors"))
-    bytes_ = written(_with_bytes(docs, reps), "piece-bytes")
-    out = hits.where("not mixed").select(*whole).unionByName(mixed.join(several, ["a", "c"], "left_semi").select(*whole))
-    out = out.unionByName(_shard_spans(bytes_.join(hot, "a", "left_anti"), length))
-    return out.unionByName(_hot_spans(bytes_.join(hot, "a", "left_semi"), length))
+    out = out.unionByName(mixed.join(reps.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(*whole))
+    hot = written(reps.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_pieces).select("a"), "hot-anchors")
+    pieces = written(_with_bytes(texts, reps), "piece-bytes")
+    if hot.isEmpty():
+        return out.unionByName(_shard_spans(pieces, length))
+    hot = small(hot)
+    out = out.unionByName(_shard_spans(pieces.join(hot, "a", "left_anti"), length))
+    again = pieces.join(hot, "a", "left_semi").groupBy("a", "c").agg(F.first(F.struct("doc_id", "th", F.col("at").alias("base"), "data")).alias("x")).select("x.*")
+    return out.unionByName(repeated_spans(written(again, "hot-pieces"), length, longer_anchor(length, anchor), hot_pieces))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_pieces: int = HOT_PIECES) -> DataFrame:
@@ -238,10 +235,10 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ho
     if not 0 < anchor <= length:
         raise ValueError("anchor must be from 1 to length")
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= length)
+    texts = docs.where(F.octet_length("text") >= length).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("data"))
     spans = repeated_spans(texts, length, anchor, hot_pieces).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     spans = written(spans.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), "spans")
-    rows = docs.join(small(spans, 20_000), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_id", "_th")
+    rows = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_id", "_th")
     cols = docs.columns
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_bytes long", "n_removed long", "spans array<struct<start:bigint,end:bigint>>", "kept binary"]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
