@@ -53,7 +53,7 @@ def term_stats(chunks: DataFrame) -> DataFrame:
     One pass over the chunks: each gives its distinct terms and a row of its own, which combine
     before the shuffle.
     """
-    w = chunks.select(tokens(F.col("content")).alias("w"))
+    w = chunks.select(tokens(F.coalesce("content", F.lit(""))).alias("w"))
     rows = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("w").cast("long").alias("n"))), F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("n"))))
     return w.select(F.explode_outer(rows).alias("r")).groupBy("r.term").agg(F.count(F.lit(1)).alias("df"), F.sum("r.n").alias("tokens"))
 
