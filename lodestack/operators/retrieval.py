@@ -103,10 +103,14 @@ def rrf(ranked: list[DataFrame], k: int, item: str = "chunk_id") -> DataFrame:
     return _ranked(f, k, F.desc("score"), "best", F.col(item).cast("string"))
 
 
-def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, query, q): each arm gives max(POOL, k) candidates, fused; every hit has its real distance."""
+def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int, lexical=None) -> DataFrame:
+    """queries (query_id, query, q): each arm gives max(POOL, k) candidates, fused; every hit has its real distance.
+
+    ``lexical`` (queries, k) -> ranked hits takes the place of the scan by BM25, as ``search_index.search`` does.
+    """
     pool = max(POOL, k)
-    fused = rrf([dense_topk(chunks, queries.select("query_id", "q"), pool), bm25_topk(chunks, queries.select("query_id", "query"), pool)], k)
+    asked = queries.select("query_id", "query")
+    fused = rrf([dense_topk(chunks, queries.select("query_id", "q"), pool), lexical(asked, pool) if lexical else bm25_topk(chunks, asked, pool)], k)
     back = fused.join(queries.select("query_id", "q"), "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id")
     return back.select("query_id", "chunk_id", "rank", "score", cosine_distance("embedding", "q").alias("distance"))
 

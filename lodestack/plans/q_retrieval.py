@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import dedup, evaluate, retrieval
+from lodestack.operators import dedup, evaluate, retrieval, search_index
+from lodestack.operators.shared import shared_dir
 from lodestack.plans.testdata import CHUNKS_SQL, chunks, table
 
 Q: dict = {}
@@ -109,14 +112,25 @@ def _asked(s, d):
     return table(s, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(s, d, c, name="chunks"):
+    """The application's index of these chunks: written by the first query that asks, used while its signature holds."""
+    return search_index.current_index(c, f"{shared_dir(s)}/search-{name}-{s.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}")
+
+
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 20")
 def bm25_topk(s, d):
+    return search_index.search(_index(s, d, chunks(s, d)), _asked(s, d), 20)
+
+
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 20")
+def bm25_scan_topk(s, d):
+    """Without an index: two passes over the chunks."""
     return retrieval.bm25_topk(chunks(s, d), _asked(s, d), 20)
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM score WHERE score > 0 QUALIFY rank <= 10")
 def bm25_positive_topk(s, d):
-    return retrieval.bm25_topk(chunks(s, d), _asked(s, d), 10, positive=True)
+    return search_index.search(_index(s, d, chunks(s, d)), _asked(s, d), 10, positive=True)
 
 
 _DENSE = """vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -153,13 +167,22 @@ def _paired(s, d):
 @query(f"WITH {_HYBRID} SELECT query_id, chunk_id, score, best, rank FROM top WHERE rank <= 20")
 def rrf_fusion(s, d):
     c = _paired(s, d)
-    return retrieval.rrf([retrieval.dense_topk(c, _asked_vectors(s, d), 50), retrieval.bm25_topk(c, _asked(s, d), 50)], 20)
+    return retrieval.rrf([retrieval.dense_topk(c, _asked_vectors(s, d), 50), search_index.search(_index(s, d, c, "paired"), _asked(s, d), 50)], 20)
 
 
 @query(f"WITH {_HYBRID} SELECT t.query_id, t.chunk_id, t.rank, t.score, round(1 - list_cosine_similarity(e, q), 6) AS distance FROM top t JOIN vec USING (chunk_id) JOIN qs USING (query_id) WHERE t.rank <= 10 AND t.query_id IN (SELECT item_id FROM benchmark)")
 def hybrid_topk(s, d):
     asked = _asked(s, d).join(_asked_vectors(s, d), "query_id")
-    return retrieval.hybrid_topk(_paired(s, d), asked, 10).withColumn("distance", F.round("distance", 6))
+    c = _paired(s, d)
+    index = _index(s, d, c, "paired")
+    return retrieval.hybrid_topk(c, asked, 10, lambda q, k: search_index.search(index, q, k)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS n FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS term FROM chunks) GROUP BY term")
+def index_terms(s, d):
+    """The index's dictionary: chunks and occurrences of each term."""
+    p = _index(s, d, chunks(s, d)).postings().where("term <> ''")
+    return p.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
 
 
 @query("""
@@ -231,7 +254,7 @@ def latency_percentiles(s, d):
 @query(f"WITH {_BM25}, best AS (SELECT query_id, document_id, min(rank) AS best FROM bm JOIN chunks USING (chunk_id) WHERE rank <= 50 GROUP BY ALL) SELECT query_id, document_id, best, row_number() OVER (PARTITION BY query_id ORDER BY best, document_id) AS rank FROM best")
 def document_ranking(s, d):
     c = chunks(s, d)
-    return retrieval.rank_documents(retrieval.bm25_topk(c, _asked(s, d), 50), c.select("chunk_id", "document_id"))
+    return retrieval.rank_documents(search_index.search(_index(s, d, c), _asked(s, d), 50), c.select("chunk_id", "document_id"))
 
 
 @query(r"""
