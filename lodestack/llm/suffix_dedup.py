@@ -204,7 +204,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     found = written(_pieces(texts, length, anchor), "pieces")
     counts = found.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
-    hits = written(found.join(counts.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "a"), "hits")
+    # Written, so that the join shuffles both sides and AQE can split a hot anchor.
+    counts = written(counts.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    hits = written(found.join(counts, "a"), "hits")
     whole = [*_KEY, F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end")]
     out, mixed = hits.where("not mixed").select(*whole), hits.where("mixed")
     if anchor == length:  # pieces are windows: equal anchors, equal pieces
