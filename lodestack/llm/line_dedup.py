@@ -1,34 +1,30 @@
 """Operator 9: line dedup with two Bloom filters.
 
-Every task hashes the distinct line keys of each document; the hashes (8 bytes each, repeats within
-a task noted by a flag) are dealt by range. The task of a range holds its own pair of bit arrays,
-seen once and seen twice, so each pair has a fixed size at any size of the input. A key in a second
-array is a suspect. Second arrays that together have up to 2 ** MOST_BITS bits are broadcast for the
-search; beyond, each range gives its suspected hashes and lines meet them by a join. Only suspected
-lines go on to be counted exactly and, where one copy is to stay, to find the first place. The
-filters err on one side only: a line that is found in two documents is always a suspect, so results
-are exact at any load.
+Every task hashes the distinct line keys of each document (128 bits). Keys that it meets more than once
+are repeats already and go on as counts. The others are dealt by range of hash, with their place. The
+task of a range holds its own pair of bit arrays, seen once and seen twice, of a fixed size at any size
+of the input; they never leave the task. A key in the second array is a suspect. Only suspected repeats
+go on, as hashes and counts, to be confirmed exactly and to find the first place; texts stay where they
+are. The filters err on one side only: a line that is found twice is always a suspect, so results are
+exact at any load.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, small, written
+from lodestack.llm.common import read, slices, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lines of a range, and bits of its arrays for each line; there are LEAST_RANGES ranges at least.
-RANGE_LINES, LINE_BITS, LEAST_RANGES = 1 << 22, 16, 64
-#: Second arrays of all ranges are broadcast up to so many bits together (64 MB).
-MOST_BITS = 29
-#: Line keys to drop are broadcast up to this many rows and bytes; more are joined by a shuffle.
-KEYS, KEY_BYTES = 300_000, 32 << 20
-FLUSH = 2_000_000
+RANGE_LINES, LINE_BITS, LEAST_RANGES = 1 << 20, 16, 64
+#: Line keys to drop (16 bytes each) are broadcast up to this many; more are joined by a shuffle.
+KEYS = 300_000
+#: Lines that a task gathers before it tells repeats from others.
+FLUSH = 1_000_000
 
 
 def keys_of(text: str | None) -> list[bytes]:
@@ -36,10 +32,10 @@ def keys_of(text: str | None) -> list[bytes]:
     return [x.strip(WHITE) for x in (text or "").encode().lower().split(b"\n")]
 
 
-def _hash(keys) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
+def _digests(keys) -> list[bytes]:
+    from xxhash import xxh3_128_digest
 
-    return np.array([xxh3_64_intdigest(k) for k in keys], "<u8")
+    return [xxh3_128_digest(k) for k in keys]
 
 
 class Ranges:
@@ -67,117 +63,115 @@ class Ranges:
             np.bitwise_or.at(array, b >> 3, (1 << (b & 7)).astype("u1"))
 
 
-def _filtered(docs: DataFrame, ranges: Ranges, give) -> DataFrame:
-    """Each range's rows as ``give`` makes them of (range, second array, hashes seen): one range in memory at a time."""
-    schema = pa.schema([("range", pa.int32()), ("h", pa.binary()), ("again", pa.binary())])
+def _first_lines(text: str | None) -> dict[bytes, int]:
+    """The place of the first line of each key that is not empty."""
+    first: dict[bytes, int] = {}
+    for i, k in enumerate(keys_of(text)):
+        if k:
+            first.setdefault(k, i)
+    return first
+
+
+_LINE = pa.schema([("range", pa.int32()), ("h", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("lines", pa.list_(pa.int32()))])
+_LINE_DDL = "range int, h binary, n long, ids array<bigint>, lines array<int>"
 
-    def note(batches):
-        held, n = [], 0
+
+def line_rows(docs: DataFrame, ranges: Ranges) -> DataFrame:
+    """Hashes of line keys (16 bytes each, joined) by range. Rows with n = 0 hold keys that a task met once, and their places; rows with n > 0 one key that it met n times, and its first place."""
+    most = FLUSH
+
+    def run(batches):
+        held, ids, lines = [], [], []
 
         def flush():
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(ranges.of(h), np.arange(ranges.n + 1))
-            at = np.flatnonzero(np.diff(cuts))
-            parts = [(h[cuts[i] : cuts[i + 1]].tobytes(), np.packbits(times[cuts[i] : cuts[i + 1]] > 1).tobytes()) for i in at]
-            return pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], schema=schema)
+            h = np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            g = h[order]
+            new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]).any(axis=1))))
+            times = np.diff(np.append(new, len(g)))
+            out = []
+            for i, n in zip(new[times > 1].tolist(), times[times > 1].tolist(), strict=True):
+                d, line = min(((ids[j], lines[j]) for j in order[i : i + n].tolist()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+                out.append((int(ranges.of(g[i, :1])[0]), g[i].tobytes(), n, [d], [line]))
+            once = order[new[times == 1]]
+            at = ranges.of(h[once, 0])  # sorted, as ranges are the leading bits
+            cuts = np.searchsorted(at, np.arange(ranges.n + 1))
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                part = once[cuts[r] : cuts[r + 1]]
+                out.append((r, h[part].tobytes(), 0, [ids[j] for j in part.tolist()], [lines[j] for j in part.tolist()]))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _LINE, strict=True)], schema=_LINE)
 
         for b in slices(batches):
-            for t in b["text"].to_pylist():
-                held.append(_hash({k for k in keys_of(t) if k}))
-                n += len(held[-1])
-                if n > FLUSH:
+            for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                first = _first_lines(t)
+                held += _digests(first)
+                ids += [d] * len(first)
+                lines += first.values()
+                if len(held) >= most:
                     yield flush()
-                    held, n = [], 0
-        if n:
+                    held, ids, lines = [], [], []
+        if held:
             yield flush()
 
-    def merge(batches):
-        now, seen = -1, np.zeros(0, "<u8")
-        once = twice = seen
-
-        for b in batches:
-            for r, h, again in zip(b["range"].to_pylist(), b["h"].to_pylist(), b["again"].to_pylist(), strict=True):
-                if r != now:
-                    if now >= 0:
-                        yield give(now, twice, seen)
-                    now, seen = r, np.zeros(0, "<u8")
-                    once, twice = (np.zeros((1 << ranges.log_bits) // 8, "u1") for _ in range(2))
-                h = np.frombuffer(h, "<u8")
-                repeated = np.unpackbits(np.frombuffer(again, "u1"), count=len(h)).astype(bool) | ranges.has(once, h)
-                ranges.add(twice, h[repeated])
-                ranges.add(once, h)
-                seen = np.union1d(seen, h[repeated])
-        if now >= 0:
-            yield give(now, twice, seen)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _LINE_DDL)
 
-    dealt = docs.select("text").mapInArrow(note, "range int, h binary, again binary").repartition(ranges.n, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(merge, "range int, data binary")
 
+def suspects(rows: DataFrame, ranges: Ranges) -> DataFrame:
+    """h, n, doc_id, line of suspected repeats: what tasks counted, and of the others the keys in a range's second array, one by one.
 
-_RANGE_ROW = pa.schema([("range", pa.int32()), ("data", pa.binary())])
-
-
-def seen_twice(docs: DataFrame, ranges: Ranges) -> bytes:
-    """The second arrays of all ranges in a row: every key found in two documents or more is in them. At most 2 ** MOST_BITS bits."""
-    rows = _filtered(docs, ranges, lambda r, twice, _: pa.RecordBatch.from_pydict({"range": [r], "data": [zlib.compress(twice.tobytes(), 1)]}, schema=_RANGE_ROW))
-    size = (1 << ranges.log_bits) // 8
-    out = bytearray(size * ranges.n)
-    for r in rows.collect():  # 2 ** MOST_BITS bits at most
-        out[r.range * size : (r.range + 1) * size] = zlib.decompress(r.data)
-    return bytes(out)
+    Keys that some task counted enter the arrays too (as seen twice), so that their single copies are suspects.
+    """
+    schema = pa.schema([("h", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
+    counted = rows.where("n > 0").select("h", "n", F.col("ids")[0].alias("doc_id"), F.col("lines")[0].alias("line"))
+    # A counted key enters its range once for each task that met it often; its copies do not.
+    seen = rows.where("n > 0").select("range", "h", "n", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<int>").alias("lines"))
 
+    def run(batches):
+        now, held = -1, []
+        once = twice = np.zeros(0, "u1")
 
-def suspected_hashes(docs: DataFrame, ranges: Ranges) -> DataFrame:
-    """h: the hashes of all keys in second arrays (some once-seen ones among them)."""
-    rows = _filtered(docs, ranges, lambda r, _, seen: pa.RecordBatch.from_pydict({"range": [r], "data": [seen.tobytes()]}, schema=_RANGE_ROW))
-    schema = pa.schema([("h", pa.int64())])
+        def finish():
+            h = np.concatenate([x for x, _, _ in held])
+            on = np.flatnonzero(ranges.has(twice, h[:, 0]))
+            ids, lines = (pa.concat_arrays([x[i] for x in held]).take(pa.array(on)) for i in (1, 2))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in h[on]], pa.binary()), pa.array(np.ones(len(on), "i8")), ids, lines], schema=schema)
 
-    def flat(batches):
         for b in batches:
-            for data in b["data"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<i8"))], schema=schema)
+            for r, h, n, ids, lines in zip(b["range"].to_pylist(), b["h"].to_pylist(), b["n"].to_pylist(), b["ids"], b["lines"], strict=True):
+                if r != now:
+                    if held:
+                        yield finish()
+                    now, held = r, []
+                    once, twice = (np.zeros((1 << ranges.log_bits) // 8, "u1") for _ in range(2))
+                h = np.frombuffer(h, "<u8").reshape(-1, 2)
+                if n:
+                    ranges.add(twice, h[:, 0])
+                    continue
+                ranges.add(twice, h[ranges.has(once, h[:, 0]), 0])
+                ranges.add(once, h[:, 0])
+                held.append((h, ids.values, lines.values))
+        if held:
+            yield finish()
 
-    return rows.mapInArrow(flat, "h long")
+    dealt = rows.where("n = 0").unionByName(seen).repartition(ranges.n, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "h binary, n long, doc_id long, line int").unionByName(counted)
 
 
-def _lines(docs: DataFrame, hit) -> DataFrame:
-    """doc_id, line, key, h: the first line of each key in each document, where ``hit`` is true of its hash."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.binary()), ("h", pa.int64())])
+def _dropped_places(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """_id, _drop: the keys to drop in each document (with their first places), met by a join of hashes."""
+    schema = pa.schema([("_id", pa.int64()), ("h", pa.binary())])
 
     def run(batches):
         for b in slices(batches):
-            ids, lines, keys, hashes = [], [], [], []
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                first: dict[bytes, int] = {}
-                for i, k in enumerate(keys_of(t)):
-                    if k:
-                        first.setdefault(k, i)
-                if first:
-                    h = _hash(first)
-                    for k, i, x, wanted in zip(first, first.values(), h.view("<i8").tolist(), hit(h).tolist(), strict=True):
-                        if wanted:
-                            ids.append(d)
-                            lines.append(i)
-                            keys.append(k)
-                            hashes.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64())], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, key binary, h long")
-
-
-def _suspects(docs: DataFrame, ranges: Ranges, most_bits: int) -> DataFrame:
-    if ranges.n << ranges.log_bits <= 1 << most_bits:
-        shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, ranges))
-
-        def hit(h):
-            return ranges.has(np.frombuffer(shared.value, "u1"), h, ranges.of(h) << ranges.log_bits)
+                h = _digests(_first_lines(t))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(h), pa.int64()), pa.array(h, pa.binary())], schema=schema)
 
-        return _lines(docs, hit)
-    some = small(written(suspected_hashes(docs, ranges), "suspects"))
-    return _lines(docs, lambda h: np.ones(len(h), bool)).join(some, "h", "left_semi")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_id long, h binary")
+    return own.join(dropped, "h").groupBy("_id").agg(F.collect_set(F.struct("h", F.col("first.doc_id").alias("d"), F.col("first.line").alias("line"))).alias("_drop"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, broadcast_keys: int = KEYS, most_bits: int = MOST_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, broadcast_keys: int = KEYS) -> DataFrame:
     """``docs`` (with doc_id and text) -> the same columns with text rewritten, and n_lines, n_dropped.
 
     A line whose key (see keys_of) is found in at least ``min_docs`` documents is dropped everywhere;
@@ -191,27 +185,28 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    found = _suspects(docs, Ranges(int(lines)), most_bits)
+    ranges = Ranges(int(lines))
+    found = suspects(written(line_rows(docs, ranges), "line-hashes"), ranges)
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    dropped = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where(F.col("n") >= min_docs).drop("n"), "lines")
-    n, size = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    dropped = written(found.groupBy("h").agg(F.sum("n").alias("n"), first).where(F.col("n") >= min_docs).drop("n"), "lines")
     cols = docs.columns
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long", "n_dropped long"]
     shared = None
-    if n <= broadcast_keys and size <= KEY_BYTES:
-        shared = spark.sparkContext.broadcast({bytes(r.key): (r.d, r.line) for r in dropped.select("key", F.col("first.doc_id").alias("d"), F.col("first.line").alias("line")).collect()})
+    if dropped.count() <= broadcast_keys:
+        shared = spark.sparkContext.broadcast({bytes(r.h): (r.d, r.line) for r in dropped.select("h", F.col("first.doc_id").alias("d"), F.col("first.line").alias("line")).collect()})
         rows = docs
     else:
-        own = found.select("doc_id", "key").join(dropped, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", F.col("first.doc_id").alias("d"), F.col("first.line").alias("line"))).alias("_drop"))
-        rows = docs.join(own.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+        own = _dropped_places(docs, dropped)
+        rows = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
 
     def rewrite(batches):
         for b in slices(batches):
             texts, totals, lost = [], [], []
-            drops = [shared.value] * b.num_rows if shared else [{x["key"]: (x["d"], x["line"]) for x in r or []} for r in b["_drop"].to_pylist()]
+            drops = [shared.value] * b.num_rows if shared else [{x["h"]: (x["d"], x["line"]) for x in r or []} for r in b["_drop"].to_pylist()]
             for d, t, drop in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), drops, strict=True):
-                raw, keys = (t or "").split("\n"), keys_of(t)
-                kept = [x for i, (x, k) in enumerate(zip(raw, keys, strict=True)) if k not in drop or (keep_first and drop[k] == (d, i))]
+                raw = (t or "").split("\n")
+                keys = _digests(keys_of(t)) if drop else raw
+                kept = [x for i, (x, k) in enumerate(zip(raw, keys, strict=True)) if not drop or k not in drop or (keep_first and drop[k] == (d, i))]
                 texts.append("\n".join(kept))
                 totals.append(len(raw))
                 lost.append(len(raw) - len(kept))

@@ -543,13 +543,14 @@ def lines_brute(rows, least, keep_first=False):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast,most_bits", [(10**6, 29), (0, 29), (10**6, 0)])
+@pytest.mark.parametrize("broadcast,flush", [(10**6, 10**6), (0, 10**6), (10**6, 1), (0, 20)])
 @pytest.mark.parametrize("first", [False, True])
-def test_line_dedup_brute(spark, broadcast, most_bits, first):
+def test_line_dedup_brute(spark, monkeypatch, broadcast, flush, first):
+    monkeypatch.setattr(line_dedup, "FLUSH", flush)
     rng = random.Random(4)
     pool = ["Menu ", " menu", "É", "é", "x\t", "", "long " * 20]
     rows = ODD[:4] + ODD[5:8] + [(20 + i, "\n".join(rng.choice([*pool, f"own {i} {j}"]) for j in range(8))) for i in range(40)]
-    got = line_dedup.dedup_lines(table(spark, rows), 5, first, broadcast, most_bits).collect()
+    got = line_dedup.dedup_lines(table(spark, rows), 5, first, broadcast).collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=repr) == lines_brute(rows, 5, first)
     assert got[0].key == "clash"
 
@@ -557,7 +558,7 @@ def test_line_dedup_brute(spark, broadcast, most_bits, first):
 def test_line_filters_grow_by_ranges():
     """The arrays of a range have the same size for any number of lines; their load, and so the share of false suspects, stays as it is."""
     a, b = line_dedup.Ranges(1 << 28), line_dedup.Ranges(1 << 40)
-    assert a.log_bits == b.log_bits == 26 and b.n == a.n << 12
+    assert a.log_bits == b.log_bits == 24 and b.n == a.n << 12
     r = line_dedup.Ranges(200_000)
     h = np.random.default_rng(1).integers(0, 1 << 64, 200_000, dtype="u8")
     h = h[r.of(h) == 3]
@@ -566,6 +567,20 @@ def test_line_filters_grow_by_ranges():
     assert r.has(array, h[::2]).all() and r.has(array, h[1::2]).mean() < 0.03
 
 
+def test_only_suspected_lines_go_on(spark, monkeypatch):
+    """Of 64 ranges' lines, those that go on to be counted are the repeats and few others, each repeat of a task as one row; filters do not leave their tasks."""
+    monkeypatch.setattr(line_dedup, "FLUSH", 1000)
+    rows = [(i, "\n".join(["hot line", f"pair {i // 2}", *(f"own {i} {j}" for j in range(40))])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    ranges = line_dedup.Ranges(400 * 42)
+    dealt = line_dedup.line_rows(docs, ranges).collect()
+    assert len({r.range for r in dealt}) == ranges.n == 64
+    assert sum(len(r.ids) for r in dealt if r.n == 0) < 400 * 41 and max(r.n for r in dealt) >= 20
+    got = line_dedup.suspects(spark.createDataFrame(dealt, line_dedup._LINE_DDL), ranges).groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert {(r.n) for r in got if r.n > 2} == {400} and sum(r.n == 2 for r in got) == 200
+    assert sum(r.rows for r in got) < 200 * 2 + 30 + 0.03 * 400 * 40
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
     got = line_dedup.dedup_lines(table(spark, [(None, "same")] * 3 + [(1, None)]), 2, False, 0).collect()
