@@ -8,16 +8,19 @@
 3. A class is valid if its tags pair up properly in page order; valid classes nest by their paths
    and make the host's template: known tags and texts, with slots between them.
 4. Each page is read against its host's template. A slot is main if it holds a fair share of what
-   the host's fullest slot holds; text in main slots is kept, text in the template's other slots and
-   texts that belong to the template are not. Menus, headers, footers, sidebars, forms, scripts and
-   styles are dropped by their elements. Class names and ids, and article and main elements, only
-   settle what the template leaves open (reader comments, slots that it does not know, hosts of few pages).
+   the host's fullest slot holds and its text differs from page to page; text in main slots is kept,
+   text in the template's other slots and texts that belong to the template are not. Reader comments
+   have a rule of their own: records of several slots that come again on a page, and slots that are
+   named as comments, are not main where something else is. Menus, headers, footers, sidebars, forms,
+   scripts and styles are dropped by their elements. Other class names and ids, and article and main
+   elements, are asked only about what the template does not know (also on hosts of few pages).
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+import zlib
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,8 +35,10 @@ LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 5, 0.5
 TEXT_SHARE, TEXT_CHARS = 0.9, 200
 #: A slot is main if it holds this share of the characters in its host's fullest slot.
 SLOT_SHARE = 0.1
-#: Slots with names that sound like noise are left out if the fullest of the others has this share of the fullest of all.
+#: Comments are left out if the fullest of the other slots has this share of the fullest of all.
 LEAST_LEFT = 0.05
+#: Different texts that a main slot has for each page that has it; and the times that a record comes on a page.
+VARIETY, RECORDS = 0.5, 1.5
 #: Article and main elements decide if they hold this share of the text that is neither noise nor template.
 MAIN_SHARE = 0.25
 #: A host's template is broadcast with all others up to this many token rows; beyond, by a shuffle join.
@@ -50,9 +55,13 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tr td th center hr".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 
+#: Columns of a template's rows.
+TEMPLATE = ("token", "class", "support", "pages", "place", "chars", "times", "texts")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*\Z|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -67,13 +76,13 @@ def _is_dropped(tag: str, attrs: dict[str, str]) -> bool:
     return tag in DROPPED or "hidden" in attrs or attrs.get("role", "").lower() in NOISE_ROLES or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
 
 
-def _sounds_like_noise(names: str) -> bool:
-    return any(n in NOISE for n in re.split(r"[\s_-]+", names.lower()))
+def _sounds_like(names: str, words: frozenset[str]) -> bool:
+    return any(n in words for n in re.split(r"[\s_-]+", names.lower()))
 
 
-def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether class names or ids say so."""
-    return tag not in ("html", "body", *MAIN) and ("class" in attrs or "id" in attrs) and _sounds_like_noise(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+def _named(tag: str, attrs: dict[str, str], words: frozenset[str]) -> bool:
+    """Whether class names or ids are among ``words``."""
+    return tag not in ("html", "body", *MAIN) and ("class" in attrs or "id" in attrs) and _sounds_like(f"{attrs.get('class', '')} {attrs.get('id', '')}", words)
 
 
 def walk(page: str):
@@ -149,14 +158,15 @@ def _slot(path: tuple[str, ...]) -> str:
 
 
 def tokens(page: str) -> dict[str, list[int]]:
-    """Token -> [count, first place, characters that fill it] of a page. Paths leave out inline tags."""
+    """Token -> [count, first place, characters that fill it, their hash] of a page. Paths leave out inline tags."""
     out: dict[str, list[int]] = {}
     noise: list[int] = []
     for place, (kind, name, path, data) in enumerate(walk(page)):
         if kind == "t":
             s = _squeeze(data)
             if s and not noise:
-                out.setdefault("<" + _slot(path), [0, place, 0])[2] += len(s)
+                slot = out.setdefault("<" + _slot(path), [0, place, 0, 0])
+                slot[2:] = slot[2] + len(s), zlib.crc32(s.encode(), slot[3])
             if not s or len(s) > TEXT_CHARS:
                 continue
             key = "t" + s
@@ -168,35 +178,40 @@ def tokens(page: str) -> dict[str, list[int]]:
             if name in INLINE:
                 continue
             key = kind + _key(path, (f"{name}.{data['class']}" if data.get("class") else name) if kind == "<" else data)
-        out.setdefault(key, [0, place, 0])[0] += 1
+        out.setdefault(key, [0, place, 0, 0])[0] += 1
     return {k: v for k, v in out.items() if v[0]}
 
 
 def occurrence_classes(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html) -> host, token, class, support, pages, place, chars: tokens of frequent classes of two or more."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.string()), ("h", pa.int64()), ("place", pa.int32()), ("chars", pa.int32())])
+    """``pages`` (url, html) -> host, token, class, support, pages, place, chars, times, texts: tokens of frequent classes of two or more.
+
+    ``times`` is how often the token occurs on all pages, ``texts`` about how many different texts fill it.
+    """
+    schema = pa.schema([("host", pa.string()), ("token", pa.string()), ("h", pa.int64()), ("place", pa.int32()), ("chars", pa.int32()), ("n", pa.int32()), ("text", pa.int64())])
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in slices(batches):
-            host, token, hs, place, chars = [], [], [], [], []
+            cols: list[list] = [[] for _ in schema]
             for site, h, n in zip(b["_host"].to_pylist(), b["html"].to_pylist(), b["n"].to_pylist(), strict=True):
-                found = {"": [1, -1, 0]} | tokens(h or "")
-                host += [site] * len(found)
-                token += found
-                hs += [xxh64_intdigest(f"{n} {c}") - (1 << 63) for c, _, _ in found.values()]
-                place += [p for _, p, _ in found.values()]
-                chars += [x for _, _, x in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.string()), pa.array(hs, pa.int64()), pa.array(place, pa.int32()), pa.array(chars, pa.int32())], schema=schema)
-
-    rows = pages.select(host_of("url").alias("_host"), "html", F.monotonically_increasing_id().alias("n")).mapInArrow(run, "host string, token string, h long, place int, chars int")
-    g = rows.groupBy("host", "token").agg(F.bit_xor("h").alias("class"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"), F.sum("chars").alias("chars"))
+                found = {"": [1, -1, 0, 0]} | tokens(h or "")
+                cols[0] += [site] * len(found)
+                cols[1] += found
+                cols[2] += [xxh64_intdigest(f"{n} {c}") - (1 << 63) for c, _, _, _ in found.values()]
+                for k, i in ((3, 1), (4, 2), (5, 0)):
+                    cols[k] += [x[i] for x in found.values()]
+                cols[6] += [x[3] if x[2] else None for x in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+
+    rows = pages.select(host_of("url").alias("_host"), "html", F.monotonically_increasing_id().alias("n")).mapInArrow(run, "host string, token string, h long, place int, chars int, n int, text long")
+    sums = [F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("n").alias("times"), F.approx_count_distinct("text", 0.2).alias("texts")]
+    g = rows.groupBy("host", "token").agg(F.bit_xor("h").alias("class"), F.count(F.lit(1)).alias("support"), *sums)
     g = written(g.where(F.col("support") >= LEAST_PAGES), "tokens")
     whole = g.where("token = ''").select("host", F.col("support").alias("pages"))
     g = g.join(whole, "host").where(F.col("support") >= LEAST_SHARE * F.col("pages"))
     sizes = g.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST_TOKENS)
-    return g.join(sizes.drop("size"), ["host", "class"]).where("token <> ''").select("host", "token", "class", "support", "pages", "place", "chars")
+    return g.join(sizes.drop("size"), ["host", "class"]).where("token <> ''").select("host", *TEMPLATE)
 
 
 class Template:
@@ -204,25 +219,39 @@ class Template:
 
     def __init__(self, rows):
         classes: dict[int, list] = {}
-        for token, cls, support, n, place, chars in rows:
-            classes.setdefault(cls, []).append((place, token, support, n, chars))
+        for token, cls, support, n, place, chars, *more in rows:
+            times, texts = more or (support, support)
+            classes.setdefault(cls, []).append((place, token, support, n, chars, times, texts))
         self.texts: set[str] = set()
+        self.records: set[str] = set()
         sizes: dict[str, int] = {}
+        varied: set[str] = set()
         for members in classes.values():
             members.sort()
             if self._valid([m[1] for m in members]):
-                self.texts |= {t[1:] for _, t, s, n, _ in members if t[0] == "t" and s >= TEXT_SHARE * n}
-                sizes |= {t[1:]: c for _, t, _, _, c in members if t[0] == "<" and c > 0}
-        named = {x for x in sizes if any(_sounds_like_noise(p.split(".", 1)[1]) for p in x.split("/") if "." in p)}
-        left = max((c for x, c in sizes.items() if x not in named), default=0)
+                self.texts |= {t[1:] for _, t, s, n, *_ in members if t[0] == "t" and s >= TEXT_SHARE * n}
+                own = {t[1:]: c for _, t, _, _, c, *_ in members if t[0] == "<" and c > 0}
+                sizes |= own
+                varied |= {t[1:] for _, t, s, *_, texts in members if t[1:] in own and texts >= VARIETY * s}
+                if len(own) > 1 and all(times >= RECORDS * s for _, _, s, _, _, times, _ in members):
+                    self.records |= set(own)
+        comments = self.records | {x for x in sizes if any(_sounds_like(p.split(".", 1)[1], COMMENTS) for p in x.split("/") if "." in p)}
         fullest = max(sizes.values(), default=0)
-        # Names that sound like noise are heard only if they leave something.
+        left = max((c for x, c in sizes.items() if x not in comments and x in varied), default=0)
+        # Rules about comments and about variety are heard only if they leave something.
         self.deaf = left < LEAST_LEFT * fullest
+        if self.deaf:
+            self.records = set()
         least = SLOT_SHARE * (fullest if self.deaf else left)
         self.slots = set(sizes)
-        self.main = {x for x, c in sizes.items() if (self.deaf or x not in named) and c >= least}
+        self.main = {x for x, c in sizes.items() if c >= least and (self.deaf or (x not in comments and x in varied))}
+        #: Slots and what they stand in: elements that the template knows.
+        self.known = {"/".join(p[:n]) for p in (x.split("/") for x in sizes) for n in range(1, len(p) + 1)}
         self.places: dict[tuple[str, ...], str] = {}
 
+    def knows(self, path: tuple[str, ...]) -> bool:
+        return _key(path) in self.known
+
     def place(self, path: tuple[str, ...]) -> str:
         """Where a text with this path is: in a ``main`` slot, in an ``other`` slot of the template, or ``""``: unknown."""
         got = self.places.get(path)
@@ -230,7 +259,7 @@ class Template:
             if len(self.places) > 10_000:
                 self.places.clear()
             above = {_key(path[:n]) for n in range(1, len(path) + 1)}
-            got = self.places[path] = "main" if above & self.main else "other" if _slot(path) in self.slots else ""
+            got = self.places[path] = "other" if above & self.records else "main" if above & self.main else "other" if _slot(path) in self.slots else ""
         return got
 
     @staticmethod
@@ -259,17 +288,23 @@ def extract(page: str, template: Template) -> str:
     main: list[int] = []
     titles: list[int] = []
     fits = False
+
+    def named(name: str, data: dict[str, str], here: tuple[str, ...]) -> bool:
+        """Names are asked about elements that the template does not know; those of comments about all."""
+        return _named(name, data, COMMENTS if template.knows(here) else NOISE) and not (template.deaf and template.knows(here))
+
     for kind, name, path, data in walk(page):
         depth = len(path)
         if kind == "<":
             header = name == "header" and not main
-            if name not in VOID and (header or _is_dropped(name, data) or (not template.deaf and _is_noise(name, data))):
+            here = (*path, f"{name}.{data['class']}" if data.get("class") else name)
+            if name not in VOID and (header or _is_dropped(name, data) or named(name, data, here)):
                 noise.append(depth)
             elif name in MAIN and not noise:
                 main.append(depth)
             if name == "h1":
                 titles.append(depth)
-            fits = fits or (bool(template.main) and name not in INLINE and template.place((*path, f"{name}.{data['class']}" if data.get("class") else name)) == "main")
+            fits = fits or (bool(template.main) and name not in INLINE and template.place(here) == "main")
             if name not in INLINE and name not in SILENT and name != "br":
                 blocks.append([])
             elif name == "br" and blocks[-1]:
@@ -313,13 +348,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
     found = written(occurrence_classes(pages), "templates")
-    cols = ("token", "class", "support", "pages", "place", "chars")
+    cols = TEMPLATE
     if found.count() <= TEMPLATE_ROWS:
         held: dict[str, list] = {}
         for r in found.collect():  # at most TEMPLATE_ROWS
             held.setdefault(r.host, []).append(tuple(r[c] for c in cols))
         shared = spark.sparkContext.broadcast({k: tuple(sorted(v)) for k, v in held.items()})
-        rows = pages.withColumn("_host", host_of("url")).withColumn("t", F.lit(None).cast("array<struct<token:string,class:bigint,support:bigint,pages:bigint,place:double,chars:bigint>>"))
+        rows = pages.withColumn("_host", host_of("url")).withColumn("t", F.lit(None).cast("array<struct<token:string,class:bigint,support:bigint,pages:bigint,place:double,chars:bigint,times:bigint,texts:bigint>>"))
     else:
         shared = None
         per = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("t"))  # a template, not the pages

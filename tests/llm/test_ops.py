@@ -703,6 +703,59 @@ def test_boilerplate_inside_articles_and_split_bodies(spark):
     assert got == {i: f"First {i} part {i}\nSecond {i} of {i}" for i in range(12)} | {100 + i: f"Start {i} with more {i} words\nEnd {i}" for i in range(12)}
 
 
+def hosts(spark, *layouts, pages=12):
+    """Main texts of hosts of so many pages each, by (host, page); a layout gives a page's body."""
+    rows = [(1000 * j + i, f"http://h{j}.org/{i}", page(f(i))) for j, f in enumerate(layouts) for i in range(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {divmod(r.page_id, 1000): r.text for r in html_extract.main_text(df).collect()}
+
+
+def many(k, i, n):
+    return " ".join(f"{k}{i}w{j}" for j in range(n))
+
+
+def test_slots_before_names(spark):
+    """A story in a slot with a noise word stays, with its lead; the same words on hosts of fewer than five pages go by their names."""
+    story = lambda i: f'<div class="lead"><p>{many("l", i, 20)}</p></div><div class="story share"><p>{many("s", i, 100)}</p></div><div class="x1">Follow {i} us</div>'
+    assert hosts(spark, story) == {(0, i): f"{many('l', i, 20)}\n{many('s', i, 100)}" for i in range(12)}
+    assert hosts(spark, story, pages=4) == {(0, i): f"{many('l', i, 20)}\nFollow {i} us" for i in range(4)}
+    # A slot that is known stays by its share; an element that the template does not know is asked for its name.
+    odd = lambda i: story(i) + ('<div class="newsletter">Sign up</div>' if i == 3 else "")
+    assert hosts(spark, odd) == hosts(spark, story)
+
+
+def test_comments_without_a_name(spark):
+    """Records of two slots that come again on a page are comments where a slot stands alone; sections and a host of nothing but records stay."""
+    record = lambda i, j: f'<div class="r"><div class="who">reader {i} {j}</div><div class="what"><p>{many(f"c{j}x", i, 60)}</p></div></div>'
+    story = lambda i: f'<div class="x1"><p>{many("s", i, 100)}</p></div>'
+    commented = lambda i: story(i) + f'<div class="x2">{"".join(record(i, j) for j in range(2 + i % 4))}</div>'
+    inside = lambda i: f'<div class="x1"><p>{many("s", i, 100)}</p>{"".join(record(i, j) for j in range(2 + i % 4))}</div>'
+    sections = lambda i: f'<div class="x1"><p>{many("s", i, 40)}</p>{"".join(f"<section><h2>H{i}{j}</h2><p>{many(f"t{j}x", i, 50)}</p></section>" for j in range(2 + i % 4))}</div>'
+    only = lambda i: f'<div class="x2">{"".join(record(i, j) for j in range(2 + i % 4))}</div>'
+    got = hosts(spark, commented, inside, sections, only)
+    for i in range(12):
+        assert got[0, i] == got[1, i] == many("s", i, 100)
+        assert got[2, i] == "\n".join([many("s", i, 40), *(x for j in range(2 + i % 4) for x in (f"H{i}{j}", many(f"t{j}x", i, 50)))])
+        assert got[3, i] == "\n".join(many(f"c{j}x", i, 60) for j in range(2 + i % 4))  # names of writers go by their share
+
+
+def test_same_text_on_all_pages_is_not_main(spark):
+    """A notice as long as the story, in a slot of its own without a name, cut in pieces that are too long to be tokens; and a host whose pages are all copies."""
+    notice = "All of this is offered as it is and as it stands. " * 12
+    body = lambda i: f'<div class="x3"><p>{notice}</p></div><div class="x1"><p>{many("s", i, 80)}</p></div>'
+    copies = lambda i: '<div class="x1"><p>' + many("same", 1, 90) + "</p></div>"
+    got = hosts(spark, body, copies)
+    assert got == {(0, i): many("s", i, 80) for i in range(12)} | {(1, i): many("same", 1, 90) for i in range(12)}
+
+
+def test_the_template_decides_on_a_planted_table(spark):
+    """Without a template, notices, teasers and comments of unnamed boxes stay on every page of hosts like these."""
+    body = lambda i: f'<div class="a1">Read {i % 3} next</div><div class="b2"><p>{many("s", i, 50)}</p></div><div class="c3">Sold by {i % 2} of us</div>'
+    got = hosts(spark, body)
+    assert got == {(0, i): many("s", i, 50) for i in range(12)}
+    assert all(html_extract.extract(page(body(i)), html_extract.Template(())) != got[0, i] for i in range(12))
+
+
 def test_no_local_folder_on_a_cluster(monkeypatch):
     """Without spark.checkpoint.dir a cluster is refused; one process gets a temporary folder."""
     from types import SimpleNamespace
