@@ -34,9 +34,9 @@ def chunks(c: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 
 def clean_wikilinks(c: Column) -> Column:
-    """``![[x]]`` goes, ``[[a|b]]`` becomes b, ``[[a]]`` becomes a."""
-    c = F.regexp_replace(c, r"!\[\[[^\]]*\]\]", "")
-    return F.regexp_replace(c, r"\[\[(?:[^\]|]*\|)?\s*([^\]|]*?)\s*\]\]", "$1")
+    """``![[x]]`` goes, ``[[a|b]]`` becomes b, ``[[a]]`` becomes a, both without white space at their ends; empty ones stay."""
+    c = F.regexp_replace(c, r"!\[\[[^\]|]+(?:\|[^\]]+)?\]\]", "")
+    return F.regexp_replace(c, r"(?U)\[\[(?:[^\]|]+\|(?=[^\]])|(?=[^\]|]+\]\]))\s*([^\]]*?)\s*\]\]", "$1")
 
 
 def truncated(c: Column, most: int) -> Column:

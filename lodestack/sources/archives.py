@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
+import shutil
 import tempfile
 import zipfile
 import zlib
@@ -15,12 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.sources.files import open_file
+from lodestack.sources.frontmatter import readable
 
 MEMBERS = "archive string, member string, size long, compressed long, crc32 long, sha string, crc_ok boolean, depth int, status string"
 #: Nested archives that are opened, and how far a member may expand.
 MAX_DEPTH, MAX_RATIO = 6, 1000
-#: Bytes of a member in memory at once; nested archives beyond KEPT are spooled by their task.
-PIECE, KEPT = 1 << 20, 64 << 20
+#: Bytes of a member in memory at once; nested archives beyond KEPT are spooled by their task, as long as RESERVE bytes of its disk stay free.
+PIECE, KEPT, RESERVE = 1 << 20, 64 << 20, 1 << 30
+ROWS = 1000
+
+
+def fits(size: int, reserve: int = RESERVE) -> bool:
+    """Whether a nested archive of this size may be spooled: in memory, or with ``reserve`` bytes left on the task's disk."""
+    return size <= KEPT or size + reserve <= shutil.disk_usage(tempfile.gettempdir()).free
 
 
 def _members(archive: str, file, prefix: str, depth: int, hashes: bool, most: int):
@@ -43,6 +52,9 @@ def _members(archive: str, file, prefix: str, depth: int, hashes: bool, most: in
             yield archive, name, *row, None, None, depth, "ok"
         else:
             nested = i.filename.lower().endswith(".zip")
+            if nested and depth < most and not fits(i.file_size):
+                yield archive, name, *row, None, None, depth, "no_space"
+                continue
             with tempfile.SpooledTemporaryFile(KEPT) as body:
                 sha, crc = sha256(), 0
                 try:
@@ -73,8 +85,9 @@ def archive_members(archives: DataFrame, hashes: bool = True, max_depth: int = M
     """path of zip files -> their members, those of nested ones as ``outer.zip!inner/x``; hashes and CRC checks unless only listed.
 
     Archives and members may have any size: executors read them in pieces. Members that would expand
-    too far or leave the folder are reported and not read; an archive that cannot be opened is a row
-    of status ``error``.
+    too far or leave the folder are reported and not read, nested ones that the task's disk cannot
+    hold have the status ``no_space``; an archive that cannot be opened is a row of status ``error``,
+    ``denied`` or ``missing``.
     """
     names = [c.split()[0] for c in MEMBERS.split(", ")]
 
@@ -82,13 +95,16 @@ def archive_members(archives: DataFrame, hashes: bool = True, max_depth: int = M
         for pdf in batches:
             for path in pdf["path"]:
                 prefix = f"{path.rsplit('/', 1)[-1]}!"
+                frame = lambda rows: pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("size", "compressed", "crc32")})
                 try:
                     store, at = open_file(path)
                     with store.open_input_file(at) as f:
-                        rows = list(_members(path, f, prefix, 1, hashes, max_depth))
-                except OSError:
-                    rows = [(path, prefix.rstrip("!"), None, None, None, None, None, 1, "error")]
-                yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("size", "compressed", "crc32")})
+                        found = _members(path, f, prefix, 1, hashes, max_depth)
+                        while rows := list(itertools.islice(found, ROWS)):
+                            yield frame(rows)
+                except OSError as e:
+                    status = "denied" if isinstance(e, PermissionError) else "missing" if isinstance(e, FileNotFoundError) else "error"
+                    yield frame([(path, prefix.rstrip("!"), None, None, None, None, None, 1, status)])
 
     return archives.select("path").mapInPandas(run, MEMBERS)
 
@@ -103,10 +119,25 @@ def chain(member: Column) -> Column:
     return F.transform(parts, lambda p, i: F.struct(F.when(i == 0, "FILE").otherwise("ARCHIVE_MEMBER").alias("kind"), p.alias("path")))
 
 
+# The codes of failures, by what was seen. Archives that go too deep count as oversized.
+FAILURES = {
+    "denied": "PERMISSION_DENIED",
+    "missing": "T7_UNAVAILABLE",
+    "no_space": "INSUFFICIENT_DISK_SPACE",
+    "expansion": "OVERSIZED_OR_EXPANSION_LIMIT",
+    "max_depth": "OVERSIZED_OR_EXPANSION_LIMIT",
+    "error": "MALFORMED_ARCHIVE",
+    "unsafe_path": "MALFORMED_ARCHIVE",
+    "encrypted": "EXTRACTION_ERROR_OTHER",
+}
+
+
 def failure_code(status: Column) -> Column:
-    """struct(code, retryable): only the depth limit can never be cured by another try."""
-    code = F.when(status == "max_depth", "MAX_DEPTH").when(status == "expansion", "EXPANSION_LIMIT").when(status == "unsafe_path", "UNSAFE_PATH").when(status == "encrypted", "ENCRYPTED").when(status == "error", "CORRUPT")
-    return F.when(code.isNotNull(), F.struct(code.alias("code"), (status != "max_depth").alias("retryable")))
+    """struct(code, retryable), null for ``ok`` and null; an unknown status is EXTRACTION_ERROR_OTHER. Only the depth limit can never be cured by another try."""
+    code = F.lit("EXTRACTION_ERROR_OTHER")
+    for seen, name in FAILURES.items():
+        code = F.when(status == seen, name).otherwise(code)
+    return F.when(status != "ok", F.struct(code.alias("code"), (status != "max_depth").alias("retryable")))
 
 
 def _xml_text(data: bytes, paragraph: str, text: str) -> str:
@@ -155,18 +186,6 @@ def _pdf(data: bytes) -> str:
     return "\n".join(out)
 
 
-def frontmatter(text: str) -> str:
-    """A head of plain ``key: value`` lines becomes ``Key: value`` lines; empty values go; anything else stays as it is."""
-    m = re.match(r"---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", text, re.S)
-    if not m:
-        return text
-    pairs = [re.fullmatch(r"([A-Za-z_][\w -]*):(?:\s+(.*))?", line) for line in m[1].splitlines() if line.strip()]
-    if not pairs or not all(pairs):
-        return text
-    head = [f"{p[1].capitalize()}: {p[2].strip()}" for p in pairs if (p[2] or "").strip()]
-    return "\n".join([*head, "", text[m.end() :].lstrip("\n")]) if head else text[m.end() :]
-
-
 def text_of(name: str, data: bytes) -> str | None:
     """Text by suffix (a conflict number is allowed: ``.pdf_123``); None where the file cannot be read."""
     suffix = re.sub(r"^(\.[a-z0-9]+)_\d+$", r"\1", (re.search(r"[^/](\.[^./]+)$", name.lower()) or ["", ""])[1])
@@ -176,12 +195,11 @@ def text_of(name: str, data: bytes) -> str | None:
         elif suffix == ".pdf":
             text = _pdf(data)
         else:
-            text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
+            text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
     except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError):
         return None
     if suffix == ".md":
-        text = re.sub(r"!\[\[[^\]]*\]\]", "", frontmatter(text))
-        text = re.sub(r"\[\[(?:[^\]|]*\|)?\s*([^\]|]*?)\s*\]\]", r"\1", text)
+        text = readable(text)
     return text.replace("\0", "")
 
 

@@ -55,9 +55,76 @@ def test_plan_and_report_files(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"root": "/x", "groups": null}')
     r = files.read_report(spark, str(tmp_path / "r.json"), "root string, groups array<string>, missing array<int>").first()
     assert (r.root, r.groups, r.missing) == ("/x", [], [])
-    status = spark.createDataFrame([("ok",), ("max_depth",), ("encrypted",)], "s string")
-    got = [r.c for r in status.select(archives.failure_code(F.col("s")).alias("c")).collect()]
-    assert got[0] is None and (got[1].code, got[1].retryable) == ("MAX_DEPTH", False) and got[2].retryable
+
+
+def test_failure_codes(spark):
+    """The codes as they are fixed; only the depth limit is final."""
+    want = {
+        "ok": None,
+        "denied": ("PERMISSION_DENIED", True),
+        "missing": ("T7_UNAVAILABLE", True),
+        "no_space": ("INSUFFICIENT_DISK_SPACE", True),
+        "expansion": ("OVERSIZED_OR_EXPANSION_LIMIT", True),
+        "max_depth": ("OVERSIZED_OR_EXPANSION_LIMIT", False),
+        "error": ("MALFORMED_ARCHIVE", True),
+        "unsafe_path": ("MALFORMED_ARCHIVE", True),
+        "encrypted": ("EXTRACTION_ERROR_OTHER", True),
+        "odd": ("EXTRACTION_ERROR_OTHER", True),
+    }
+    got = spark.createDataFrame([(k,) for k in want], "s string").select("s", archives.failure_code(F.col("s")).alias("c")).collect()
+    assert {r.s: r.c and tuple(r.c) for r in got} == want
+
+
+def test_no_space_for_nested_archives(spark, tmp_path, monkeypatch):
+    import io
+    import shutil
+    import types
+    import zipfile
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("x.txt", "x")
+    with zipfile.ZipFile(tmp_path / "o.zip", "w") as z:
+        z.writestr("in.zip", inner.getvalue())
+    monkeypatch.setattr(archives, "KEPT", 0)
+    monkeypatch.setattr(shutil, "disk_usage", lambda _: types.SimpleNamespace(free=archives.RESERVE))
+    assert not archives.fits(10) and archives.fits(0)
+    with open(tmp_path / "o.zip", "rb") as f:
+        assert [r[-1] for r in archives._members("o", f, "o!", 1, True, 3)] == ["no_space"]
+
+
+HEADS = {
+    "---\ncreated_at: 2020\n---\nb": "Created at: 2020\n\nb",
+    "---\ntags: [a, 'b c', 3]\n---\n b \n": "Tags: a, b c, 3\n\nb",
+    "---\nby:\n  - Ann\n  - \"Bo: b\"\ntags:\n- x\n---\n": "By: Ann, Bo: b\nTags: x\n\n",
+    "---\na:\nb: ~\nc: []\nd: {}\ne: ''\n---\nbody ": "body ",
+    "---\ndone: yes\nn: 0\nd: 2023-01-05\nt: 2023-01-05 10:00:00\nf: 1.50\nx: 0x10\n---\nb": "Done: True\nN: 0\nD: 2023-01-05\nT: 2023-01-05 10:00:00\nF: 1.5\nX: 16\n\nb",
+    "---\ntext: |-\n  one\n  two\nlong: some\n  more # c\n---\nb": "Text: one\ntwo\nLong: some more\n\nb",
+    "---\nurl: https://x.org/a?b#c\n# c\nmap: {a: 1}\n---\nb": "Url: https://x.org/a?b#c\nMap: {'a': 1}\n\nb",
+    "---\nno mapping\n---\nb [[l]]": "---\nno mapping\n---\nb l",
+    "---\na: [1\n---\nb": "---\na: [1\n---\nb",
+    "---\na: b: c\n---\nb": "---\na: b: c\n---\nb",
+    "---\na: &x 1\n---\nb": "---\na: &x 1\n---\nb",
+    " ---\na: 1\n---\nb": " ---\na: 1\n---\nb",
+    "---\r\na: 1\r\n---\r\nb": "A: 1\n\nb",
+    "[[a|b]] [[ c ]] ![[d]] [[]] [[e|]] [[f|g|h]] [[a|b": "b c  [[]] [[e|]] g|h [[a|b",
+}
+
+
+@pytest.mark.parametrize("text", HEADS)
+def test_heads_and_links(text):
+    from lodestack.sources.frontmatter import readable
+
+    assert readable(text) == HEADS[text]
+
+
+def test_links_as_columns_equal_links_in_files(spark):
+    from lodestack.functions.text import clean_wikilinks
+    from lodestack.sources.frontmatter import plain_links
+
+    texts = [*HEADS, "[[ ]] [[|x]] [[a| ]] ![[a|b]] [[\u00a0a\u00a0]] [[a\nb]]"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clean_wikilinks(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == {t: plain_links(t) for t in texts}
 
 
 def test_large_folders_are_dealt_out(spark, tmp_path, monkeypatch):
