@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.operators.shared import shared_dir
+
 
 def keep_good_lines(docs: DataFrame, share: float = 0.6, floor: int = 2) -> DataFrame:
     """doc_id, text -> doc_id, line_no, line, n, share of the lines with enough words, of which enough are in the vocabulary.
@@ -21,10 +23,33 @@ def keep_good_lines(docs: DataFrame, share: float = 0.6, floor: int = 2) -> Data
     return lines.join(r, ["doc_id", "line_no"]).where((F.col("n") >= least) & (F.col("share") >= share))
 
 
-def drop_repeated_lines(frames: DataFrame, window: int = 4, ratio: float = 0.8) -> DataFrame:
-    """recording, frame, line -> lines that are not nearly a line of the last ``window`` frames (contained in it, or similar by difflib).
+#: Frame numbers of a range: a recording is dealt out by ranges, however long it is.
+STEP = 1000
+
+
+def normalise(line: str) -> str:
+    """What lines are compared by: their letters and digits, in lower case."""
+    return "".join(c.lower() for c in line if c.isalnum())
+
+
+def _before(frames: DataFrame, window: int, step: float) -> DataFrame:
+    """recording, _b, frame: of each range of frame numbers, the last ``window`` frames before it. Windows run over ranges, not over frames."""
+    f = frames.select("recording", "frame").distinct().withColumn("_b", F.floor(F.col("frame") / F.lit(step)))
+    last = f.withColumn("_n", F.row_number().over(Window.partitionBy("recording", "_b").orderBy(F.desc("frame")))).where(F.col("_n") <= window)
+    last = last.groupBy("recording", "_b").agg(F.sort_array(F.collect_list("frame")).alias("_f"))
+    # A range that is there has a frame at least, so as many ranges hold them all.
+    w = Window.partitionBy("recording").orderBy("_b").rowsBetween(-window, -1)
+    past = last.select("recording", "_b", F.flatten(F.collect_list("_f").over(w)).alias("_f"))
+    return past.select("recording", "_b", F.explode(F.slice("_f", F.greatest(F.lit(1), F.size("_f") - window + 1), window)).alias("frame"))
+
+
+def drop_repeated_lines(frames: DataFrame, window: int = 4, ratio: float = 0.8, step: float = STEP) -> DataFrame:
+    """recording, frame (a number), line_no, line -> lines that say something new.
 
-    Sequential by nature: one recording at a time, its frames in order.
+    Lines are compared by ``normalise``; those without a letter or digit go. A line is no news if it is
+    contained in, contains or is similar (difflib) to any line of the recording's last ``window`` frames,
+    or to a line kept of its own frame. As no decision depends on an earlier frame's, a recording is
+    dealt out in ranges, each with the ``window`` frames before it.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -33,27 +58,72 @@ def drop_repeated_lines(frames: DataFrame, window: int = 4, ratio: float = 0.8)
         near = lambda a, b: a in b or b in a or SequenceMatcher(None, a, b).ratio() >= ratio
         past: list[list[str]] = []
         out = []
-        for _, g in pdf.sort_values(["frame", "line_no"]).groupby("frame", sort=True):
-            kept = [r for r in g.itertuples(index=False) if not any(near(r.line.lower(), x) for f in past for x in f)]
-            out += kept
-            past = [*past, [x.lower() for x in g["line"]]][-window:]
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return frames.groupBy("recording").applyInPandas(run, frames.schema)
-
+        for _, g in pdf.sort_values(["frame", "line_no"], kind="stable").groupby("frame", sort=True):
+            seen, fresh, own = {x for f in past for x in f}, [], []
+            for r in g.itertuples(index=False):
+                key = normalise(r.line or "")
+                if not key:
+                    continue
+                own.append(key)
+                if not r.own or any(near(key, x) for x in seen) or any(near(key, x) for x in fresh):
+                    continue
+                fresh.append(key)
+                out.append(r)
+            past = [*past, own][-window:] if window else []
+        return pd.DataFrame(out, columns=pdf.columns).drop(columns=["_b", "own"])
+
+    rows = frames.withColumns({"_b": F.floor(F.col("frame") / F.lit(step)), "own": F.lit(True)})
+    if window:
+        past = frames.join(_before(frames, window, step), ["recording", "frame"]).withColumn("own", F.lit(False))
+        rows = rows.unionByName(past.select(*frames.columns, "_b", "own"))
+    return rows.groupBy("recording", "_b").applyInPandas(run, frames.schema)
+
+
+def skip_unchanged_frames(frames: DataFrame, least: float = 1.5, step: float = STEP) -> DataFrame:
+    """recording, frame (a number, one row each), pixels (array) -> frames whose mean absolute difference from the last kept frame is ``least`` or more.
+
+    A range of frames is a function of the frame that was kept last before it. Ranges start from a guess
+    (none), all at once; those whose true predecessor turns out to be another are scanned again, until
+    none is. Each round settles the first open range of every recording at least, and mostly all, since
+    two scans agree from the first frame that both keep.
+    """
+    import numpy as np
 
-def skip_unchanged_frames(frames: DataFrame, least: float = 1.5) -> DataFrame:
-    """recording, frame, pixels (array) -> frames whose mean absolute difference from the last kept frame is ``least`` or more."""
+    spark = frames.sparkSession
+    shared_dir(spark)
+    b = frames.select("recording", "frame", "pixels").withColumn("_b", F.floor(F.col("frame") / F.lit(step)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
+        pdf = pdf.sort_values("frame")
         last, keep = None, []
-        for r in pdf.sort_values("frame").itertuples(index=False):
+        for r in pdf.itertuples(index=False):
             x = np.asarray(r.pixels, float)
-            if last is None or len(x) != len(last) or np.abs(x - last).mean() >= least:
-                keep.append(r)
+            if not r.own:
                 last = x
-        return pd.DataFrame(keep, columns=pdf.columns)
-
-    return frames.groupBy("recording").applyInPandas(run, frames.schema)
+            elif last is None or len(x) != len(last) or not len(x) or np.abs(x - last).mean() >= least:
+                keep.append((r.recording, r.bucket, r.frame))
+                last = x
+        return pd.DataFrame(keep, columns=["recording", "_b", "frame"])
+
+    types = {f.name: f.dataType.simpleString() for f in b.schema}
+    kept_schema = f"recording {types['recording']}, _b {types['_b']}, frame {types['frame']}"
+
+    def scan(state: DataFrame) -> DataFrame:
+        own = b.join(state.select("recording", "_b"), ["recording", "_b"], "left_semi").withColumn("own", F.lit(True))
+        past = state.where("incoming is not null").select("recording", "_b", F.col("incoming").alias("frame")).join(frames.select("recording", "frame", "pixels"), ["recording", "frame"])
+        rows = own.unionByName(past.select("recording", "frame", "pixels", "_b").withColumn("own", F.lit(False)))
+        return rows.withColumn("bucket", F.col("_b")).groupBy("recording", "_b").applyInPandas(run, kept_schema)
+
+    ranges = b.select("recording", "_b").distinct()
+    state = ranges.withColumn("incoming", F.lit(None).cast(types["frame"])).checkpoint()
+    kept = scan(state).checkpoint()
+    before = Window.partitionBy("recording").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        out = kept.groupBy("recording", "_b").agg(F.max("frame").alias("out"))
+        now = state.join(out, ["recording", "_b"], "left").withColumn("now", F.last("out", ignorenulls=True).over(before)).checkpoint()
+        changed = now.where(~F.col("incoming").eqNullSafe(F.col("now"))).select("recording", "_b", F.col("now").alias("incoming"))
+        if changed.isEmpty():
+            return frames.join(kept.select("recording", "frame"), ["recording", "frame"], "left_semi").select(*frames.columns)
+        again = scan(changed)
+        kept = kept.join(changed, ["recording", "_b"], "left_anti").unionByName(again).checkpoint()
+        state = now.select("recording", "_b", F.col("now").alias("incoming"))
