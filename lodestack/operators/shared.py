@@ -15,6 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestack-")
-        spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

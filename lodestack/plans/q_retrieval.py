@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import dedup, evaluate, retrieval, search_index
+from lodestack.operators import dedup, evaluate, fulltext, retrieval, search_index
 from lodestack.operators.shared import shared_dir
 from lodestack.plans.testdata import CHUNKS_SQL, chunks, table
 
@@ -196,6 +196,34 @@ def fulltext_or_match(s, d):
     return retrieval.or_match(t, q).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
+_PLACES = """
+q AS (SELECT item_id AS query_id, {words} AS t FROM benchmark WHERE item_id % 100 = 0),
+d AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunks),
+pos AS (SELECT DISTINCT chunk_id, w AS term, least(i, 16383) AS pos FROM (SELECT chunk_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+p AS (SELECT chunk_id, term, pos FROM pos QUALIFY row_number() OVER (PARTITION BY chunk_id, term ORDER BY pos) <= 255),
+hit AS (SELECT query_id, len(t) AS m, chunk_id, term, pos FROM (SELECT query_id, t, unnest(t) AS term FROM q) JOIN p USING (term))"""
+_ANY = _PLACES.format(words="list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))")
+_ALL = _PLACES.format(words="list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3])")
+
+
+@query(f"WITH {CHUNKS_SQL}, {_ANY}, s AS (SELECT query_id, chunk_id, round(count(DISTINCT pos) * CAST(0.1 AS DOUBLE), 6) AS score FROM hit GROUP BY ALL) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 50")
+def fulltext_rank(s, d):
+    """Chunks with any term of a query, by cover density."""
+    return fulltext.fulltext_topk(chunks(s, d), _asked(s, d), 50)
+
+
+# Of each place, the least of the last places of all terms so far starts its cover; a start counts once.
+@query(f"""WITH {CHUNKS_SQL}, {_ALL},
+e AS (SELECT a.query_id, a.chunk_id, a.pos, a.m, b.term, max(b.pos) AS last FROM (SELECT DISTINCT query_id, chunk_id, pos, m FROM hit) a JOIN hit b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+c AS (SELECT query_id, chunk_id, min(pos) AS stop, start FROM (SELECT query_id, chunk_id, pos, min(last) AS start FROM e GROUP BY query_id, chunk_id, pos, m HAVING count(*) = m) GROUP BY query_id, chunk_id, start),
+n AS (SELECT c.query_id, c.chunk_id, start, stop, count(DISTINCT pos) AS inside FROM c JOIN hit h ON h.query_id = c.query_id AND h.chunk_id = c.chunk_id AND pos BETWEEN start AND stop GROUP BY ALL)
+SELECT query_id, chunk_id, round(sum(0.1 / (1 + (stop - start) - (inside - 1))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.1 / (1 + (stop - start) - (inside - 1))), 6) DESC, chunk_id) AS rank FROM n GROUP BY query_id, chunk_id QUALIFY rank <= 50""")
+def fulltext_cover_rank(s, d):
+    """Chunks with all of a query's first three words, by the density of their minimal covers."""
+    q = _asked(s, d).select("query_id", F.array_join(F.slice(fulltext.words(F.col("query")), 1, 3), " ").alias("query"))
+    return fulltext.fulltext_topk(chunks(s, d), q, 50, need="all")
+
+
 _METRICS = """
 rel AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 200 = item_id),
 q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'semantic' END AS type FROM benchmark),
