@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources import seven_zip
 from lodestack.sources.files import open_file
 from lodestack.sources.frontmatter import readable
 
@@ -25,6 +26,7 @@ MAX_DEPTH, MAX_RATIO = 6, 1000
 #: Bytes of a member in memory at once; nested archives beyond KEPT are spooled by their task, as long as RESERVE bytes of its disk stay free.
 PIECE, KEPT, RESERVE = 1 << 20, 64 << 20, 1 << 30
 ROWS = 1000
+ARCHIVES = (".zip", ".7z")
 
 
 def fits(size: int, reserve: int = RESERVE) -> bool:
@@ -33,46 +35,109 @@ def fits(size: int, reserve: int = RESERVE) -> bool:
 
 
 def _members(archive: str, file, prefix: str, depth: int, hashes: bool, most: int):
+    """Rows of an archive's members, nested ones too; the kind of archive is told by its first bytes."""
     try:
-        z = zipfile.ZipFile(file)
+        file.seek(0)
+        kind = _seven_zip if bytes(file.read(6)) == seven_zip.SIGNATURE else _zip
+        file.seek(0)
+        entries = kind(file)
     except (zipfile.BadZipFile, NotImplementedError, OSError, ValueError):  # Arrow's seek beyond a file's ends is a ValueError
         yield archive, prefix.rstrip("!"), None, None, None, None, None, depth, "error"
         return
-    for i in z.infolist():
-        if i.is_dir():
+    for path, size, compressed, crc, status, pieces in entries:
+        name, row = prefix + path, (size, compressed, crc)
+        if status == "ok" and unsafe(path):
+            status = "unsafe_path"
+        if status != "ok" or not hashes:
+            yield archive, name, *row, None, None, depth, status
             continue
-        name, row = prefix + i.filename, (i.file_size, i.compress_size, i.CRC)
-        if i.flag_bits & 1:
-            yield archive, name, *row, None, None, depth, "encrypted"
-        elif unsafe(i.filename):
-            yield archive, name, *row, None, None, depth, "unsafe_path"
-        elif i.file_size and (i.compress_size == 0 or i.file_size / i.compress_size > MAX_RATIO):
-            yield archive, name, *row, None, None, depth, "expansion"
-        elif not hashes:
-            yield archive, name, *row, None, None, depth, "ok"
-        else:
-            nested = i.filename.lower().endswith(".zip")
-            if nested and depth < most and not fits(i.file_size):
-                yield archive, name, *row, None, None, depth, "no_space"
+        nested = path.lower().endswith(ARCHIVES)
+        if nested and depth < most and not fits(size):
+            yield archive, name, *row, None, None, depth, "no_space"
+            continue
+        with tempfile.SpooledTemporaryFile(KEPT) as body:
+            sha, got = sha256(), 0
+            try:
+                for piece in pieces():
+                    sha.update(piece)
+                    got = zlib.crc32(piece, got)
+                    if nested:
+                        body.write(piece)
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, seven_zip.Damaged):
+                yield archive, name, *row, None, False, depth, "error"
                 continue
-            with tempfile.SpooledTemporaryFile(KEPT) as body:
-                sha, crc = sha256(), 0
-                try:
-                    with z.open(i) as f:
-                        while piece := f.read(PIECE):
-                            sha.update(piece)
-                            crc = zlib.crc32(piece, crc)
-                            if nested:
-                                body.write(piece)
-                except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
-                    yield archive, name, *row, None, False, depth, "error"
-                    continue
-                yield archive, name, *row, sha.hexdigest(), crc == i.CRC, depth, "ok"
-                if nested and depth >= most:
-                    yield archive, name + "!", None, None, None, None, None, depth + 1, "max_depth"
-                elif nested:
-                    body.seek(0)
-                    yield from _members(archive, body, name + "!", depth + 1, hashes, most)
+            if crc is not None and got != crc:
+                yield archive, name, *row, None, False, depth, "error"
+                continue
+            yield archive, name, *row, sha.hexdigest(), None if crc is None else True, depth, "ok"
+            if nested and depth >= most:
+                yield archive, name + "!", None, None, None, None, None, depth + 1, "max_depth"
+            elif nested:
+                body.seek(0)
+                yield from _members(archive, body, name + "!", depth + 1, hashes, most)
+
+
+def _expands(size: int, compressed: int) -> bool:
+    return bool(size) and (compressed == 0 or size / compressed > MAX_RATIO)
+
+
+def _zip(file):
+    """(path, size, compressed, crc, status, pieces) of a zip file's members."""
+    z = zipfile.ZipFile(file)
+
+    def pieces(i):
+        with z.open(i) as f:
+            while piece := f.read(PIECE):
+                yield piece
+
+    def entries():
+        for i in z.infolist():
+            if not i.is_dir():
+                status = "encrypted" if i.flag_bits & 1 else "unsafe_path" if unsafe(i.filename) else "expansion" if _expands(i.file_size, i.compress_size) else "ok"
+                yield i.filename, i.file_size, i.compress_size, i.CRC, status, lambda i=i: pieces(i)
+
+    return entries()
+
+
+def _seven_zip(file):
+    """The same of a 7z file. Members of a folder are one stream: it is read on as they are asked for; those passed over are read and dropped.
+
+    A member's packed size is known only if it has its folder alone.
+    """
+    folders, members = seven_zip.read_header(file)
+
+    def entries():
+        at, stream, ahead = None, None, 0
+        for m in members:
+            if m.is_dir:
+                continue
+            if m.folder is None:
+                yield m.name, 0, 0, None, "ok", lambda: iter(())
+                continue
+            f = folders[m.folder]
+            packed = sum(f.packs)
+            if m.folder != at:
+                at, ahead, status = m.folder, 0, "expansion" if _expands(f.size, packed) else "ok"
+                if status == "ok":
+                    try:
+                        stream = seven_zip.Pieces(file, f)
+                        seven_zip._steps(f)
+                    except seven_zip.Unsupported as e:
+                        status = "encrypted" if str(e) == "encrypted" else "unsupported"
+                    except seven_zip.Damaged:
+                        status = "error"
+            read = []
+
+            def pieces(m=m, skip=ahead, read=read, stream=stream):
+                read.append(True)
+                for _ in seven_zip.file_pieces(stream, skip):
+                    pass
+                yield from seven_zip.file_pieces(stream, m.size)
+
+            yield m.name, m.size, packed if len(f.files) == 1 else None, m.crc, status, pieces
+            ahead = 0 if read else ahead + m.size
+
+    return entries()
 
 
 def unsafe(name: str) -> bool:
@@ -82,7 +147,7 @@ def unsafe(name: str) -> bool:
 
 
 def archive_members(archives: DataFrame, hashes: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """path of zip files -> their members, those of nested ones as ``outer.zip!inner/x``; hashes and CRC checks unless only listed.
+    """path of zip and 7z files -> their members, those of nested ones as ``outer.zip!inner/x``; hashes and CRC checks unless only listed.
 
     Archives and members may have any size: executors read them in pieces. Members that would expand
     too far or leave the folder are reported and not read, nested ones that the task's disk cannot
@@ -110,7 +175,7 @@ def archive_members(archives: DataFrame, hashes: bool = True, max_depth: int = M
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(root)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[zZ][iI][pP],7[zZ]}").load(root)
 
 
 def chain(member: Column) -> Column:
