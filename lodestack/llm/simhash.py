@@ -255,11 +255,21 @@ def layout(n: int, tau: int) -> tuple[int, int]:
     return best[1:]
 
 
-def fingerprint_links(fps: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
+def _within(tau: int, wide: int | None):
+    """Whether fingerprints a and b (with ``wide``, also s0, s1 and t0, t1) are near."""
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
+    if wide is not None:
+        near = near & (F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= wide)
+    return near
+
+
+def fingerprint_links(fps: DataFrame, tau: int, wide: int | None = None, crowd: int | None = None) -> DataFrame:
     """``fps`` (written; column fp, distinct) -> a, b (a < b): all pairs within ``tau`` bits, each once.
 
     With ``wide``, pairs must also lie within so many bits of their wide fingerprints (columns s0
-    and s1, of 128 bits), which is decided where pairs meet, before they are rows.
+    and s1, of 128 bits), which is decided where pairs meet, before they are rows. With ``crowd``, for
+    callers that find what is left in another way: where more than so many fingerprints have one value
+    in a partition, each meets the least of them alone, so their pairs are as many as they are.
     """
     n = fps.count()
     m, held = layout(n, tau)
@@ -308,10 +318,20 @@ def fingerprint_links(fps: DataFrame, tau: int, wide: int | None = None) -> Data
 
     q = fps.select("fp", *more).mapInArrow(probes, ddl).withColumnsRenamed({"fp": "a", "far": "may"})
     x = fps.select("fp", *more).mapInArrow(index, ddl).withColumnsRenamed({"fp": "b", "far": "is", "s0": "t0", "s1": "t1"})
-    near = (F.col("a") < F.col("b")) & (F.col("is") <= F.col("may")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
-    if wide is not None:
-        near = near & (F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= wide)
-    return q.join(x, (q["part"] == x["part"]) & (q["value"] == x["value"]) & near).select("a", "b").distinct()
+    near = (F.col("a") < F.col("b")) & (F.col("is") <= F.col("may")) & _within(tau, wide)
+    on = (q["part"] == x["part"]) & (q["value"] == x["value"]) & near
+    if crowd is None:
+        return q.join(x, on).select("a", "b").distinct()
+    own = fps.select("fp", *more).withColumn("part", F.explode(F.lit(list(range(m)))))
+    mask = F.element_at(F.lit([int(np.array(k, "u8").view("i8")) for k in masks]), F.col("part") + 1)
+    own = own.select(F.col("part").cast("tinyint").alias("part"), F.col("fp").bitwiseAND(mask).alias("value"), F.struct("fp", *more).alias("x"))
+    full = own.groupBy("part", "value").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x")).where(F.col("k") > crowd)
+    full = written(full.select("part", "value", F.col("x.fp").alias("b"), *[F.col(f"x.s{i}").alias(f"t{i}") for i in range(len(more))]), "crowds")
+    full = small(full)
+    led = q.join(full, ["part", "value"]).withColumn("is", F.lit(0)).where((F.col("a") != F.col("b")) & _within(tau, wide))
+    led = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = q.join(full.select("part", "value"), ["part", "value"], "left_anti")
+    return rest.join(x, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.col("is") <= F.col("may")) & _within(tau, wide)).select("a", "b").unionByName(led).distinct()
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, words: int = 4, verify=None, distinct: bool = False, wide_words: int = 0, wide: int | None = None) -> DataFrame:

@@ -191,3 +191,39 @@ def test_run(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(tuple(r) for r in out.collect()) == pipeline_brute(spark, sf_dir)
+
+
+def test_columns_of_any_name_go_through(spark, sf_dir):
+    """Extra columns that are named like what operators add or join by keep their values."""
+    names = ["n_lines", "n_dropped", "p_good", "p_not_toxic", "expected_grade", "_id0", "_th0", "_h", "th", "_id", "_th", "unit", "n", "prefix", "token", "spans"]
+    menu = "\n".join(["Menu of all", "a line of our own {0} words and more words here"])
+    rows = [(i, menu.format(i)) for i in range(12)] + [(50, "same text of ten words that is found twice here"), (51, "same text of ten words that is found twice here")]
+    d = docs(spark, rows).selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for _, f in cp.STAGES[:-1]:
+        out = f(spark, d, sf_dir)
+        assert out.columns == d.columns and out.dtypes == d.dtypes
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    assert {r.n_chars for r in cp.line_stage(spark, d, sf_dir).where("doc_id < 12").collect()} <= {len(menu.format(i)) - 12 for i in range(12)}
+
+
+def test_letters_of_one_form_do_not_meet_in_pairs(spark, monkeypatch):
+    """600 letters of 60 words with two of their own, no two of Jaccard 0.8: candidates are as many as the letters, not their pairs; and copies of such a size are one component."""
+    rng = random.Random(7)
+    form = [f"w{rng.randint(0, 4000)}" for _ in range(60)]
+    letters = [(i, " ".join([*form[:15], f"name{i}", *form[16:40], f"sum{i}", *form[41:]])) for i in range(600)]
+    assert jaccard(letters[0][1], letters[1][1]) < 0.8
+    copies = [f"v{rng.randint(0, 4000)}" for _ in range(120)]
+    near = [(1000 + i, " ".join([*copies[:60], f"name{i}", *copies[61:]])) for i in range(300)]
+    assert jaccard(near[0][1], near[1][1]) >= 0.8
+    sizes = {}
+    keep = near_copies.written
+
+    def noted(df, name):
+        out = keep(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", noted)
+    got = near_copies.near_copies(docs(spark, letters + near), cp.SHINGLE, cp.SIMILARITY, cp.PAIR_WORDS, cp.NEAR_BITS, cp.WIDE_BITS).collect()
+    assert sum(r.first for r in got) == 601 and {r.component_id for r in got if r.doc_id >= 1000} == {1000}
+    assert sizes["candidates"] < 40 * 900  # of 224,550 pairs of letters and of copies
