@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,41 @@ def bootstrap(df: DataFrame, by: list[str], value: str, order: str, resamples: i
     return df.groupBy(*by).applyInPandas(run, f"{kinds}, mean double, low double, high double")
 
 
+def poisson_steps(most: int = 12) -> list[float]:
+    """Cumulative probabilities of a Poisson variable of mean 1, from none on."""
+    out, term = [], math.exp(-1)
+    for k in range(most):
+        out.append((out[-1] if out else 0.0) + term)
+        term /= k + 1
+    return out
+
+
+def drawn_intervals(df: DataFrame, by: list[str], value: str, ident: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """by, n, mean, low, high: mean and percentile interval of each group by resampling, for groups of any size.
+
+    A resample is a row of sums. In each, a value is drawn as often as a Poisson variable of mean 1 says,
+    which its own digest of (seed, resample, ``ident``) gives: tasks need no numbering of a group's values,
+    no generator and no order, and sums combine before the shuffle. Resamples without a draw are left out,
+    as is a null value. For n values an end differs from that of ``bootstrap`` by its own error of
+    drawing, about 2.7 sd / sqrt(n * resamples), and by a share of about 1 / n of the interval's width,
+    since the number of draws varies.
+    """
+    steps = poisson_steps()
+    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.coalesce(F.col(ident).cast("string"), F.lit("")).alias("_i"))
+    each = v.select(*by, "_v", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_r").cast("string"), "_i")), 1, 8), 16, 10).cast("double") / 2.0**32
+    drawn = F.lit(len(steps))
+    for k in reversed(range(len(steps))):
+        drawn = F.when(u < steps[k], k).otherwise(drawn)
+    means = each.withColumn("_w", drawn).groupBy(*by, "_r").agg((F.sum(F.col("_w") * F.col("_v")) / F.when(F.sum("_w") > 0, F.sum("_w"))).alias("_m"))
+    ends = means.groupBy(*by).agg(F.sort_array(F.collect_list("_m")).alias("_ms"))  # ``resamples`` numbers
+    at = lambda share: F.get("_ms", F.greatest(F.lit(0), share).cast("int"))
+    k = F.size("_ms")
+    ends = ends.select(*by, at(F.floor(F.lit(alpha / 2) * k)).alias("low"), at(F.floor(F.lit(1 - alpha / 2) * k) - 1).alias("high"))
+    whole = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
+    return whole.join(ends, by).select(*by, "n", "mean", "low", "high") if by else whole.join(F.broadcast(ends), F.lit(True))
+
+
 def paired_difference(metrics: DataFrame, arm: str, base: str, measure: str) -> DataFrame:
     """query_id, type, difference of ``measure`` between two arms."""
     a = metrics.where(F.col("arm") == arm).select("query_id", "type", F.col(measure).alias("a"))

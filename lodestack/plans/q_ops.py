@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import paths as P
-from lodestack.operators import audit, classify, conversations, ingest
+from lodestack.operators import audit, batches, classify, conversations, ingest
 from lodestack.plans.testdata import FILES_SQL, files, table
 
 Q: dict = {}
@@ -346,3 +346,42 @@ def events_session(s, d):
     from lodestack.streaming.windows import sessions
 
     return sessions(table(s, d, "events"), "30 minutes").select("user_id", "start", "n")
+
+
+# Events as probes of a user's service: amounts as free disk, errors as calls that did not reach it.
+@query("""
+WITH p AS (SELECT user_id AS key, event_id AS seq, CAST(floor(value * 100) AS BIGINT) * 20000000 AS workspace, CAST(floor(value * 100) AS BIGINT) * 9000000 AS dbfree, CASE WHEN event_type IN ('error', 'view') THEN FALSE WHEN event_type = 'signup' THEN TRUE END AS reachable FROM events),
+i AS (SELECT *, sum(CASE WHEN reachable THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS isle FROM p),
+f AS (SELECT *, sum(CASE WHEN NOT reachable THEN 1 ELSE 0 END) OVER (PARTITION BY key, isle ORDER BY seq) AS failures,
+  CASE WHEN workspace < 10737418240 THEN 2 WHEN workspace < 16106127360 THEN 1 ELSE 0 END AS w, CASE WHEN dbfree < 5368709120 THEN 2 WHEN dbfree < 8589934592 THEN 1 ELSE 0 END AS d FROM i),
+g AS (SELECT *, greatest(w, d) AS n, NOT coalesce(reachable, TRUE) AND failures >= 3 AS lost FROM f)
+SELECT key, seq, CAST(failures AS BIGINT) AS failures, CASE WHEN n = 2 OR (n = 0 AND lost) THEN 'HARD_STOP' WHEN n = 1 THEN 'SOFT_STOP' ELSE 'NORMAL' END AS tier,
+  CASE WHEN n > 0 THEN (CASE WHEN d > w THEN 'postgres' ELSE 'workspace' END) || (CASE WHEN n = 2 THEN '_hard_stop' ELSE '_soft_stop' END) WHEN lost THEN 'ollama_persistently_unreachable' END AS stop_reason FROM g""")
+def guard_probes(s, d):
+    e, cents = table(s, d, "events"), F.floor(F.col("value") * 100).cast("long")
+    reachable = F.when(F.col("event_type").isin("error", "view"), False).when(F.col("event_type") == "signup", True)
+    p = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (cents * 20_000_000).alias("workspace"), (cents * 9_000_000).alias("database"), reachable.alias("reachable"))
+    return batches.guard_probes(p).select("key", "seq", "failures", "tier", "stop_reason")
+
+
+# Events as commands; a user's events of one stretch of numbers are a batch.
+_REASONS = [*batches.PAUSE_REASONS, *batches.ABORT_REASONS, batches.MANUAL_ABORT, *batches.COMPLETE_REASONS]
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT user_id * 1000000 + event_id // 1000 AS batch_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'pause' WHEN 'view' THEN 'resume' WHEN 'error' THEN 'abort' ELSE 'complete' END AS action,
+  {_REASONS}[CAST(event_id % {len(_REASONS)} AS INTEGER) + 1] AS reason, ['NORMAL', 'NORMAL', 'SOFT_STOP', 'HARD_STOP'][CAST(event_id % 4 AS INTEGER) + 1] AS tier FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY seq) AS k,
+  CASE WHEN action = 'pause' THEN reason IN {batches.PAUSE_REASONS} WHEN action = 'abort' THEN reason IN {(*batches.ABORT_REASONS, batches.MANUAL_ABORT)} WHEN action = 'complete' THEN reason IN {batches.COMPLETE_REASONS} ELSE TRUE END AS fits FROM c),
+r AS (SELECT DISTINCT batch_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS old, 'PLANNED' AS new, TRUE AS fits, '' AS reason FROM c
+  UNION ALL SELECT o.batch_id, o.k, o.seq, r.new, CASE WHEN NOT o.fits THEN r.new WHEN action = 'start' AND r.new = 'PLANNED' THEN 'RUNNING' WHEN action = 'pause' AND r.new = 'RUNNING' THEN 'PAUSED'
+    WHEN action = 'resume' AND r.new = 'PAUSED' THEN CASE tier WHEN 'HARD_STOP' THEN 'ABORTED' WHEN 'SOFT_STOP' THEN 'PAUSED' ELSE 'RUNNING' END
+    WHEN action = 'abort' AND (r.new = 'PAUSED' OR (r.new = 'RUNNING' AND o.reason <> '{batches.MANUAL_ABORT}')) THEN 'ABORTED' WHEN action = 'complete' AND r.new = 'RUNNING' THEN 'COMPLETED' ELSE r.new END, o.fits, o.reason
+  FROM r JOIN o ON o.batch_id = r.batch_id AND o.k = r.k + 1)
+SELECT batch_id, seq, old, new, old <> new AS applied, CASE WHEN NOT fits THEN 'reason' END AS problem, CASE WHEN old <> new AND new <> 'RUNNING' THEN reason END AS stop_reason FROM r WHERE k > 0""")
+def batch_machine(s, d):
+    e, i = table(s, d, "events"), F.col("event_id")
+    action = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "click", "pause").when(F.col("event_type") == "view", "resume").when(F.col("event_type") == "error", "abort").otherwise("complete")
+    pick = lambda values, n: F.element_at(F.lit(values), (n + 1).cast("int"))
+    c = e.select((F.col("user_id") * 1_000_000 + F.floor(i / 1000)).alias("batch_id"), i.alias("seq"), action.alias("action"), pick(_REASONS, i % len(_REASONS)).alias("reason"), pick(["NORMAL", "NORMAL", "SOFT_STOP", "HARD_STOP"], i % 4).alias("tier"))
+    return batches.fold_commands(c)

@@ -274,6 +274,30 @@ def bootstrap_decision(s, d):
     return evaluate.decision(evaluate.bootstrap(diff, ["type"], "difference", "query_id"), 0.02)
 
 
+_DRAWN = f"""
+dif AS (SELECT query_id, a.type, a.ndcg - b.ndcg AS v FROM m a JOIN m b USING (query_id) WHERE a.arm = 'a' AND b.arm = 'b'),
+w AS (SELECT type, r, v, CASE {" ".join(f"WHEN u < {x!r} THEN {k}" for k, x in enumerate(evaluate.poisson_steps()))} ELSE 12 END AS w FROM (
+  SELECT type, r, v, CAST(('0x' || substr(md5('0|' || r || '|' || query_id), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM dif, range(2000) t(r))),
+mean AS (SELECT type, r, sum(w * v) / sum(w) AS m FROM w GROUP BY type, r HAVING sum(w) > 0),
+ends AS (SELECT type, list(m ORDER BY m) AS ms FROM mean GROUP BY type),
+iv AS (SELECT type, n, mean, ms[CAST(floor(0.025 * len(ms)) AS INTEGER) + 1] AS low, ms[CAST(floor(0.975 * len(ms)) AS INTEGER)] AS high FROM ends JOIN (SELECT type, count(*) AS n, avg(v) AS mean FROM dif GROUP BY type) USING (type))"""
+
+
+def _intervals(s, d):
+    diff = evaluate.paired_difference(_metrics(s, d), "a", "b", "ndcg")
+    return evaluate.drawn_intervals(diff, ["type"], "difference", "query_id")
+
+
+@query(f"WITH {_METRICS}, {_DRAWN} SELECT type, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM iv")
+def drawn_intervals(s, d):
+    return _intervals(s, d).select("type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query(f"WITH {_METRICS}, {_DRAWN} SELECT coalesce(max(CASE WHEN type = 'lexical' THEN low END) > 0.02, FALSE) AS lexical_gain, coalesce(max(CASE WHEN type = 'semantic' THEN high END) >= 0, FALSE) AS no_semantic_loss, coalesce(max(CASE WHEN type = 'lexical' THEN low END) > 0.02, FALSE) AND coalesce(max(CASE WHEN type = 'semantic' THEN high END) >= 0, FALSE) AS adopt FROM iv")
+def drawn_decision(s, d):
+    return evaluate.decision(_intervals(s, d), 0.02)
+
+
 @query("SELECT event_type, percentile_disc(0.05) WITHIN GROUP (ORDER BY value) AS p5, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(s, d):
     return evaluate.nearest_rank(table(s, d, "events"), ["event_type"], "value", [5, 50, 95])
