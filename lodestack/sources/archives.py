@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.sources import seven_zip
+from lodestack.sources import pdf, seven_zip
 from lodestack.sources.files import open_file
 from lodestack.sources.frontmatter import readable
 
@@ -236,21 +236,6 @@ def _office(data: bytes, suffix: str) -> str:
     return "\n".join(rows)
 
 
-def _pdf(data: bytes) -> str:
-    """Text shown by Tj and TJ in plain or deflated streams with simple fonts; no library for other fonts is at hand."""
-    out = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[1]
-        try:
-            body = zlib.decompress(body)
-        except zlib.error:
-            pass
-        for t in re.finditer(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*Tj", body, re.S):
-            parts = re.findall(rb"\(((?:\\.|[^\\()])*)\)", t[1] or t[2], re.S)
-            out.append(re.sub(r"\\([()\\])", r"\1", b"".join(parts).decode("latin-1")))
-    return "\n".join(out)
-
-
 def text_of(name: str, data: bytes) -> str | None:
     """Text by suffix (a conflict number is allowed: ``.pdf_123``); None where the file cannot be read."""
     suffix = re.sub(r"^(\.[a-z0-9]+)_\d+$", r"\1", (re.search(r"[^/](\.[^./]+)$", name.lower()) or ["", ""])[1])
@@ -258,7 +243,7 @@ def text_of(name: str, data: bytes) -> str | None:
         if suffix in (".docx", ".pptx", ".xlsx"):
             text = _office(data, suffix)
         elif suffix == ".pdf":
-            text = _pdf(data)
+            text = "\n".join(pdf.page_texts(data))
         else:
             text = data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
     except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError):
@@ -278,6 +263,22 @@ def extract_text(files: DataFrame) -> DataFrame:
     return files.select("path", run("path", "content").alias("text"))
 
 
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """path, content -> path, page (from 1), text: a row for each page of each PDF file; one with a null page where a file cannot be read."""
+
+    def run(batches):
+        for pdf_ in batches:
+            for path, content in zip(pdf_["path"], pdf_["content"], strict=True):
+                try:
+                    texts = pdf.page_texts(bytes(content))
+                    rows = [(path, i + 1, t.replace("\0", "")) for i, t in enumerate(texts)]
+                except ValueError:
+                    rows = [(path, None, None)]
+                yield pd.DataFrame(rows, columns=["path", "page", "text"]).astype({"page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
 def safe_name(name: str, most: int = 120) -> str:
     """A relative path without unsafe parts, each part shortened with its suffix kept."""
     parts = [re.sub(r'[<>:"|?*\x00-\x1f]', "_", p).strip(" .") or "_" for p in name.replace("\\", "/").split("/") if p not in ("", ".", "..")]

@@ -177,7 +177,6 @@ def test_text(spark, tmp_path):
     assert archives.text_of("a.txt", "é\0x".encode()) == "éx"
     assert archives.text_of("a.txt", "é".encode("utf-16")) == "é"
     assert archives.text_of("a.md", b"---\ntitle: T\nempty:\n---\nsee [[a|b]]") == "Title: T\n\nsee b"
-    assert archives.text_of("a.pdf_3", b"stream\nBT (Hi \\(x\\)) Tj ET\nendstream") == "Hi (x)"
     assert archives.text_of("a.docx", b"broken") is None
     df = spark.createDataFrame([("a.txt", bytearray(b"hi"))], "path string, content binary")
     assert archives.extract_text(df).first().text == "hi"
