@@ -32,6 +32,6 @@ def test_no_cross_products_of_large_sides(spark, sf_dir):
 
 def test_python_runs_only_where_said(spark, sf_dir):
     vectors_in_blocks = {"dense_topk", "rrf_fusion", "hybrid_topk", "near_duplicate_pairs", "near_duplicate_documents", "citations_projection", "relevance_cutoff"}
-    for name in sorted(set(QUERIES) - vectors_in_blocks - {"bootstrap_decision"}):
+    for name in sorted(set(QUERIES) - vectors_in_blocks - {"bootstrap_decision", "changed_frames", "new_screen_lines"}):
         p = plan(QUERIES[name](spark, sf_dir))
         assert not any(x in p for x in ("ArrowEvalPython", "BatchEvalPython", "InPandas", "MapInArrow")), name

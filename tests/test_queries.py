@@ -18,7 +18,7 @@ def test_bootstrap_decision(spark, sf_dir, duck):
     """The one query without SQL, against the random module over the differences that SQL gives."""
     import random
 
-    assert set(QUERIES) - set(ORACLE_SQL) == {"bootstrap_decision"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"bootstrap_decision", "new_screen_lines"}
     rows = duck.execute(f"SELECT type, difference FROM ({ORACLE_SQL['paired_difference']}) ORDER BY query_id").fetchall()
     bounds = {}
     for kind in ("lexical", "semantic"):
@@ -30,6 +30,20 @@ def test_bootstrap_decision(spark, sf_dir, duck):
     assert (r.lexical_gain, r.no_semantic_loss, r.adopt) == (gain, loss, gain and loss)
 
 
+def test_new_screen_lines(spark, sf_dir):
+    """The other one, against one pass over each document's lines."""
+    import hashlib
+
+    from tests.test_lines import one_pass
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text").collect()
+    want = []
+    for r in docs:
+        frames = [(r.doc_id, i // 3, i, x) for i, x in enumerate(r.text.split("\n"))]
+        want += [(a, b, c, hashlib.sha256(x.encode()).hexdigest()) for a, b, c, x in one_pass(frames)]
+    assert sorted(map(tuple, QUERIES["new_screen_lines"](spark, sf_dir).collect())) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
