@@ -3,9 +3,11 @@
 Grades are ordered: 0 toxic, 1 of low quality, 2 good. One weight vector over hashed features gives
 a document's score s; P(grade > k) = sigmoid(s - theta_k) with thresholds theta_0 < theta_1. The
 expected grade is the sum of these tail probabilities; documents are selected by the tail
-P(grade >= 2). Features: each distinct word (lower case) with its first four and six letters, and
-steps that the share of odd tokens passes (capitals only, doubled signs at the end, signs only, the
-token before again). Only buckets that tell grades apart in a test of proportions get a weight.
+P(grade >= 2). Features are hashed names: each distinct word (lower case) with its first four and six
+letters, and token shapes, the steps that the share of each passes among a text's tokens. A shape has
+a letter for capitals, one for other letters and one for digits, signs as they are, and runs as one;
+its beginning, its end, and a token that comes twice in a row, by its shape, count as well. No shape
+is named here. Only buckets that tell grades apart in a test of proportions get a weight.
 
 The model is fitted by full-batch gradient steps on a bounded sample of labelled rows (``FIT_DOCS``
 documents, taken by hash); scoring is one pass over all documents without a shuffle.
@@ -13,9 +15,9 @@ documents, taken by hash); scoring is one pass over all documents without a shuf
 
 from __future__ import annotations
 
-import operator
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +39,23 @@ RIDGE, STEPS, RATE = 1e-4, 200, 0.1
 KEEP = 0.5
 #: Words whose weight a worker remembers.
 CACHE = 200_000
-SHAPES = ("capitals", "doubled", "signs", "again")
-LEVELS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4)
+#: Shares of a text's tokens at which a shape has a step.
+LEVELS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 
 _WORD = re.compile(r"\w+").findall
-_DOUBLED = re.compile(r"([^\w\s])\1(?!\S)").findall
-_SIGNS = re.compile(r"(?<!\S)[^\w\s]+(?!\S)").findall
+_RUN = re.compile(rb"([^ ])\1+")
+
+
+def _classes() -> bytes:
+    """Bytes to their class: A, a (also all beyond ASCII), 9, a blank, or the sign itself."""
+    out = bytearray(range(256))
+    for i in range(256):
+        c = bytes([i])
+        out[i] = ord("A") if c.isupper() else ord("a") if c.isalpha() or i > 127 else ord("9") if c.isdigit() else 32 if c.isspace() else i
+    return bytes(out)
+
+
+_CLASSES = _classes()
 
 
 def _bucket(s: str) -> int:
@@ -55,13 +68,24 @@ def word_buckets(word: str) -> list[int]:
     return [_bucket(w) for w in (f"w {word}", f"4 {word[:4]}", f"6 {word[:6]}")]
 
 
+def shape_names(text: str | None) -> list[str]:
+    """A name for each step of LEVELS that the share of a token shape passes."""
+    raw = (text or "").encode()
+    tokens, shapes = raw.split(), _RUN.sub(rb"\1+", raw.translate(_CLASSES)).split()
+    whole = Counter(shapes)
+    counts = [("shape", whole), ("again", Counter([s for a, b, s in zip(tokens, tokens[1:], shapes[1:]) if a == b]))]
+    for kind, part in (("begin", slice(1)), ("end", slice(-2, None))):
+        some: Counter = Counter()
+        for x, n in whole.items():
+            some[x[part]] += n
+        counts.append((kind, some))
+    n = len(shapes)
+    return [f"{kind} {x.decode('latin-1')} {level}" for kind, some in counts for x, k in some.items() for level in LEVELS if k > level * n]
+
+
 def words_and_shapes(text: str | None) -> tuple[set[str], list[str]]:
-    """Distinct words, and a name for each step of LEVELS that the share of a kind of odd tokens passes."""
-    text = text or ""
-    toks = text.split()
-    n = max(1, len(toks))
-    counts = (sum(map(str.isupper, (t for t in toks if len(t) > 1))), len(_DOUBLED(text)), len(_SIGNS(text)), sum(map(operator.eq, toks, toks[1:])))
-    return set(_WORD(text.lower())), [f"shape {s} {x}" for s, c in zip(SHAPES, counts, strict=True) for x in LEVELS if c > x * n]
+    """Distinct words, and names of token shapes."""
+    return set(_WORD((text or "").lower())), shape_names(text)
 
 
 def features(text: str | None) -> np.ndarray:
