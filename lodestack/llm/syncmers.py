@@ -28,6 +28,8 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 BITS = 9
 #: A level of at most so many rows is the top one.
 TOP = 4096
+#: Rows of one doc_id that go with their neighbours; more are dealt out by a hash.
+ROWS = 64
 
 
 def _word_hashes(text: Column) -> Column:
@@ -112,26 +114,79 @@ def _followers(keys: DataFrame) -> DataFrame:
     return out
 
 
+def _crowded(docs: DataFrame, heads: DataFrame) -> DataFrame | None:
+    """_k, many: ids of more than ROWS rows in buckets of more rows than ids; None if there are none."""
+    full = heads.where(F.col("rows") > 1 << BITS).select("_b")
+    if full.isEmpty():
+        return None
+    some = docs.withColumn("_b", F.shiftright("_k", BITS)).join(small(full), "_b", "left_semi")
+    many = written(some.groupBy("_k").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > ROWS), "crowded")
+    return None if many.isEmpty() else many
+
+
+def _next_of_crowded(docs: DataFrame, many: DataFrame, carry: list[str], add) -> tuple[DataFrame, DataFrame]:
+    """For the rows of crowded ids: (rows with next_<c>, those that have their next among them), (the first and the last row of each id, with _o 0 and 1).
+
+    Rows that repeat each other are one, counted by an aggregate. The others are dealt by leading bits
+    of a hash, and each group of them also gets the first row of the group after it.
+    """
+    most = many.agg(F.max("many")).first()[0]
+    bits = max(1, (most // ROWS).bit_length())
+    cols = [c for c in docs.columns if c != "_k"]
+    rows = docs.join(small(many.select("_k")), "_k", "left_semi").groupBy("_k", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    rows = written(rows.withColumn("_h", F.xxhash64(*cols)).withColumn("_c", F.shiftright("_h", 64 - bits)), "crowd")
+    order = Window.partitionBy("_k").orderBy("_c")
+    # One row a group: its first and last hash.
+    groups = written(rows.groupBy("_k", "_c").agg(F.min("_h").alias("first"), F.max("_h").alias("last")), "groups")
+    heads = groups.select("_k", F.lag("_c").over(order).alias("_c"), F.col("first").alias("_h")).where("_c is not null")
+    ends = groups.groupBy("_k").agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
+    ghosts = rows.drop("_c").join(small(written(heads, "heads")), ["_k", "_h"]).withColumn("_g", F.lit(1))
+    both = add(rows.withColumn("_g", F.lit(0)).unionByName(ghosts.select(*rows.columns, "_g")))
+    w = Window.partitionBy("_k", "_c").orderBy("_g", "_h")
+    got = both.select("*", F.lead("_h").over(w).alias("_after"), *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("_g = 0")
+    # All copies of a row but the last have their like as next; the last row of an id has its next elsewhere.
+    copies = F.sequence(F.lit(1), F.col("_n"))
+    got = got.withColumn("_i", F.explode(copies)).where((F.col("_i") < F.col("_n")) | F.col("_after").isNotNull())
+    own = F.col("_i") < F.col("_n")
+    plain = [c for c in got.columns if not c.startswith("next_") or c.removeprefix("next_") not in carry]
+    got = got.select(*plain, *[F.when(own, F.col(c)).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carry])
+    edge = rows.join(small(written(ends, "ends")), "_k").where((F.col("_h") == F.col("lo")) | (F.col("_h") == F.col("hi")))
+    edge = edge.withColumn("_o", (F.col("_h") == F.col("hi")).cast("int")).select(*docs.columns, "_o", (F.col("lo") == F.col("hi")).alias("_one"))
+    return got.drop("_n", "_h", "_c", "_g", "_after", "_i"), edge
+
+
 def with_next(docs: DataFrame, carry: list[str], add=lambda rows: rows) -> DataFrame:
     """Add next_<c> for each column c of ``carry``: its value in the next row by descending doc_id (after the last: the first).
 
-    Rows of equal doc_id go by text; rows without a doc_id come last. A single row is its own next.
-    ``add`` makes columns to carry (row by row) once it is known which rows are needed twice.
+    Rows of equal doc_id go by text, and more than ROWS of them by a hash of all their columns, rows that
+    repeat each other one after the other; rows without a doc_id come last. A single row is its own next.
+    ``add`` makes columns to carry (row by row) once it is known which rows are needed twice. No task has
+    more than some rows of 2 ** BITS ids, or of one id.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     docs = docs.withColumn("_k", key)
-    ids = docs.select("_k", F.shiftright("_k", BITS).alias("_b")).groupBy("_b").agg(F.max("_k").alias("k"))
+    ids = docs.select("_k", F.shiftright("_k", BITS).alias("_b")).groupBy("_b").agg(F.max("_k").alias("k"), F.count(F.lit(1)).alias("rows"))
     heads = written(ids, "heads")  # the greatest id of each bucket
     links = _followers(heads.select("k"))
+    many = _crowded(docs, heads)
+    most, out = docs.withColumns({"_o": F.lit(0), "_one": F.lit(True)}), None
+    if many is not None:
+        # Of a crowded id, the first row is met by what stands before it, and the last meets what comes after.
+        out, edge = _next_of_crowded(docs, many, carry, add)
+        most = most.join(small(many.select("_k")), "_k", "left_anti").select(*most.columns).unionByName(edge)
     # The first row of each bucket is also needed at the end of the bucket before it.
     ghosts = links.select(F.col("to").alias("_k"), F.shiftright("from", BITS).alias("_b"))
     ghosts = small(written(ghosts, "ghosts"))
-    own = docs.select("*", F.shiftright("_k", BITS).alias("_b"), F.lit(0).alias("_g"))
-    extra = docs.join(ghosts, "_k").select(*docs.columns, "_b", F.lit(1).alias("_g"))
-    w = Window.partitionBy("_b").orderBy("_g", F.desc("_k"), "text")
+    own = most.select("*", F.shiftright("_k", BITS).alias("_b"), F.lit(0).alias("_g"))
+    extra = most.join(ghosts, "_k").select(*most.columns, "_b", F.lit(1).alias("_g"))
+    w = Window.partitionBy("_b").orderBy("_g", F.desc("_k"), "_o", "text")
     rows = add(own.unionByName(extra))
     rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
-    return rows.where("_g = 0").drop("_k", "_b", "_g")
+    rows = rows.where("_g = 0")
+    if out is not None:
+        rows = rows.join(small(many.select("_k", F.lit(True).alias("_crowd"))), "_k", "left").where(F.col("_crowd").isNull() | (F.col("_o") == 1) | F.col("_one"))
+        rows = rows.drop("_crowd", "_b", "_g", "_o", "_one").unionByName(out)
+    return rows.drop("_k", "_b", "_g", "_o", "_one")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -245,6 +245,30 @@ def test_next_document(spark, docs, monkeypatch, top):
     assert got == want
 
 
+@pytest.mark.parametrize("bits", [1, 9])
+def test_next_of_crowded_ids(spark, monkeypatch, bits):
+    """Thousands of rows without a doc_id, or of one doc_id, many of them equal: next rows are one round over all rows, ids in order, and no task has them all."""
+    from collections import Counter
+
+    monkeypatch.setattr(syncmers, "BITS", bits)
+    rng = random.Random(bits)
+    rows = [(None, f"none {i}") for i in range(5000)] + [(None, None)] * 400 + [(None, "none same")] * 600 + [(77, "77 all the same")] * 900
+    rows += [(78, f"78 {rng.randrange(500)}") for _ in range(1200)] + [(d, f"{d} x") for d in range(70, 90) if d not in (77, 78)] + [(10**14, "100000000000000 far")] * 2 + [(-3, "-3 a"), (-3, "-3 b")]
+    df = table(spark, rows).withColumn("seen", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = syncmers.with_next(df, ["text"]).withColumn("p", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and Counter(r.next_text for r in got) == Counter(t for _, t in rows)
+    name = lambda t: -(1 << 63) if t is None or t.startswith("none") else int(t.split()[0])
+    leave = Counter((name(r.text), name(r.next_text)) for r in got if name(r.text) != name(r.next_text))
+    ids = sorted({name(t) for _, t in rows}, reverse=True)
+    assert leave == Counter(zip(ids, [*ids[1:], ids[0]], strict=True))
+    # Copies have their like as next, but for one.
+    assert sum(r.text != r.next_text for r in got if r.text == "none same") == sum(r.next_text is not None for r in got if r.text is None) == 1
+    tasks = Counter(r.p for r in got if r.doc_id is None)
+    assert len(tasks) >= 4 and max(tasks.values()) < 3500
+
+
 def test_syncmer_anchors(spark, docs):
     df = spark.createDataFrame([(1, docs[0][1]), (2, docs[0][1]), (3, "pre fix words " + docs[0][1]), (4, "a b"), (5, None)], "doc_id long, text string")
     a = {r.doc_id: {(x.pos, x.hash) for x in r.a} for r in syncmers.with_anchors(df, "text", "a").collect()}
