@@ -130,6 +130,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(chat.conversation_events(df.limit(0))).count() == 0
 
 
+def test_chat_long_texts_and_repeated_turns(spark):
+    """Texts of hundreds of thousands of characters, and turns that repeat, some without a role or a turn."""
+    long = "<|im_end|>\\é🙂 word\n" * 30_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "."), (1, 2, None, "a"), (1, 2, None, "a"), (1, 2, None, None), (1, 2, "user", None), (2, None, None, "x"), (2, None, None, "x"), (3, 5, "assistant", ""), (3, 5, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.conversation_events(df))).collect()}
+    turns = {c: sorted((t.role, t.text) for t in r.turns) for c, r in got.items()}
+    assert turns == {c: sorted((r or "", t or "") for d, _, r, t in rows if d == c) for c in (1, 2, 3)}
+    assert [(t.role, t.text) for t in got[1].turns][:2] == [("user", long), ("assistant", long + ".")] and got[1].loss_text == long + "."
+
+
 def fold_brute(events):
     out = {}
     for conv, seq, kind, message, role, text in sorted(events, key=lambda e: (e[1], e[2] or "message", e[4] or "", e[5] or "")):
