@@ -51,7 +51,8 @@ def counters(files: DataFrame) -> DataFrame:
 def merkle_signatures(files: DataFrame, checkpoint=lambda df: df) -> DataFrame:
     """dir, dir_depth, sig, files: SHA-256 over the sorted lines ``F:name:size`` then ``D:name:sig``, deepest directories first.
 
-    One aggregate for each level of depth (a directory's own entries are what it gathers). Pass a
+    Lines are sorted as they are, so ``a.b`` may come before ``a``: equal trees have equal signatures, which are not
+    those of a sort by names alone. One aggregate for each level of depth (a directory's own entries are what it gathers). Pass a
     ``checkpoint`` that writes a DataFrame for deep trees.
     """
     own = files.select(P.parent(F.col("path")).alias("dir"), P.basename(F.col("path")).alias("name"), "size")
