@@ -10,7 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 class SqliteTable(DataSource):
     """``spark.read.format("sqlitetable").schema(...).option("table", t).load(path)``: one table, in ranges of its row ids.
 
-    The file is opened read-only. ``rows`` (default 100000) is the span of row ids of a partition.
+    The file is opened read-only. ``rows`` (default 100000) is the span of row ids of a partition. What
+    has no row ids (views, and tables WITHOUT ROWID) is one partition.
     """
 
     @classmethod
@@ -34,13 +35,25 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self):
         c = self._connect()
-        low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
-        c.close()
-        return [InputPartition(a) for a in range(low, high + 1, self.rows)] if low is not None else [InputPartition(0)]
+        try:
+            # A view's row ids are all null, so rows are counted by them too.
+            low, high, some = c.execute(f"SELECT min(rowid), max(rowid), EXISTS (SELECT 1 FROM {self.table}) FROM {self.table}").fetchone()
+        except sqlite3.OperationalError as e:
+            if "rowid" not in str(e):
+                raise
+            return [InputPartition(None)]
+        finally:
+            c.close()
+        if low is None:
+            return [InputPartition(None)] if some else [InputPartition(0)]
+        return [InputPartition(a) for a in range(low, high + 1, self.rows)]
 
     def read(self, partition):
         c = self._connect()
         try:
-            yield from c.execute(f"SELECT {self.columns} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (partition.value, partition.value + self.rows))
+            if partition.value is None:
+                yield from c.execute(f"SELECT {self.columns} FROM {self.table}")
+            else:
+                yield from c.execute(f"SELECT {self.columns} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (partition.value, partition.value + self.rows))
         finally:
             c.close()

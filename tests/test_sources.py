@@ -192,9 +192,17 @@ def test_sqlite_table(spark, tmp_path):
     c.execute('CREATE TABLE "odd name" (path TEXT, size INTEGER, extra TEXT)')
     c.executemany('INSERT INTO "odd name" VALUES (?, ?, ?)', [(f"p{i}", i if i % 7 else None, "z") for i in range(250)])
     c.execute('CREATE TABLE empty (path TEXT)')
+    c.execute('CREATE TABLE keyed (path TEXT PRIMARY KEY, size INTEGER) WITHOUT ROWID')
+    c.executemany('INSERT INTO keyed VALUES (?, ?)', [(f"k{i}", i) for i in range(120)])
+    c.execute('CREATE VIEW seen AS SELECT path, size + 1 AS size FROM keyed')
     c.commit()
     c.close()
     spark.dataSource.register(SqliteTable)
     df = spark.read.format("sqlitetable").schema("path string, size long").option("table", "odd name").option("rows", "100").load(str(tmp_path / "x.db"))
     assert df.rdd.getNumPartitions() == 3 and sorted((r.path, r["size"]) for r in df.collect()) == sorted((f"p{i}", i if i % 7 else None) for i in range(250))
+    for name, more in (("keyed", 0), ("seen", 1)):
+        df = spark.read.format("sqlitetable").schema("path string, size long").option("table", name).option("rows", "50").load(str(tmp_path / "x.db"))
+        assert sorted((r["size"], r.path) for r in df.collect()) == [(i + more, f"k{i}") for i in range(120)]
+    with pytest.raises(Exception, match="no such table"):
+        spark.read.format("sqlitetable").schema("path string").option("table", "none").load(str(tmp_path / "x.db")).count()
     assert spark.read.format("sqlitetable").schema("path string").option("table", "empty").load(str(tmp_path / "x.db")).count() == 0
