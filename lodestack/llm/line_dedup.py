@@ -24,7 +24,7 @@ RANGE_LINES, LINE_BITS, LEAST_RANGES = 1 << 20, 16, 64
 #: Line keys to drop (16 bytes each) are broadcast up to this many; more are joined by a shuffle.
 KEYS = 300_000
 #: Lines that a task gathers before it tells repeats from others.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 def keys_of(text: str | None) -> list[bytes]:
@@ -76,42 +76,57 @@ _LINE = pa.schema([("range", pa.int32()), ("h", pa.binary()), ("n", pa.int64()),
 _LINE_DDL = "range int, h binary, n long, ids array<bigint>, lines array<int>"
 
 
+def _least(ids: pa.Array, doc: np.ndarray, lines: np.ndarray) -> tuple[int | None, int]:
+    """The first place of one key: of the least doc_id (null before all), then the least line."""
+    own = ids.take(pa.array(doc))
+    missing = np.asarray(own.is_null().to_numpy(zero_copy_only=False))
+    if missing.any():
+        return None, int(lines[missing].min())
+    at = own.to_numpy()
+    return int(at.min()), int(lines[at == at.min()].min())
+
+
 def line_rows(docs: DataFrame, ranges: Ranges) -> DataFrame:
     """Hashes of line keys (16 bytes each, joined) by range. Rows with n = 0 hold keys that a task met once, and their places; rows with n > 0 one key that it met n times, and its first place."""
     most = FLUSH
 
-    def run(batches):
-        held, ids, lines = [], [], []
-
-        def flush():
-            h = np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)
-            order = np.lexsort((h[:, 1], h[:, 0]))
-            g = h[order]
-            new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]).any(axis=1))))
-            times = np.diff(np.append(new, len(g)))
-            out = []
-            for i, n in zip(new[times > 1].tolist(), times[times > 1].tolist(), strict=True):
-                d, line = min(((ids[j], lines[j]) for j in order[i : i + n].tolist()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-                out.append((int(ranges.of(g[i, :1])[0]), g[i].tobytes(), n, [d], [line]))
-            once = order[new[times == 1]]
-            at = ranges.of(h[once, 0])  # sorted, as ranges are the leading bits
-            cuts = np.searchsorted(at, np.arange(ranges.n + 1))
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                part = once[cuts[r] : cuts[r + 1]]
-                out.append((r, h[part].tobytes(), 0, [ids[j] for j in part.tolist()], [lines[j] for j in part.tolist()]))
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _LINE, strict=True)], schema=_LINE)
+    def flush(held):
+        """``held``: (doc_id, hashes, places) of documents. Arrays from here on: 28 bytes a line."""
+        h = np.frombuffer(b"".join([x for _, x, _ in held]), "<u8").reshape(-1, 2)
+        lines = np.concatenate([x for _, _, x in held])
+        doc = np.repeat(np.arange(len(held)), [len(x) for _, _, x in held])
+        ids = pa.array([d for d, _, _ in held], pa.int64())
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        h, lines, doc = h[order], lines[order], doc[order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1))))
+        times = np.diff(np.append(new, len(h)))
+        out = []
+        for i, n in zip(new[times > 1].tolist(), times[times > 1].tolist(), strict=True):
+            d, line = _least(ids, doc[i : i + n], lines[i : i + n])
+            out.append((int(ranges.of(h[i, :1])[0]), h[i].tobytes(), n, [d], [line]))
+        counted = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [()] * 5, _LINE, strict=True)], schema=_LINE)
+        once = new[times == 1]
+        h, lines, doc = h[once], lines[once], doc[once]
+        cuts = np.searchsorted(ranges.of(h[:, 0]), np.arange(ranges.n + 1))  # ranges are the leading bits, so they are in order
+        full = np.flatnonzero(np.diff(cuts))
+        ends = pa.array(np.append(cuts[full], len(h)).astype("i4"))
+        parts = [h[cuts[r] : cuts[r + 1]].tobytes() for r in full.tolist()]
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(doc)), pa.array(lines))]
+        return counted, pa.RecordBatch.from_arrays([pa.array(full.astype("i4")), pa.array(parts, pa.binary()), pa.array(np.zeros(len(full), "i8")), *lists], schema=_LINE)
 
+    def run(batches):
+        held, n = [], 0
         for b in slices(batches):
             for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 first = _first_lines(t)
-                held += _digests(first)
-                ids += [d] * len(first)
-                lines += first.values()
-                if len(held) >= most:
-                    yield flush()
-                    held, ids, lines = [], [], []
+                if first:
+                    held.append((d, b"".join(_digests(first)), np.fromiter(first.values(), "i4", len(first))))
+                    n += len(first)
+                if n >= most:
+                    yield from flush(held)
+                    held, n = [], 0
         if held:
-            yield flush()
+            yield from flush(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _LINE_DDL)
 
@@ -134,6 +149,7 @@ def suspects(rows: DataFrame, ranges: Ranges) -> DataFrame:
             h = np.concatenate([x for x, _, _ in held])
             on = np.flatnonzero(ranges.has(twice, h[:, 0]))
             ids, lines = (pa.concat_arrays([x[i] for x in held]).take(pa.array(on)) for i in (1, 2))
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in h[on]], pa.binary()), pa.array(np.ones(len(on), "i8")), ids, lines], schema=schema)
 
         for b in batches:
