@@ -59,6 +59,12 @@ def slices(batches, rows: int = 500, most: int = 8 << 20):
             yield b.slice(at, step)
 
 
+def apart(docs: DataFrame, make) -> DataFrame | None:
+    """``make`` of ``docs`` with columns that begin with an underscore out of its way (operators use such names); None if there are none."""
+    away = {c: f"own{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    return make(docs.withColumnsRenamed(away)).withColumnsRenamed({v: k for k, v in away.items()}) if away else None
+
+
 def ascii_lower(col):
     """A-Z to a-z; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

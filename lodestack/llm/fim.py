@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, small, written
+from lodestack.llm.common import apart, read, slices, small, written
 
 CHUNK = 1 << 16
 _LETTER = np.zeros(256, bool)
@@ -168,6 +168,8 @@ def fill_in_middle(docs: DataFrame, seed: str = "1", plain_percent: int = 10, sp
     an empty text, a null doc_id counts as an empty one, and rows that repeat give equal rows. Columns
     of the same names as the new ones are replaced; others go through. doc_id is an integer, string or null.
     """
+    if (made := apart(docs, lambda d: fill_in_middle(d, seed, plain_percent, spm_percent, chunk))) is not None:
+        return made
     docs = docs.drop("n", "form", "prefix_chars", "middle_chars", "output")
     h1, h2, h3, h4 = _draws(F.col("doc_id"), seed)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"_h1": h1, "_h2": h2})

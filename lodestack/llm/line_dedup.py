@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, written
+from lodestack.llm.common import apart, read, slices, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lines of a range, and bits of its arrays for each line; there are LEAST_RANGES ranges at least.
@@ -198,6 +198,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
     """
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
+    if (made := apart(docs, lambda d: dedup_lines(d, min_docs, keep_first, broadcast_keys))) is not None:
+        return made
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, small, written
+from lodestack.llm.common import apart, read, slices, small, written
 from lodestack.llm.suffix_array import repeated_starts
 
 LENGTH, ANCHOR = 200, 64
@@ -236,6 +236,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ho
     """
     if not 0 < anchor <= length:
         raise ValueError("anchor must be from 1 to length")
+    if (made := apart(docs, lambda d: drop_repeats(d, length, anchor, hot_pieces))) is not None:
+        return made
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
     texts = docs.where(F.octet_length("text") >= length).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("data"))
     spans = repeated_spans(texts, length, anchor, hot_pieces).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))

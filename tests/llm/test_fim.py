@@ -49,6 +49,12 @@ def test_empty_and_string_ids(spark):
     assert sorted(((r.doc_id, *(r[c] for c in NEW)) for r in got.collect()), key=repr) == sorted(((d, *plainly(d, t)) for d, t in rows), key=repr)
 
 
+def test_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "one two three", 7, "x", "y"), (2, "w" * 50, 8, "x", "y")], "doc_id long, text string, _n int, _th string, _id string")
+    got = fim.fill_in_middle(d, chunk=16)
+    assert got.columns == [*d.columns, *NEW] and sorted((r.doc_id, r._n, r._th, r.n) for r in got.collect()) == [(1, 7, "x", 5), (2, 8, "x", 1)]
+
+
 def test_functions_compose(spark):
     """However a text is cut, composing the chunks' functions gives the units of the whole, and each chunk's entry state."""
     rng = random.Random(1)

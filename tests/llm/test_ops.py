@@ -617,6 +617,9 @@ def test_only_suspected_lines_go_on(spark, monkeypatch):
 
 
 def test_line_dedup_edges(spark):
+    odd = table(spark, [(i, f"same\nown {i}") for i in range(4)]).selectExpr("*", "doc_id AS _id", "text AS _drop")
+    got = line_dedup.dedup_lines(odd, 2, False, 0)
+    assert got.columns == [*(c for c in odd.columns if c != "n_lines"), "n_lines", "n_dropped"] and all(r._drop == f"same\n{r.text}" and r._id == r.doc_id for r in got.collect())
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
     got = line_dedup.dedup_lines(table(spark, [(None, "same")] * 3 + [(1, None)]), 2, False, 0).collect()
     assert sorted((r.text, r.n_dropped) for r in got) == [("", 0), ("", 1), ("", 1), ("", 1)]

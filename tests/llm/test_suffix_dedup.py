@@ -101,6 +101,12 @@ def test_equals_plain(spark, monkeypatch, length, anchor, hot, part):
     assert out == plainly(rows, length)
 
 
+def test_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "abcabc", 7, "x"), (2, "abd", 8, "y")], "doc_id long, text string, _id int, _spans string")
+    got = suffix_dedup.drop_repeats(d, 3, 2)
+    assert got.columns == [*d.columns, "n_bytes", "n_removed", "spans", "kept"] and sorted((r.doc_id, r._id, r._spans, r.n_removed) for r in got.collect()) == [(1, 7, "x", 6), (2, 8, "y", 0)]
+
+
 def test_long_texts_and_empty(spark):
     assert suffix_dedup.drop_repeats(table(spark, [])).count() == 0
     rng = random.Random(6)
