@@ -24,6 +24,15 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     return c.select(ident.alias("chunk_id"), "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")
 
 
+def chunk_signature(docs: DataFrame, size: int = 1000, overlap: int = 200) -> tuple[int, int | None]:
+    """(number of chunks, greatest chunk_id) that ``chunk_documents`` would give, from lengths alone: nothing is cut."""
+    n = F.length(T.strip(F.col("text")))
+    last = F.greatest(F.ceil((n - size) / F.lit(size - overlap)), F.lit(0)).cast("long")
+    some = docs.select("document_id", n.alias("n"), last.alias("last")).where("n > 0")
+    r = some.agg(F.coalesce(F.sum(F.col("last") + 1), F.lit(0)).alias("n"), F.max(F.col("document_id") * WIDE + F.col("last")).alias("last")).first()
+    return int(r.n), r["last"]
+
+
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Existing rows, and of the new ones the first of each key that is not there yet (least by ``order``, then by all columns)."""
     rest = [c for c in existing.columns if c not in keys and c not in order]

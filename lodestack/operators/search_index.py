@@ -123,10 +123,10 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Se
     return SearchIndex(spark, path, r.version, tuple(r.batches), r.buckets, r.n, r.last, r.tokens, r.mean_idf) if r else None
 
 
-def current_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> SearchIndex:
-    """The index at ``path`` if its signature is that of ``chunks``, else a new one."""
+def current_index(chunks: DataFrame, path: str, buckets: int = BUCKETS, known: tuple[int, int | None] | None = None) -> SearchIndex:
+    """The index at ``path`` if its signature is that of ``chunks``, else a new one. ``known``: the signature, where the caller has it for less than a count of ``chunks``."""
     index = open_index(chunks.sparkSession, path)
-    return index if index and index.signature == signature(chunks) else build_index(chunks, path, buckets)
+    return index if index and index.signature == (known or signature(chunks)) else build_index(chunks, path, buckets)
 
 
 def _asked(index: SearchIndex, queries: DataFrame) -> tuple[DataFrame, list[int]]:

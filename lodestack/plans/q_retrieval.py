@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import dedup, evaluate, fulltext, retrieval, search_index
+from lodestack.operators import dedup, evaluate, fulltext, ingest, retrieval, search_index
 from lodestack.operators.shared import shared_dir
 from lodestack.plans.testdata import CHUNKS_SQL, chunks, table
 
@@ -114,7 +114,9 @@ def _asked(s, d):
 
 def _index(s, d, c, name="chunks"):
     """The application's index of these chunks: written by the first query that asks, used while its signature holds."""
-    return search_index.current_index(c, f"{shared_dir(s)}/search-{name}-{s.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    docs = docs.join(table(s, d, "embeddings").select(F.col("vec_id").alias("document_id")), "document_id") if name == "paired" else docs
+    return search_index.current_index(c, known=ingest.chunk_signature(docs), path=f"{shared_dir(s)}/search-{name}-{s.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}")
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 20")

@@ -54,6 +54,15 @@ def test_staleness(spark, tmp_path, asked):
     assert (b.version, b.n) == (2, 40) and search_index.open_index(spark, at) == b
 
 
+def test_signature_from_lengths(spark, sf_dir):
+    from lodestack.operators import ingest
+
+    odd = [(i, " " * 3 + "x" * n + "\n") for i, n in enumerate((0, 1, 999, 1000, 1001, 1800, 1801, 5000))] + [(90, None), (91, " \u00a0\n")]
+    made = spark.createDataFrame(odd, "document_id long, text string")
+    for docs in (made, made.limit(0), spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "document_id")):
+        assert ingest.chunk_signature(docs) == search_index.signature(ingest.chunk_documents(docs))
+
+
 def test_a_query_reads_its_buckets_and_prunes(spark, tmp_path, monkeypatch):
     """Only the terms' buckets are read, bounds read no postings, and segments without a chance are left out."""
     monkeypatch.setattr(search_index, "SEGMENT", 20)
