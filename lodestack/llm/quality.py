@@ -40,7 +40,7 @@ KEEP = 0.5
 #: Words whose weight a worker remembers.
 CACHE = 200_000
 #: Shares of a text's tokens at which a shape has a step.
-LEVELS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
+LEVELS = (0.005, 0.02, 0.05, 0.1, 0.2, 0.4)
 
 _WORD = re.compile(r"\w+").findall
 _RUN = re.compile(rb"([^ ])\1+")
@@ -104,18 +104,26 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def _counts(at: np.ndarray) -> np.ndarray:
+    """How often each bucket comes; bincount takes wide numbers, so a part at a time."""
+    out = np.zeros(DIM, "i8")
+    for i in range(0, len(at), 1 << 20):
+        out += np.bincount(at[i : i + (1 << 20)], minlength=DIM)
+    return out
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam steps on all rows at once."""
     if not rows:
         return OrdinalModel(np.zeros(DIM, "f4"), np.arange(GRADES - 1) - 10.0)
-    at, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(a) for a in rows])
-    docs = np.bincount(at, minlength=DIM)
+    at, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype="i4"), [len(a) for a in rows])
+    docs = _counts(at)
     tells = np.zeros(DIM, bool)
     for k in range(1, GRADES):
         high = grades >= k
         n1, n0 = int(high.sum()), int((~high).sum())
         if n1 and n0:
-            ones = np.bincount(at[high[row]], minlength=DIM)
+            ones = _counts(at[high[row]])
             p = docs / len(rows)
             z = (ones / n1 - (docs - ones) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
             tells |= np.abs(z) >= LEAST_Z
@@ -174,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, skip_sha
             yield pa.RecordBatch.from_arrays([pa.array(got, schema[0].type), b["grade"].cast(pa.int32())], schema=schema)
 
     got = rows.mapInArrow(run, "at array<int>, grade int").toArrow()
-    return fit([x.values.to_numpy() for x in got["at"]], got["grade"].to_numpy())
+    return fit([x.values.to_numpy() for x in got["at"]], got["grade"].to_numpy())  # views: nothing is copied here
 
 
 _SCORERS: dict = {}
