@@ -36,8 +36,8 @@ INDEX = np.dtype([("doc", "<i8"), ("off", "<u8"), ("n", "<u4")])
 BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on at most this many documents (and ids a document) and has at most so many bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 4096, 64 << 10
-#: Words that a worker remembers, and as many from before.
-CACHE = 400_000
+#: Bytes of words that a worker remembers, and as many from before; what an entry takes besides its word and ids.
+CACHE, ENTRY = 88 << 20, 220
 #: Bytes of frames for each range of ids that one task writes.
 RANGE_BYTES = 64 << 20
 #: Fixed value: the splitting pattern of byte-level BPE (its pieces are encoded one by one).
@@ -71,6 +71,7 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
+        self.held = self.held_inner = 0
         self.pieces = regex.compile(PIECES).findall
         with open(path, encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
@@ -96,25 +97,32 @@ class PieceEncoder:
         first, *rest = self.pieces(" " + word)
         stem = first[1:]
         ids = self.words.get(stem) or self.old.get(stem) or self._ids([first])
-        self.words[stem] = ids
+        self._keep(stem, ids)
         for p in rest:
             if p not in self.inner:
                 self.inner[p] = self._ids([p])
+                self.held_inner += ENTRY + len(p) + len(self.inner[p])
             ids += self.inner[p]
         return ids
 
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if word not in self.words:
+            self.held += ENTRY + len(word) + len(ids)
+        self.words[word] = ids
+        return ids
+
     def _known(self, words: list[str], used: list[bool]) -> list[bytes]:
         """Ids of each used word with a blank before it."""
-        if len(self.words) > CACHE:  # what is still in use comes back from the old words
-            self.old, self.words = self.words, {}
-        if len(self.inner) > CACHE // 4:
-            self.inner = {}
+        if self.held > CACHE:  # what is still in use comes back from the old words
+            self.old, self.words, self.held = self.words, {}, 0
+        if self.held_inner > CACHE // 4:
+            self.inner, self.held_inner = {}, 0
         known, old = self.words, self.old
         out = [known.get(w) if u else b"" for w, u in zip(words, used, strict=True)]
         for i, x in enumerate(out):
             if x is None:
                 w = words[i]
-                out[i] = known[w] = old.get(w) or self._learn(w)
+                out[i] = self._keep(w, old.get(w) or self._learn(w))
         return out
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
