@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def normalise(line: str) -> str:
     return "".join(c.lower() for c in line if c.isalnum())
 
 
+def letter_places(line: str) -> dict[str, int]:
+    """Of each character, a number whose set bits are its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(line):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_length(short: str, places: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence with the line of ``n`` characters that has these places (a column of the table is one number)."""
+    whole = (1 << n) - 1
+    row = whole
+    for c in short:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return n - row.bit_count()
+
+
 def _before(frames: DataFrame, window: int, step: float) -> DataFrame:
     """recording, _b, frame: of each range of frame numbers, the last ``window`` frames before it. Windows run over ranges, not over frames."""
     f = frames.select("recording", "frame").distinct().withColumn("_b", F.floor(F.col("frame") / F.lit(step)))
@@ -48,24 +68,39 @@ def drop_repeated_lines(frames: DataFrame, window: int = 4, ratio: float = 0.8,
 
     Lines are compared by ``normalise``; those without a letter or digit go. A line is no news if it is
     contained in, contains or is similar (difflib) to any line of the recording's last ``window`` frames,
-    or to a line kept of its own frame. As no decision depends on an earlier frame's, a recording is
+    or to a line kept of its own frame. difflib's matches are a common subsequence, so lines whose
+    longest one is too short are not similar and are told apart without it. As no decision depends on an earlier frame's, a recording is
     dealt out in ranges, each with the ``window`` frames before it.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
 
-        near = lambda a, b: a in b or b in a or SequenceMatcher(None, a, b).ratio() >= ratio
+        places: dict[str, dict[str, int]] = {}
+
+        def near(a: str, b: str) -> bool:
+            if a in b or b in a:
+                return True
+            short, long = (a, b) if len(a) <= len(b) else (b, a)
+            most = lambda n: 2.0 * n / (len(a) + len(b))
+            if most(len(short)) < ratio:
+                return False
+            if long not in places:
+                places[long] = letter_places(long)
+            return most(common_length(short, places[long], len(long))) >= ratio and SequenceMatcher(None, a, b).ratio() >= ratio
+
         past: list[list[str]] = []
         out = []
-        for _, g in pdf.sort_values(["frame", "line_no"], kind="stable").groupby("frame", sort=True):
+        rows = pdf[pdf["frame"].notna()].sort_values(["frame", "line_no"], kind="stable")
+        for _, g in groupby(rows.itertuples(index=False), lambda r: r.frame):
             seen, fresh, own = {x for f in past for x in f}, [], []
-            for r in g.itertuples(index=False):
+            places = {x: p for x, p in places.items() if x in seen}
+            for r in g:
                 key = normalise(r.line or "")
                 if not key:
                     continue
                 own.append(key)
-                if not r.own or any(near(key, x) for x in seen) or any(near(key, x) for x in fresh):
+                if not r.own or key in seen or any(near(key, x) for x in seen) or any(near(key, x) for x in fresh):
                     continue
                 fresh.append(key)
                 out.append(r)

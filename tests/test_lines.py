@@ -68,3 +68,38 @@ def test_unchanged_frames_for_any_cut(spark, step):
     got = sorted((r.recording, r.frame) for r in lines.skip_unchanged_frames(df, step=step).collect())
     assert got == kept_in_one_pass(frames, 1.5)
     assert lines.skip_unchanged_frames(df.limit(0)).count() == 0
+
+
+def test_long_lines_are_told_apart_quickly():
+    """Unlike lines of one length were left to difflib."""
+    import time
+
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("abcdefghij") for _ in range(190)) for _ in range(2))
+    for x, y in [(a, b), ("", a), (a, a), ("abcbdab", "bdcaba"), ("xay", "zaz")]:
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if c == d else max(table[i][j + 1], table[i + 1][j])
+        assert lines.common_length(x, lines.letter_places(y), len(y)) == table[-1][-1]
+        assert sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) <= table[-1][-1]
+    at = time.process_time()
+    for _ in range(20):
+        lines.common_length(a, lines.letter_places(b), len(b))
+    ours, at = time.process_time() - at, time.process_time()
+    for _ in range(20):
+        SequenceMatcher(None, a, b).ratio()
+    assert ours < (time.process_time() - at) / 3
+
+
+def test_similar_lines_of_any_length(spark):
+    """Copies with a few changed letters, of lines below and above difflib's limit of 200: what one pass over all says."""
+    rng = random.Random(6)
+    pool = []
+    for n in (5, 40, 180, 260, 900):
+        x = [rng.choice("abcdefghijklmnop") for _ in range(n)]
+        for part in (0, 0.05, 0.15, 0.25, 0.5):
+            pool.append("".join(rng.choice("qrstuvw") if rng.random() < part else c for c in x))
+    frames = [(r, n, no, rng.choice(pool)) for r in "ab" for n in range(25) for no in range(2)]
+    df = spark.createDataFrame(frames, "recording string, frame int, line_no int, line string")
+    assert sorted(tuple(r) for r in lines.drop_repeated_lines(df, step=7).collect()) == one_pass(frames)
