@@ -52,3 +52,13 @@ def test_dates(spark):
 def test_links_and_labels(spark):
     assert one(spark, "a ![[pic]] [[x|y]] [[z]]", T.clean_wikilinks) == "a  y z"
     assert spark.range(1).select(T.time_label(F.lit(3725)).alias("x")).first().x == "[01:02:05]"
+
+
+def test_a_text_is_stripped_once_for_all_its_chunks(spark):
+    """The stripped text was part of each chunk's own expression, so a text was stripped once a chunk."""
+    assert str(T.chunks(F.col("whole_text"))).count("whole_text") == 1
+
+
+def test_strip_takes_all_white_space_and_nothing_else(spark):
+    d = spark.createDataFrame([(None,), ("",), (" \n",)] + [(f"{chr(c)}a {chr(c)}",) for c in [*range(1, 0x250), *range(0x1600, 0x1900), *range(0x2000, 0x2100), 0x3000, 0xFEFF]], "t string")
+    assert d.where(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0

@@ -87,3 +87,18 @@ def test_empty(spark, tmp_path, asked):
     index = search_index.build_index(corpus(spark).limit(0), f"file://{tmp_path}/i")
     assert index.n == 0 and search_index.search(index, asked, 3).count() == 0
     assert search_index.search(search_index.build_index(corpus(spark, 5), f"file://{tmp_path}/j"), asked.limit(0), 3).count() == 0
+
+
+def test_postings_are_dealt_by_groups_of_segments(spark, tmp_path, monkeypatch):
+    """Tokens were shuffled twice, and the chunks counted although their number was known. A term's rows are dealt out by groups of segments."""
+    monkeypatch.setattr(search_index, "SEGMENT", 8)
+    monkeypatch.setattr(search_index, "FILE_SEGMENTS", 2)
+    c = spark.range(90).select(F.col("id").alias("chunk_id"), F.concat(F.lit("common w"), (F.col("id") % 7).cast("string"), F.lit(" common x"), F.col("id").cast("string")).alias("content"))
+    monkeypatch.setattr(type(c), "count", lambda _: 1 / 0)
+    index = search_index.build_index(c, str(tmp_path / "i"), 4, 90)
+    monkeypatch.undo()
+    p = index.postings().withColumn("file", F.input_file_name())
+    assert p.where("term = 'common'").select("file").distinct().count() > 1
+    assert p.where("term <> ''").agg(F.sum("n")).first()[0] == 270 and index.n == 90
+    asked = spark.createDataFrame([(1, "common w3 x10"), (2, "x5 x5 w6")], "query_id long, query string")
+    assert sorted(map(tuple, search_index.search(index, asked, 6).collect())) == sorted(map(tuple, retrieval.bm25_topk(c, asked, 6).collect()))
