@@ -56,3 +56,14 @@ def test_places_are_bounded(spark):
     assert {r.chunk_id: r.score for r in fulltext.fulltext_topk(d, q, 9).collect()} == {1: 25.5, 2: 0.1}
     with pytest.raises(ValueError):
         fulltext.fulltext_topk(d, q, 9, need="some")
+
+
+def test_only_asked_places_are_dealt_out(spark):
+    """Places of all words were shuffled, and covers joined by the query alone, so that a query was one task."""
+    d = spark.createDataFrame([(1, "ab cd xy ab"), (2, "xy xy")], "chunk_id long, content string")
+    some = spark.createDataFrame([("ab",)], "term string")
+    assert sorted(map(tuple, fulltext.positions(d, "chunk_id", "content", some).collect())) == [(1, "ab", 1), (1, "ab", 4)]
+    hits = spark.createDataFrame([(1, 2, 1, "ab", 1), (1, 2, 1, "cd", 2), (1, 2, 2, "ab", 5)], "query_id long, m int, chunk_id long, term string, pos int")
+    c = fulltext.covers(hits, "chunk_id", "all")
+    assert "Join" not in c._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in c.collect()] == [(1, 1, 1, 2, 2)]
