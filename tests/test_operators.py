@@ -92,3 +92,10 @@ def test_export_and_restore(spark, tmp_path):
 def test_empty_files(spark):
     f = spark.createDataFrame([], "path string, size long, sha string, in_archive boolean, archive string")
     assert inventory.exact_file_groups(f).count() == 0 and manifest.contents(f, f).count() == 0 and inventory.largest(f, 0).count() == 0
+
+
+def test_bm25_scan_counts_terms_once(spark):
+    """Counts of terms were three parts of one plan, each with its own pass over the chunks."""
+    c = spark.createDataFrame([(1, "common rare"), (2, "common")], "chunk_id long, content string")
+    q = spark.createDataFrame([(1, "common rare")], "query_id long, query string")
+    assert "coalesce(content" not in retrieval.bm25_scores(c, q)._jdf.queryExecution().analyzed().toString()
