@@ -14,15 +14,24 @@ from lodestack.operators.shared import shared_dir
 def keep_good_lines(docs: DataFrame, share: float = 0.6, floor: int = 2) -> DataFrame:
     """doc_id, text -> doc_id, line_no, line, n, share of the lines with enough words, of which enough are in the vocabulary.
 
-    The vocabulary (words found ``floor`` times or more) grows with the corpus, so it is joined by
-    a shuffle on the word unless AQE finds it small.
+    The vocabulary is the words found ``floor`` times or more. It is large and its words are frequent, so
+    words out of it are taken off instead: those found once have their line in the aggregate that counts
+    words, which combines before the shuffle; others that are found too seldom are met again by a join.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit("([A-Za-z]{3,})"), F.lit(1))).alias("word")).withColumn("word", F.lower("word"))
-    voc = words.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= floor).select("word", F.lit(1.0).alias("known"))
-    r = words.join(voc, "word", "left").groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("known", F.lit(0.0))).alias("share"))
-    least = F.when(F.col("line").rlike(r"[0-9=()+\-/*<>^]"), 1).otherwise(2)
-    return lines.join(r, ["doc_id", "line_no"]).where((F.col("n") >= least) & (F.col("share") >= share))
+    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = F.regexp_extract_all("line", F.lit("([A-Za-z]{3,})"), F.lit(1))
+    words = lines.select("doc_id", "line_no", F.explode(found).alias("word")).withColumn("word", F.lower("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "line_no")).alias("_at"))
+    rare = counts.where((F.col("_n") == 1) & (F.col("_n") < floor)).select("_at.doc_id", "_at.line_no")
+    if floor > 2:
+        rare = rare.unionByName(words.join(counts.where((F.col("_n") > 1) & (F.col("_n") < floor)).select("word"), "word", "left_semi").select("doc_id", "line_no"))
+    own = lines.select("doc_id", "line_no", F.size(found).cast("long").alias("n"), F.lit(0).cast("long").alias("off")).where("n > 0")
+    each = own.unionByName(rare.select("doc_id", "line_no", F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("off")))
+    r = each.groupBy("doc_id", "line_no").agg(F.sum("n").alias("n"), F.sum("off").alias("off"))
+    r = r.select("doc_id", "line_no", "n", ((F.col("n") - F.col("off")) / F.col("n")).alias("share")).where(F.col("share") >= share)
+    # What is asked of the line itself is known before the join, which then carries its text only for those who want it.
+    lines = lines.withColumn("_least", F.when(F.col("line").rlike(r"[0-9=()+\-/*<>^]"), 1).otherwise(2))
+    return lines.join(r, ["doc_id", "line_no"]).where(F.col("n") >= F.col("_least")).select("doc_id", "line_no", "line", "n", "share")
 
 
 #: Frame numbers of a range: a recording is dealt out by ranges, however long it is.

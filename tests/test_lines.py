@@ -103,3 +103,29 @@ def test_similar_lines_of_any_length(spark):
     frames = [(r, n, no, rng.choice(pool)) for r in "ab" for n in range(25) for no in range(2)]
     df = spark.createDataFrame(frames, "recording string, frame int, line_no int, line string")
     assert sorted(tuple(r) for r in lines.drop_repeated_lines(df, step=7).collect()) == one_pass(frames)
+
+
+@pytest.mark.parametrize("floor", [1, 2, 4])
+def test_good_lines_equal_plain(spark, floor):
+    """Every word was shuffled to its vocabulary entry, and whole lines to their shares."""
+    import re
+    from collections import Counter
+
+    rng = random.Random(floor)
+    pool = ["the", "The", "word", "alpha", "beta", "of", "x=1", "rare"] + [f"{a}{b}{c}" for a in "uvw" for b in "xyz" for c in "klm"]
+    docs = [(i, "\n".join(" ".join(rng.choice(pool) for _ in range(rng.randrange(7))) for _ in range(rng.randrange(6)))) for i in range(25)] + [(90, None), (91, ""), (92, "only once1"), (93, "gone = (lost)")]
+    words = lambda x: re.findall("[A-Za-z]{3,}", x)
+    seen = Counter(w.lower() for _, t in docs for w in words(t or ""))
+    want = []
+    for i, t in docs:
+        for p, x in enumerate((t or "").split("\n")):
+            w = words(x)
+            good = sum(seen[y.lower()] >= floor for y in w)
+            if len(w) >= (1 if re.search(r"[0-9=()+\-/*<>^]", x) else 2) and good / len(w) >= 0.6:
+                want.append((i, p, x, len(w), round(good / len(w), 6)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = lines.keep_good_lines(df, floor=floor)
+    assert sorted((r.doc_id, r.line_no, r.line, r.n, round(r.share, 6)) for r in out.collect()) == sorted(want)
+    if floor == 2:
+        plan = out.select("doc_id", "line_no", "n", "share")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1
