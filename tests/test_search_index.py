@@ -102,3 +102,12 @@ def test_postings_are_dealt_by_groups_of_segments(spark, tmp_path, monkeypatch):
     assert p.where("term <> ''").agg(F.sum("n")).first()[0] == 270 and index.n == 90
     asked = spark.createDataFrame([(1, "common w3 x10"), (2, "x5 x5 w6")], "query_id long, query string")
     assert sorted(map(tuple, search_index.search(index, asked, 6).collect())) == sorted(map(tuple, retrieval.bm25_topk(c, asked, 6).collect()))
+
+
+def test_tokens_are_counted_within_their_segment(spark):
+    """Postings were counted before a shuffle that they did not get smaller by: a task held all those of its texts."""
+    c = spark.range(500).select(F.col("id").alias("chunk_id"), F.concat(F.lit("w x y "), F.col("id").cast("string")).alias("content"))
+    r = search_index.segment_rows(c, 7)
+    text = r._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.index("Exchange") > text.rindex("Aggregate")
+    assert r.agg(F.sum("n"), F.countDistinct("seg")).first() == (2500, 7)
