@@ -47,8 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already written) with a broadcast hint if it has at most ``limit`` rows; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """``df`` (already written) with a broadcast hint if it has at most ``limit`` rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= limit else by_shuffle(df)
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` with a hint that its join runs by shuffle. Spark sizes a table by its files and the widths of its columns: rows that
+    Python or an explode makes of it count once, an array as one element, repeats as they are compressed. It would broadcast such a table at any true size."""
+    return df.hint("merge")
 
 
 def slices(batches, rows: int = 500, most: int = 8 << 20):

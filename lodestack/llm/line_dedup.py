@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import apart, read, slices, written
+from lodestack.llm.common import apart, by_shuffle, read, slices, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lines of a range, and bits of its arrays for each line; there are LEAST_RANGES ranges at least.
@@ -184,7 +184,7 @@ def _dropped_places(docs: DataFrame, dropped: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(h), pa.int64()), pa.array(h, pa.binary())], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_id long, h binary")
-    return own.join(dropped, "h").groupBy("_id").agg(F.collect_set(F.struct("h", F.col("first.doc_id").alias("d"), F.col("first.line").alias("line"))).alias("_drop"))
+    return own.join(by_shuffle(dropped), "h").groupBy("_id").agg(F.collect_set(F.struct("h", F.col("first.doc_id").alias("d"), F.col("first.line").alias("line"))).alias("_drop"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, broadcast_keys: int = KEYS) -> DataFrame:

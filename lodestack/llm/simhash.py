@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import read, slices, small, written
+from lodestack.llm.common import by_shuffle, read, slices, small, written
 from lodestack.llm.components import connected_components
 
 BITS = 64
@@ -318,6 +318,7 @@ def fingerprint_links(fps: DataFrame, tau: int, wide: int | None = None, crowd:
 
     q = fps.select("fp", *more).mapInArrow(probes, ddl).withColumnsRenamed({"fp": "a", "far": "may"})
     x = fps.select("fp", *more).mapInArrow(index, ddl).withColumnsRenamed({"fp": "b", "far": "is", "s0": "t0", "s1": "t1"})
+    x = by_shuffle(x)  # many rows a fingerprint, of which Spark counts one
     near = (F.col("a") < F.col("b")) & (F.col("is") <= F.col("may")) & _within(tau, wide)
     on = (q["part"] == x["part"]) & (q["value"] == x["value"]) & near
     if crowd is None:
@@ -380,6 +381,7 @@ def shingle_verifier(docs: DataFrame, words: int, least: float):
         texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("_id")).select("fp", "text")
         one = texts.groupBy("fp").agg(F.max("text").alias("text"))  # rows may repeat a doc_id
         s = written(one.mapInArrow(sets, "fp long, s array<long>"), "shingles")
+        s = by_shuffle(s)
         pairs = links.join(s.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")

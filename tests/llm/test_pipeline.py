@@ -227,3 +227,29 @@ def test_letters_of_one_form_do_not_meet_in_pairs(spark, monkeypatch):
     got = near_copies.near_copies(docs(spark, letters + near), cp.SHINGLE, cp.SIMILARITY, cp.PAIR_WORDS, cp.NEAR_BITS, cp.WIDE_BITS).collect()
     assert sum(r.first for r in got) == 601 and {r.component_id for r in got if r.doc_id >= 1000} == {1000}
     assert sizes["candidates"] < 40 * 900  # of 224,550 pairs of letters and of copies
+
+
+def test_what_spark_sizes_too_low_is_joined_by_shuffle(spark):
+    """Small files become many rows in Python, or hold arrays: such sides are not broadcast at any size of their files."""
+    from pyspark.sql import functions as F
+
+    from lodestack.llm.common import small, written
+    from lodestack.llm.simhash import fingerprint_links
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ids = spark.range(3000)
+    fps = written(ids.select(F.xxhash64("id").alias("fp"), F.xxhash64("id", F.lit(1)).alias("s0"), F.xxhash64("id", F.lit(2)).alias("s1")), "fps")
+    for links in (fingerprint_links(fps, 4), fingerprint_links(fps, 7, 32, 8)):
+        assert plan(links).count("SortMergeJoin") == 1
+    assert "Broadcast" not in plan(fingerprint_links(fps, 4))
+
+    rows = docs(spark, [(i, f"one {i} two {i} three {i} four") for i in range(20)])
+    units = written(near_copies.unit_rows(rows, 5, 2, 0.8, near_copies.common_shingles(rows, 5, 20)), "units")
+    named = units.select("unit", F.struct("doc_id", "th").alias("rep"))
+    pairs = written(units.select(F.col("unit").alias("a"), F.col("unit").alias("b")), "pairs")
+    for got in (near_copies.likely(pairs, units, 0.8), near_copies.verified(pairs, rows, named, 5, 0.8, False)):
+        assert "Broadcast" not in plan(got) and plan(got).count("SortMergeJoin") == 2
+        assert got.count() == 20
+
+    assert "Broadcast" in plan(ids.join(small(ids, 3000), "id"))
+    assert "Broadcast" not in plan(ids.join(small(ids, 2999), "id"))
